@@ -58,7 +58,7 @@ def shuffled_index(
 ) -> DataFrame:
     """Dense 1-based position of every row in a seeded random order of its group, and the group size."""
     by = list(by)
-    keyed = df.withColumn("_u", uniform(seed, stream, *by, id))
+    keyed = df.withColumn("_u", uniform(seed, stream, id))
     bucket = F.floor(F.col("_u") * BUCKETS).cast("int")
     ranked = running_sums(keyed, by, ["_u", id], bucket, {name: F.lit(1).cast("bigint")})
     return ranked.withColumnRenamed(f"{name}_total", count).drop("_u")
