@@ -138,6 +138,8 @@ def ball_pick():
 
     def kernel(qid, q, extra, rid, r, carry):
         who, key, nbr = [], [], []
+        order = np.argsort(rid)  # argmin then settles equal keys by the smaller id
+        rid, r = rid[order], r[order]
         residue = rid % PRIME
         for part in steps(len(q), len(r)):
             d = all_distances(q[part], r)
@@ -171,3 +173,43 @@ def push_out():
         return some, {"shift": list(shift[some])}
 
     return kernel
+
+
+def band_counts(bins: int):
+    """Kernel: how many references lie in each of ``bins`` equal bands of (lo, hi], and how many at or below lo."""
+
+    def kernel(qid, q, extra, rid, r, carry):
+        counts = np.zeros((len(q), bins + 1), dtype="int64")
+        for part in steps(len(q), len(r)):
+            d = all_distances(q[part], r)
+            lo, hi = extra["lo"][part, None], extra["hi"][part, None]
+            edge = lo + (hi - lo) * np.arange(bins + 1)[None, :] / bins
+            edge[:, -1] = hi[:, 0]
+            d.sort(axis=1)
+            for line in range(len(d)):
+                upto = np.searchsorted(d[line], edge[line], side="right")
+                counts[part.start + line] = np.diff(upto, prepend=0)
+        return np.arange(len(q)), {"counts": list(counts.astype("float64"))}
+
+    return kernel
+
+
+def close_weights(dim: int, cut: float, top: float, square: bool):
+    """Kernel: per query, the summed closeness of references (and of squares over ``norm``) within reach.
+
+    Closeness is min(dim / distance, cut) / cut * top. With ``square`` references carry
+    their own ``reach`` and ``norm``; otherwise the query's ``reach`` counts.
+    """
+
+    def kernel(qid, q, extra, rid, r, carry):
+        total = np.zeros(len(q))
+        for part in steps(len(q), len(r)):
+            d = all_distances(q[part], r)
+            inside = d <= (carry["reach"][None, :] if square else extra["reach"][part, None])
+            with np.errstate(divide="ignore"):
+                close = np.minimum(dim / d, cut) / cut * top
+            value = close * close / carry["norm"][None, :] if square else close
+            total[part] = np.where(inside, value, 0.0).sum(axis=1)
+        return np.arange(len(q)), {"total": total}
+
+    return kernel

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions import blocks
 from evenkeel.functions.vectors import dimension
 from evenkeel.operators import kernels
 from evenkeel.operators.neighbours import Neighbours
@@ -88,6 +89,26 @@ class Job:
         differs = F.sum((F.col("nbr_label") != F.col("label")).cast("bigint"))
         return judged.groupBy(*self.grp, "row_id").agg(differs.alias("m"), F.count(F.lit(1)).alias("kk"))
 
+    @cached_property
+    def others(self) -> DataFrame:
+        """(by..., label, row_id, own_label, features): for every short class, the rows of other classes."""
+        short = self.needs.select(*self.grp)
+        rows = self.points.withColumnRenamed("label", "own_label")
+        return kernels.equi(rows, short, self.by).filter(F.col("own_label") != F.col("label")).select(
+            *self.grp, "row_id", "own_label", "features")
+
+    def massed(self, rows: DataFrame, grp) -> DataFrame:
+        """Identical vectors as one row with a ``weight``: copies are counted, not met one by one."""
+        return rows.groupBy(*grp, "features").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("weight"))
+
+    def within(self, queries: DataFrame, refs: DataFrame, grp, closed: bool) -> DataFrame:
+        """(grp..., row_id, inside): rows of ``refs`` in the ball of ``radius`` around each query, itself included."""
+        index = Neighbours(self.massed(refs, grp), by=grp, carry=["weight"])
+        parts = index.meet(queries, blocks.ball_stats(closed, False), "count bigint, total double",
+                           extra=["radius"], reach="radius")
+        sums = parts.groupBy(*grp, "q_id").agg(F.sum("count").alias("inside"))
+        return sums.withColumnRenamed("q_id", "row_id")
+
     def base_vec(self, made: DataFrame, how: str = "inner") -> DataFrame:
         return kernels.attach(made, self.minority, self.by, "base_id", how, x="features")
 
