@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,28 @@ def explode_features(df: DataFrame, vec: str = "features", keep: Sequence[str] =
     return flat.withColumn("val", F.round("val", digits) + F.lit(0.0))
 
 
-def mean_vector(vec: str, dim: int) -> Column:
-    """Element-wise mean aggregate of an array column of known length."""
-    return F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)])
+def _summary(metric: str, vec, weight=None) -> Column:
+    column = array_to_vector(F.col(vec) if isinstance(vec, str) else vec)
+    return vector_to_array(getattr(Summarizer, metric)(column, weight))
 
 
-def std_vector(vec: str, dim: int, population: bool = False) -> Column:
-    fn = F.stddev_pop if population else F.stddev_samp
-    return F.array(*[fn(F.col(vec)[i]) for i in range(dim)])
+def mean_vector(vec, weight: Column | None = None) -> Column:
+    """Element-wise (weighted) mean, one aggregate whatever the length."""
+    return _summary("mean", vec, weight)
+
+
+def sum_vector(vec) -> Column:
+    """Element-wise sum aggregate."""
+    return _summary("sum", vec)
+
+
+def std_vector(vec, population: bool = False) -> Column:
+    """Element-wise standard deviation aggregate; 0 for a single row."""
+    sample = _summary("std", vec)
+    if not population:
+        return sample
+    n = F.count(F.lit(1))
+    return F.transform(sample, lambda s: s * F.sqrt((n - 1) / n))
 
 
 def dimension(df: DataFrame, vec: str = "features") -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import blocks
 from evenkeel.functions.rng import normal, raw32, uniform
-from evenkeel.functions.vectors import std_vector
+from evenkeel.functions.vectors import mean_vector, std_vector, sum_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
@@ -95,8 +95,8 @@ def symprod(job: Job):
     the latter scaled over the rows that are such neighbours (ours). A new row is a seeded convex
     combination of the base and its class neighbours. CF needs every distance: work grows
     with class size times table size."""
-    calm = _calm(job.minority, job.grp, job.dim)
-    rest = _calm(job.others, [*job.grp, "own_label"], job.dim)
+    calm = settle(_calm(job.minority, job.grp))
+    rest = settle(_calm(job.others, [*job.grp, "own_label"]))
     own = _closeness(job, calm, calm, True, "cf_p")
     away = _closeness(job, calm, rest, False, "cf_n")
     both = own.join(away, [*job.grp, "row_id"]).filter(~(F.col("cf_n") * 1.25 >= F.col("cf_p")))
@@ -120,16 +120,14 @@ def symprod(job: Job):
     mixed = made.join(parts.unionByName(own_part), [*job.by, "base_id"])
     mixed = kernels.attach(mixed, kept, job.by, "part_id", part="features")
     mixed = mixed.withColumn("w", uniform(job.seed, "w", *job.keys, "rank"))
-    blend = F.array(*[F.sum(F.col("w") * F.col("part")[i]) / F.sum("w") for i in range(job.dim)])
-    full = mixed.groupBy(*job.grp, "rep", "base_id").agg(blend.alias("made"))
+    full = mixed.groupBy(*job.grp, "rep", "base_id").agg(mean_vector("part", F.col("w")).alias("made"))
     return kernels.as_synthetic(full, job.by, F.col("made"))
 
 
-def _calm(rows: DataFrame, cls, dim: int) -> DataFrame:
+def _calm(rows: DataFrame, cls) -> DataFrame:
     """Rows without a feature 3 or more standard deviations from the mean of their class."""
     stats = rows.groupBy(*cls).agg(
-        F.array(*[F.avg(F.col("features")[i]) for i in range(dim)]).alias("_mu"),
-        std_vector("features", dim, population=True).alias("_sd"))
+        mean_vector("features").alias("_mu"), std_vector("features", population=True).alias("_sd"))
     outside = F.zip_with(
         F.zip_with("features", "_mu", lambda x, m: F.abs(x - m)), "_sd",
         lambda gap, sd: F.when(sd > 0, gap / sd >= 3).otherwise(False))
@@ -175,7 +173,7 @@ def ccr(job: Job):
     probes = job.others.withColumn("energy", F.lit(energy))
     parts = refs.meet(probes, blocks.push_out(), "shift array<double>", reach="energy")
     shift = parts.groupBy(*job.by, F.col("q_id").alias("row_id")).agg(
-        F.array(*[F.sum(F.col("shift")[i]) for i in range(job.dim)]).alias("shift"))
+        sum_vector("shift").alias("shift"))
     moved = job.points.join(shift, [*job.by, "row_id"], "left").select(
         *job.by, "row_id", "label",
         F.when(F.col("shift").isNull(), F.col("features")).otherwise(

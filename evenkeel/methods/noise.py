@@ -12,7 +12,7 @@ from evenkeel.operators import kernels
 
 def _spread(job: Job, population: bool):
     return job.minority.groupBy(*job.grp).agg(
-        std_vector("features", job.dim, population).alias("sd"), F.count(F.lit(1)).alias("n"))
+        std_vector("features", population).alias("sd"), F.count(F.lit(1)).alias("n"))
 
 
 def _bases(job: Job):

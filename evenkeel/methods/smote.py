@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import pick, uniform
-from evenkeel.functions.vectors import lerp
+from evenkeel.functions.vectors import lerp, mean_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.operators import kernels
 
@@ -64,7 +64,7 @@ def distance_smote(job: Job):
     side = job.minority.select(*job.by, F.col("row_id").alias("nbr_id"), F.col("features").alias("nbr"))
     long = job.own_long.join(side, [*job.by, "nbr_id"])
     centre = long.groupBy(*job.by, F.col("q_id").alias("base_id")).agg(
-        F.array(*[F.avg(F.col("nbr")[i]) for i in range(job.dim)]).alias("c"))
+        mean_vector("nbr").alias("c"))
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
     full = job.base_vec(made).join(centre, [*job.by, "base_id"], "left")
     share = uniform(job.seed, "lam", *job.keys)
