@@ -13,6 +13,7 @@ from evenkeel.functions import blocks
 from evenkeel.functions.vectors import dimension
 from evenkeel.operators import kernels
 from evenkeel.operators.neighbours import Neighbours
+from evenkeel.operators.runtime import settle, small_table
 
 METHODS: dict[str, Callable] = {}
 
@@ -53,13 +54,13 @@ class Job:
     def needs(self) -> DataFrame:
         """(by..., label, n, n_needed) of the classes that are short."""
         needs = kernels.targets(self.points, "label", self.strategy, self.by).filter(F.col("n_needed") > 0)
-        return needs if self.only is None else needs.join(self.only, self.grp, "left_semi")
+        return small_table(needs if self.only is None else needs.join(self.only, self.grp, "left_semi"))
 
     @cached_property
     def minority(self) -> DataFrame:
-        """Rows of the classes that are short."""
-        return self.points.join(self.needs.select(*self.grp), self.grp, "left_semi").select(
-            *self.by, "row_id", "label", "features")
+        """Rows of the classes that are short, taken out of the source once."""
+        short = self.points.join(self.needs.select(*self.grp), self.grp, "left_semi")
+        return settle(short.select(*self.by, "row_id", "label", "features"))
 
     @cached_property
     def dim(self) -> int:
@@ -72,12 +73,12 @@ class Job:
     @cached_property
     def lists(self) -> DataFrame:
         """k nearest rows of the same class, per minority row."""
-        return kernels.neighbour_lists(self.minority, self.k, self.grp)
+        return kernels.pack_lists(self.own_long, self.grp)
 
     @cached_property
     def own_long(self) -> DataFrame:
         """(by..., label, q_id, rank, nbr_id, dist) within the class."""
-        return Neighbours(self.minority, by=self.grp, copies=self.k + 1).knn(self.minority, self.k)
+        return settle(Neighbours(self.minority, by=self.grp, copies=self.k + 1).knn(self.minority, self.k))
 
     def crowd(self, k: int | None = None) -> DataFrame:
         """(by..., label, row_id, m, kk): how many of the kk nearest rows of all classes differ."""
@@ -87,7 +88,7 @@ class Job:
         own = self.minority.select(*self.by, "label", "row_id")
         judged = long.withColumnRenamed("q_id", "row_id").join(own, [*self.by, "row_id"])
         differs = F.sum((F.col("nbr_label") != F.col("label")).cast("bigint"))
-        return judged.groupBy(*self.grp, "row_id").agg(differs.alias("m"), F.count(F.lit(1)).alias("kk"))
+        return settle(judged.groupBy(*self.grp, "row_id").agg(differs.alias("m"), F.count(F.lit(1)).alias("kk")))
 
     @cached_property
     def others(self) -> DataFrame:
@@ -116,6 +117,7 @@ class Job:
         return kernels.attach(made, self.minority, self.by, "nbr_id", how, nbr="features")
 
     def restricted(self, groups: DataFrame) -> "Job":
+        """The same job for some of its groups only."""
         return Job(self.points, self.by, self.k, self.seed, self.strategy, self.options, groups)
 
 

@@ -112,7 +112,11 @@ def draw_counted(counted: DataFrame, grp: Sequence[str], order: Sequence[str], s
 
 def neighbour_lists(bases: DataFrame, k: int, grp: Sequence[str], refs: DataFrame | None = None) -> DataFrame:
     """(grp..., row_id, nbrs array<struct<rank, nbr_id, dist>>) within the group; at most k per row."""
-    long = Neighbours(bases if refs is None else refs, by=grp, copies=k + 1).knn(bases, k)
+    return pack_lists(Neighbours(bases if refs is None else refs, by=grp, copies=k + 1).knn(bases, k), grp)
+
+
+def pack_lists(long: DataFrame, grp: Sequence[str]) -> DataFrame:
+    """One row per query with its neighbours in order; at most k entries each."""
     packed = long.groupBy(*grp, "q_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "nbr_id", "dist"))).alias("nbrs"))
     return packed.withColumnRenamed("q_id", "row_id")

@@ -1,11 +1,13 @@
-"""Session settings and lineage cuts."""
+"""Lineage cuts and small driver-side tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+SMALL_ROWS = 10_000  # class counts, fold summaries and the like may be held by the driver up to here
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,14 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once and cut its lineage, by a reliable checkpoint."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    done = df.checkpoint(eager=True)
-    # fresh attributes, so that the result can be joined with what it came from
-    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later uses scan the written columns instead of repeating the work, and survive
+    the loss of executors without going back to the source.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/evenkeel/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """A table expected to be tiny, computed once: held by the driver if it is, written otherwise."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        return settle(df)
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def width(spark: SparkSession) -> int:
