@@ -213,3 +213,48 @@ def close_weights(dim: int, cut: float, top: float, square: bool):
         return np.arange(len(q)), {"total": total}
 
     return kernel
+
+
+def donors(k: int):
+    """Kernel: for every missing (NaN) feature of a query, the k nearest references that have it.
+
+    Distances use the features both rows have, scaled up by features / shared features.
+    """
+
+    def kernel(qid, q, extra, rid, r, carry):
+        dim = q.shape[1]
+        have_r, r0 = ~np.isnan(r), np.nan_to_num(r)
+        who, pos, nbr, dist, value = [], [], [], [], []
+        for part in steps(len(q), len(r)):
+            have_q, q0 = ~np.isnan(q[part]), np.nan_to_num(q[part])
+            total, shared = np.zeros((len(q0), len(r))), np.zeros((len(q0), len(r)))
+            for c in range(dim):
+                both = have_q[:, c, None] & have_r[None, :, c]
+                total += np.where(both, (q0[:, c, None] - r0[None, :, c]) ** 2, 0.0)
+                shared += both
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where(shared > 0, np.round(np.sqrt(dim / shared * total), DIGITS), np.inf)
+            d[qid[part, None] == rid[None, :]] = np.inf
+            for c in range(dim):
+                lines = np.nonzero(~have_q[:, c])[0]
+                if not len(lines):
+                    continue
+                usable = np.where(have_r[None, :, c], d[lines], np.inf)
+                width = min(k, len(r))
+                limit = np.partition(usable, width - 1, axis=1)[:, width - 1]
+                i, j = np.nonzero((usable <= limit[:, None]) & np.isfinite(usable))
+                order = np.lexsort((rid[j], usable[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+                i, j = i[keep], j[keep]
+                who.append(lines[i] + part.start)
+                pos.append(np.full(len(i), c, dtype="int32"))
+                nbr.append(rid[j])
+                dist.append(usable[i, j])
+                value.append(r0[j, c])
+        if not who:
+            who, pos, nbr, dist, value = [np.zeros(0, "int64")], [np.zeros(0, "int32")], [np.zeros(0, "int64")], [np.zeros(0)], [np.zeros(0)]
+        return np.concatenate(who), {
+            "pos": np.concatenate(pos), "nbr_id": np.concatenate(nbr), "dist": np.concatenate(dist), "value": np.concatenate(value)}
+
+    return kernel

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
-from evenkeel.operators.cluster import each_group
+from evenkeel.operators.cluster import each_group, fit_centers
 from evenkeel.operators.runtime import settle, small_table
 
 
@@ -111,3 +113,48 @@ def supervised_smote(job: Job):
         if needs.isEmpty():
             break
     return kept
+
+
+@register("SSO")
+def sso(job: Job):
+    """Rong et al. 2014, re-aimed: a radial basis network on min(20, n) k-means centers with a ridge output
+    layer scores the class; a row's sensitivity is the mean squared change of its score over ``h``
+    (10) seeded shifts in +-``q`` (0.1, for scaled features). Bases follow sensitivity; a new row is
+    the base plus one more such shift. The network has at most 20 centers, so it travels with the task."""
+    h, q = int(job.options.get("h", 10)), float(job.options.get("q", 0.1))
+    parts = [_sensitivity(job, key, part, h, q) for key, part in each_group(job.minority, job.grp)]
+    weights = parts[0]
+    for more in parts[1:]:
+        weights = weights.unionByName(more)
+    made = job.base_vec(kernels.draw_weighted(settle(weights), job.needs, job.grp, job.seed))
+    shift = F.transform("x", lambda x, i: x + (uniform(job.seed, "shift", *job.keys, i) * 2 - 1) * q)
+    return kernels.as_synthetic(made, job.by, shift)
+
+
+def _sensitivity(job: Job, key, part: DataFrame, h: int, q: float) -> DataFrame:
+    rows = job.points
+    for c in job.by:
+        rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
+    table = fit_centers(rows, [], 20, job.seed, job.options.get("restarts", 3)).collect()  # 20 centers
+    nodes = np.array([r["center"] for r in table])
+    gaps = blocks.all_distances(nodes, nodes)
+    width = gaps[gaps > 0].mean() if (gaps > 0).any() else 1.0
+
+    @F.pandas_udf("array<double>")
+    def responses(vecs: pd.Series) -> pd.Series:
+        d = blocks.all_distances(np.stack(vecs.to_numpy()), nodes)
+        return pd.Series(list(np.exp(-(d**2) / (2 * width**2))))
+
+    ready = rows.select(
+        (F.col("label") == key["label"]).cast("double").alias("label"), array_to_vector(responses("features")).alias("features"))
+    net = LinearRegression(regParam=0.01, elasticNetParam=0.0).fit(ready)
+    out = F.array(*[F.lit(float(v)) for v in net.coefficients])
+
+    def score(vec):
+        return dot(responses(vec), out)
+
+    tries = part.withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    tries = tries.withColumn("_moved", F.transform(
+        "features", lambda x, i: x + (uniform(job.seed, "probe", "row_id", F.col("_h"), i) * 2 - 1) * q))
+    change = tries.withColumn("_a", score("features")).withColumn("_b", score("_moved"))
+    return change.groupBy(*job.grp, "row_id").agg(F.avg((F.col("_a") - F.col("_b")) ** 2).alias("weight"))

@@ -75,9 +75,10 @@ class Neighbours:
 
     def __init__(self, refs: DataFrame, by: Sequence[str] = (), id: str = "row_id", vec: str = "features",
                  carry: Sequence[str] = (), copies: int | None = None, local_bytes: int = LOCAL_BYTES,
-                 block_rows: int = BLOCK_ROWS):
+                 block_rows: int = BLOCK_ROWS, metric: bool = True):
         self.spark = refs.sparkSession
         self.by, self.carry, self.copies, self.block_rows = list(by), list(carry), copies, block_rows
+        self.metric = metric  # without the triangle inequality there are no pivots and nothing is ruled out
         self.refs = refs.select(*self.by, F.col(id).cast("bigint").alias("_rid"), F.col(vec).alias("_rvec"), *self.carry)
         size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
         self.rows, self.dim = int(size["n"]), int(size["d"] or 0)
@@ -149,7 +150,7 @@ class Neighbours:
         if self.copies:
             same = Window.partitionBy(*by, "_rvec").orderBy("_rid")
             refs = refs.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= self.copies).drop("_copy")
-        self.pivots = self.spark.sparkContext.broadcast(self._draw_pivots(refs))
+        self.pivots = self.spark.sparkContext.broadcast(self._draw_pivots(refs) if self.metric else {})
         held = self.pivots
 
         def assign(batches):
