@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import (
@@ -22,11 +21,10 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import dimension, dot
 from evenkeel.functions.vectors import mean_vector, std_vector
-from evenkeel.operators.cluster import each_group
+from evenkeel.operators.cluster import map_groups
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
 
-PARALLEL_FITS = 4
 CLASSIFIERS: dict[str, Callable] = {}
 
 
@@ -57,8 +55,7 @@ def _finish(df: DataFrame, by, p1) -> DataFrame:
 def _per_group(train: DataFrame, test: DataFrame, by, fit) -> DataFrame:
     """One independent fit per group, from a small pool of driver threads."""
 
-    def one(item):
-        key, part = item
+    def one(key, part):
         rows = test
         for c in by:
             rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
@@ -69,9 +66,7 @@ def _per_group(train: DataFrame, test: DataFrame, by, fit) -> DataFrame:
         p1 = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
         return scored.select(*by, "row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("y_pred"), p1.alias("p1"))
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        parts = list(pool.map(one, list(each_group(train, by))))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, map_groups(train, by, one))
 
 
 @classifier("CatBoost")
@@ -105,8 +100,7 @@ def rbf_svm(train, test, by, seed, width: int = 128):
             for r in draws]
         return df.withColumn("features", F.array(*cells))
 
-    parts = []
-    for key, part in each_group(train, by):
+    def one(key, part):
         rows = test
         for c in by:
             rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
@@ -123,10 +117,11 @@ def rbf_svm(train, test, by, seed, width: int = 128):
         platt = LogisticRegression().fit(as_margin(ready))
         ready.unpersist()
         scored = platt.transform(as_margin(held))
-        parts.append(scored.select(
+        return scored.select(
             *by, "row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
-            vector_to_array("probability")[1].alias("p1")))
-    return reduce(DataFrame.unionByName, parts)
+            vector_to_array("probability")[1].alias("p1"))
+
+    return reduce(DataFrame.unionByName, map_groups(train, by, one))
 
 
 @classifier("kNN")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
@@ -21,6 +22,9 @@ from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle
 
 
+PARALLEL_FITS = 4
+
+
 def each_group(rows: DataFrame, grp: Sequence[str]):
     """(key, rows of the key) for every group; groups are datasets, folds, classes."""
     if not grp:
@@ -33,6 +37,12 @@ def each_group(rows: DataFrame, grp: Sequence[str]):
         yield key, part
 
 
+def map_groups(rows: DataFrame, grp: Sequence[str], fn) -> list:
+    """``fn(key, rows)`` for every group, several independent fits at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(lambda item: fn(*item), list(each_group(rows, grp))))
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     return rows.select(array_to_vector("features").alias("features"))
 
@@ -52,8 +62,8 @@ def fit_centers(rows: DataFrame, grp: Sequence[str], k, seed: int, restarts: int
 
     ``k`` is a number or a function of (rows of the group, their count).
     """
-    found = []
-    for key, part in each_group(rows, grp):
+
+    def one(key, part):
         vectors = _vectors(part).persist()
         n = vectors.count()
         wanted = max(1, min(n, k(part, n) if callable(k) else k))
@@ -64,7 +74,9 @@ def fit_centers(rows: DataFrame, grp: Sequence[str], k, seed: int, restarts: int
         else:
             centers = _best_kmeans(vectors, wanted, seed, restarts)[1]
         vectors.unpersist()
-        found += [(*[key[c] for c in grp], i, list(c)) for i, c in enumerate(centers)]
+        return [(*[key[c] for c in grp], i, list(c)) for i, c in enumerate(centers)]
+
+    found = [row for part in map_groups(rows, grp, one) for row in part]
     schema = T.StructType(
         [rows.schema[c] for c in grp] + [T.StructField("cluster", T.LongType()), T.StructField("center", T.ArrayType(T.DoubleType()))])
     return rows.sparkSession.createDataFrame(found, schema)

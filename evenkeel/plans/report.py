@@ -53,11 +53,16 @@ def _percent() -> Column:
     return F.when(F.col("original") != 0, F.col("improvement") / F.col("original") * 100).otherwise(0.0)
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    # by way of 10 decimals, so that noise in the last bits does not decide a half
+    return F.round(F.round(value, 10), digits)
+
+
 def summary(changes: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Scores and change to 4 decimals, change in percent to 2 (0 from an original of 0)."""
     return changes.select(
-        *by, "metric", F.round("original", 4).alias("original"), F.round("resampled", 4).alias("resampled"),
-        F.round("improvement", 4).alias("delta_absolute"), F.round(_percent(), 2).alias("delta_percent"))
+        *by, "metric", _rounded(F.col("original"), 4).alias("original"), _rounded(F.col("resampled"), 4).alias("resampled"),
+        _rounded(F.col("improvement"), 4).alias("delta_absolute"), _rounded(_percent(), 2).alias("delta_percent"))
 
 
 def flat_results(changes: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:

@@ -21,8 +21,8 @@ def d_csv_scan(spark, sf_dir):
     """The customer table as CSV, read back through a catalogue entry with inferred types."""
     path = scratch(spark, "customer.csv")
     table(spark, sf_dir, "customer").write.option("header", True).csv(path)
-    spec = datasets.locate("customer", path=path)
-    df = datasets.load(spark, datasets.dataset("customer") if spec else spec)
+    datasets.locate("customer", path=path)
+    df = datasets.load(spark, datasets.dataset("customer"))
     return df.withColumn("c_custkey", F.col("c_custkey").cast("bigint")).withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
 
 
@@ -35,10 +35,11 @@ def d_target_split(spark, sf_dir):
     return points.select("row_id", "label", F.posexplode("features").alias("pos", "val")).withColumn("val", F.round("val", 6))
 
 
-PROFILE_SQL = """SELECT {by}, sum(n)::BIGINT AS total_samples, {k}::INT AS features, count(*) AS classes,
+def profile_sql(name: str, features: int, source: str) -> str:
+    return f"""SELECT {name}, sum(n)::BIGINT AS total_samples, {features}::INT AS features, count(*) AS classes,
   string_agg(label || ':' || n, ',' ORDER BY label) AS class_counts,
   CASE WHEN count(*) < max(label) + 1 THEN 'inf' ELSE round(max(n) / min(n), 6)::VARCHAR END AS imbalance_ratio
-  FROM (SELECT {by}, label, count(*) AS n FROM {src} GROUP BY ALL) GROUP BY {by}"""
+  FROM (SELECT {name}, label, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY {name}"""
 
 
 def profile_text(df):
@@ -47,7 +48,7 @@ def profile_text(df):
     return df.withColumn("class_counts", F.concat_ws(",", pairs)).withColumn("imbalance_ratio", ratio)
 
 
-@query("d_profile", PROFILE_SQL.format(by="source", k=1, src="(SELECT source, toxic AS label FROM labels JOIN documents USING (doc_id))"))
+@query("d_profile", profile_sql("source", 1, "(SELECT source, toxic AS label FROM labels JOIN documents USING (doc_id))"))
 def d_profile(spark, sf_dir):
     """Class balance of the toxic label per document source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -55,10 +56,10 @@ def d_profile(spark, sf_dir):
     return profile_text(datasets.profile(df, "label", by=["source"]))
 
 
-@query("d_profile_embeddings", PROFILE_SQL.format(by="'all' AS set_", k=64, src="embeddings").replace("GROUP BY 'all' AS set_", "GROUP BY 1").replace("(SELECT 'all' AS set_, label", "(SELECT label").replace("SELECT 'all' AS set_, sum", "SELECT 'all' AS set_, sum"))
+@query("d_profile_embeddings", profile_sql("name", 64, "(SELECT 'embeddings' AS name, label FROM embeddings)"))
 def d_profile_embeddings(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("label")
-    return profile_text(datasets.profile(df, "label", features=64)).withColumn("set_", F.lit("all"))
+    return profile_text(datasets.profile(df, "label", features=64)).withColumn("name", F.lit("embeddings"))
 
 
 @query("d_publish", """SELECT 2::INT AS version, 1::INT AS parent, count(*) AS total_samples, 3::INT AS features, count(DISTINCT quality) AS classes,

@@ -9,20 +9,16 @@ from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import metrics
 from evenkeel.plans import report
 from evenkeel.queries.base import embedding_points, query, table, u, with_
-from evenkeel.queries.q_split import LINE_ID, line_points
+from evenkeel.queries.q_split import LINE_ID, line_id
 
 CLASSIFIERS = ["kNN", "LogisticRegression", "RandomForest"]
 
 
 def predictions(spark, sf_dir):
     """Per line item and variant a seeded score that leans towards the true label, in 5 folds."""
-    rows = line_points(spark, sf_dir)
-    dataset = table(spark, sf_dir, "lineitem")  # the return flag names the dataset
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
-                      F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
-    row_id = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
     y = ((F.col("l_quantity") >= 25) & (F.col("l_discount") >= 0.05)).cast("int")
-    base = dataset.select(row_id.alias("row_id"), F.col("l_returnflag").alias("dataset"), y.alias("y"))
+    # the return flag names the dataset
+    base = table(spark, sf_dir, "lineitem").select(line_id().alias("row_id"), F.col("l_returnflag").alias("dataset"), y.alias("y"))
     names = F.array(*[F.lit(c) for c in CLASSIFIERS])
     methods = F.array(F.lit("AKMeans_SMOTE"), F.lit("KMeans_SMOTE"))
     tagged = base.select(
@@ -38,13 +34,10 @@ def predictions(spark, sf_dir):
 PREDS = f"""base_ AS (SELECT {LINE_ID} AS row_id, l_returnflag AS dataset, (l_quantity >= 25 AND l_discount >= 0.05::DOUBLE)::INT AS y FROM lineitem),
 tagged AS (SELECT *, ['kNN', 'LogisticRegression', 'RandomForest'][floor({u('clf', 'row_id')} * 3)::INT + 1] AS classifier,
   ['AKMeans_SMOTE', 'KMeans_SMOTE'][floor({u('method', 'row_id')} * 2)::INT + 1] AS method,
-  floor({u('cvfold', 'row_id')} * 5)::INT AS fold, variant FROM base_ CROSS JOIN (VALUES ('original', 0.2::DOUBLE), ('resampled', 0.35::DOUBLE)) v(variant, lean)),
+  floor({u('cvfold', 'row_id')} * 5)::INT AS fold, variant FROM base_ CROSS JOIN (VALUES ('original'), ('resampled')) v(variant)),
 scored AS (SELECT *, round((1 - lean) * {u('score', 'row_id', 'variant')} + lean * y, 3) AS p1 FROM (
   SELECT *, CASE variant WHEN 'original' THEN 0.2::DOUBLE ELSE 0.35::DOUBLE END AS lean FROM tagged)),
 preds AS (SELECT *, (p1 > 0.5)::INT AS y_pred FROM scored)"""
-# twin tables name the variants once; the values list above only multiplies the rows
-PREDS = PREDS.replace("AS fold, variant FROM base_ CROSS JOIN (VALUES ('original', 0.2::DOUBLE), ('resampled', 0.35::DOUBLE)) v(variant, lean)",
-                      "AS fold, variant FROM base_ CROSS JOIN (VALUES ('original'), ('resampled')) v(variant)")
 
 
 def conf(by: str) -> str:
@@ -145,7 +138,7 @@ def final_changes(spark, sf_dir):
     return report.improvement(metrics.long_form(metrics.evaluate(predictions(spark, sf_dir), by), by, WANT))
 
 
-RES = PREDS.replace("preds AS (SELECT", "preds AS (SELECT").replace("FROM scored)", "FROM scored WHERE variant = 'resampled')")
+RES = PREDS.replace("FROM scored)", "FROM scored WHERE variant = 'resampled')")
 CVS = f"{with_(RES, evaluated(KEYS + ', fold'), long_sql(KEYS + ', fold', WANT))}, cvs AS (SELECT {KEYS}, metric, avg(value) AS mean, stddev_pop(value) AS std FROM long GROUP BY ALL)"
 CHG = f"""{with_(PREDS, evaluated(KEYS + ', variant'), long_sql(KEYS + ', variant', WANT))}, chg AS (SELECT {KEYS}, metric,
   max(value) FILTER (variant = 'original') AS original, max(value) FILTER (variant = 'resampled') AS resampled,
@@ -161,7 +154,7 @@ query("r_cv_summary", f"{CVS} SELECT {KEYS}, metric, round(mean, 6) AS mean, rou
     lambda spark, sf_dir: r(report.cv_summary(fold_scores(spark, sf_dir))))
 query("r_improvement", f"{CHG} SELECT {KEYS}, metric, round(original, 6) AS original, round(resampled, 6) AS resampled, round(improvement, 6) AS improvement FROM chg")(
     lambda spark, sf_dir: r(final_changes(spark, sf_dir)))
-query("r_summary", f"{CHG} SELECT {KEYS}, metric, round(original, 4) AS original, round(resampled, 4) AS resampled, round(improvement, 4) AS delta_absolute, round({PCT}, 2) AS delta_percent FROM chg")(
+query("r_summary", f"{CHG} SELECT {KEYS}, metric, round(round(original, 10), 4) AS original, round(round(resampled, 10), 4) AS resampled, round(round(improvement, 10), 4) AS delta_absolute, round(round({PCT}, 10), 2) AS delta_percent FROM chg")(
     lambda spark, sf_dir: report.summary(final_changes(spark, sf_dir)))
 query("r_flat_results", f"{CHG} SELECT {KEYS}, metric, round(original, 6) AS original_score, round(resampled, 6) AS resampled_score, round(improvement, 6) AS improvement, round({PCT}, 6) AS improvement_percentage FROM chg")(
     lambda spark, sf_dir: r(report.flat_results(final_changes(spark, sf_dir))))

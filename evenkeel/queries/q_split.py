@@ -98,13 +98,17 @@ LPTS = f"""pts AS (SELECT {LINE_ID} AS row_id, (l_quantity >= 49 AND l_discount
   [l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[] AS x FROM lineitem)"""
 
 
-def line_points(spark, sf_dir):
-    """Line items, big discounted ones (under 1 %) against the rest. Ids hash the natural key."""
+def line_id():
+    """Line items have no unique column: 60 bits of a hash of the natural key."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
                       F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
-    row_id = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def line_points(spark, sf_dir):
+    """Line items, big discounted ones (under 1 %) against the rest."""
     rare = (F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09)
-    return table(spark, sf_dir, "lineitem").select(row_id.alias("row_id"), rare.cast("int").alias("label"), pack(LINE_COLS).alias("features"))
+    return table(spark, sf_dir, "lineitem").select(line_id().alias("row_id"), rare.cast("int").alias("label"), pack(LINE_COLS).alias("features"))
 
 
 def wide(df):
