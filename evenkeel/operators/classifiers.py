@@ -11,6 +11,8 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
 )
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import normal, uniform
-from evenkeel.functions.vectors import dimension, dot
+from evenkeel.functions.vectors import dimension
 from evenkeel.functions.vectors import mean_vector, std_vector
 from evenkeel.operators.cluster import map_groups
 from evenkeel.operators.kernels import equi
@@ -72,7 +74,7 @@ def _per_group(train: DataFrame, test: DataFrame, by, fit) -> DataFrame:
 @classifier("CatBoost")
 def boosted_trees(train, test, by, seed):
     """Gradient-boosted trees of Spark ML in the place of ordered boosting."""
-    return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=50, seed=seed).fit(ready))
+    return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=20, seed=seed).fit(ready))
 
 
 @classifier("RandomForest")
@@ -87,18 +89,19 @@ def rbf_svm(train, test, by, seed, width: int = 128):
     linear SVC, and a logistic regression of the label on its margin for probabilities."""
     dim = dimension(train)
 
+    # w_j ~ N(0, 2 gamma I) and a uniform phase per feature j: ``width`` rows of d numbers
+    draws = train.sparkSession.range(width).select(
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: normal(seed, "rff", F.col("id"), i)).alias("w"),
+        (uniform(seed, "phase", "id") * 2 * math.pi).alias("b")).orderBy("id").collect()
+    weights, phases = np.array([r["w"] for r in draws]).T, np.array([r["b"] for r in draws])
+
     def lift(df, gamma):
-        # w_j ~ N(0, 2 gamma I) and a uniform phase per feature j; constants, so a small table of draws
-        spark = df.sparkSession
-        draws = spark.range(width).select(
-            F.col("id").alias("j"),
-            F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: normal(seed, "rff", F.col("id"), i)).alias("w"),
-            (uniform(seed, "phase", "id") * 2 * math.pi).alias("b")).collect()  # ``width`` rows
-        scale = math.sqrt(2 * gamma)
-        cells = [
-            F.cos(dot(F.col("features"), F.array(*[F.lit(scale * v) for v in r["w"]])) + F.lit(r["b"])) * math.sqrt(2 / width)
-            for r in draws]
-        return df.withColumn("features", F.array(*cells))
+        @F.pandas_udf("array<double>")
+        def waves(vecs: pd.Series) -> pd.Series:
+            x = np.stack(vecs.to_numpy())
+            return pd.Series(list(np.cos(math.sqrt(2 * gamma) * (x @ weights) + phases) * math.sqrt(2 / width)))
+
+        return df.withColumn("features", waves("features"))
 
     def one(key, part):
         rows = test
@@ -107,7 +110,7 @@ def rbf_svm(train, test, by, seed, width: int = 128):
         values = part.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
         gamma = 1.0 / (dim * values)
         ready = lift(part, gamma).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")).persist()
-        margin = LinearSVC(regParam=0.01).fit(ready)
+        margin = LinearSVC(regParam=0.01, maxIter=50, tol=1e-4).fit(ready)
         held = lift(rows, gamma).withColumn("features", array_to_vector("features"))
 
         def as_margin(df):

@@ -54,8 +54,8 @@ def _percent() -> Column:
 
 
 def _rounded(value: Column, digits: int) -> Column:
-    # by way of 10 decimals, so that noise in the last bits does not decide a half
-    return F.round(F.round(value, 10), digits)
+    """Nearest multiple, halves to even, on the binary value: what rounding a float gives in NumPy."""
+    return F.rint(value * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
 def summary(changes: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:

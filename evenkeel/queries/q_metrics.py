@@ -154,7 +154,7 @@ query("r_cv_summary", f"{CVS} SELECT {KEYS}, metric, round(mean, 6) AS mean, rou
     lambda spark, sf_dir: r(report.cv_summary(fold_scores(spark, sf_dir))))
 query("r_improvement", f"{CHG} SELECT {KEYS}, metric, round(original, 6) AS original, round(resampled, 6) AS resampled, round(improvement, 6) AS improvement FROM chg")(
     lambda spark, sf_dir: r(final_changes(spark, sf_dir)))
-query("r_summary", f"{CHG} SELECT {KEYS}, metric, round(round(original, 10), 4) AS original, round(round(resampled, 10), 4) AS resampled, round(round(improvement, 10), 4) AS delta_absolute, round(round({PCT}, 10), 2) AS delta_percent FROM chg")(
+query("r_summary", f"{CHG} SELECT {KEYS}, metric, round_even(original, 4) AS original, round_even(resampled, 4) AS resampled, round_even(improvement, 4) AS delta_absolute, round_even({PCT}, 2) AS delta_percent FROM chg")(
     lambda spark, sf_dir: report.summary(final_changes(spark, sf_dir)))
 query("r_flat_results", f"{CHG} SELECT {KEYS}, metric, round(original, 6) AS original_score, round(resampled, 6) AS resampled_score, round(improvement, 6) AS improvement, round({PCT}, 6) AS improvement_percentage FROM chg")(
     lambda spark, sf_dir: r(report.flat_results(final_changes(spark, sf_dir))))

@@ -104,8 +104,7 @@ def profile(df: DataFrame, label: str, features: int | None = None, by: Sequence
 
 # ---- published versions --------------------------------------------------
 
-VERSIONS = T.StructType.fromDDL(
-    "version int, parent int, total_samples bigint, features int, classes bigint, train_samples bigint, test_samples bigint")
+VERSIONS = "version int, parent int, total_samples bigint, features int, classes bigint, train_samples bigint, test_samples bigint"
 
 
 def _versions(spark: SparkSession, path: str) -> DataFrame:
