@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import prep
 from evenkeel.plans.recipes import Recipe, prepare
+from evenkeel.operators.runtime import settle
 from evenkeel.queries.base import query, table, u
+from evenkeel.queries.q_split import LINE_ID, line_id
 from evenkeel.functions.rng import uniform
 
 # ---- tables with nulls: one value in sixteen is blanked by a hash of id and column ------
@@ -269,3 +271,17 @@ SELECT p_partkey, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())
 def p_recipe(spark, sf_dir):
     recipe = Recipe("p_brand", positive=["Brand#1", "Brand#2", "Brand#3"], max_missing=0.6, impute="simple", outliers="zscore", scaling="minmax")
     return shown(rounded(prepare(parts(spark, sf_dir), recipe, "p_partkey"), "p_size", "p_retailprice"))
+
+
+@query("p_clean_lineitem", f"""WITH i AS (SELECT {LINE_ID} AS row_id, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem),
+dd AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY {', '.join(LINE)} ORDER BY row_id) = 1),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in LINE)} FROM dd),
+k AS (SELECT dd.* FROM dd CROSS JOIN st WHERE {' AND '.join(f'abs(({c} - m_{c}) / s_{c}) < 3' for c in LINE)}),
+mm AS (SELECT {', '.join(f'min({c}) AS a_{c}, max({c}) AS b_{c}' for c in LINE)} FROM k)
+SELECT row_id, l_returnflag, {', '.join(f'round(({c} - a_{c}) / (b_{c} - a_{c}), 6) AS {c}' for c in LINE)} FROM k CROSS JOIN mm""")
+def p_clean_lineitem(spark, sf_dir):
+    """Dedupe on four numeric columns, z-score filter, min-max scaling."""
+    df = table(spark, sf_dir, "lineitem").select(line_id().alias("row_id"), *LINE, "l_returnflag")
+    df = settle(prep.dedupe(df, LINE, "row_id"))
+    kept = prep.drop_outliers(df, LINE, "zscore")
+    return rounded(prep.fit_scale(kept, LINE, "minmax").transform(kept), *LINE)
