@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import pick, uniform
@@ -32,9 +32,8 @@ def targets(points: DataFrame, label: str = "label", strategy="auto", by: Sequen
     largest; a dict gives the wanted size per label. Anything else is an error.
     """
     counts = class_counts(points, label, by)
-    top = counts.groupBy(*by).agg(F.max("n").alias("_top"))
-    # one row per class of a group: always small
-    both = equi(counts, top, by)
+    # the window sees one row per class of a group
+    both = counts.withColumn("_top", F.max("n").over(Window.partitionBy(*by)))
     if isinstance(strategy, dict):
         if not strategy:
             raise ValueError("empty sampling strategy")

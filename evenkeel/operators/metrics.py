@@ -24,6 +24,17 @@ def _share(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
+def score_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., p1, tn, fp, fn, tp) per distinct score. Everything else is computed from these counts,
+    so the predictions are read and shuffled once."""
+    if "p1" not in preds.columns:
+        preds = preds.withColumn("p1", F.lit(None).cast("double"))
+    y, p = F.col("y"), F.col("y_pred")
+    return preds.groupBy(*by, "p1").agg(
+        F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
+        F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
+
+
 def confusion(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., tn, fp, fn, tp); defined whatever labels occur."""
     y, p = F.col("y"), F.col("y_pred")
@@ -32,20 +43,19 @@ def confusion(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
 
 
-def score_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., p1, pos, neg) per distinct score: the only thing ranked afterwards."""
-    return preds.filter(F.col("p1").isNotNull()).groupBy(*by, "p1").agg(
-        F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") == 0).cast("bigint")).alias("neg"))
+def _scored(counts: DataFrame) -> DataFrame:
+    """Positives and negatives per score; rows without a score count for nothing."""
+    known = F.col("p1").isNotNull()
+    return counts.withColumn("pos", F.when(known, F.col("tp") + F.col("fn")).otherwise(0)).withColumn(
+        "neg", F.when(known, F.col("tn") + F.col("fp")).otherwise(0)).drop("tn", "fp", "fn", "tp")
 
 
 def _bucket() -> Column:
     return F.least(F.greatest(F.floor(F.col("p1") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
 
 
-def roc_auc(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., roc_auc) by mean ranks; null when one class is missing."""
-    counts = score_counts(preds, by)
-    ranked = running_sums(counts, by, ["p1"], _bucket(), {"_upto": F.col("pos") + F.col("neg")})
+def _auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    ranked = running_sums(_scored(counts), by, ["p1"], _bucket(), {"_upto": F.col("pos") + F.col("neg")})
     tie = F.col("pos") + F.col("neg")
     mean_rank = F.col("_upto") - tie + (tie + 1) / 2
     sums = ranked.groupBy(*by).agg(
@@ -54,6 +64,11 @@ def roc_auc(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), area).alias("roc_auc"))
 
 
+def roc_auc(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., roc_auc) by mean ranks; null when one class is missing."""
+    return _auc(score_counts(preds, by), by)
+
+
 def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per ``by`` with the confusion counts and every metric. ``precision``, ``recall`` and
     ``f1`` without suffix are the weighted ones; macro averages run over labels
@@ -61,7 +76,8 @@ def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     n1, n0 = tp + fn, tn + fp
-    c = confusion(preds, by)
+    counts = score_counts(preds, by)
+    c = counts.groupBy(*by).agg(*[F.sum(n).alias(n) for n in ("tn", "fp", "fn", "tp")])
     c = c.withColumns({
         "tpr": _share(tp, n1), "fpr": _share(fp, n0), "tnr": _share(tn, n0), "fnr": _share(fn, n1),
         "_p1": _share(tp, tp + fp), "_p0": _share(tn, tn + fn),
@@ -85,7 +101,7 @@ def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "balanced_accuracy": (F.col("tnr") + F.col("tpr")) / present, "g_mean": F.sqrt(F.col("tpr") * F.col("tnr")),
     })
     if "p1" in preds.columns:
-        c = equi(c, roc_auc(preds, by), by, "left")
+        c = equi(c, _auc(counts, by), by, "left")
     else:
         c = c.withColumn("roc_auc", F.lit(None).cast("double"))
     c = c.withColumns({"roc_auc_macro": F.col("roc_auc"), "roc_auc_weighted": F.col("roc_auc")})
@@ -104,7 +120,8 @@ def long_form(scores: DataFrame, by: Sequence[str], metrics: Sequence[str] = MET
 def _swept(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts at or above every distinct score, highest first."""
     falling = F.lit(BUCKETS - 1) - _bucket()
-    return running_sums(score_counts(preds, by), by, [F.col("p1").desc()], falling, {"tp": F.col("pos"), "fp": F.col("neg")})
+    scored = _scored(score_counts(preds, by)).filter("pos + neg > 0")
+    return running_sums(scored, by, [F.col("p1").desc()], falling, {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_points(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

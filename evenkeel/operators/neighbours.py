@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
-from evenkeel.operators.runtime import settle
+from evenkeel.operators.runtime import settle, width
 
 LOCAL_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
 MAX_PIVOTS = 512
-SPREAD_PAIRS = 20_000_000
+SPREAD_BYTES = 1 << 30
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -146,11 +146,10 @@ class Neighbours:
 
     def _cut(self):
         by, cap = self.by, self.block_rows
-        refs = self.refs
-        if self.copies:
-            same = Window.partitionBy(*by, "_rvec").orderBy("_rid")
-            refs = refs.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= self.copies).drop("_copy")
-        self.pivots = self.spark.sparkContext.broadcast(self._draw_pivots(refs) if self.metric else {})
+        refs = self._few_copies() if self.copies else self.refs
+        if self.rows * self.dim * 8 <= SPREAD_BYTES:
+            refs = refs.repartition(width(self.spark), "_rid")  # a small file may come as one split
+        self.pivots = self.spark.sparkContext.broadcast(self._draw_pivots(self.refs) if self.metric else {})
         held = self.pivots
 
         def assign(batches):
@@ -191,6 +190,20 @@ class Neighbours:
             entry["lo"][row["_cell"]], entry["hi"][row["_cell"]], entry["n"][row["_cell"]] = row["_lo"], row["_hi"], row["_n"]
         self.cells = self.spark.sparkContext.broadcast(known)
 
+    def _few_copies(self) -> DataFrame:
+        """At most ``copies`` rows per distinct vector. Whether there are more is told by counting hashes,
+        combined before the shuffle; only then do the vectors themselves move."""
+        at = [*self.by, "_hash"]
+        hashed = self.refs.withColumn("_hash", F.xxhash64("_rvec"))
+        top = hashed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        if top <= self.copies:
+            return self.refs
+        # ordered by hash first, so that vectors are compared only within a hash; the rank filter
+        # is applied before the shuffle too, so a hot vector sends ``copies`` rows per task
+        same = Window.partitionBy(*at, "_rvec").orderBy("_rid")
+        ranked = hashed.withColumn("_copy", F.row_number().over(same))
+        return ranked.filter(F.col("_copy") <= self.copies).drop("_copy", "_hash")
+
     def _draw_pivots(self, refs: DataFrame) -> dict[tuple, np.ndarray]:
         by, cap = self.by, self.block_rows
         sizes = refs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)

@@ -105,11 +105,11 @@ CROWD = [
 ]
 
 
-def uniform_draw(bases: str, name: str = "draw", stream: str = "base", made: str = "slots", out: str = "base_id", carry: str = "*") -> str:
+def uniform_draw(bases: str, name: str = "draw", stream: str = "base", made: str = "slots", out: str = "base_id") -> str:
     """CTEs drawing a row of ``bases`` for every slot."""
-    return f"""{name}_idx AS (SELECT row_id, row_number() OVER (ORDER BY {u('idx', 'row_id')}, row_id) AS idx,
-  count(*) OVER () AS n FROM {bases}),
-{name} AS (SELECT s.*, i.row_id AS {out} FROM {made} s JOIN {name}_idx i ON i.idx = {pick(stream, 'i.n', 1, 's.rep')} + 1)"""
+    return f"""{name}_idx AS (SELECT row_id, row_number() OVER (ORDER BY {u('idx', 'row_id')}, row_id) AS idx FROM {bases}),
+{name}_aim AS (SELECT s.*, {pick(stream, 'c.n', 1, 's.rep')} + 1 AS aim FROM {made} s CROSS JOIN (SELECT count(*) AS n FROM {bases}) c),
+{name} AS (SELECT s.* EXCLUDE (aim), i.row_id AS {out} FROM {name}_aim s JOIN {name}_idx i ON i.idx = s.aim)"""
 
 
 NBR = f"""paired AS (SELECT d.*, o.nbr_id FROM draw d LEFT JOIN ownk k ON k.q_id = d.base_id

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import uniform
 from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import metrics
+from evenkeel.operators.runtime import spread
 from evenkeel.plans import report
 from evenkeel.queries.base import embedding_points, query, table, u, with_
 from evenkeel.queries.q_split import LINE_ID, line_id
@@ -18,7 +19,7 @@ def predictions(spark, sf_dir):
     """Per line item and variant a seeded score that leans towards the true label, in 5 folds."""
     y = ((F.col("l_quantity") >= 25) & (F.col("l_discount") >= 0.05)).cast("int")
     # the return flag names the dataset
-    base = table(spark, sf_dir, "lineitem").select(line_id().alias("row_id"), F.col("l_returnflag").alias("dataset"), y.alias("y"))
+    base = spread(table(spark, sf_dir, "lineitem")).select(line_id().alias("row_id"), F.col("l_returnflag").alias("dataset"), y.alias("y"))
     names = F.array(*[F.lit(c) for c in CLASSIFIERS])
     methods = F.array(F.lit("AKMeans_SMOTE"), F.lit("KMeans_SMOTE"))
     tagged = base.select(

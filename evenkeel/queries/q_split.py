@@ -9,6 +9,7 @@ from evenkeel.functions.vectors import pack
 from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import kernels, scan, split
 from evenkeel.operators.neighbours import Neighbours
+from evenkeel.operators.runtime import spread
 from evenkeel.queries.base import (
     DIM, LINE_COLS, PTS, embedding_points, flat, knn, pick, query, resampled, table, u, uniform_draw, with_, z,
 )
@@ -108,7 +109,7 @@ def line_id():
 def line_points(spark, sf_dir):
     """Line items, big discounted ones (under 1 %) against the rest."""
     rare = (F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09)
-    return table(spark, sf_dir, "lineitem").select(line_id().alias("row_id"), rare.cast("int").alias("label"), pack(LINE_COLS).alias("features"))
+    return spread(table(spark, sf_dir, "lineitem")).select(line_id().alias("row_id"), rare.cast("int").alias("label"), pack(LINE_COLS).alias("features"))
 
 
 def wide(df):
