@@ -22,8 +22,8 @@ from evenkeel.functions import blocks
 from evenkeel.operators.runtime import settle, width
 
 LOCAL_BYTES = 32 << 20
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 2048  # queries that meet a block in one task
+TAKE_ROWS = 1 << 15  # rows handed to Spark at a time when a query goes to many cells
 MAX_PIVOTS = 512
 SPREAD_BYTES = 1 << 30
 
@@ -75,13 +75,16 @@ class Neighbours:
 
     def __init__(self, refs: DataFrame, by: Sequence[str] = (), id: str = "row_id", vec: str = "features",
                  carry: Sequence[str] = (), copies: int | None = None, local_bytes: int = LOCAL_BYTES,
-                 block_rows: int = BLOCK_ROWS, metric: bool = True):
+                 block_rows: int | None = None, metric: bool = True):
         self.spark = refs.sparkSession
-        self.by, self.carry, self.copies, self.block_rows = list(by), list(carry), copies, block_rows
+        self.by, self.carry, self.copies = list(by), list(carry), copies
         self.metric = metric  # without the triangle inequality there are no pivots and nothing is ruled out
         self.refs = refs.select(*self.by, F.col(id).cast("bigint").alias("_rid"), F.col(vec).alias("_rvec"), *self.carry)
         size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
         self.rows, self.dim = int(size["n"]), int(size["d"] or 0)
+        # few features: small blocks, most of which are ruled out; many: larger ones, since little is
+        # ruled out and every block a query meets costs a copy of the query. 16 MiB at 64 features.
+        self.block_rows = block_rows or min(1 << 15, max(1 << 12, 512 * self.dim))
         self.local = None
         self.blocked = None
         if self.rows * (self.dim + 2 + len(self.carry) + len(self.by)) * 8 <= local_bytes:
@@ -265,8 +268,12 @@ class Neighbours:
                             bound = np.maximum(bound, (d**2 - d[line, home][:, None] ** 2) / (2 * gaps[home]))
                             open_ = bound * (1 - 1e-9) - 1e-7 <= theta[here][:, None]
                             i, cell = np.nonzero(open_ & (stat["n"] > 0))
-                            some = batch.take(pa.array(here[i]))
-                            extra = [cell.astype("int32"), d[i, cell]]
+                            for at in range(0, len(i), TAKE_ROWS):
+                                ti, tc = i[at : at + TAKE_ROWS], cell[at : at + TAKE_ROWS]
+                                some = batch.take(pa.array(here[ti]))
+                                extra = [pa.array(tc.astype("int32")), pa.array(d[ti, tc])]
+                                yield pa.RecordBatch.from_arrays(list(some.columns) + extra, names=names)
+                            continue
                         yield pa.RecordBatch.from_arrays(list(some.columns) + [pa.array(e) for e in extra], names=names)
 
         return q.mapInArrow(place, schema)

@@ -34,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything settled by any job under the shared folder: call it when no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/evenkeel")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_table(df: DataFrame) -> DataFrame:
     """A table expected to be tiny, computed once: held by the driver if it is, written otherwise."""
     rows = df.limit(SMALL_ROWS + 1).collect()

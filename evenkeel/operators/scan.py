@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import uniform
 
-BUCKETS = 4096
+BUCKETS = 1 << 16  # rows of the offset table per group, at most
 
 
 def running_sums(

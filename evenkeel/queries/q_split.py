@@ -141,3 +141,40 @@ LCROWD = [knn("near", "p", "pts", 5, carry="label"),
           "danger AS (SELECT q_id AS row_id FROM near GROUP BY q_id HAVING sum((nbr_label <> 1)::INT) * 2 >= count(*) AND sum((nbr_label <> 1)::INT) < count(*))"]
 query("o_borderline_lineitem", wide_sql([*LMIN, *LCROWD, uniform_draw("danger"), *LNBR], "xn"))(
     lambda spark, sf_dir: wide(fit_resample(line_points(spark, sf_dir), "Borderline_SMOTE1")))
+
+
+# ---- by group, with classes of one row ------------------------------------
+
+
+def doc_points(spark, sf_dir):
+    """Labelled documents, toxic against the rest, in one group per source: many classes have one or two rows."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.col("n_chars").cast("double").alias("chars"),
+        (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("double").alias("spaces"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("double").alias("lines"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        F.col("source").alias("f"), F.col("doc_id").alias("row_id"), F.col("toxic").alias("label"), pack(["chars", "spaces", "lines"]).alias("features"))
+
+
+BY_SOURCE = [
+    """pts AS (SELECT source AS f, doc_id AS row_id, toxic AS label, [n_chars, length(text) - length(replace(text, ' ', '')),
+  length(text) - length(replace(text, chr(10), ''))]::DOUBLE[] AS x FROM labels JOIN documents USING (doc_id))""",
+    "cnt AS (SELECT f, label, count(*) AS n FROM pts GROUP BY f, label)",
+    "need AS (SELECT f, label, max(n) OVER (PARTITION BY f) - n AS g FROM cnt)",
+    "p AS (SELECT pts.* FROM pts JOIN need USING (f, label) WHERE g > 0)",
+    "slots AS (SELECT f, label, unnest(range(1, g + 1)) AS rep FROM need)", knn("own", "p", "p", 5, by="f label"),
+    "ownk AS (SELECT f, q_id, count(*) AS kk FROM own GROUP BY f, q_id)",
+    f"idx AS (SELECT f, label, row_id, row_number() OVER (PARTITION BY f, label ORDER BY {u('idx', 'row_id')}, row_id) AS idx, count(*) OVER (PARTITION BY f, label) AS n FROM p)",
+    f"draw AS (SELECT s.*, i.row_id AS base_id FROM slots s JOIN idx i ON i.f = s.f AND i.label = s.label AND i.idx = {pick('base', 'i.n', 's.f', 's.label', 's.rep')} + 1)",
+    f"""paired AS (SELECT d.*, o.nbr_id FROM draw d LEFT JOIN ownk k ON k.f = d.f AND k.q_id = d.base_id
+  LEFT JOIN own o ON o.f = d.f AND o.q_id = d.base_id AND o.rk = {pick('nbr', 'k.kk', 'd.f', 'd.label', 'd.rep')} + 1)""",
+    "xn AS (SELECT d.*, a.x AS bx, b.x AS nx FROM paired d JOIN p a ON a.row_id = d.base_id LEFT JOIN p b ON b.row_id = d.nbr_id)",
+]
+SOURCE_SQL = f"""{with_(*BY_SOURCE)}
+SELECT f, row_id, label, 0 AS is_synthetic, -1::BIGINT AS base_id, -1::BIGINT AS nbr_id, -1::BIGINT AS rep, pos::INT AS pos, round(x[pos + 1], 6) AS val
+FROM pts CROSS JOIN range(0, 3) r(pos) UNION ALL
+SELECT f, -(rep * 1000 + label), label, 1, base_id, coalesce(nbr_id, -1), rep, pos::INT,
+  round(coalesce(bx[pos + 1] + {u('lam', 's.f', 's.label', 's.rep')} * (nx[pos + 1] - bx[pos + 1]), bx[pos + 1]), 6) + 0.0::DOUBLE FROM xn s CROSS JOIN range(0, 3) r(pos)"""
+query("o_smote_by_source", SOURCE_SQL)(
+    lambda spark, sf_dir: flat(fit_resample(doc_points(spark, sf_dir), "SMOTE", by=["f"])))
