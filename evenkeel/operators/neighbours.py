@@ -330,7 +330,8 @@ class Neighbours:
                 out = out.set_column(out.schema.get_field_index("_theta"), "_theta", pa.array(theta))
             return out
 
-        bounded = self._pair(home).applyInArrow(bound, schema)
+        # used by both the block loads and the meeting itself
+        bounded = settle(self._pair(home).applyInArrow(bound, schema))
         partial = self._meet(self._route(bounded), kernel, fields, ())
         order = Window.partitionBy(*by, "q_id").orderBy("dist", "nbr_id")
         return partial.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
