@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import pack
 from evenkeel.methods.registry import fit_resample
+from evenkeel.methods.smote import drop_tomek_links
 from evenkeel.operators import kernels, scan, split
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import spread
@@ -178,3 +179,9 @@ SELECT f, -(rep * 1000 + label), label, 1, base_id, coalesce(nbr_id, -1), rep, p
   round(coalesce(bx[pos + 1] + {u('lam', 's.f', 's.label', 's.rep')} * (nx[pos + 1] - bx[pos + 1]), bx[pos + 1]), 6) + 0.0::DOUBLE FROM xn s CROSS JOIN range(0, 3) r(pos)"""
 query("o_smote_by_source", SOURCE_SQL)(
     lambda spark, sf_dir: flat(fit_resample(doc_points(spark, sf_dir), "SMOTE", by=["f"])))
+
+TOMEK_SQL = with_(BY_SOURCE[0], knn("nn", "pts", "pts", 1, by="f", carry="label"),
+                  """links AS (SELECT a.f, a.q_id AS row_id FROM nn a JOIN nn b ON a.f = b.f AND a.nbr_id = b.q_id AND b.nbr_id = a.q_id
+  WHERE a.nbr_label <> b.nbr_label)""") + " SELECT f, row_id, label FROM pts ANTI JOIN links USING (f, row_id)"
+query("k_tomek_links", TOMEK_SQL)(
+    lambda spark, sf_dir: drop_tomek_links(doc_points(spark, sf_dir), ["f"]).select("f", "row_id", "label"))
