@@ -31,9 +31,9 @@ from evenkeel.operators.runtime import settle, width
 SLACK = 16  # tokens: a bin with no more room than this is emitted
 FAN_IN = 4  # partitions that merge into one of the next round
 ROUND_ITEMS = 400_000  # underfull bins that one task packs, at most
-CACHE_WORDS = 300_000  # words whose ids a task remembers
+CACHE_WORDS = 600_000  # words whose ids a task remembers
 
-_RUN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+_RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)|.*)$", re.M)  # one match a line
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])
 _BIN = pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("members", pa.list_(_PIECE))])
@@ -44,7 +44,7 @@ class WordIds:
     """Little-endian 32-bit ids of texts by their words.
 
     A run of Latin letters is one piece for the tokenizer's rules, whether or not a full stop or comma follows, and in lower case needs no
-    normalisation; so many are given to the library in one call, as byte-level characters, and told apart by the ids that end a word. Other words are
+    normalisation; so many are given to the library in one call and told apart by the ids that end a word. Other words are
     encoded each.
     """
 
@@ -55,22 +55,23 @@ class WordIds:
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.accents = Tokenizer.from_file(path)
+        self.accents.normalizer = normalizers.Sequence([])
+        self.accents.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[bytes, bytes] = {}
-        self.stops = {"": b"", **{c: self._each([c])[0] for c in ".,"}}
+        self.stops = {c: self._each([c])[0] for c in ".,"}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _runs(self, words: list[str]) -> dict[str, bytes]:
+    def _runs(self, words: list[str], tokenizer) -> dict[str, bytes]:
         """Ids of lower-case runs of Latin letters."""
         out = {}
         for low in range(0, len(words), 1024):
             run = words[low:low + 1024]
-            line = " ".join(run)
-            ids = np.array(self.letters.encode_batch_fast([line if line.isascii() else line.translate(self.bytes)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(run):
                 raw, cuts = ids.tobytes(), (4 * ends).tolist()
@@ -84,12 +85,15 @@ class WordIds:
         if len(known) > CACHE_WORDS:
             known.clear()
         new = list(words - known.keys())
-        cut = [_RUN.fullmatch(w.decode()) for w in new]
-        cut = [m and (m[1].lower(), m[2]) for m in cut]
-        runs = self._runs(list({c[0] for c in cut if c}))
+        cut = _RUN.findall(b"\n".join(new).decode().lower())
+        if len(cut) != len(new):  # a letter whose lower case is a line end: there is none, but nothing else would tell
+            cut = [("", "")] * len(new)
+        runs = {run for run, _ in cut if run}
+        plain = set(filter(str.isascii, runs))
+        found = {**self._runs(list(plain), self.letters), **self._runs(list(runs - plain), self.accents)}
         stops = self.stops
-        known.update((w, runs[c[0]] + stops[c[1]]) for w, c in zip(new, cut) if c)
-        other = [w for w, c in zip(new, cut) if not c]
+        known.update({w: found[run] + stops[stop] if stop else found[run] for w, (run, stop) in zip(new, cut) if run})
+        other = [w for w, (run, _) in zip(new, cut) if not run]
         known.update(zip(other, self._each([w.decode() for w in other])))
 
     def ids(self, words: list[bytes]) -> bytes:
