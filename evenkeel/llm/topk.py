@@ -1,8 +1,8 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of partial scores, one per slice of the components. Phase 1 gathers, per query, the k best entries of every slice's
-list in every block of vectors, and the smallest partial score of each slice. Sums of what is known, with the smallest value for what is not, are
-lower bounds; the k-th largest, spread evenly over the slices above their smallest values, is a cutoff that no result can stay under in every slice.
+A score is the sum of partial scores, one per slice of the components. Phase 1 gathers, per query, the best entries of every slice's
+list in every block of vectors, each with its partial scores in the other slices of the block, and the smallest partial score of each slice. The k-th
+largest of their sums, spread evenly over the slices above their smallest values, is a cutoff that no result can stay under in every slice.
 Phase 2 sends the cutoffs to all blocks and collects every entry at or above them; its better lower bounds raise the k-th, and upper
 bounds under it drop out. Phase 3 goes back for the exact scores of what remains.
 
@@ -97,24 +97,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
 
 
 def _gather(k: int):
-    """Phase 1: the k best of every slice's list, and its smallest value under a null id."""
+    """Phase 1: the sums of the k best entries of every slice's list, and under a null id each slice's smallest value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, held in _blocks(batches):
-            q, v, n, s = [], [], [], []
             query, own = part.column("id").to_numpy(), _matrix(part.column("vec"))
-            for number, cut in enumerate(_slices(own.shape[1])):
-                score = _product(own[:, cut], held[:, cut])
-                least = score.min(axis=1)
-                score[query[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                top = np.argpartition(-score, min(k, len(ids)) - 1, axis=1)[:, :k]
-                for i in range(len(query)):
-                    mine = top[i][ids[top[i]] != query[i]]
-                    q += [query[i]] * (len(mine) + 1)
-                    v += [*ids[mine].tolist(), None]
-                    n += [number] * (len(mine) + 1)
-                    s += [*score[i, mine].tolist(), int(least[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.int64())], names=["q", "v", "list", "s"])
+            lists = [_product(own[:, cut], held[:, cut]) for cut in _slices(own.shape[1])]
+            total, least = sum(lists), np.stack([x.min(axis=1) for x in lists], axis=1)
+            best = np.concatenate([np.argpartition(-x, min(k, len(ids) - 1), axis=1)[:, :k + 1] for x in lists], axis=1)  # one may be the query itself
+            who, v = np.repeat(np.arange(len(query)), best.shape[1]), best.ravel()
+            good = ids[v] != query[who]
+            pairs = np.unique(np.stack([who[good], v[good]]), axis=1)
+            # of a query's sums in this block only the k largest can matter
+            sums = total[pairs[0], pairs[1]]
+            order = np.lexsort((-sums, pairs[0]))
+            start = np.searchsorted(pairs[0][order], np.arange(len(query)))
+            rank = np.arange(len(order)) - start[pairs[0][order]]
+            i, j = pairs[:, order[rank < k]]
+            none = [[0] * SLICES] * len(i)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([query[i], query])), pa.array([*ids[j].tolist(), *[None] * len(query)], pa.int64()),
+                pa.array([*total[i, j].tolist(), *[None] * len(query)], pa.int64()), pa.array([*none, *least.tolist()], pa.list_(pa.int64()))], names=["q", "v", "low", "least"])
 
     return run
 
@@ -178,12 +181,11 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", ve
         return both.repartition(parts, "dim", "block").sortWithinPartitions("dim", "block", "query").mapInArrow(fn, ddl)
 
     every = queries.join(places, "dim")
-    first = settle(visit(every, _gather(k), "q long, v long, list int, s long"))
+    first = settle(visit(every, _gather(k), "q long, v long, low long, least array<long>"))
     lists = range(SLICES)
-    floors = first.where("v IS NULL").groupBy("q").agg(*[F.min(F.when(F.col("list") == i, F.col("s"))).alias(f"f{i}") for i in lists])
-    known = first.where("v IS NOT NULL").groupBy("q", "v").agg(*[F.max(F.when(F.col("list") == i, F.col("s"))).alias(f"s{i}") for i in lists])
+    floors = first.where("v IS NULL").groupBy("q").agg(*[F.min(F.col("least")[i]).alias(f"f{i}") for i in lists])
+    lower = first.where("v IS NOT NULL").select("q", "low")
     floor_sum = reduce(lambda a, b: a + b, [F.col(f"f{i}") for i in lists])
-    lower = known.join(floors, "q").select("q", reduce(lambda a, b: a + b, [F.coalesce(f"s{i}", f"f{i}") for i in lists]).alias("low"))
     share = F.floor((F.col("kth") - floor_sum) / SLICES).cast("long")
     cutoffs = floors.join(_kth(lower, k, "low"), "q", "left").select(
         F.col("q").alias("id"), F.array(*[F.col(f"f{i}") for i in lists]).alias("least"),
