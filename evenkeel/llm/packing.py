@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.text import texts
+from evenkeel.llm.text import CHUNK, texts
 from evenkeel.operators.runtime import settle, width
 
 SLACK = 16  # tokens: a bin with no more room than this is emitted
 FAN_IN = 4  # partitions that merge into one of the next round
 ROUND_ITEMS = 400_000  # underfull bins that one task packs, at most
-CACHE_WORDS = 600_000  # words whose ids a task remembers
+CACHE_WORDS = 350_000  # words whose ids a task remembers
 
 _RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)|.*)$", re.M)  # one match a line
 
@@ -149,7 +149,7 @@ def _first_round(path: str, size: int, end: int):
             for row, raw in enumerate(texts(batch, "text")):
                 waiting.append((ids[row], raw.lower().split()))  # the tokenizer lower-cases; bytes do so for A-Z
                 held += len(raw)
-                if held < 1 << 21 and row + 1 < len(ids):
+                if held < CHUNK and row + 1 < len(ids):
                     continue
                 words.learn(set().union(*(w for _, w in waiting)))
                 for doc, own in waiting:

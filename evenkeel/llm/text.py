@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text that the vector code looks at together; one longer text makes a chunk of its own
+CHUNK = 1 << 20  # bytes of text that the vector code looks at together; one longer text makes a chunk of its own
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -35,7 +35,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), CHUNK)
+            size = max(n + n // 4, 1 << 16)
             self.up, self.down = (
                 np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]).cumprod(dtype=_U) for b in (self.base, self.back))
         return self.up[:n], self.down[:n]
@@ -113,6 +113,7 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK) -> Iterator[tu
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         yield slice(low, high), data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
         low = high
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
@@ -121,6 +122,7 @@ def texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     view = memoryview(data)
     for low, high in zip(offsets[:-1], offsets[1:]):
         yield bytes(view[low:high])
+    pa.default_memory_pool().release_unused()
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

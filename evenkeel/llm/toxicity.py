@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.text import mix, texts
+from evenkeel.llm.text import CHUNK, mix, texts
 
 SPAN, DECAY = 5, 0.5
 HASH_BITS = 20
@@ -35,7 +35,7 @@ TRAIN_BYTES = 16 << 20  # of their texts
 LANDMARKS = 256
 ROUNDS = 3
 COST = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡-_*#/|"
 
 _PATTERNS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
@@ -53,7 +53,7 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         by_length.setdefault(len(w), []).append(i)
     by_length.pop(2, None)  # nothing but the marks
     for length, rows in by_length.items():
-        step = max(1, 400_000 // length)
+        step = max(1, 100_000 // length)
         for low in range(0, len(rows), step):
             some = rows[low:low + step]
             chars = np.frombuffer("".join([marked[i] for i in some]).encode("utf-32-le", "replace"), np.uint32).reshape(len(some), length).astype(np.uint64)
@@ -227,7 +227,7 @@ def _score(model):
             for row, raw in enumerate(texts(batch, "text")):
                 waiting.append(raw.split())
                 held += len(raw)
-                if held < 1 << 21 and row + 1 < batch.num_rows:
+                if held < CHUNK and row + 1 < batch.num_rows:
                     continue
                 if table is not None:
                     if len(known) > CACHE_WORDS:
