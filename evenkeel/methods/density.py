@@ -152,22 +152,24 @@ def ccr(job: Job):
     uniform in its sphere.
 
     The radius solves r + sum(max(0, r - d_j)) = energy: convex and piecewise linear, so
-    Newton's method from the right is exact after finitely many passes, each a ball count.
+    Newton's method from the right only falls and is exact after finitely many passes, each a ball count of
+    the rows whose radius still fell by more than 1e-9.
     """
     energy = float(job.options.get("energy", 1.0))
     index = Neighbours(job.massed(job.others, job.grp), by=job.grp, carry=["weight"])
-    spheres = settle(job.minority.withColumn("radius", F.lit(energy)).withColumn("inside", F.lit(-1).cast("bigint")))
+    moving, spheres = settle(job.minority.withColumn("radius", F.lit(energy))), None
     while True:
-        parts = index.meet(spheres, blocks.ball_stats(False, False), "count bigint, total double", extra=["radius"], reach="radius")
+        parts = index.meet(moving, blocks.ball_stats(False, False), "count bigint, total double", extra=["radius"], reach="radius")
         sums = parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("count").alias("_n"), F.sum("total").alias("_d"))
         n, d = F.coalesce("_n", F.lit(0).cast("bigint")), F.coalesce("_d", F.lit(0.0))
-        spheres = settle(spheres.join(sums, [*job.grp, "row_id"], "left").select(
-            *job.grp, "row_id", "features", ((F.lit(energy) + d) / (1 + n)).alias("radius"),
-            n.alias("inside"), (n != F.col("inside")).alias("_moved")))
-        if spheres.filter("_moved").isEmpty():
+        fallen = F.least(F.col("radius"), (F.lit(energy) + d) / (1 + n))
+        step = settle(moving.join(sums, [*job.grp, "row_id"], "left").select(
+            *job.grp, "row_id", "features", fallen.alias("radius"), (F.col("radius") - fallen > 1e-9).alias("_moved")))
+        resting = step.filter("NOT _moved").drop("_moved")
+        spheres = resting if spheres is None else spheres.unionByName(resting)
+        moving = step.filter("_moved").drop("_moved")
+        if moving.isEmpty():
             break
-        spheres = spheres.drop("_moved")
-    spheres = spheres.drop("_moved", "inside")
 
     refs = Neighbours(spheres.withColumn("radius", F.col("radius")), by=job.grp, carry=["radius"])
     probes = job.others.withColumn("energy", F.lit(energy))

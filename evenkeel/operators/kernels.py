@@ -144,7 +144,9 @@ def union_result(points: DataFrame, synthetic: DataFrame | None, by: Sequence[st
         null.alias("base_id"), null.alias("nbr_id"), null.alias("rep"))
     if synthetic is None:
         return kept
-    new_id = -(F.col("rep") * LABEL_SPAN + F.col("label"))
+    inside = F.col("label").between(0, LABEL_SPAN - 1)
+    new_id = F.when(inside, -(F.col("rep") * LABEL_SPAN + F.col("label"))).otherwise(
+        F.raise_error(F.lit(f"labels of synthetic rows must lie in 0..{LABEL_SPAN - 1}, or their ids would clash")))
     made = synthetic.select(
         *by, new_id.cast("bigint").alias("row_id"), F.col("label").cast("int").alias("label"), "features",
         F.lit(True).alias("is_synthetic"), "base_id", "nbr_id", F.col("rep").cast("bigint").alias("rep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.runtime import SMALL_ROWS
@@ -15,7 +15,7 @@ BANDS = 1024
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS) -> dict[str, list]:
-    """Linearly interpolated quantiles of the non-null values, ``{column: [one per prob]}``.
+    """Linearly interpolated quantiles of the values, ``{column: [one per prob]}``. Nulls and NaN are missing.
 
     Beyond ``direct_rows`` rows, band counts (combined before the shuffle) narrow an
     interval around each wanted rank until it holds few distinct values.
@@ -23,11 +23,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
+    finite = [F.when(F.abs(_value(c)) < math.inf, _value(c)) for c in cols]
     head = df.agg(*[a for i, c in enumerate(cols) for a in (
-        F.count(c).alias(f"n{i}"), F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).first()
+        F.count(_value(c)).alias(f"n{i}"), F.min(finite[i]).alias(f"lo{i}"), F.max(finite[i]).alias(f"hi{i}"))]).first()
     if max(head[f"n{i}"] for i in range(len(cols))) <= direct_rows:
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), levels).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.percentile(_value(c), levels).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: [float(v) for v in row[f"q{i}"]] if row[f"q{i}"] else [None] * len(probs) for i, c in enumerate(cols)}
     ranks = {}
     for i, c in enumerate(cols):
@@ -46,20 +47,23 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 continue
             at = p * (n - 1)
             low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-            out[c].append(low + (high - low) * (at - math.floor(at)))
+            out[c].append(low if low == high else low + (high - low) * (at - math.floor(at)))
     return out
 
 
+def _value(c: str) -> Column:
+    return F.nullif(F.col(c).cast("double"), F.lit(math.nan))
+
+
 def _values_at(df: DataFrame, ranks: dict, span: dict) -> dict:
-    """Value at each (column, 0-based rank)."""
-    # interval [lo, hi], rows below lo, rows inside (unknown at first)
-    open_ = {key: (span[key[0]][0], span[key[0]][1], 0, None) for key in ranks}
+    """Value at each (column, 0-based rank); ``span`` has the finite bounds, infinities are bands of their own."""
+    # interval [lo, hi], rows below lo, rows inside (unknown at first), bounds of the bands
+    open_ = {key: (-math.inf, math.inf, 0, None, *(0.0 if b is None else b for b in span[key[0]])) for key in ranks}
     found = {}
     while open_:
         targets = list(open_)
         rows = F.array(*[
-            F.struct(F.lit(t).alias("t"), F.col(c).cast("double").alias("v"), F.lit(float(open_[c, r][0])).alias("lo"),
-                     F.lit(float(open_[c, r][1])).alias("hi"))
+            F.struct(F.lit(t).alias("t"), _value(c).alias("v"), *[F.lit(float(open_[c, r][i])).alias(n) for i, n in ((0, "lo"), (1, "hi"), (4, "from"), (5, "to"))])
             for t, (c, r) in enumerate(targets)])
         long = df.select(F.explode(rows).alias("s")).select("s.*").filter("v >= lo AND v <= hi")
         counts = long.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -79,8 +83,9 @@ def _values_at(df: DataFrame, ranks: dict, span: dict) -> dict:
         many = [t for t in range(len(targets)) if t not in few]
         if not many:
             continue
-        width = (F.col("hi") - F.col("lo")) / BANDS
-        band = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BANDS - 1))).otherwise(0)
+        wide = F.col("to") / BANDS - F.col("from") / BANDS
+        band = F.when(F.col("v") == -math.inf, -1).when(F.col("v") == math.inf, BANDS).when(
+            wide > 0, F.least((F.col("v") - F.col("from")) / wide, F.lit(float(BANDS - 1))).cast("int")).otherwise(0)
         bands = long.filter(F.col("t").isin(many)).withColumn("b", band).groupBy("t", "b").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # BANDS rows per target
         for t in many:
@@ -92,7 +97,7 @@ def _values_at(df: DataFrame, ranks: dict, span: dict) -> dict:
                         found[key] = row["lo"]
                         del open_[key]
                     else:
-                        open_[key] = (row["lo"], row["hi"], before, row["n"])
+                        open_[key] = (row["lo"], row["hi"], before, row["n"], row["lo"], row["hi"])
                     break
                 before += row["n"]
     return found

@@ -79,8 +79,8 @@ def short_name(classifier: str = "classifier") -> Column:
 
 def comparison(cv: DataFrame, metrics: Sequence[str] = PRIORITY_METRICS, methods: Sequence[str] = ()) -> DataFrame:
     """dataset, position, method, classificator and one text column of 4 decimals per metric:
-    ``Original`` first, then ``methods`` in order, once per dataset."""
-    order = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in ["Original", *methods]]), F.col("method")), F.lit(0))
+    ``Original`` first, then ``methods`` in order, then any others, once per dataset."""
+    order = _place(["Original", *methods], "method")
     wide = cv.groupBy("dataset", "method", "classifier").pivot("metric", list(metrics)).agg(F.max("mean"))
     return wide.select(
         "dataset", order.cast("int").alias("position"), "method", short_name().alias("classificator"),
@@ -88,7 +88,8 @@ def comparison(cv: DataFrame, metrics: Sequence[str] = PRIORITY_METRICS, methods
 
 
 def _place(values: Sequence[str], col: str) -> Column:
-    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col))
+    """1-based place in the list; values that are not listed come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)), F.lit(0).cast("bigint")), F.lit(len(values) + 1).cast("bigint"))
 
 
 def best(cv: DataFrame, classifiers: Sequence[str], by: Sequence[str] = ("dataset", "method")) -> DataFrame:
