@@ -21,6 +21,7 @@ from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
 from evenkeel.operators.cluster import each_group, fit_centers
+from evenkeel.operators.neighbours import group_rows
 from evenkeel.operators.runtime import settle, small_table
 
 
@@ -77,9 +78,7 @@ def mdo(job: Job):
         for batch in batches:
             x, g = blocks.matrix(batch.column("x")), blocks.matrix(batch.column("g"))
             out = np.array(x)
-            keys = list(zip(*[batch.column(c).to_pylist() for c in grp]))
-            for key in set(keys):
-                at = np.array([i for i, k in enumerate(keys) if k == key])
+            for key, at in group_rows(batch, grp).items():
                 mean, axes, var = held.value[key]
                 real = var > 1e-12
                 z = (x[at] - mean) @ axes

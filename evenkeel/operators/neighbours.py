@@ -1,7 +1,9 @@
 """Exact nearest-neighbour and ball joins.
 
 References that fit a size bound are sent to every executor and queries stream past
-them. Beyond it, references are cut into blocks of bounded size: Voronoi cells of
+them. Beyond it, a nearest join of few queries sends the queries instead: references are
+read once where they lie, and each task keeps the k best of every query. Otherwise
+references are cut into blocks of bounded size: Voronoi cells of
 sampled pivots, sliced by distance to the pivot. A query meets only blocks that the
 triangle inequality (or the cell boundary) cannot rule out, each meeting being one
 Arrow task of bounded size, and partial results are merged by a window or a sum.
@@ -19,13 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
-from evenkeel.operators.runtime import settle, width
+from evenkeel.operators.runtime import settle, spread, width
 
 LOCAL_BYTES = 32 << 20
 CHUNK_ROWS = 2048  # queries that meet a block in one task
 TAKE_ROWS = 1 << 15  # rows handed to Spark at a time when a query goes to many cells
 MAX_PIVOTS = 512
 SPREAD_BYTES = 1 << 30
+STREAM_QUERIES = 8192  # this few queries travel to the references; more of them meet blocks
+STREAM_WAVES = 8  # tasks per core, at most, that read references for travelling queries
+STREAM_ROWS = 1 << 15  # references that travelling queries meet at a time
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -36,15 +41,23 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType]) for f in schema.fields])
 
 
-def _group_rows(table, by: Sequence[str]) -> dict[tuple, np.ndarray]:
+def group_rows(table, by: Sequence[str]) -> dict[tuple, np.ndarray]:
     """Row positions of every ``by`` key in an Arrow table or batch."""
     n = table.num_rows
     if not by:
         return {(): np.arange(n)}
-    found: dict[tuple, list[int]] = {}
-    for pos, key in enumerate(zip(*[table.column(c).to_pylist() for c in by])):
-        found.setdefault(key, []).append(pos)
-    return {key: np.asarray(rows) for key, rows in found.items()}
+    if not n:
+        return {}
+    code = np.zeros(n, dtype="int64")
+    for c in by:
+        column = table.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        found = column.dictionary_encode(null_encoding="encode")
+        # folded again per column, so that codes stay below n * levels
+        code = np.unique(code * len(found.dictionary) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    groups = np.split(order, np.cumsum(np.bincount(code))[:-1])
+    return {tuple(table.column(c)[int(rows[0])].as_py() for c in by): rows for rows in groups}
 
 
 def _unpack(table, id: str, vec: str, extra: Sequence[str]):
@@ -75,9 +88,10 @@ class Neighbours:
 
     def __init__(self, refs: DataFrame, by: Sequence[str] = (), id: str = "row_id", vec: str = "features",
                  carry: Sequence[str] = (), copies: int | None = None, local_bytes: int = LOCAL_BYTES,
-                 block_rows: int | None = None, metric: bool = True):
+                 block_rows: int | None = None, metric: bool = True, stream_queries: int = STREAM_QUERIES):
         self.spark = refs.sparkSession
         self.by, self.carry, self.copies = list(by), list(carry), copies
+        self.local_bytes, self.stream_queries = local_bytes, stream_queries
         self.metric = metric  # without the triangle inequality there are no pivots and nothing is ruled out
         self.refs = refs.select(*self.by, F.col(id).cast("bigint").alias("_rid"), F.col(vec).alias("_rvec"), *self.carry)
         size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
@@ -90,13 +104,11 @@ class Neighbours:
         if self.rows * (self.dim + 2 + len(self.carry) + len(self.by)) * 8 <= local_bytes:
             table = self.refs.toArrow()
             held = {}
-            for key, rows in _group_rows(table, self.by).items():
+            for key, rows in group_rows(table, self.by).items():
                 part = table.take(pa.array(rows))
                 ids, mat, side = _unpack(part, "_rid", "_rvec", self.carry)
                 held[key] = (ids, mat, side)
             self.local = self.spark.sparkContext.broadcast(held)
-        elif self.rows:
-            self._cut()
 
     # ---- queries -------------------------------------------------------
 
@@ -107,6 +119,9 @@ class Neighbours:
             self.refs.schema[c] for c in self.carry]
         if self.local is not None or not self.rows:
             return self._local(queries, kernel, fields, id, vec, ())
+        if self._few(queries):
+            return self._streamed_knn(queries, kernel, fields, k, id, vec)
+        self._cut()
         return self._blocked_knn(queries, kernel, fields, k, id, vec, skip_self)
 
     def meet(self, queries: DataFrame, kernel, fields: str, id: str = "row_id", vec: str = "features",
@@ -116,6 +131,7 @@ class Neighbours:
         parsed = T.StructType.fromDDL(fields).fields
         if self.local is not None or not self.rows:
             return self._local(queries, kernel, parsed, id, vec, extra)
+        self._cut()
         q = self._queries(queries, id, vec, extra)
         q = q.withColumn("_theta", F.col(reach) if reach else F.lit(float("inf")))
         return self._meet(self._route(q), kernel, parsed, extra)
@@ -134,7 +150,7 @@ class Neighbours:
         def run(batches):
             groups = held.value if held is not None else {}
             for batch in batches:
-                for key, rows in _group_rows(batch, by).items():
+                for key, rows in group_rows(batch, by).items():
                     if key not in groups or not len(rows):
                         continue
                     part = batch.take(pa.array(rows))
@@ -145,9 +161,74 @@ class Neighbours:
 
         return q.mapInArrow(run, schema)
 
+    # ---- queries sent to the references --------------------------------
+
+    def _few(self, queries: DataFrame) -> bool:
+        """Whether the queries may travel: few enough, and within the size bound."""
+        if not self.stream_queries:
+            return False
+        n = queries.select(*self.by).limit(self.stream_queries + 1).count()
+        return n <= self.stream_queries and n * (self.dim + 2 + len(self.by)) * 8 <= self.local_bytes
+
+    def _streamed_knn(self, queries, kernel, fields, k, id, vec) -> DataFrame:
+        by, carry = self.by, list(self.carry)
+        q = self._queries(queries, id, vec, ())
+        schema = T.StructType([q.schema[c] for c in by] + [T.StructField("q_id", T.LongType())] + list(fields))
+        arrow = _arrow_schema(schema)
+        table = q.toArrow()
+        groups = {}
+        for key, rows in group_rows(table, by).items():
+            part = table.take(pa.array(rows)).combine_chunks()
+            groups[key] = (part, *_unpack(part, "q_id", "_qvec", ())[:2])
+        held = self.spark.sparkContext.broadcast(groups)
+
+        def merge(best, found):
+            """The k best of each query, of those kept so far and new ones."""
+            if best is not None:
+                found = {name: np.concatenate([best[name], found[name]]) for name in found}
+            order = np.lexsort((found["nbr_id"], found["dist"], found["pos"]))
+            found = {name: values[order] for name, values in found.items()}
+            rank = np.arange(len(order)) - np.searchsorted(found["pos"], found["pos"], side="left")
+            found["rank"] = rank + 1
+            return {name: values[rank < k] for name, values in found.items()}
+
+        def run(batches):
+            best: dict[tuple, dict[str, np.ndarray]] = {}
+
+            def meet(waiting):
+                met = pa.Table.from_batches(waiting)
+                for key, rows in group_rows(met, by).items():
+                    if key in held.value:
+                        _, ids, mat = held.value[key]
+                        rid, rmat, side = _unpack(met.take(pa.array(rows)), "_rid", "_rvec", carry)
+                        positions, out = kernel(ids, mat, {}, rid, rmat, side)
+                        best[key] = merge(best.get(key), {"pos": positions, **out})
+
+            waiting, rows = [], 0
+            for batch in batches:
+                waiting.append(batch)
+                rows += batch.num_rows
+                if rows >= STREAM_ROWS:
+                    meet(waiting)
+                    waiting, rows = [], 0
+            if rows:
+                meet(waiting)
+            for key, found in best.items():
+                part, ids, _ = held.value[key]
+                out = {name: values for name, values in found.items() if name != "pos"}
+                yield _emit(part, by, np.arange(len(ids)), ids, found["pos"], out, arrow)
+
+        # every task hands on k rows per query, so a great many small splits are read in fewer tasks
+        refs = spread(self.refs).coalesce(STREAM_WAVES * self.spark.sparkContext.defaultParallelism)
+        partial = refs.mapInArrow(run, schema)
+        order = Window.partitionBy(*by, "q_id").orderBy("dist", "nbr_id")
+        return partial.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
     # ---- references cut into blocks ------------------------------------
 
     def _cut(self):
+        if self.blocked is not None:
+            return
         by, cap = self.by, self.block_rows
         refs = self._few_copies() if self.copies else self.refs
         if self.rows * self.dim * 8 <= SPREAD_BYTES:
@@ -159,7 +240,7 @@ class Neighbours:
             for batch in batches:
                 cell, dp = np.full(batch.num_rows, -1, dtype="int32"), np.zeros(batch.num_rows)
                 vecs = blocks.matrix(batch.column("_rvec"))
-                for key, rows in _group_rows(batch, by).items():
+                for key, rows in group_rows(batch, by).items():
                     if key in held.value:
                         p = held.value[key]
                         for part in blocks.steps(len(rows), len(p)):
@@ -218,7 +299,7 @@ class Neighbours:
         drawn = ranked.orderBy("_draw").limit(MAX_PIVOTS).select(*by, "_rvec").toArrow()
         return {
             key: np.unique(blocks.matrix(drawn.column("_rvec").take(pa.array(rows))), axis=0)
-            for key, rows in _group_rows(drawn, by).items() if len(rows)
+            for key, rows in group_rows(drawn, by).items() if len(rows)
         }
 
     def _locate(self, q: DataFrame, k: int | None) -> DataFrame:
@@ -237,7 +318,7 @@ class Neighbours:
             for batch in batches:
                 vecs = blocks.matrix(batch.column("_qvec"))
                 theta = None if k else batch.column("_theta").to_numpy()
-                for key, rows in _group_rows(batch, by).items():
+                for key, rows in group_rows(batch, by).items():
                     p = pivots.value.get(key)
                     if p is None:
                         some = batch.take(pa.array(rows))

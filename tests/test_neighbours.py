@@ -66,3 +66,19 @@ def test_ball_counts(spark, local):
     d = np.sqrt(((mat[:, None] - mat[None]) ** 2).sum(-1))
     want = {i: int((d[i] <= 1.0).sum() - 1) for i in range(len(mat)) if (d[i] <= 1.0).sum() > 1}
     assert found == want
+
+
+@pytest.mark.parametrize("name", ["smooth", "lattice", "hot"])
+def test_few_queries_travel_to_the_references(spark, name):
+    mat = cases()[name]
+    groups = [None if i % 3 == 2 else i % 3 for i in range(len(mat))]
+    df = spark.createDataFrame(
+        [(g, i, [float(v) for v in row], i % 7) for i, (g, row) in enumerate(zip(groups, mat))],
+        "g int, row_id bigint, features array<double>, tag int")
+    index = Neighbours(df, by=["g"], carry=["tag"], local_bytes=2500)
+    near = index.knn(df.filter("row_id < 40"), 5)
+    assert index.local is None and index.blocked is None
+    wanted = {key: j for key, j in brute(mat, mat, 5, same=groups).items() if key[0] < 40}
+    rows = near.collect()
+    assert {(r["q_id"], r["rank"]): r["nbr_id"] for r in rows} == wanted
+    assert all(r["tag"] == r["nbr_id"] % 7 and r["g"] == groups[r["q_id"]] for r in rows)
