@@ -27,10 +27,16 @@ def _centers(job: Job, k, bisecting: bool = False) -> DataFrame:
     return cluster.fit_centers(job.minority, job.grp, k, job.seed, job.options.get("restarts", 10), bisecting)
 
 
+def _tenth(job: Job):
+    """One cluster per ten rows, from 2 to ``clusters`` (10)."""
+    top = int(job.options.get("clusters", 10))
+    return lambda part, n: max(2, min(top, n // 10))
+
+
 def _members(job: Job, centers: DataFrame) -> DataFrame:
     """(by..., label, row_id, cluster, dist, features)."""
     placed = cluster.assign(job.minority, centers, job.grp)
-    return settle(placed.join(job.minority, [*job.grp, "row_id"]))
+    return settle(placed.transform(kernels.equi, job.minority, [*job.grp, "row_id"]))
 
 
 def generate(job: Job, members: DataFrame, needs: DataFrame) -> DataFrame:
@@ -50,8 +56,8 @@ def cluster_smote(job: Job):
     numbered = sizes.withColumn("_place", F.row_number().over(line)).withColumn(
         "_of", F.count(F.lit(1)).over(Window.partitionBy(*job.grp))).select(*job.grp, "cluster", "_place", "_of")
     many = numbered.select(*job.grp, "_of").distinct()
-    chosen = job.slots.join(many, job.grp).withColumn("_place", pick(job.seed, "cluster", "_of", *job.keys) + 1).drop("_of")
-    chosen = chosen.join(numbered.drop("_of"), [*job.grp, "_place"]).drop("_place")
+    chosen = job.slots.transform(kernels.equi, many, job.grp).withColumn("_place", pick(job.seed, "cluster", "_of", *job.keys) + 1).drop("_of")
+    chosen = chosen.transform(kernels.equi, numbered.drop("_of"), [*job.grp, "_place"]).drop("_place")
     grp = [*job.grp, "cluster"]
     made = kernels.draw_uniform(chosen, members, grp, job.keys, job.seed)
     return interpolate(job, made.drop("cluster"), kernels.neighbour_lists(members, job.k, grp))
@@ -61,18 +67,18 @@ def cluster_smote(job: Job):
 def kmeans_smote(job: Job):
     """Douzas et al. 2018: k-means on all rows; clusters with (others + 1) / (own + 1) < 1 and at least
     two own rows are kept; sparser ones get more: weight = mean own distance^d / own rows.
-    max(2, floor(sqrt(n))) clusters, at most 50 (ours); no cluster kept gives plain SMOTE."""
+    max(2, floor(sqrt(n))) clusters, at most ``clusters`` (50, ours); no cluster kept gives plain SMOTE."""
     centers = job.options.get("centers")
     if centers is None:
         centers = cluster.fit_centers(
-            job.points, job.by, lambda part, n: min(50, max(2, int(n**0.5))), job.seed, job.options.get("restarts", 10))
-    placed = settle(cluster.assign(job.points, centers, job.by).join(job.points, [*job.by, "row_id"]))
+            job.points, job.by, lambda part, n: min(job.options.get("clusters", 50), max(2, int(n**0.5))), job.seed, job.options.get("restarts", 10))
+    placed = settle(cluster.assign(job.points, centers, job.by).transform(kernels.equi, job.points, [*job.by, "row_id"]))
     counts = placed.groupBy(*job.by, "cluster", "label").agg(F.count(F.lit(1)).alias("_own"))
     all_rows = placed.groupBy(*job.by, "cluster").agg(F.count(F.lit(1)).alias("_all"))
-    rich = counts.join(all_rows, [*job.by, "cluster"]).join(job.needs.select(*job.grp), job.grp, "left_semi")
+    rich = counts.transform(kernels.equi, all_rows, [*job.by, "cluster"]).transform(kernels.equi, job.needs.select(*job.grp), job.grp, "left_semi")
     rich = rich.filter((F.col("_own") >= 2) & ((F.col("_all") - F.col("_own") + 1) / (F.col("_own") + 1) < 1))
     grp = [*job.grp, "cluster"]
-    members = settle(placed.join(rich.select(*grp), grp, "left_semi").select(*grp, "row_id", "features"))
+    members = settle(placed.transform(kernels.equi, rich.select(*grp), grp, "left_semi").select(*grp, "row_id", "features"))
     pairs = cluster.mean_pair_distance(members, grp)
     # powers of d overflow, so weights are formed from logarithms relative to the largest
     heavy = pairs.withColumn(
@@ -80,7 +86,7 @@ def kmeans_smote(job: Job):
     heavy = heavy.withColumn("weight", F.exp(F.col("_log") - F.max("_log").over(Window.partitionBy(*job.grp))))
     shares = small_table(cluster.allocate(heavy.select(*grp, "weight"), job.needs, job.grp))
     done = generate(job, members, shares)
-    rest = job.needs.join(shares.select(*job.grp).distinct(), job.grp, "left_anti")
+    rest = job.needs.transform(kernels.equi, shares.select(*job.grp).distinct(), job.grp, "left_anti")
     return done.unionByName(smote(job.restricted(rest.select(*job.grp))))
 
 
@@ -115,13 +121,13 @@ def akmeans_smote(job: Job):
     made = settle(generate(usual, members, shares))
     kept = settle(quality_filter(job, made, opt.get("scorer") or forest_scorer))
     left = kept.groupBy(*job.grp).agg(F.count(F.lit(1)).alias("_kept"))
-    short = usual.needs.join(clustered, job.grp, "left_semi").join(left, job.grp, "left").fillna(0, ["_kept"])
+    short = usual.needs.transform(kernels.equi, clustered, job.grp, "left_semi").transform(kernels.equi, left, job.grp, "left").fillna(0, ["_kept"])
     short = short.filter(F.col("_kept") < F.col("n_needed") * 0.8)
     refill_needs = small_table(short.select(
         *job.grp, (F.col("n_needed") - F.col("_kept")).alias("n_needed"), F.col("n_needed").alias("offset")))
     refill = interpolate(usual, kernels.draw_uniform(
         kernels.slots(refill_needs, job.grp), usual.minority, job.grp, job.keys, job.seed), usual.lists)
-    plain = usual.needs.join(clustered, job.grp, "left_anti").select(*job.grp).unionByName(tiny)
+    plain = usual.needs.transform(kernels.equi, clustered, job.grp, "left_anti").select(*job.grp).unionByName(tiny)
     return kept.unionByName(refill).unionByName(smote(job.restricted(plain)))
 
 
@@ -133,15 +139,15 @@ def quality_filter(job: Job, made: DataFrame, scorer) -> DataFrame:
 
 @register("LVQ_SMOTE")
 def lvq_smote(job: Job):
-    """Nakamura et al. 2013, re-aimed: min(16, n) k-means centers of the class are the codebook; each
+    """Nakamura et al. 2013, re-aimed: min(``clusters``, n) k-means centers (16) of the class are the codebook; each
     feature of a new row comes from one of the k codebook vectors nearest to the base (ours)."""
-    centers = _centers(job, 16).withColumn("center", F.col("center").cast("array<double>"))
+    centers = _centers(job, job.options.get("clusters", 16)).withColumn("center", F.col("center").cast("array<double>"))
     index = Neighbours(centers, by=job.grp, id="cluster", vec="center")
     near = index.knn(job.minority, job.k, skip_self=False).withColumnRenamed("nbr_id", "cluster")
-    codes = near.join(centers, [*job.grp, "cluster"]).groupBy(*job.grp, F.col("q_id").alias("base_id")).agg(
+    codes = near.transform(kernels.equi, centers, [*job.grp, "cluster"]).groupBy(*job.grp, F.col("q_id").alias("base_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "center"))).alias("codes"))  # k entries
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    full = job.base_vec(made).join(codes, [*job.grp, "base_id"])
+    full = job.base_vec(made).transform(kernels.equi, codes, [*job.grp, "base_id"])
 
     def borrow(x, i):
         place = pick(job.seed, "code", F.size("codes"), *job.keys, i).cast("int")
@@ -155,12 +161,12 @@ def cure_smote(job: Job):
     """Ma & Fan 2017, re-aimed: bisecting k-means clusters of the class, those below 3 rows are noise;
     up to 5 representatives per cluster by farthest-point choice, shrunk by half towards the center;
     a new row lies between a random row and a random representative of its cluster.
-    max(2, min(10, n // 10)) clusters (ours)."""
-    centers = _centers(job, lambda part, n: max(2, min(10, n // 10)), bisecting=True)
+    max(2, min(``clusters``, n // 10)) clusters (10, ours)."""
+    centers = _centers(job, _tenth(job), bisecting=True)
     grp = [*job.grp, "cluster"]
     members = _members(job, centers)
     sizes = members.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 3)
-    members = settle(members.join(sizes.select(*grp), grp, "left_semi").withColumn("_near", F.col("dist")))
+    members = settle(members.transform(kernels.equi, sizes.select(*grp), grp, "left_semi").withColumn("_near", F.col("dist")))
     reps = None
     for turn in range(5):
         farthest = members.filter(F.col("_near") > 0).groupBy(*grp).agg(
@@ -169,16 +175,16 @@ def cure_smote(job: Job):
             *grp, F.lit(turn).alias("turn"), F.col("_r.row_id").alias("rep_id"), F.col("_r.features").alias("rep_vec")))
         reps = chosen if reps is None else reps.unionByName(chosen)
         gap = F.round(distance(F.col("features"), F.col("rep_vec")), blocks.DIGITS)
-        met = members.join(chosen.drop("turn", "rep_id"), grp, "left")
+        met = members.transform(kernels.equi, chosen.drop("turn", "rep_id"), grp, "left")
         near = gap if turn == 0 else F.least(F.col("_near"), gap)
         members = settle(met.withColumn("_near", F.coalesce(near, F.lit(0.0))).drop("rep_vec"))
     middle = centers.select(*grp, F.col("center").cast("array<double>").alias("center"))
-    shrunk = reps.join(middle, grp).withColumn("rep_vec", lerp(F.col("center"), F.col("rep_vec"), F.lit(0.5))).drop("center")
+    shrunk = reps.transform(kernels.equi, middle, grp).withColumn("rep_vec", lerp(F.col("center"), F.col("rep_vec"), F.lit(0.5))).drop("center")
     many = reps.groupBy(*grp).agg(F.count(F.lit(1)).alias("_of"))
     made = kernels.draw_uniform(job.slots, members, job.grp, job.keys, job.seed)
     full = job.base_vec(made)
-    full = kernels.attach(full, members, job.by, "base_id", cluster="cluster").join(many, grp)
-    full = full.withColumn("turn", pick(job.seed, "rep", "_of", *job.keys).cast("int")).join(shrunk, [*grp, "turn"])
+    full = kernels.attach(full, members, job.by, "base_id", cluster="cluster").transform(kernels.equi, many, grp)
+    full = full.withColumn("turn", pick(job.seed, "rep", "_of", *job.keys).cast("int")).transform(kernels.equi, shrunk, [*grp, "turn"])
     full = full.withColumn("nbr_id", F.col("rep_id"))
     share = uniform(job.seed, "lam", *job.keys)
     return kernels.as_synthetic(full, job.by, lerp(F.col("rep_vec"), F.col("x"), share))
@@ -190,27 +196,27 @@ def mwmote(job: Job):
     other rows of the rest are the border B; each y in B lends weight to its nearest half of
     the class: closeness C = min(d / distance, 5) / 5 * 2 times C / (sum of C over those rows).
     Bases follow the weights, the partner is a random row of the base's k-means cluster
-    (ours; average linkage in the paper). Rows tied at the half-way distance all count (ours)."""
+    (ours; average linkage in the paper; max(2, min(``clusters``, n // 10)) clusters, 10 by default). Rows tied at the half-way distance all count (ours)."""
     sure = job.crowd(5).filter(F.col("m") < F.col("kk"))
-    filtered = job.minority.join(sure.select(*job.grp, "row_id"), [*job.grp, "row_id"], "left_semi")
+    filtered = job.minority.transform(kernels.equi, sure.select(*job.grp, "row_id"), [*job.grp, "row_id"], "left_semi")
     rest = settle(job.others.select(*job.grp, "row_id", "features"))
     outer = Neighbours(rest, by=job.grp, copies=4).knn(filtered, 3, skip_self=False)
     border_ids = outer.select(*job.grp, F.col("nbr_id").alias("row_id")).distinct()
-    border = settle(rest.join(border_ids, [*job.grp, "row_id"]))
-    half = border.join(job.needs.select(*job.grp, F.greatest(F.lit(1), F.floor(F.col("n") / 2)).alias("want")), job.grp)
+    border = settle(rest.transform(kernels.equi, border_ids, [*job.grp, "row_id"]))
+    half = border.transform(kernels.equi, job.needs.select(*job.grp, F.greatest(F.lit(1), F.floor(F.col("n") / 2)).alias("want")), job.grp)
     reach = kth_distance(half, job.minority, job.grp)
-    aimed = settle(border.join(reach, [*job.grp, "row_id"]))
+    aimed = settle(border.transform(kernels.equi, reach, [*job.grp, "row_id"]))
     index = Neighbours(job.minority, by=job.grp)
     close = blocks.close_weights(job.dim, 5.0, 2.0, False)
     norm = index.meet(aimed, close, "total double", extra=["reach"], reach="reach")
     norm = norm.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("total").alias("norm"))
-    lenders = Neighbours(aimed.join(norm, [*job.grp, "row_id"]), by=job.grp, carry=["reach", "norm"])
+    lenders = Neighbours(aimed.transform(kernels.equi, norm, [*job.grp, "row_id"]), by=job.grp, carry=["reach", "norm"])
     widest = aimed.groupBy(*job.grp).agg(F.max("reach").alias("widest"))
-    parts = lenders.meet(job.minority.join(widest, job.grp), blocks.close_weights(job.dim, 5.0, 2.0, True),
+    parts = lenders.meet(job.minority.transform(kernels.equi, widest, job.grp), blocks.close_weights(job.dim, 5.0, 2.0, True),
                          "total double", reach="widest")
     weights = parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("total").alias("weight"))
     made = kernels.draw_weighted(weights, job.needs, job.grp, job.seed)
-    members = _members(job, _centers(job, lambda part, n: max(2, min(10, n // 10))))
+    members = _members(job, _centers(job, _tenth(job)))
     grp = [*job.grp, "cluster"]
     made = kernels.attach(made, members, job.by, "base_id", cluster="cluster")
     made = kernels.draw_uniform(made, members, grp, job.keys, job.seed, "partner", "nbr_id")
@@ -229,14 +235,14 @@ def kth_distance(queries: DataFrame, refs: DataFrame, grp, bins: int = 64) -> Da
         getattr(F, f)(getattr(F, g)("features")).alias(n) for f, g, n in (("min", "array_min", "_a"), ("max", "array_max", "_b"))])
     own = queries.groupBy(*grp).agg(F.min(F.array_min("features")).alias("_c"), F.max(F.array_max("features")).alias("_d"))
     side = (F.greatest("_b", "_d") - F.least("_a", "_c"))
-    state = queries.join(box, list(grp)).join(own, list(grp)).select(
+    state = queries.transform(kernels.equi, box, list(grp)).transform(kernels.equi, own, list(grp)).select(
         *grp, "row_id", "features", "want", F.lit(-1e-9).alias("lo"), (side * F.sqrt(F.size("features")) + 1e-6).alias("hi"))
     state = settle(state)
     step = 0.2 * 10.0**-blocks.DIGITS
     while True:
         parts = index.meet(state, blocks.band_counts(bins), "counts array<double>", extra=["lo", "hi"], reach="hi")
         total = parts.groupBy(*grp, F.col("q_id").alias("row_id")).agg(sum_vector("counts").alias("counts"))
-        both = state.join(total, [*grp, "row_id"])
+        both = state.transform(kernels.equi, total, [*grp, "row_id"])
         # first band whose running count reaches want; counts[0] holds everything at or below lo
         running = F.aggregate(
             "counts", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("band")),

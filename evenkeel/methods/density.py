@@ -12,18 +12,18 @@ from evenkeel.methods.registry import Job, register
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
 from evenkeel.operators.neighbours import Neighbours
-from evenkeel.operators.runtime import settle
+from evenkeel.operators.runtime import settle, small_table
 
 
 def _density_factor(job: Job) -> DataFrame:
     """(grp..., row_id, weight) after the noise cut of SMOBD."""
     core = job.own_long.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.max("dist").alias("core"))
-    reach = core.groupBy(*job.grp).agg(F.round(F.avg("core"), 9).alias("radius"), F.min("core").alias("tight"))
-    queries = job.minority.join(reach, job.grp)
+    reach = small_table(core.groupBy(*job.grp).agg(F.round(F.avg("core"), 9).alias("radius"), F.min("core").alias("tight")))
+    queries = job.minority.transform(kernels.equi, reach, job.grp)
     inside = job.within(queries, job.minority, job.grp, closed=True)
-    dens = core.join(reach, job.grp).join(inside, [*job.grp, "row_id"]).withColumn("dens", F.col("inside") - 1)
-    norm = dens.groupBy(*job.grp).agg(F.max("dens").alias("top"), F.avg("dens").alias("mid"))
-    full = dens.join(norm, job.grp)
+    dens = settle(core.transform(kernels.equi, reach, job.grp).transform(kernels.equi, inside, [*job.grp, "row_id"]).withColumn("dens", F.col("inside") - 1))
+    norm = small_table(dens.groupBy(*job.grp).agg(F.max("dens").alias("top"), F.avg("dens").alias("mid")))
+    full = dens.transform(kernels.equi, norm, job.grp)
     noise = (F.col("core") > 2 * F.col("radius")) & (F.col("dens") < F.col("mid") / 2)
     closeness = F.when(F.col("core") > 0, F.col("tight") / F.col("core")).otherwise(1.0)
     crowd = F.when(F.col("top") > 0, F.col("dens") / F.col("top")).otherwise(0.0)
@@ -42,7 +42,7 @@ def smobd(job: Job):
 def asmobd(job: Job):
     """Wang et al. 2012: the SMOBD weight times (1 - m/k); rows with m = k are dropped (ours)."""
     crowd = job.crowd().filter(F.col("m") < F.col("kk"))
-    factor = _density_factor(job).join(crowd, [*job.grp, "row_id"])
+    factor = _density_factor(job).transform(kernels.equi, crowd, [*job.grp, "row_id"])
     weights = factor.withColumn("weight", F.col("weight") * (1 - F.col("m") / F.col("kk")))
     return interpolate(job, kernels.draw_weighted(weights.select(*job.grp, "row_id", "weight"), job.needs, job.grp, job.seed))
 
@@ -56,23 +56,23 @@ def ans(job: Job):
     that minimises a seeded hash of its id."""
     near = Neighbours(job.minority, by=job.grp, copies=2).knn(job.minority, 1)
     d1 = near.select(*job.grp, F.col("q_id").alias("row_id"), F.col("dist").alias("radius"))
-    queries = job.minority.join(d1, [*job.grp, "row_id"])
+    queries = job.minority.transform(kernels.equi, d1, [*job.grp, "row_id"])
     # no class row is nearer than d1, so whatever is nearer belongs to other classes
     counts = job.within(queries.drop("label"), job.points, job.by, closed=False)
-    closer = d1.join(counts, [*job.by, "row_id"], "left").withColumn(
+    closer = d1.transform(kernels.equi, counts, [*job.by, "row_id"], "left").withColumn(
         "o", F.when(F.col("radius") > 0, F.coalesce("inside", F.lit(1)) - 1).otherwise(0))
     closer = settle(closer.select(*job.grp, "row_id", "radius", "o"))
     seen = closer.select(*job.grp, "o").distinct()
     steps = seen.unionByName(job.needs.select(*job.grp, F.lit(0).cast("bigint").alias("o"))).distinct()
     follow = seen.select(*job.grp, (F.col("o") - 1).alias("o"))
-    gap = steps.join(follow, [*job.grp, "o"], "left_anti").groupBy(*job.grp).agg(F.min(F.col("o") + 1).alias("gap"))
-    limit = gap.join(job.needs, job.grp).select(
+    gap = steps.transform(kernels.equi, follow, [*job.grp, "o"], "left_anti").groupBy(*job.grp).agg(F.min(F.col("o") + 1).alias("gap"))
+    limit = gap.transform(kernels.equi, job.needs, job.grp).select(
         *job.grp, F.least("gap", F.greatest(F.lit(1), F.ceil(F.col("n") / 4))).alias("limit"))
-    inner = closer.join(limit, job.grp).filter(F.col("o") <= F.col("limit"))
+    inner = closer.transform(kernels.equi, limit, job.grp).filter(F.col("o") <= F.col("limit"))
     reach = inner.groupBy(*job.grp).agg(F.max("radius").alias("radius"))
     # every inner row has its nearest class row within the radius, so each can be a base
     made = kernels.draw_uniform(job.slots, inner, job.grp, job.keys, job.seed)
-    aimed = job.base_vec(made).join(reach, job.grp).select(
+    aimed = job.base_vec(made).transform(kernels.equi, reach, job.grp).select(
         *job.grp, "rep", F.col("base_id").alias("own_id"), F.col("x").alias("features"), "radius",
         (raw32(job.seed, "mixa", *job.keys) % (blocks.PRIME - 1) + 1).alias("mix_a"),
         (raw32(job.seed, "mixb", *job.keys) % blocks.PRIME).alias("mix_b"))
@@ -80,7 +80,7 @@ def ans(job: Job):
         aimed, blocks.ball_pick(), "mix bigint, nbr_id bigint", id="rep",
         extra=["own_id", "radius", "mix_a", "mix_b"], reach="radius")
     best = parts.groupBy(*job.grp, F.col("q_id").alias("rep")).agg(F.min(F.struct("mix", "nbr_id")).alias("best"))
-    paired = made.join(best, [*job.grp, "rep"]).withColumn("nbr_id", F.col("best.nbr_id")).drop("best")
+    paired = made.transform(kernels.equi, best, [*job.grp, "rep"]).withColumn("nbr_id", F.col("best.nbr_id")).drop("best")
     full = job.nbr_vec(job.base_vec(paired), "inner")
     share = uniform(job.seed, "lam", *job.keys)
     return kernels.as_synthetic(full, job.by, F.zip_with("x", "nbr", lambda x, y: x + share * (y - x)))
@@ -99,25 +99,25 @@ def symprod(job: Job):
     rest = settle(_calm(job.others, [*job.grp, "own_label"]))
     own = _closeness(job, calm, calm, True, "cf_p")
     away = _closeness(job, calm, rest, False, "cf_n")
-    both = own.join(away, [*job.grp, "row_id"]).filter(~(F.col("cf_n") * 1.25 >= F.col("cf_p")))
-    kept = settle(calm.join(both.select(*job.grp, "row_id", "cf_p"), [*job.grp, "row_id"]))
+    both = own.transform(kernels.equi, away, [*job.grp, "row_id"]).filter(~(F.col("cf_n") * 1.25 >= F.col("cf_p")))
+    kept = settle(calm.transform(kernels.equi, both.select(*job.grp, "row_id", "cf_p"), [*job.grp, "row_id"]))
     long = settle(Neighbours(kept, by=job.grp, copies=job.k + 1).knn(kept, job.k))
     outer = settle(Neighbours(rest, by=job.grp, copies=job.k + 1).knn(kept, job.k, skip_self=False))
     met = outer.select(*job.grp, F.col("nbr_id").alias("row_id")).distinct()
-    met = rest.select(*job.grp, "row_id", "features").join(met, [*job.grp, "row_id"])
+    met = rest.select(*job.grp, "row_id", "features").transform(kernels.equi, met, [*job.grp, "row_id"])
     met_cf = _closeness(job, met, rest, True, "cf").select(*job.grp, F.col("row_id").alias("nbr_id"), "cf")
-    near = long.join(kept.select(*job.grp, F.col("row_id").alias("nbr_id"), F.col("cf_p").alias("cf")), [*job.grp, "nbr_id"])
+    near = long.transform(kernels.equi, kept.select(*job.grp, F.col("row_id").alias("nbr_id"), F.col("cf_p").alias("cf")), [*job.grp, "nbr_id"])
     near = near.groupBy(*job.grp, "q_id").agg(F.sum("cf").alias("up"))
-    far = outer.join(met_cf, [*job.grp, "nbr_id"]).groupBy(*job.grp, "q_id").agg(F.sum("cf").alias("down"))
-    weights = kept.select(*job.grp, F.col("row_id").alias("q_id")).join(near, [*job.grp, "q_id"], "left").join(
-        far, [*job.grp, "q_id"], "left")
+    far = outer.transform(kernels.equi, met_cf, [*job.grp, "nbr_id"]).groupBy(*job.grp, "q_id").agg(F.sum("cf").alias("down"))
+    weights = kept.select(*job.grp, F.col("row_id").alias("q_id")).transform(kernels.equi, near, [*job.grp, "q_id"], "left").transform(
+        kernels.equi, far, [*job.grp, "q_id"], "left")
     weights = weights.select(
         *job.grp, F.col("q_id").alias("row_id"),
         ((1 + F.coalesce("up", F.lit(0.0))) / (1 + F.coalesce("down", F.lit(0.0)))).alias("weight"))
     made = kernels.draw_weighted(weights, job.needs, job.grp, job.seed)
     parts = long.select(*job.by, F.col("q_id").alias("base_id"), "rank", F.col("nbr_id").alias("part_id"))
     own_part = kept.select(*job.by, F.col("row_id").alias("base_id"), F.lit(0).cast("bigint").alias("rank"), F.col("row_id").alias("part_id"))
-    mixed = made.join(parts.unionByName(own_part), [*job.by, "base_id"])
+    mixed = made.transform(kernels.equi, parts.unionByName(own_part), [*job.by, "base_id"])
     mixed = kernels.attach(mixed, kept, job.by, "part_id", part="features")
     mixed = mixed.withColumn("w", uniform(job.seed, "w", *job.keys, "rank"))
     full = mixed.groupBy(*job.grp, "rep", "base_id").agg(mean_vector("part", F.col("w")).alias("made"))
@@ -126,21 +126,21 @@ def symprod(job: Job):
 
 def _calm(rows: DataFrame, cls) -> DataFrame:
     """Rows without a feature 3 or more standard deviations from the mean of their class."""
-    stats = rows.groupBy(*cls).agg(
-        mean_vector("features").alias("_mu"), std_vector("features", population=True).alias("_sd"))
+    stats = small_table(rows.groupBy(*cls).agg(
+        mean_vector("features").alias("_mu"), std_vector("features", population=True).alias("_sd")))
     outside = F.zip_with(
         F.zip_with("features", "_mu", lambda x, m: F.abs(x - m)), "_sd",
         lambda gap, sd: F.when(sd > 0, gap / sd >= 3).otherwise(False))
-    return rows.join(stats, list(cls)).filter(~F.exists(outside, lambda hit: hit)).drop("_mu", "_sd")
+    return rows.transform(kernels.equi, stats, list(cls)).filter(~F.exists(outside, lambda hit: hit)).drop("_mu", "_sd")
 
 
 def _closeness(job: Job, queries: DataFrame, refs: DataFrame, same: bool, name: str) -> DataFrame:
     """Sum of 1/distance to all ``refs`` of the group, min-max scaled over the queries."""
     parts = Neighbours(refs, by=job.grp).meet(queries, blocks.inverse_sum(same), "total double")
-    total = parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("total").alias("cf"))
-    span = total.groupBy(*job.grp).agg(F.min("cf").alias("lo"), F.max("cf").alias("hi"))
+    total = settle(parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("total").alias("cf")))
+    span = small_table(total.groupBy(*job.grp).agg(F.min("cf").alias("lo"), F.max("cf").alias("hi")))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("cf") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return total.join(span, job.grp).select(*job.grp, "row_id", scaled.alias(name))
+    return total.transform(kernels.equi, span, job.grp).select(*job.grp, "row_id", scaled.alias(name))
 
 
 @register("CCR")
@@ -163,7 +163,7 @@ def ccr(job: Job):
         sums = parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("count").alias("_n"), F.sum("total").alias("_d"))
         n, d = F.coalesce("_n", F.lit(0).cast("bigint")), F.coalesce("_d", F.lit(0.0))
         fallen = F.least(F.col("radius"), (F.lit(energy) + d) / (1 + n))
-        step = settle(moving.join(sums, [*job.grp, "row_id"], "left").select(
+        step = settle(moving.transform(kernels.equi, sums, [*job.grp, "row_id"], "left").select(
             *job.grp, "row_id", "features", fallen.alias("radius"), (F.col("radius") - fallen > 1e-9).alias("_moved")))
         resting = step.filter("NOT _moved").drop("_moved")
         spheres = resting if spheres is None else spheres.unionByName(resting)
@@ -176,13 +176,13 @@ def ccr(job: Job):
     parts = refs.meet(probes, blocks.push_out(), "shift array<double>", reach="energy")
     shift = parts.groupBy(*job.by, F.col("q_id").alias("row_id")).agg(
         sum_vector("shift").alias("shift"))
-    moved = job.points.join(shift, [*job.by, "row_id"], "left").select(
+    moved = job.points.transform(kernels.equi, shift, [*job.by, "row_id"], "left").select(
         *job.by, "row_id", "label",
         F.when(F.col("shift").isNull(), F.col("features")).otherwise(
             F.zip_with("features", "shift", lambda x, s: x + s)).alias("features"))
 
-    whole = spheres.groupBy(*job.grp).agg(F.sum(1 / F.col("radius")).alias("_inv"))
-    share = spheres.join(whole, job.grp).join(job.needs.select(*job.grp, "n_needed"), job.grp)
+    whole = small_table(spheres.groupBy(*job.grp).agg(F.sum(1 / F.col("radius")).alias("_inv")))
+    share = spheres.transform(kernels.equi, whole, job.grp).transform(kernels.equi, job.needs.select(*job.grp, "n_needed"), job.grp)
     counted = share.select(
         *job.grp, F.col("row_id").alias("base_id"),
         F.floor(1 / F.col("radius") / F.col("_inv") * F.col("n_needed")).cast("bigint").alias("g"))

@@ -23,6 +23,7 @@ from evenkeel.operators import kernels
 from evenkeel.operators.cluster import each_group, fit_centers
 from evenkeel.operators.neighbours import group_rows
 from evenkeel.operators.runtime import settle, small_table
+from evenkeel.operators.scan import range_buckets, running_sums
 
 
 def principal_axes(rows: DataFrame, grp, k: int) -> list[tuple]:
@@ -50,7 +51,7 @@ def g_smote(job: Job):
         schema = T.StructType([job.minority.schema[c] for c in job.grp] + [T.StructField("axis", T.ArrayType(T.DoubleType()))])
         axis = job.points.sparkSession.createDataFrame(rows, schema)
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed))).join(axis, job.grp)
+    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed))).transform(kernels.equi, axis, job.grp)
     full = full.withColumn("along", F.coalesce(
         dot(F.zip_with("nbr", "x", lambda y, x: y - x), F.col("axis")), F.lit(0.0)) * uniform(job.seed, "lam", *job.keys))
     return kernels.as_synthetic(full, job.by, F.zip_with("x", "axis", lambda x, v: x + F.col("along") * v))
@@ -60,13 +61,19 @@ def g_smote(job: Job):
 def mdo(job: Job):
     """Abdi & Hashemi 2016: in the principal axes E of the class, a new row has the base's Mahalanobis
     distance and a uniform direction (ours). Bases have at least ``k1`` (default ceil(k / 2)) own rows
-    among the k nearest of all, weighted by that number. ``frame=`` [(key, mean, axes, variances)] replaces the fit.
+    among the k nearest of all, weighted by that number; where no row of a class has so many, all its rows
+    are bases alike (ours). ``frame=`` [(key, mean, axes, variances)] replaces the fit.
     The d x d axes go to the executors; d is the number of features."""
     frame = job.options.get("frame") or principal_axes(job.minority, job.grp, job.dim)
     held = job.points.sparkSession.sparkContext.broadcast({
         key: (np.asarray(mean), np.asarray(axes), np.asarray(var)) for key, mean, axes, var in frame})
     crowd = job.crowd().withColumn("weight", (F.col("kk") - F.col("m")).cast("double"))
-    weights = crowd.filter(F.col("weight") >= job.options.get("k1", (job.k + 1) // 2)).select(*job.grp, "row_id", "weight")
+    enough = F.col("weight") >= job.options.get("k1", (job.k + 1) // 2)
+    richest = small_table(crowd.groupBy(*job.grp).agg(F.max(enough).alias("_any")))
+    every = job.minority.select(*job.grp, "row_id").transform(kernels.equi, crowd.select(*job.grp, "row_id", "weight"), [*job.grp, "row_id"], "left")
+    fitting = every.transform(kernels.equi, richest, job.grp, "left").withColumn("_any", F.coalesce("_any", F.lit(False)))
+    weights = fitting.filter(~F.col("_any") | enough).select(
+        *job.grp, "row_id", F.when(F.col("_any"), F.col("weight")).otherwise(1.0).alias("weight"))
     made = job.base_vec(kernels.draw_weighted(weights, job.needs, job.grp, job.seed))
     made = made.withColumn("g", F.transform("x", lambda x, i: normal(job.seed, "z", *job.keys, i)))
     made = made.select(*job.grp, "rep", "base_id", "x", "g")
@@ -96,30 +103,37 @@ def mdo(job: Job):
 @register("Supervised_SMOTE")
 def supervised_smote(job: Job):
     """Hu et al. 2013: SMOTE candidates are kept when a classifier (random forest of 50 trees, depth 5)
-    gives their own class at least 0.5; up to 3 rounds of new draws make up for the rest (ours).
-    ``scorer=`` replaces the forest."""
+    gives their own class at least 0.5; ``rounds`` (3) of new draws make up for the rest, and what is
+    still missing then is filled with the candidates of the highest scores below (ours), so classes
+    reach their size whatever the classifier says. ``scorer=`` replaces the forest."""
     scorer = job.options.get("scorer") or forest_scorer
     needs = job.needs.select(*job.grp, "n_needed", F.lit(0).cast("bigint").alias("offset"))
-    kept = None
-    for _ in range(3):
+    kept, below = None, None
+    for _ in range(int(job.options.get("rounds", 3))):
         made = kernels.draw_uniform(kernels.slots(needs, job.grp), job.minority, job.grp, job.keys, job.seed)
-        good = settle(scorer(job, interpolate(job, made)).filter(F.col("score") >= 0.5).drop("score"))
+        scored = settle(scorer(job, interpolate(job, made)))
+        good, poor = scored.filter(F.col("score") >= 0.5).drop("score"), scored.filter("score < 0.5 OR score IS NULL")
         kept = good if kept is None else kept.unionByName(good)
+        below = poor if below is None else below.unionByName(poor)
         got = good.groupBy(*job.grp).agg(F.count(F.lit(1)).alias("_got"))
-        needs = small_table(needs.join(got, job.grp, "left").select(
+        needs = small_table(needs.transform(kernels.equi, got, job.grp, "left").select(
             *job.grp, (F.col("n_needed") - F.coalesce("_got", F.lit(0))).cast("bigint").alias("n_needed"),
             (F.col("offset") + F.col("n_needed")).alias("offset")).filter(F.col("n_needed") > 0))
         if needs.isEmpty():
-            break
-    return kept
+            return kept
+    score = F.coalesce("score", F.lit(0.0))
+    ready = below.transform(kernels.equi, needs.select(*job.grp, "n_needed"), job.grp).withColumn("_gap", 1 - score)
+    ordered = range_buckets(ready, [*job.grp, "_gap", "rep"], "_range")
+    ranked = running_sums(ordered, job.grp, ["_gap", "rep"], F.col("_range"), {"_place": F.lit(1).cast("bigint")})
+    return kept.unionByName(ranked.filter(F.col("_place") <= F.col("n_needed")).select(*kept.columns))
 
 
 @register("SSO")
 def sso(job: Job):
-    """Rong et al. 2014, re-aimed: a radial basis network on min(20, n) k-means centers with a ridge output
+    """Rong et al. 2014, re-aimed: a radial basis network on min(``clusters``, n) k-means centers (20) with a ridge output
     layer scores the class; a row's sensitivity is the mean squared change of its score over ``h``
     (10) seeded shifts in +-``q`` (0.1, for scaled features). Bases follow sensitivity; a new row is
-    the base plus one more such shift. The network has at most 20 centers, so it travels with the task."""
+    the base plus one more such shift. The network is as small as its centers, so it travels with the task."""
     h, q = int(job.options.get("h", 10)), float(job.options.get("q", 0.1))
     parts = [_sensitivity(job, key, part, h, q) for key, part in each_group(job.minority, job.grp)]
     weights = parts[0]
@@ -134,7 +148,7 @@ def _sensitivity(job: Job, key, part: DataFrame, h: int, q: float) -> DataFrame:
     rows = job.points
     for c in job.by:
         rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
-    table = fit_centers(rows, [], 20, job.seed, job.options.get("restarts", 3)).collect()  # 20 centers
+    table = fit_centers(rows, [], int(job.options.get("clusters", 20)), job.seed, job.options.get("restarts", 3)).collect()  # one row per center
     nodes = np.array([r["center"] for r in table])
     gaps = blocks.all_distances(nodes, nodes)
     width = gaps[gaps > 0].mean() if (gaps > 0).any() else 1.0

@@ -8,11 +8,12 @@ from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import std_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.operators import kernels
+from evenkeel.operators.runtime import small_table
 
 
 def _spread(job: Job, population: bool):
-    return job.minority.groupBy(*job.grp).agg(
-        std_vector("features", population).alias("sd"), F.count(F.lit(1)).alias("n"))
+    return small_table(job.minority.groupBy(*job.grp).agg(
+        std_vector("features", population).alias("sd"), F.count(F.lit(1)).alias("n")))
 
 
 def _bases(job: Job):
@@ -24,7 +25,7 @@ def rose(job: Job):
     """Menardi & Torelli 2014, smoothed bootstrap: x + N(0, h^2) with
     h_q = (4 / ((d + 2) n))^(1 / (d + 4)) * sd_q (sample sd of the class). Only the short
     class is drawn and originals are kept (ours)."""
-    full = _bases(job).join(_spread(job, False), job.grp)
+    full = _bases(job).transform(kernels.equi, _spread(job, False), job.grp)
     d = job.dim
     width = F.pow(F.lit(4.0) / (F.lit(float(d + 2)) * F.col("n")), F.lit(1.0 / (d + 4)))
     full = full.withColumn("h", width)
@@ -35,7 +36,7 @@ def rose(job: Job):
 @register("NDO_sampling")
 def ndo(job: Job):
     """Zhang & Wang 2011: x_q - z * sd_q / sqrt(n), population sd, per feature."""
-    full = _bases(job).join(_spread(job, True), job.grp)
+    full = _bases(job).transform(kernels.equi, _spread(job, True), job.grp)
     return kernels.as_synthetic(full, job.by, F.transform(
         "x", lambda x, i: x - normal(job.seed, "z", *job.keys, i) * F.get("sd", i) / F.sqrt("n")))
 

@@ -54,12 +54,12 @@ class Job:
     def needs(self) -> DataFrame:
         """(by..., label, n, n_needed) of the classes that are short."""
         needs = kernels.targets(self.points, "label", self.strategy, self.by).filter(F.col("n_needed") > 0)
-        return small_table(needs if self.only is None else needs.join(self.only, self.grp, "left_semi"))
+        return small_table(needs if self.only is None else needs.transform(kernels.equi, self.only, self.grp, "left_semi"))
 
     @cached_property
     def minority(self) -> DataFrame:
         """Rows of the classes that are short, taken out of the source once."""
-        short = self.points.join(self.needs.select(*self.grp), self.grp, "left_semi")
+        short = self.points.transform(kernels.equi, self.needs.select(*self.grp), self.grp, "left_semi")
         return settle(short.select(*self.by, "row_id", "label", "features"))
 
     @cached_property
@@ -86,7 +86,7 @@ class Job:
         refs = self.points.withColumn("nbr_label", F.col("label").cast("int"))
         long = Neighbours(refs, by=self.by, carry=["nbr_label"], copies=k + 1).knn(self.minority, k)
         own = self.minority.select(*self.by, "label", "row_id")
-        judged = long.withColumnRenamed("q_id", "row_id").join(own, [*self.by, "row_id"])
+        judged = long.withColumnRenamed("q_id", "row_id").transform(kernels.equi, own, [*self.by, "row_id"])
         differs = F.sum((F.col("nbr_label") != F.col("label")).cast("bigint"))
         return settle(judged.groupBy(*self.grp, "row_id").agg(differs.alias("m"), F.count(F.lit(1)).alias("kk")))
 

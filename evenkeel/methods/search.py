@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators import cluster, metrics, split
+from evenkeel.operators import cluster, kernels, metrics, split
 from evenkeel.operators.runtime import settle, small_table
 
 TRIAL_ROWS = 100
@@ -48,7 +48,7 @@ def search_k(job, part: DataFrame, initial: int, folds: int = 3) -> int:
     best_k, best = initial, float("-inf")
     for k in range(initial, 1, -1):
         centers = cluster.fit_centers(part, job.grp, k, job.seed, job.options.get("restarts", 10))
-        members = settle(cluster.assign(part, centers, job.grp).join(part, [*job.grp, "row_id"]))
+        members = settle(cluster.assign(part, centers, job.grp).transform(kernels.equi, part, [*job.grp, "row_id"]))
         good = cluster.stable(cluster.sparsity(members, job.grp), job.grp)
         if good.isEmpty():
             continue

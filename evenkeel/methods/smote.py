@@ -12,6 +12,7 @@ from evenkeel.functions.rng import pick, uniform
 from evenkeel.functions.vectors import lerp, mean_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.operators import kernels
+from evenkeel.operators.runtime import small_table
 
 
 @register("Original", "NoSMOTE")
@@ -51,7 +52,7 @@ def adasyn(job: Job):
     gives none (ours)."""
     hard = job.crowd().withColumn("r", F.col("m") / F.col("kk"))
     total = hard.groupBy(*job.grp).agg(F.sum("r").alias("_r"))
-    sized = hard.join(total, job.grp).join(job.needs, job.grp).filter(F.col("_r") > 0)
+    sized = hard.transform(kernels.equi, total, job.grp).transform(kernels.equi, job.needs, job.grp).filter(F.col("_r") > 0)
     counted = sized.select(
         *job.grp, F.col("row_id").alias("base_id"),
         F.round(F.col("r") / F.col("_r") * F.col("n_needed")).cast("bigint").alias("g"))
@@ -62,11 +63,11 @@ def adasyn(job: Job):
 def distance_smote(job: Job):
     """De la Calleja & Fuentes 2007: towards the mean of the k nearest rows of the class."""
     side = job.minority.select(*job.by, F.col("row_id").alias("nbr_id"), F.col("features").alias("nbr"))
-    long = job.own_long.join(side, [*job.by, "nbr_id"])
+    long = job.own_long.transform(kernels.equi, side, [*job.by, "nbr_id"])
     centre = long.groupBy(*job.by, F.col("q_id").alias("base_id")).agg(
         mean_vector("nbr").alias("c"))
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    full = job.base_vec(made).join(centre, [*job.by, "base_id"], "left")
+    full = job.base_vec(made).transform(kernels.equi, centre, [*job.by, "base_id"], "left")
     share = uniform(job.seed, "lam", *job.keys)
     return kernels.as_synthetic(full, job.by, F.coalesce(lerp(F.col("x"), F.col("c"), share), F.col("x")))
 
@@ -103,7 +104,7 @@ def msmote(job: Job):
     made = kernels.draw_uniform(job.slots, kind, job.grp, job.keys, job.seed)
     made = kernels.attach(made, kind, job.by, "base_id", m="m")
     side = job.lists.select(*job.by, F.col("row_id").alias("base_id"), F.transform("nbrs", lambda s: s["nbr_id"]).alias("_ids"))
-    joined = made.join(side, [*job.by, "base_id"], "left")
+    joined = made.transform(kernels.equi, side, [*job.by, "base_id"], "left")
     place = F.when(F.col("m") == 0, pick(job.seed, "nbr", F.size("_ids"), *job.keys)).otherwise(F.lit(0)).cast("int")
     full = job.nbr_vec(job.base_vec(joined.withColumn("nbr_id", F.get("_ids", place)).drop("_ids", "m")))
     share = uniform(job.seed, "lam", *job.keys)
@@ -139,10 +140,10 @@ def smote_d(job: Job):
     """Torres et al. 2016, no randomness: a base's share follows the spread of its k distances,
     a neighbour's its distance; new rows are evenly spaced on each segment."""
     spread = job.own_long.groupBy(*job.grp, "q_id").agg(F.stddev_pop("dist").alias("sd"), F.sum("dist").alias("far"))
-    whole = spread.groupBy(*job.grp).agg(F.sum("sd").alias("_sd"))
-    share = spread.join(whole, job.grp).join(job.needs.select(*job.grp, "n_needed"), job.grp).filter(F.col("_sd") > 0)
+    whole = small_table(spread.groupBy(*job.grp).agg(F.sum("sd").alias("_sd")))
+    share = spread.transform(kernels.equi, whole, job.grp).transform(kernels.equi, job.needs.select(*job.grp, "n_needed"), job.grp).filter(F.col("_sd") > 0)
     share = share.withColumn("n_i", F.round(F.round(F.col("sd") / F.col("_sd") * F.col("n_needed"), 9)))
-    pairs = job.own_long.join(share.filter("n_i > 0 and far > 0").select(*job.grp, "q_id", "n_i", "far"), [*job.grp, "q_id"])
+    pairs = job.own_long.transform(kernels.equi, share.filter("n_i > 0 and far > 0").select(*job.grp, "q_id", "n_i", "far"), [*job.grp, "q_id"])
     pairs = pairs.select(
         *job.grp, F.col("q_id").alias("base_id"), "rank", "nbr_id",
         F.round(F.round(F.col("dist") / F.col("far") * F.col("n_i"), 9)).cast("bigint").alias("g"))
@@ -173,5 +174,5 @@ def drop_tomek_links(points, by=()):
     near = Neighbours(refs, by=by, carry=["nbr_label"], copies=2).knn(points, 1)
     near = near.select(*by, F.col("q_id").alias("a"), F.col("nbr_id").alias("b"), "nbr_label")
     back = near.select(*by, F.col("a").alias("b"), F.col("b").alias("a"), F.col("nbr_label").alias("a_label"))
-    links = near.join(back, [*by, "a", "b"]).filter(F.col("nbr_label") != F.col("a_label"))
-    return points.join(links.select(*by, F.col("a").alias("row_id")), [*by, "row_id"], "left_anti")
+    links = near.transform(kernels.equi, back, [*by, "a", "b"]).filter(F.col("nbr_label") != F.col("a_label"))
+    return points.transform(kernels.equi, links.select(*by, F.col("a").alias("row_id")), [*by, "row_id"], "left_anti")

@@ -46,8 +46,8 @@ def select(names: Sequence[str]) -> dict[str, Callable]:
     return {n: fn for n, fn in CLASSIFIERS.items() if n in names}
 
 
-def predict(name: str, train: DataFrame, test: DataFrame, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    return select([name])[name](train, test, list(by), seed)
+def predict(name: str, train: DataFrame, test: DataFrame, by: Sequence[str] = (), seed: int = 42, **options) -> DataFrame:
+    return select([name])[name](train, test, list(by), seed, **options)
 
 
 def _finish(df: DataFrame, by, p1) -> DataFrame:
@@ -72,19 +72,19 @@ def _per_group(train: DataFrame, test: DataFrame, by, fit) -> DataFrame:
 
 
 @classifier("CatBoost")
-def boosted_trees(train, test, by, seed):
-    """Gradient-boosted trees of Spark ML in the place of ordered boosting."""
-    return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=20, seed=seed).fit(ready))
+def boosted_trees(train, test, by, seed, rounds: int = 20):
+    """Gradient-boosted trees of Spark ML in the place of ordered boosting; ``rounds`` trees."""
+    return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=rounds, seed=seed).fit(ready))
 
 
 @classifier("RandomForest")
-def random_forest(train, test, by, seed):
-    """100 trees; depth is bounded by 10 (Spark ML allows 30 at most)."""
-    return _per_group(train, test, by, lambda ready, _: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(ready))
+def random_forest(train, test, by, seed, trees: int = 100, depth: int = 10):
+    """Depth is bounded (Spark ML allows 30 at most)."""
+    return _per_group(train, test, by, lambda ready, _: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(ready))
 
 
 @classifier("SVM")
-def rbf_svm(train, test, by, seed, width: int = 128):
+def rbf_svm(train, test, by, seed, width: int = 128, steps: int = 50):
     """RBF-kernel SVM re-aimed: seeded random Fourier features (gamma = 1 / (d * variance)), a
     linear SVC, and a logistic regression of the label on its margin for probabilities."""
     dim = dimension(train)
@@ -110,7 +110,7 @@ def rbf_svm(train, test, by, seed, width: int = 128):
         values = part.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
         gamma = 1.0 / (dim * values)
         ready = lift(part, gamma).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")).persist()
-        margin = LinearSVC(regParam=0.01, maxIter=50, tol=1e-4).fit(ready)
+        margin = LinearSVC(regParam=0.01, maxIter=steps, tol=1e-4).fit(ready)
         held = lift(rows, gamma).withColumn("features", array_to_vector("features"))
 
         def as_margin(df):
@@ -133,7 +133,7 @@ def nearest_neighbours(train, test, by, seed, k: int = 5):
     refs = train.withColumn("nbr_label", F.col("label").cast("int"))
     long = Neighbours(refs, by=by, carry=["nbr_label"], copies=k).knn(test, k, skip_self=False)
     votes = long.groupBy(*by, F.col("q_id").alias("row_id")).agg(F.avg("nbr_label").alias("_p"))
-    return _finish(test.join(votes, [*by, "row_id"]), by, F.col("_p"))
+    return _finish(test.transform(equi, votes, [*by, "row_id"]), by, F.col("_p"))
 
 
 @classifier("LogisticRegression")
@@ -147,8 +147,9 @@ def logistic_regression(train, test, by, seed):
 
 
 @classifier("DecisionTree")
-def decision_tree(train, test, by, seed):
-    return _per_group(train, test, by, lambda ready, _: DecisionTreeClassifier(maxDepth=10, seed=seed).fit(ready))
+def decision_tree(train, test, by, seed, depth: int = 10):
+    """Depth is bounded (Spark ML allows 30 at most)."""
+    return _per_group(train, test, by, lambda ready, _: DecisionTreeClassifier(maxDepth=depth, seed=seed).fit(ready))
 
 
 @classifier("NaiveBayes")

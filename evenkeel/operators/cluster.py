@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
 from evenkeel.functions.vectors import distance, mean_vector
+from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle
 
@@ -102,24 +103,20 @@ def estimate_k(rows: DataFrame, k_max: int = 20, seed: int = 42) -> int:
         return 1
     top = min(k_max, n)
     dim = int(rows.select(F.size("features")).first()[0])
-    try:
-        settled = settle(rows.select("features"))
-        pending = _halves(settled, seed)
-        final = 0
-        while pending:
-            part = pending.pop()
-            if final + len(pending) + 1 >= top:
-                final += 1
-                continue
-            halves = _halves(part, seed)
-            before = _bic([_size(part)], _spread(part), dim)
-            if len(halves) == 2 and _bic([_size(h) for h in halves], sum(_spread(h) for h in halves), dim) > before:
-                pending += halves
-            else:
-                final += 1
-        return max(2, min(final, top))
-    except Exception:  # noqa: BLE001  (a degenerate fit falls back to a fixed number)
-        return min(3, n)
+    pending = _halves(settle(rows.select("features")), seed)
+    final = 0
+    while pending:
+        part = pending.pop()
+        if final + len(pending) + 1 >= top:
+            final += 1
+            continue
+        halves = _halves(part, seed)
+        before = _bic([_size(part)], _spread(part), dim)
+        if len(halves) == 2 and _bic([_size(h) for h in halves], sum(_spread(h) for h in halves), dim) > before:
+            pending += halves
+        else:
+            final += 1
+    return max(2, min(final, top))
 
 
 def _halves(rows: DataFrame, seed: int) -> list[DataFrame]:
@@ -179,7 +176,7 @@ def allocate(weighted: DataFrame, needs: DataFrame, grp: Sequence[str]) -> DataF
     whole = Window.partitionBy(*grp)
     line = Window.partitionBy(*grp).orderBy("cluster")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
-    df = weighted.join(needs.select(*grp, F.col("n_needed").alias("_n")), list(grp))
+    df = weighted.transform(equi, needs.select(*grp, F.col("n_needed").alias("_n")), list(grp))
     df = df.withColumn("_share", F.col("weight") / F.sum("weight").over(whole))
     df = df.withColumn("_want", F.greatest(F.lit(1), F.floor(F.col("_share") * F.col("_n"))).cast("bigint"))
     left = F.greatest(F.lit(0).cast("bigint"), F.col("_n") - F.coalesce(F.sum("_want").over(earlier), F.lit(0)))
@@ -196,5 +193,5 @@ def mean_pair_distance(rows: DataFrame, grp: Sequence[str]) -> DataFrame:
     parts = Neighbours(rows, by=grp).meet(rows, blocks.distance_sum(), "total double")
     total = parts.groupBy(*grp).agg(F.sum("total").alias("_t"))
     sizes = rows.groupBy(*grp).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(total, list(grp)).select(
+    return sizes.transform(equi, total, list(grp)).select(
         *grp, "n", F.when(F.col("n") > 1, F.col("_t") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("mean_dist"))

@@ -8,13 +8,15 @@ A *slots* frame has one row per synthetic row to make: ``grp..., rep``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import pick, uniform
 from evenkeel.operators.neighbours import Neighbours
-from evenkeel.operators.runtime import width
+from evenkeel.operators.runtime import SMALL_ROWS, small_table, width
 from evenkeel.operators.scan import BUCKETS, expand, running_sums, shuffled_index
 
 LABEL_SPAN = 1000  # labels are integers 0..999; synthetic ids are -(rep * LABEL_SPAN + label)
@@ -50,17 +52,18 @@ def targets(points: DataFrame, label: str = "label", strategy="auto", by: Sequen
 
 
 def equi(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal names; without any, ``right`` must be a single row (an overall total)."""
-    if on:
-        return left.join(right, list(on), how)
-    left, right = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1))
-    return left.join(right, "_one", how).drop("_one")
+    """Join on equal names, nulls being equal too; without any, ``right`` must be a single row (an overall total)."""
+    if not on:
+        left, right, on = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"]
+    renamed = right.withColumnsRenamed({c: f"_k_{c}" for c in on})
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on])
+    return left.join(renamed, match, how).drop("_one", *[f"_k_{c}" for c in on])
 
 
 def attach(df: DataFrame, points: DataFrame, by: Sequence[str], key: str, how: str = "inner", **columns: str) -> DataFrame:
     """Look up ``columns`` (new name = source column) of the row whose id is ``df[key]``."""
     side = points.select(*by, F.col("row_id").alias(key), *[F.col(src).alias(new) for new, src in columns.items()])
-    return df.join(side, [*by, key], how)
+    return equi(df, side, [*by, key], how)
 
 
 def slots(needs: DataFrame, grp: Sequence[str]) -> DataFrame:
@@ -78,9 +81,11 @@ def draw_uniform(made: DataFrame, bases: DataFrame, grp: Sequence[str], keys: Se
     """Give each slot a row of its group, uniformly with replacement."""
     ids = bases.select(*grp, "row_id")
     placed = shuffled_index(ids, grp, "row_id", seed, "idx").drop("n").withColumnRenamed("row_id", name)
-    sizes = ids.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small_table(ids.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")))
+    if (sizes.agg(F.sum("_n")).first()[0] or 0) <= SMALL_ROWS:
+        placed = small_table(placed)  # few bases for many slots would be few, hot join keys
     aimed = equi(made, sizes, grp).withColumn("idx", pick(seed, stream, "_n", *keys) + 1).drop("_n")
-    return aimed.join(placed, [*grp, "idx"]).drop("idx")
+    return equi(aimed, placed, [*grp, "idx"]).drop("idx")
 
 
 def draw_weighted(weights: DataFrame, needs: DataFrame, grp: Sequence[str], seed: int) -> DataFrame:
@@ -124,7 +129,7 @@ def pack_lists(long: DataFrame, grp: Sequence[str]) -> DataFrame:
 def draw_neighbour(made: DataFrame, lists: DataFrame, by: Sequence[str], keys: Sequence, seed: int, stream: str = "nbr") -> DataFrame:
     """Give each slot one of its base's neighbours, uniformly; null when it has none."""
     side = lists.select(*by, F.col("row_id").alias("base_id"), F.transform("nbrs", lambda s: s["nbr_id"]).alias("_ids"))
-    joined = made.join(side, [*by, "base_id"], "left")
+    joined = equi(made, side, [*by, "base_id"], "left")
     place = (pick(seed, stream, F.size("_ids"), *keys) + 1).cast("int")
     # get() is 0-based and null-safe where the list is missing
     return joined.withColumn("nbr_id", F.get("_ids", place - 1)).drop("_ids")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.kernels import equi
-from evenkeel.operators.scan import BUCKETS, running_sums
+from evenkeel.operators.scan import range_buckets, running_sums
 
 METRICS = [
     "tpr", "fpr", "tnr", "fnr", "specificity", "accuracy", "precision", "precision_macro", "precision_weighted",
@@ -50,12 +50,13 @@ def _scored(counts: DataFrame) -> DataFrame:
         "neg", F.when(known, F.col("tn") + F.col("fp")).otherwise(0)).drop("tn", "fp", "fn", "tp")
 
 
-def _bucket() -> Column:
-    return F.least(F.greatest(F.floor(F.col("p1") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+def _ranged(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The counts per score, written once and cut into ranges of the scores that occur."""
+    return range_buckets(score_counts(preds, by), [*by, "p1"])
 
 
 def _auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    ranked = running_sums(_scored(counts), by, ["p1"], _bucket(), {"_upto": F.col("pos") + F.col("neg")})
+    ranked = running_sums(_scored(counts), by, ["p1"], F.col("_range"), {"_upto": F.col("pos") + F.col("neg")})
     tie = F.col("pos") + F.col("neg")
     mean_rank = F.col("_upto") - tie + (tie + 1) / 2
     sums = ranked.groupBy(*by).agg(
@@ -66,7 +67,7 @@ def _auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def roc_auc(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., roc_auc) by mean ranks; null when one class is missing."""
-    return _auc(score_counts(preds, by), by)
+    return _auc(_ranged(preds, by), by)
 
 
 def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +77,7 @@ def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     n1, n0 = tp + fn, tn + fp
-    counts = score_counts(preds, by)
+    counts = _ranged(preds, by)
     c = counts.groupBy(*by).agg(*[F.sum(n).alias(n) for n in ("tn", "fp", "fn", "tp")])
     c = c.withColumns({
         "tpr": _share(tp, n1), "fpr": _share(fp, n0), "tnr": _share(tn, n0), "fnr": _share(fn, n1),
@@ -109,7 +110,7 @@ def evaluate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def fp_rate(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return evaluate(preds, by).select(*by, F.col("fpr").alias("fp_rate"))
+    return confusion(preds, by).select(*by, _share(F.col("fp"), F.col("tn") + F.col("fp")).alias("fp_rate"))
 
 
 def long_form(scores: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -117,21 +118,21 @@ def long_form(scores: DataFrame, by: Sequence[str], metrics: Sequence[str] = MET
     return scores.unpivot(list(by), list(metrics), "metric", "value")
 
 
-def _swept(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+def _swept(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts at or above every distinct score, highest first."""
-    falling = F.lit(BUCKETS - 1) - _bucket()
-    scored = _scored(score_counts(preds, by)).filter("pos + neg > 0")
-    return running_sums(scored, by, [F.col("p1").desc()], falling, {"tp": F.col("pos"), "fp": F.col("neg")})
+    scored = _scored(counts).filter("pos + neg > 0")
+    return running_sums(scored, by, [F.col("p1").desc()], -F.col("_range"), {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_points(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., threshold, fpr, tpr) per distinct score; the start (0, 0) has a null threshold."""
     by = list(by)
-    swept = _swept(preds, by)
+    counts = _ranged(preds, by)
+    swept = _swept(counts, by)
     points = swept.select(
         *by, F.col("p1").alias("threshold"), _share(F.col("fp"), F.col("fp_total")).alias("fpr"),
         _share(F.col("tp"), F.col("tp_total")).alias("tpr"))
-    starts = preds.groupBy(*by).agg(
+    starts = counts.groupBy(*by).agg(
         F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(starts)
 
@@ -139,10 +140,11 @@ def roc_points(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def pr_points(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., threshold, recall, precision) per distinct score, closed by (0, 1) with a null threshold."""
     by = list(by)
-    points = _swept(preds, by).select(
+    counts = _ranged(preds, by)
+    points = _swept(counts, by).select(
         *by, F.col("p1").alias("threshold"), _share(F.col("tp"), F.col("tp_total")).alias("recall"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    ends = preds.groupBy(*by).agg(
+    ends = counts.groupBy(*by).agg(
         F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return points.unionByName(ends)
 
@@ -155,4 +157,4 @@ def pr_area(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     last = F.when(before > 0, (F.col("tp") - F.col("pos")) / before).otherwise(1.0)
     here = F.col("tp") / (F.col("tp") + F.col("fp"))
     strip = _share(F.col("pos"), F.col("tp_total")) * (here + last) / 2
-    return _swept(preds, by).groupBy(*by).agg(F.sum(strip).alias("pr_area"))
+    return _swept(_ranged(preds, by), by).groupBy(*by).agg(F.sum(strip).alias("pr_area"))

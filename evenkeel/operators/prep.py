@@ -17,9 +17,9 @@ from evenkeel.functions import blocks
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.quantiles import exact_quantiles
 from evenkeel.operators.runtime import settle
-from evenkeel.operators.scan import running_sums
+from evenkeel.operators.scan import range_buckets, running_sums
 
-MAX_LEVELS = 5_000  # one-hot columns are schema; more levels than this is an error
+MAX_LEVELS = 5_000  # of one column
 
 # ---- profiling -----------------------------------------------------------
 
@@ -234,9 +234,8 @@ def levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(col, level, code): sorted non-null levels of each column, numbered from 0."""
     cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("level")) for c in cols])
     found = df.select(F.explode(cells).alias("s")).select("s.*").filter("level IS NOT NULL").distinct()
-    # the first bytes of the text do not decrease along its order
-    lead = F.conv(F.rpad(F.hex(F.substring(F.encode("level", "UTF-8"), 1, 2)), 4, "0"), 16, 10).cast("int")
-    ranked = running_sums(found, ["col"], ["level"], lead, {"code": F.lit(1).cast("bigint")})
+    ordered = range_buckets(found, ["col", "level"])
+    ranked = running_sums(ordered, ["col"], ["level"], F.col("_range"), {"code": F.lit(1).cast("bigint")})
     return ranked.select("col", "level", (F.col("code") - 1).alias("code"))
 
 
@@ -266,16 +265,18 @@ class OneHotEncoder:
         return df.withColumns(flags).drop(*self.known) if flags else df.drop(*self.known)
 
 
-def fit_encode(df: DataFrame, cols: Sequence[str], how: str = "label"):
+def fit_encode(df: DataFrame, cols: Sequence[str], how: str = "label", max_levels: int = MAX_LEVELS):
+    """One-hot columns are schema, held by the driver: a column with more than ``max_levels`` levels is an error."""
     cols = list(cols)
     if how == "label":
         return LabelEncoder(settle(levels(df, cols)) if cols else df, cols)
     if how == "onehot":
         if not cols:
             return OneHotEncoder({})
-        rows = levels(df, cols).limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} levels: use label encoding")
+        rows = levels(df, cols).filter(F.col("code") <= max_levels).collect()
+        wide = [r["col"] for r in rows if r["code"] == max_levels]
+        if wide:
+            raise ValueError(f"more than {max_levels} levels in {', '.join(wide)}: use label encoding or raise max_levels")
         known = {c: [] for c in cols}
         for r in sorted(rows, key=lambda r: r["code"]):
             known[r["col"]].append(r["level"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import uniform
+from evenkeel.operators.runtime import settle, width
 
 BUCKETS = 1 << 16  # rows of the offset table per group, at most
 
@@ -53,6 +54,12 @@ def running_sums(
     return joined.select(*keep, *sums, *[f"{n}_total" for n in sums])
 
 
+def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_range") -> DataFrame:
+    """A written copy of ``df`` with ``name``, which never falls along ``order``: bounds are sampled from the
+    keys themselves, so buckets hold like numbers of rows wherever the keys crowd."""
+    return settle(df.repartitionByRange(width(df.sparkSession), *order).withColumn(name, F.spark_partition_id()))
+
+
 def shuffled_index(
     df: DataFrame, by: Sequence[str], id: str, seed: int, stream: str, name: str = "idx", count: str = "n"
 ) -> DataFrame:

@@ -1,7 +1,7 @@
 """Preparation recipes: raw table -> numeric features and a binary label.
 
 Order: canonical values -> binary label -> dedupe -> rows with too much missing ->
-imputation -> outliers -> encoding -> scaling. The label stays in the row throughout.
+imputation -> outliers -> encoding -> dropped columns -> scaling. The label stays in the row throughout.
 """
 
 from __future__ import annotations
@@ -59,10 +59,10 @@ RECIPES: dict[str, Recipe] = {
 def prepare(df: DataFrame, recipe: Recipe, id: str) -> DataFrame:
     """Apply a recipe to a table with a unique integer ``id``."""
     label = recipe.label
-    if recipe.drop:
-        df = df.drop(*recipe.drop)
     features = [c for c in df.columns if c not in (id, label)]
     numeric, text = prep.split_columns(df.select(*features))
+    # chosen on the raw table: cleaning may change how many values a column has
+    continuous = prep.continuous_columns(df, numeric) if recipe.outliers != "none" else []
     if recipe.sentinel is not None:
         df = prep.sentinel_to_null(df, text, recipe.sentinel)
     if recipe.canonical:
@@ -85,11 +85,13 @@ def prepare(df: DataFrame, recipe: Recipe, id: str) -> DataFrame:
             df = prep.fit_impute(df, numeric, text).transform(df)
     if recipe.outliers != "none":
         df = settle(df)
-        df = prep.drop_outliers(df, prep.continuous_columns(df, numeric), recipe.outliers)
+        df = prep.drop_outliers(df, continuous, recipe.outliers)
     if recipe.label_encode:
         df = prep.fit_encode(df, recipe.label_encode, "label").transform(df)
     if recipe.one_hot:
         df = prep.dummies(df, recipe.one_hot)
+    if recipe.drop:
+        df = df.drop(*recipe.drop)
     if recipe.scaling != "none":
         df = settle(df)
         cols = [c for c in df.columns if c not in (id, label)]

@@ -252,7 +252,11 @@ def supervised_sql() -> str:
             f"good{r} AS (SELECT * FROM d{r} s WHERE {u('score', 1, 's.rep')} >= 0.5)",
             f"off{r + 1} AS (SELECT n - (SELECT count(*) FROM good{r}) AS n, off + n AS off FROM off{r})",
         ]
-    ctes += ["draw AS (" + " UNION ALL ".join(f"SELECT rep, base_id FROM good{r}" for r in range(3)) + ")", NBR, XN]
+    poor = " UNION ALL ".join(f"SELECT s.rep, s.base_id, 1 - {u('score', 1, 's.rep')} AS gap FROM d{r} s" for r in range(3))
+    ctes.append(f"""fill AS (SELECT rep, base_id FROM ({poor}) WHERE gap > 0.5
+  QUALIFY row_number() OVER (ORDER BY gap, rep) <= (SELECT n FROM off3))""")
+    made = [f"good{r}" for r in range(3)] + ["fill"]
+    ctes += ["draw AS (" + " UNION ALL ".join(f"SELECT rep, base_id FROM {m}" for m in made) + ")", NBR, XN]
     return resampled(ctes, "xn", LERP)
 
 
