@@ -6,7 +6,7 @@ written, dealt to fewer partitions and packed again, up a tree, until one round
 than ROUND_ITEMS a task, until a round no longer merges anything. A bin holds at most ``size`` pieces, so a row is bounded.
 
 Ids are looked up by word: no token of the file crosses white space, so a text's ids are those of its words in turn;
-words not seen by the task yet are encoded in batches by the tokenizers library.
+words not seen by the Python worker yet are encoded in batches by the tokenizers library.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives
 no rows; other columns play no part.
@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from evenkeel.operators.runtime import settle, width
 SLACK = 16  # tokens: a bin with no more room than this is emitted
 FAN_IN = 4  # partitions that merge into one of the next round
 ROUND_ITEMS = 400_000  # underfull bins that one task packs, at most
-CACHE_WORDS = 350_000  # words whose ids a task remembers
+CACHE_WORDS = 300_000  # words a generation of the cache holds, but for those of the texts at hand; a Python worker has two
 
-_RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)|.*)$", re.M)  # one match a line
+# one match a line: letters, then marks other than the apostrophe (contractions) and those of special tokens
+_RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]*)|.*)$", re.M)
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])
 _BIN = pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("members", pa.list_(_PIECE))])
@@ -43,9 +45,9 @@ _BIN_DDL = "bin long, fill int, members array<struct<doc_id: long, piece: int, s
 class WordIds:
     """Little-endian 32-bit ids of texts by their words.
 
-    A run of Latin letters is one piece for the tokenizer's rules, whether or not a full stop or comma follows, and in lower case needs no
-    normalisation; so many are given to the library in one call and told apart by the ids that end a word. Other words are
-    encoded each.
+    A run of Latin letters is one piece for the tokenizer's rules, and so is a run of marks behind it; in lower case the letters need no
+    normalisation, so many are given to the library in one call and told apart by the ids that end a word. Other words, and each
+    run of marks, are encoded apart.
     """
 
     def __init__(self, path: str):
@@ -60,8 +62,9 @@ class WordIds:
         self.accents.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
-        self.known: dict[bytes, bytes] = {}
-        self.stops = {c: self._each([c])[0] for c in ".,"}
+        self.known: dict[bytes, bytes] = {}  # this generation
+        self.older: dict[bytes, bytes] = {}  # the one before: its words are taken over when they are met again
+        self.stops: dict[str, bytes] = {"": b""}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -83,8 +86,12 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         known = self.known
         if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(words - known.keys())
+            self.older, self.known, self.stops = known, {}, {"": b""}
+            known = self.known
+        new = words - known.keys()
+        met = new & self.older.keys()
+        known.update(zip(met, map(self.older.__getitem__, met)))
+        new = list(new - met)
         cut = _RUN.findall(b"\n".join(new).decode().lower())
         if len(cut) != len(new):  # a letter whose lower case is a line end: there is none, but nothing else would tell
             cut = [("", "")] * len(new)
@@ -92,7 +99,9 @@ class WordIds:
         plain = set(filter(str.isascii, runs))
         found = {**self._runs(list(plain), self.letters), **self._runs(list(runs - plain), self.accents)}
         stops = self.stops
-        known.update({w: found[run] + stops[stop] if stop else found[run] for w, (run, stop) in zip(new, cut) if run})
+        marks = list({stop for _, stop in cut} - stops.keys())
+        stops.update(zip(marks, self._each(marks)))
+        known.update({w: found[run] + stops[stop] for w, (run, stop) in zip(new, cut) if run})
         other = [w for w, (run, _) in zip(new, cut) if not run]
         known.update(zip(other, self._each([w.decode() for w in other])))
 
@@ -100,6 +109,12 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """Opened once a Python worker; later tasks of the worker find its words."""
+    return WordIds(path)
+
+
 def best_fit(sizes: np.ndarray, size: int) -> list[list[int]]:
     """Best-fit decreasing: item numbers by bin."""
     bins: list[list[int]] = []
@@ -141,7 +156,7 @@ def _emit(bins: list[list[int]], members: list[list[tuple]], round: int) -> Iter
 
 def _first_round(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rests, full = WordIds(path), [], []
+        words, rests, full = word_ids(path), [], []
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
