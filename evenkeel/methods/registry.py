@@ -56,6 +56,10 @@ class Job:
         needs = kernels.targets(self.points, "label", self.strategy, self.by).filter(F.col("n_needed") > 0)
         return small_table(needs if self.only is None else needs.transform(kernels.equi, self.only, self.grp, "left_semi"))
 
+    @cached_property
+    def codes(self) -> tuple[int, int]:
+        return kernels.label_codes(self.needs)
+
     @cached_property
     def minority(self) -> DataFrame:
         """Rows of the classes that are short, taken out of the source once."""
@@ -144,4 +148,4 @@ def fit_resample(
     made = METHODS[method](job)
     if isinstance(made, tuple):
         points, made = made
-    return kernels.union_result(points, made, by)
+    return kernels.union_result(points, made, by, job.codes if made is not None else (0, kernels.LABEL_SPAN))

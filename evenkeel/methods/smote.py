@@ -158,7 +158,7 @@ def smote_tomek(job: Job):
     nearest row, labels differing) are removed."""
     from evenkeel.operators.runtime import settle
 
-    full = settle(kernels.union_result(job.points, smote(job), job.by))
+    full = settle(kernels.union_result(job.points, smote(job), job.by, job.codes))
     kept = drop_tomek_links(full, job.by)
     points = kept.filter(~F.col("is_synthetic")).select(*job.by, "row_id", "label", "features")
     made = kept.filter("is_synthetic").select(*job.by, "label", "rep", "base_id", "nbr_id", "features")

@@ -19,7 +19,7 @@ from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import SMALL_ROWS, small_table, width
 from evenkeel.operators.scan import BUCKETS, expand, running_sums, shuffled_index
 
-LABEL_SPAN = 1000  # labels are integers 0..999; synthetic ids are -(rep * LABEL_SPAN + label)
+LABEL_SPAN = 1000  # synthetic ids are -(rep * LABEL_SPAN + label) for labels 0..999; other labels get a wider span
 
 
 def class_counts(points: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -141,17 +141,23 @@ def as_synthetic(made: DataFrame, by: Sequence[str], features: Column) -> DataFr
     return made.select(*by, "label", "rep", F.col("base_id"), nbr.cast("bigint").alias("nbr_id"), features.alias("features"))
 
 
-def union_result(points: DataFrame, synthetic: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Originals and synthetic rows in one frame with provenance."""
+def label_codes(needs: DataFrame) -> tuple[int, int]:
+    """The lowest label and the number of codes, so that ids of synthetic rows differ between all labels."""
+    low, high = needs.agg(F.min("label"), F.max("label")).first()
+    low = min(0, low or 0)
+    return low, max(LABEL_SPAN, (high or 0) - low + 1)
+
+
+def union_result(points: DataFrame, synthetic: DataFrame | None, by: Sequence[str], codes: tuple[int, int] = (0, LABEL_SPAN)) -> DataFrame:
+    """Originals and synthetic rows in one frame with provenance; ``codes`` as ``label_codes`` gives them."""
     null = F.lit(None).cast("bigint")
     kept = points.select(
         *by, "row_id", F.col("label").cast("int").alias("label"), "features", F.lit(False).alias("is_synthetic"),
         null.alias("base_id"), null.alias("nbr_id"), null.alias("rep"))
     if synthetic is None:
         return kept
-    inside = F.col("label").between(0, LABEL_SPAN - 1)
-    new_id = F.when(inside, -(F.col("rep") * LABEL_SPAN + F.col("label"))).otherwise(
-        F.raise_error(F.lit(f"labels of synthetic rows must lie in 0..{LABEL_SPAN - 1}, or their ids would clash")))
+    low, span = codes
+    new_id = -(F.col("rep") * F.lit(span).cast("bigint") + F.col("label").cast("bigint") - low)
     made = synthetic.select(
         *by, new_id.cast("bigint").alias("row_id"), F.col("label").cast("int").alias("label"), "features",
         F.lit(True).alias("is_synthetic"), "base_id", "nbr_id", F.col("rep").cast("bigint").alias("rep"))

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
-from evenkeel.operators.runtime import settle, spread, width
+from evenkeel.operators.runtime import settle, small_table, spread, width
 
 LOCAL_BYTES = 32 << 20
 CHUNK_ROWS = 2048  # queries that meet a block in one task
 TAKE_ROWS = 1 << 15  # rows handed to Spark at a time when a query goes to many cells
-MAX_PIVOTS = 512
+PIVOT_BYTES = 16 << 20  # of all pivots together
 SPREAD_BYTES = 1 << 30
 STREAM_QUERIES = 8192  # this few queries travel to the references; more of them meet blocks
 STREAM_WAVES = 8  # tasks per core, at most, that read references for travelling queries
@@ -265,7 +265,7 @@ class Neighbours:
             "_salt", F.pmod(F.xxhash64("_rid"), F.ceil(F.col("_n") / F.lit(cap)))).drop("_n"))
         self.stats = settle(self.blocked.groupBy(*self.keys).agg(
             F.min("_dp").alias("_lo"), F.max("_dp").alias("_hi")))
-        # one row per pivot, MAX_PIVOTS at most
+        # one row per pivot, PIVOT_BYTES of vectors at most
         known: dict[tuple, dict[str, np.ndarray]] = {}
         for row in cells.filter(F.col("_cell") >= 0).collect():
             key = tuple(row[c] for c in by)
@@ -289,14 +289,21 @@ class Neighbours:
         return ranked.filter(F.col("_copy") <= self.copies).drop("_copy", "_hash")
 
     def _draw_pivots(self, refs: DataFrame) -> dict[tuple, np.ndarray]:
+        """For every group of more than one block, as many pivots as blocks, up to the square root of its rows. Beyond
+        PIVOT_BYTES in all, every group gives up the same share; a group left without any is one cell."""
         by, cap = self.by, self.block_rows
-        sizes = refs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)
-        quota = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_n") / F.lit(cap)))
+        quota = F.least(F.ceil(F.col("_n") / F.lit(cap)), F.ceil(F.sqrt("_n")))
+        sizes = refs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap).withColumn("_quota", quota)
+        sizes = small_table(sizes)
+        most = PIVOT_BYTES // (8 * max(1, self.dim))
+        wanted = sizes.agg(F.sum("_quota")).first()[0] or 0
+        if wanted > most:
+            sizes = sizes.withColumn("_quota", F.floor(F.col("_quota") * F.lit(most) / F.lit(wanted))).filter("_quota > 0")
+        # four times the quota pass the hash, so a window sorts no more than that many rows of a group
         hashed = F.pmod(F.xxhash64("_rid"), F.lit(1 << 30))
-        some = self._join(refs, sizes, by).filter(hashed < F.lit(float(1 << 30)) * 4 * quota / F.col("_n"))
+        some = self._join(refs, sizes, by).filter(hashed < F.lit(float(1 << 30)) * 4 * F.col("_quota") / F.col("_n"))
         draw = Window.partitionBy(*by).orderBy(hashed, "_rid")
-        ranked = some.withColumn("_draw", F.row_number().over(draw)).filter(F.col("_draw") <= quota)
-        drawn = ranked.orderBy("_draw").limit(MAX_PIVOTS).select(*by, "_rvec").toArrow()
+        drawn = some.withColumn("_draw", F.row_number().over(draw)).filter(F.col("_draw") <= F.col("_quota")).select(*by, "_rvec").toArrow()
         return {
             key: np.unique(blocks.matrix(drawn.column("_rvec").take(pa.array(rows))), axis=0)
             for key, rows in group_rows(drawn, by).items() if len(rows)
@@ -328,8 +335,6 @@ class Neighbours:
                         yield pa.RecordBatch.from_arrays(list(some.columns) + [pa.array(e) for e in extra], names=names)
                         continue
                     stat = cells.value[key]
-                    gaps = blocks.all_distances(p, p)
-                    np.fill_diagonal(gaps, np.inf)
                     for part in blocks.steps(len(rows), len(p)):
                         here = rows[part]
                         d = blocks.all_distances(vecs[here], p)
@@ -346,7 +351,9 @@ class Neighbours:
                             extra = [home.astype("int32"), slab.astype("int64"), first]
                         else:
                             bound = np.maximum(d - stat["hi"], stat["lo"] - d)
-                            bound = np.maximum(bound, (d**2 - d[line, home][:, None] ** 2) / (2 * gaps[home]))
+                            gaps = blocks.all_distances(p[home], p)
+                            gaps[gaps == 0] = np.inf  # the home itself, and pivots that rounding does not tell from it
+                            bound = np.maximum(bound, (d**2 - d[line, home][:, None] ** 2) / (2 * gaps))
                             open_ = bound * (1 - 1e-9) - 1e-7 <= theta[here][:, None]
                             i, cell = np.nonzero(open_ & (stat["n"] > 0))
                             for at in range(0, len(i), TAKE_ROWS):

@@ -103,6 +103,24 @@ query("x_final_evaluation", f"""{FINAL_SQL} SELECT 'embeddings' AS dataset, 'SMO
   round(max(value) FILTER (variant = 'resampled') - max(value) FILTER (variant = 'original'), 6) AS improvement FROM long GROUP BY classifier, metric""")(
     lambda spark, sf_dir: r(experiment.changes(experiment.final(embedding_points(spark, sf_dir), "SMOTE", PAIR), "embeddings", "SMOTE")))
 
+TRAINING = [PTS.replace("pts AS", "everyone AS", 1), rank_in_class("split").replace("r AS", "ranked AS", 1).replace("FROM pts", "FROM everyone"),
+            "pts AS (SELECT row_id, label, x FROM ranked WHERE rk > ceil(0.2::DOUBLE * n))", *FOLDS[1:]]
+
+
+def training_cv(stage: str, *fit: str) -> str:
+    ctes = with_(*TRAINING, *fit, KNN_SQL, NB_SQL, PRED_SQL, evaluated("classifier, fold"), long_sql("classifier, fold", report.PRIORITY_METRICS))
+    return f"SELECT '{stage}' AS stage, * FROM ({ctes} SELECT classifier, metric, avg(value) AS value, stddev_pop(value) AS std FROM long GROUP BY classifier, metric)"
+
+
+ENDS = f"""{FINAL_SQL} SELECT classifier, metric, max(value) FILTER (variant = 'original') AS a, max(value) FILTER (variant = 'resampled') AS b
+FROM long GROUP BY classifier, metric"""
+query("x_experiment", f"""SELECT 'embeddings' AS dataset, 'SMOTE' AS method, classifier, stage, metric, round(value, 6) AS value, round(std, 6) AS std FROM (
+{training_cv('baseline_cv', "fit AS (SELECT 'x' AS v, * FROM train)")}
+UNION ALL {training_cv('resampled_cv', *smote_by("f"), "fit AS (SELECT 'x' AS v, f, row_id, label, x FROM train UNION ALL SELECT 'x', f, row_id, label, x FROM made)")}
+UNION ALL SELECT stage, classifier, metric, CASE stage WHEN 'original' THEN a WHEN 'resampled' THEN b ELSE b - a END, NULL::DOUBLE
+FROM ({ENDS}) CROSS JOIN (VALUES ('original'), ('resampled'), ('improvement')) s(stage))""")(
+    lambda spark, sf_dir: r(experiment.run(embedding_points(spark, sf_dir), "embeddings", "SMOTE", PAIR)))
+
 
 @query("x_akmeans_against_kmeans")
 def x_comparison(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from evenkeel.methods import smote  # noqa: F401  (registers the methods)
 from evenkeel.methods.registry import fit_resample
 from evenkeel.queries.base import (
-    CROWD, MIN_CTES, NBR, OWN, OWNK, embedding_points, flat, knn, pick, query, resampled, u, uniform_draw, with_,
+    CROWD, MIN_CTES, NBR, OWN, OWNK, embedding_points, flat, knn, pick, query, resampled, table, u, uniform_draw,
 )
 
 XN = "xn AS (SELECT d.*, a.x AS bx, b.x AS nx FROM paired d JOIN p a ON a.row_id = d.base_id LEFT JOIN p b ON b.row_id = d.nbr_id)"
@@ -110,4 +113,18 @@ TOMEK = [
     "kept AS (SELECT * FROM pts WHERE row_id NOT IN (SELECT row_id FROM links))",
     "madekept AS (SELECT * FROM made WHERE row_id NOT IN (SELECT row_id FROM links))",
 ]
+
+
+@query("o_smote_wide_labels", """WITH c AS (SELECT (label * 1000 - 3000)::INT AS label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT label, max(n) OVER () AS n_rows, max(n) OVER () - n AS n_synthetic, 1::BIGINT AS rows_of_an_id FROM c""")
+def smote_wide_labels(spark, sf_dir):
+    """All classes of the embeddings under labels below 0 and above 999: rows, synthetic rows, most rows that share an id."""
+    points = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(
+        F.col("vec_id").alias("row_id"), (F.col("label") * 1000 - 3000).cast("int").alias("label"),
+        F.col("embedding").cast("array<double>").alias("features"))
+    made = fit_resample(points, "SMOTE").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("row_id")))
+    return made.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_synthetic").cast("bigint")).alias("n_synthetic"), F.max("times").alias("rows_of_an_id"))
+
+
 query("o_smote_tomeklinks", resampled(TOMEK, "madekept", "s.x[pos + 1]", originals="kept"))(resample("SMOTE_TomekLinks"))

@@ -29,12 +29,14 @@ def test_quantiles_with_odd_values(spark, odd):
     assert exact_quantiles(df, ["x"], [0.5], direct_rows=10)["x"] == want
 
 
-def test_synthetic_ids_cannot_clash(spark):
-    rows = [(i, 2000 if i < 3 else 0, [float(i)]) for i in range(10)]
+@pytest.mark.parametrize("names", [(0, 1000, 2000), (-5, 0, 7), (0, 3, 2**31 - 1)])
+def test_synthetic_ids_cannot_clash(spark, names):
+    rows = [(i, names[0] if i < 12 else names[1 + i % 2], [float(i)]) for i in range(18)]
     from evenkeel.methods import smote  # noqa: F401
 
-    with pytest.raises(Exception, match="0..999"):
-        fit_resample(points(spark, rows), "SMOTE", id="row_id", label="label", features="features", k=2).collect()
+    made = fit_resample(points(spark, rows), "SMOTE", id="row_id", label="label", features="features", k=2).collect()
+    assert len(made) == 36 and len({r["row_id"] for r in made}) == 36
+    assert all(r["row_id"] < 0 for r in made if r["is_synthetic"])
 
 
 def test_original_comes_first(spark):

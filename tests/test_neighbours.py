@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import blocks
+from evenkeel.operators import neighbours
 from evenkeel.operators.neighbours import Neighbours
 
 
@@ -82,3 +83,15 @@ def test_few_queries_travel_to_the_references(spark, name):
     rows = near.collect()
     assert {(r["q_id"], r["rank"]): r["nbr_id"] for r in rows} == wanted
     assert all(r["tag"] == r["nbr_id"] % 7 and r["g"] == groups[r["q_id"]] for r in rows)
+
+
+def test_pivots_keep_their_bound(spark, monkeypatch):
+    mat = cases()["smooth"]
+    groups = np.array([0] * 180 + [1] * 57 + [2] * 3)
+    df = frame(spark, mat, groups)
+    for most, counts in ((1 << 20, {0: 12, 1: 4}), (8 * 3 * 7, {0: 5, 1: 1}), (8 * 3, None)):
+        monkeypatch.setattr(neighbours, "PIVOT_BYTES", most)
+        index = Neighbours(df, by=["g"], copies=6, local_bytes=0, block_rows=16, stream_queries=0)
+        assert got(index.knn(df, 5)) == brute(mat, mat, 5, same=groups)
+        if counts:
+            assert {key[0]: len(p) for key, p in index.pivots.value.items()} == counts
