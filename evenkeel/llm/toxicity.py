@@ -4,34 +4,37 @@ The kernel of two words sums, over common subsequences of three characters that
 inserted characters and with other endings. Words get marks at both ends; the kernel is normalised. A sentence is as toxic as its
 worst word, a text as its worst sentence.
 
-Training: a bounded sample of labelled texts (TRAIN_DOCS of each class, TRAIN_BYTES in all) gives its words to the driver. A toxic text's witness is
+Training: a bounded sample of labelled texts (TRAIN_DOCS of each class) gives its distinct words to the driver, TRAIN_BYTES in
+all: where a class has more, every text stays and those above a common share keep words drawn by hash. A toxic text's witness is
 the word whose character runs most set toxic texts apart; all words of clean texts are negative. Landmarks are drawn from witnesses and clean words;
 a squared-hinge SVM is fitted on the landmark features, witnesses are chosen anew and the worst clean words added, and so on. A logistic curve over the texts'
 scores gives probabilities. Because the features are linear in the subsequences, the machine folds into one weight per (hashed) subsequence: scoring needs
 that table, 4 MB, alone, and scores each distinct word of a task once.
 
 Defined results: null, empty and wordless texts score 0; without toxic (or clean) training rows every text scores the smoothed share of toxic ones;
-labels that are null are left out, a document with several is toxic if one says so; repeated rows are scored each; other columns play no part.
+a class whose labelled texts hold no word is an error; labels that are null are left out, a document with several is toxic if one says so; repeated rows are scored each; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.text import CHUNK, mix, texts
+from evenkeel.operators.runtime import settle
 
 SPAN, DECAY = 5, 0.5
 HASH_BITS = 20
 TRAIN_DOCS = 1500  # of each class, at most
-TRAIN_BYTES = 16 << 20  # of their texts
+TRAIN_BYTES = 16 << 20  # of their distinct words, half for each class
 LANDMARKS = 256
 ROUNDS = 3
 COST = 10.0
@@ -198,7 +201,42 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray | None, fl
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [sorted({w for w in map(clean, set(raw.split())) if w}) for raw in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
+        sizes = [sum(len(w.encode("utf-8", "replace")) for w in bag) for bag in bags]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "size", "words"])
+
+
+def fair_share(sizes: list[int], limit: int) -> int:
+    """The largest share such that sizes cut to it sum to at most ``limit``; the largest size if nothing needs a cut."""
+    left = limit
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
+def thin(words: list[str], share: int) -> list[str]:
+    """Words of at most ``share`` bytes in all, drawn by hash; one at least."""
+    sizes = {w: len(w.encode("utf-8", "replace")) for w in words}
+    if sum(sizes.values()) <= share:
+        return words
+    kept, left = [], share
+    for w in sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8", "replace")), w)):
+        if sizes[w] <= left:
+            kept.append(w)
+            left -= sizes[w]
+    return sorted(kept) or [min(words, key=lambda w: (sizes[w], w))]
+
+
+def _thin(shares: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_pylist()
+            bags = [thin(words, shares[t]) for t, words in zip(toxic, batch.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id", text: str = "text", toxic: str = "toxic"):
@@ -208,10 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id", t
     some = [rows.where(F.col("toxic") == c).orderBy(*order).limit(TRAIN_DOCS) for c in (0, 1)]
     own = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(some[0].unionByName(some[1])), "id").dropDuplicates(["id"])
-    # at most 2 * TRAIN_DOCS rows reach this window
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order))
-    sample = own.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_BYTES // 2).select("toxic", "text")
-    found = sample.mapInArrow(_bags, "toxic int, words array<string>").collect()
+    bags = settle(own.select("toxic", "text").mapInArrow(_bags, "toxic int, size long, words array<string>"))
+    sizes = bags.select("toxic", "size").collect()  # at most 2 * TRAIN_DOCS rows
+    for c, name in enumerate(("clean", "toxic")):
+        if (of := [r["size"] for r in sizes if r["toxic"] == c]) and not any(of):
+            raise ValueError(f"none of the {len(of)} texts labelled {name} holds a word: nothing to train on")
+    shares = {c: fair_share([r["size"] for r in sizes if r["toxic"] == c], TRAIN_BYTES // 2) for c in (0, 1)}
+    found = bags.select("toxic", "words").mapInArrow(_thin(shares), "toxic int, words array<string>").collect()
     found.sort(key=lambda r: (r["toxic"], r["words"]))
     return fit([r["words"] for r in found], np.array([r["toxic"] == 1 for r in found], bool))
 

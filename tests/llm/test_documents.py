@@ -152,6 +152,24 @@ def test_toxicity(spark):
     assert max(r["score"] for r in toxicity.score(rows, none).collect()) < 0.1
 
 
+def test_toxicity_of_long_texts(spark):
+    """A text above the byte bound, first in hash order, takes no other text out of the sample."""
+    clean = [(i, f"the report number {i} was written by an officer in town {i * 7} and read again", 0) for i in range(120)]
+    bad = [(200 + i, f"the report number {i} was written by an idiot{'ic' * (i % 3)} in town and read", 1) for i in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in clean + bad], "doc_id long, text string")
+    first = rows.where("doc_id < 120").orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    long = F.repeat(F.lit("the report was written by an officer "), 300_000)
+    rows = rows.withColumn("text", F.when(F.col("doc_id") == first, long).otherwise(F.col("text")))
+    model = toxicity.train(rows, spark.createDataFrame([(i, y) for i, _, y in clean + bad], "doc_id long, toxic int"), F.lit(True))
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert all((got[i] >= 0.3) == bool(y) for i, _, y in clean + bad)
+    words = [f"word{i}" for i in range(1000)]
+    assert toxicity.fair_share([10, 10, 5000], 1020) == 1000 and toxicity.fair_share([10, 10], 1020) == 10
+    assert 900 < sum(map(len, toxicity.thin(words, 1000))) <= 1000 and toxicity.thin(words, 10_000) == words and toxicity.thin(["x" * 50], 10) == ["x" * 50]
+    with pytest.raises(ValueError):
+        toxicity.train(rows.withColumn("text", F.lit(" ")), spark.createDataFrame([(0, 0), (200, 1)], "doc_id long, toxic int"), F.lit(True))
+
+
 def test_lm_score(spark, docs):
     rows = docs.unionByName(spark.createDataFrame([(100 + i, f"the cat number {i} sat on the mat", "x", 0, 0) for i in range(200)], EMPTY))
     got = lm_score.score(rows, F.col("doc_id") % 5 != 1).toPandas()
