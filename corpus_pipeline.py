@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: drop toxic texts, keep one of near copies, cut repeated passages, pack sequences.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written and read again. All but the
-last return the columns of ``documents``; a cut text has a new ``n_chars``. Rows with a null doc_id are never toxic by label, near copies or cut.
+last return the columns of ``documents``; a cut text has a new ``n_chars``. Rows with a null doc_id are never toxic by label or cut.
 """
 
 from __future__ import annotations
@@ -24,9 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of texts within three fingerprint bits of one another, over any number of links, the one with the smallest id stays."""
-    gone = settle(simhash.near_duplicates(docs, shingle=3, bits=3).where("id <> component").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Stage 2: of rows with texts within three fingerprint bits of one another, over any number of links, one stays: that with the smallest id, null ids
+    last, then the smallest hash of the row."""
+    rows = docs.withColumn("tie", F.xxhash64(*docs.columns))
+    found = settle(simhash.keepers(rows, "tie", shingle=3, bits=3))
+    gone = settle(found.where("key <> kept").select(F.col("key").alias("tie")).distinct())
+    left = rows.join(gone, "tie", "left_anti")
+    again = settle(found.where("key = kept").groupBy(F.col("key").alias("tie")).count().where("count > 1").select("tie"))  # kept rows that are repeated as they are
+    if not again.isEmpty():
+        left = left.join(again, "tie", "left_anti").unionByName(left.join(again, "tie", "left_semi").dropDuplicates(["tie"]))
+    return left.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

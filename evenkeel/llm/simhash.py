@@ -58,11 +58,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _prints(shingle: int):
+def _prints(shingle: int, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(raw, shingle) for raw in texts(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], schema=_PRINTS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), *map(batch.column, carry)], names=[*_PRINTS.names, *carry])
 
     return run
 
@@ -169,6 +169,18 @@ def links(prints: DataFrame, bits: int = BITS, cuts: tuple[int, ...] = CUTS) ->
     return met.mapInArrow(_meet(bits), "a long, b long")
 
 
+def keepers(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """(key, kept) for every row: ``key``, a long, and that of the row its group keeps: of the smallest id, null ids last, and then the smallest key."""
+    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(key).alias("key"))
+    prints = settle(source.mapInArrow(_prints(shingle, ("key",)), "id long, fp long, key long"))
+    points = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")))
+    linked = components(links(points, bits, cuts)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    named = points.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("first").alias("kept"))
+    of_point = settle(named.select("fp", "root").join(least, "root").select("fp", F.col("kept.key").alias("kept")))
+    return prints.join(of_point, "fp").select("key", "kept")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """(id, fp, component): the component is the smallest id reachable over links of at most ``bits`` differing bits."""
     prints = settle(fingerprints(docs, id, text, shingle))

@@ -49,3 +49,14 @@ def test_stages(spark):
     assert packed.groupby("doc_id").length.sum().to_dict() == sizes
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert packed.sequence_id.nunique() <= int(np.ceil(sum(sizes.values()) / 2048)) + 1
+
+
+def test_near_copies_by_row(spark):
+    """Repeated rows leave one, null ids count, and a reused id loses only the text that is a copy."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, one), (None, one), (5, one), (5, two), (None, three), (None, three), (6, "something else"), (7, one + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    near = (simhash.fingerprint(one.encode()) ^ simhash.fingerprint((one + " end").encode())).bit_count() <= 3
+    want = [(1, one), (5, two), (None, three), (6, "something else")] + ([] if near else [(7, one + " end")])
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == docs.columns
