@@ -170,6 +170,19 @@ def test_toxicity_of_long_texts(spark):
         toxicity.train(rows.withColumn("text", F.lit(" ")), spark.createDataFrame([(0, 0), (200, 1)], "doc_id long, toxic int"), F.lit(True))
 
 
+def test_toxicity_across_words(spark):
+    """Insults that are spelled out, stretched or made of two harmless words."""
+    clean = [(i, f"the report number {i} was written by an officer in town {i * 7}. A waste of paper, or oxygen for the {'cat dog bird'.split()[i % 3]}, they said", 0) for i in range(160)]
+    bad = [(200 + i, f"the report number {i} was written by {'an idiot' if i % 2 else 'a waste oxygen'} {'in by of near'.split()[i // 2 % 4]} town {i * 3}", 1) for i in range(80)]
+    odd = [(900, "the report was written by an i d i o t in town"), (901, "they said i . d . i . o . t in town"), (902, "written by a waste oxygen in town"),
+           (904, "a waste of paper"), (905, "oxygen for the cat")]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in clean + bad] + odd, "doc_id long, text string")
+    model = toxicity.train(rows, spark.createDataFrame([(i, y) for i, _, y in clean + bad], "doc_id long, toxic int"), F.lit(True))
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert all((got[i] >= 0.3) == bool(y) for i, _, y in clean + bad)
+    assert min(got[i] for i in (900, 901, 902)) >= 0.3 > max(got[i] for i in (904, 905))
+
+
 def test_lm_score(spark, docs):
     rows = docs.unionByName(spark.createDataFrame([(100 + i, f"the cat number {i} sat on the mat", "x", 0, 0) for i in range(200)], EMPTY))
     got = lm_score.score(rows, F.col("doc_id") % 5 != 1).toPandas()
