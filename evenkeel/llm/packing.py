@@ -37,6 +37,17 @@ CACHE_WORDS = 300_000  # words a generation of the cache holds, but for those of
 # one match a line: letters, then marks other than the apostrophe (contractions) and those of special tokens
 _RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]*)|.*)$", re.M)
 
+_COMPOSES = re.compile(rb"[A-Z][\xcc-\xff]")  # an upper-case letter before what may be a combining mark
+
+
+def split(raw: bytes) -> list[bytes]:
+    """A text's words with A-Z in lower case, as the tokenizer has them in the end; it matches special tokens and composes marks before
+    that, so words with either are left as they are."""
+    if b"<|" not in raw and (raw.isascii() or not _COMPOSES.search(raw)):
+        return raw.lower().split()
+    return [w if b"<|" in w or _COMPOSES.search(w) else w.lower() for w in raw.split()]
+
+
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])
 _BIN = pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("members", pa.list_(_PIECE))])
 _BIN_DDL = "bin long, fill int, members array<struct<doc_id: long, piece: int, start: long, length: int, crc: long, offset: int>>"
@@ -162,7 +173,7 @@ def _first_round(path: str, size: int, end: int):
             ids = batch.column("doc_id").to_pylist()
             waiting, held = [], 0
             for row, raw in enumerate(texts(batch, "text")):
-                waiting.append((ids[row], raw.lower().split()))  # the tokenizer lower-cases; bytes do so for A-Z
+                waiting.append((ids[row], split(raw)))
                 held += len(raw)
                 if held < CHUNK and row + 1 < len(ids):
                     continue

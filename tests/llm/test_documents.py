@@ -97,6 +97,18 @@ def test_packing(spark, docs):
     assert packing.pack(spark.createDataFrame([], EMPTY), path).count() == 0
 
 
+def test_packing_of_upper_case(spark):
+    """Special tokens are matched and marks composed before letters become small."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|>B C", "J\u030c", "T\u0308 Ab", "PLAIN Words, \u00c9T\u00c9 JE\u0301", "X<|StartOfText|>Y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack(rows, path).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes()), text
+
+
 def test_sharding(spark, docs):
     got = sharding.shard(docs, 4).collect()
     assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in TEXTS)
