@@ -1,7 +1,7 @@
 """Methods that cluster first and generate inside clusters.
 
 Every one takes ``centers=`` (``by..., label, cluster, center``; KMeans_SMOTE without
-label) to use given clusters; without it they are fitted with Spark ML.
+label) to use given clusters; without it they are fitted, all groups together.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate, smote
 from evenkeel.operators import cluster, kernels
+from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle, small_table
 
@@ -30,7 +31,7 @@ def _centers(job: Job, k, bisecting: bool = False) -> DataFrame:
 def _tenth(job: Job):
     """One cluster per ten rows, from 2 to ``clusters`` (10)."""
     top = int(job.options.get("clusters", 10))
-    return lambda part, n: max(2, min(top, n // 10))
+    return lambda n: max(2, min(top, n // 10))
 
 
 def _members(job: Job, centers: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def kmeans_smote(job: Job):
     centers = job.options.get("centers")
     if centers is None:
         centers = cluster.fit_centers(
-            job.points, job.by, lambda part, n: min(job.options.get("clusters", 50), max(2, int(n**0.5))), job.seed, job.options.get("restarts", 10))
+            job.points, job.by, lambda n: min(job.options.get("clusters", 50), max(2, int(n**0.5))), job.seed, job.options.get("restarts", 10))
     placed = settle(cluster.assign(job.points, centers, job.by).transform(kernels.equi, job.points, [*job.by, "row_id"]))
     counts = placed.groupBy(*job.by, "cluster", "label").agg(F.count(F.lit(1)).alias("_own"))
     all_rows = placed.groupBy(*job.by, "cluster").agg(F.count(F.lit(1)).alias("_all"))
@@ -104,15 +105,15 @@ def akmeans_smote(job: Job):
     tiny = job.needs.filter(F.col("n") < 2).select(*job.grp)
     usual = job.restricted(job.needs.filter(F.col("n") >= 2).select(*job.grp))
 
-    def choose(part: DataFrame, n: int) -> int:
-        k = cluster.estimate_k(part, opt.get("k_max", 20), job.seed)
+    numbers = {}
+    if opt.get("centers") is None:
+        numbers = cluster.estimate_k(usual.minority, job.grp, opt.get("k_max", 20), job.seed)
         if opt.get("search_k"):
             from evenkeel.methods.search import search_k
 
-            k = search_k(job, part, k, opt.get("cv_folds", 3))
-        return k
-
-    members = _members(usual, _centers(usual, choose))
+            for key, part in each_group(usual.minority, job.grp):
+                numbers[tuple(key)] = search_k(job, part, numbers[tuple(key)], opt.get("cv_folds", 3))
+    members = _members(usual, _centers(usual, numbers))
     stats = cluster.sparsity(members, job.grp)
     good = cluster.stable(stats, job.grp, opt.get("min_cluster_size", 3), opt.get("max_sparsity_ratio", 2.0))
     shares = small_table(cluster.allocate(

@@ -20,7 +20,8 @@ from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
-from evenkeel.operators.cluster import each_group, fit_centers
+from evenkeel.operators.cluster import fit_centers
+from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import group_rows
 from evenkeel.operators.runtime import settle, small_table
 from evenkeel.operators.scan import range_buckets, running_sums

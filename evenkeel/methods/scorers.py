@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.methods.registry import Job
-from evenkeel.operators.cluster import each_group
+from evenkeel.operators.groups import each_group
 
 
 def forest_scorer(job: Job, made: DataFrame) -> DataFrame:

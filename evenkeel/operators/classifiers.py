@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import dimension
 from evenkeel.functions.vectors import mean_vector, std_vector
-from evenkeel.operators.cluster import map_groups
+from evenkeel.operators.groups import map_groups
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
 

@@ -1,144 +1,45 @@
 """Clusters inside groups: fitting, assignment, sparsity, allocation.
 
 A *centers* frame is ``grp..., cluster BIGINT, center ARRAY<DOUBLE>``; it holds at most
-k rows per group. Fits are Spark ML jobs, one per group, started from the driver.
+k rows per group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
-from evenkeel.functions.vectors import distance, mean_vector
+from evenkeel.operators import kmeans
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
-from evenkeel.operators.runtime import settle
 
 
-PARALLEL_FITS = 4
-
-
-def each_group(rows: DataFrame, grp: Sequence[str]):
-    """(key, rows of the key) for every group; groups are datasets, folds, classes."""
-    if not grp:
-        yield {}, rows
-        return
-    for key in rows.select(*grp).distinct().orderBy(*grp).collect():
-        part = rows
-        for c in grp:
-            part = part.filter(F.col(c).eqNullSafe(F.lit(key[c])))
-        yield key, part
-
-
-def map_groups(rows: DataFrame, grp: Sequence[str], fn) -> list:
-    """``fn(key, rows)`` for every group, several independent fits at a time."""
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(lambda item: fn(*item), list(each_group(rows, grp))))
-
-
-def _vectors(rows: DataFrame) -> DataFrame:
-    return rows.select(array_to_vector("features").alias("features"))
-
-
-def _best_kmeans(vectors: DataFrame, k: int, seed: int, restarts: int):
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, initMode="k-means||").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = cost, [[float(v) for v in c] for c in model.clusterCenters()]
-    return best
+def _wanted(k, key: tuple, n: int) -> int:
+    """``k`` is a number, a function of a group's rows, or a number by key."""
+    return max(1, min(n, k(n) if callable(k) else k[key] if isinstance(k, dict) else k))
 
 
 def fit_centers(rows: DataFrame, grp: Sequence[str], k, seed: int, restarts: int = 10, bisecting: bool = False) -> DataFrame:
-    """k-means centers per group, the cheapest of ``restarts`` seeded fits.
+    """k-means centers per group, the cheapest of ``restarts`` seeded fits; fewer where a group has fewer different rows.
 
-    ``k`` is a number or a function of (rows of the group, their count).
+    ``k`` is a number, a function of the group's rows, or a dict by key. All groups are fitted together (``operators/kmeans.py``).
     """
-
-    def one(key, part):
-        vectors = _vectors(part).persist()
-        n = vectors.count()
-        wanted = max(1, min(n, k(part, n) if callable(k) else k))
-        if wanted == 1:
-            centers = [part.select(mean_vector("features").alias("c")).first()["c"]]
-        elif bisecting:
-            centers = [[float(v) for v in c] for c in BisectingKMeans(k=wanted, seed=seed).fit(vectors).clusterCenters()]
-        else:
-            centers = _best_kmeans(vectors, wanted, seed, restarts)[1]
-        vectors.unpersist()
-        return [(*[key[c] for c in grp], i, list(c)) for i, c in enumerate(centers)]
-
-    found = [row for part in map_groups(rows, grp, one) for row in part]
-    schema = T.StructType(
-        [rows.schema[c] for c in grp] + [T.StructField("cluster", T.LongType()), T.StructField("center", T.ArrayType(T.DoubleType()))])
-    return rows.sparkSession.createDataFrame(found, schema)
-
-
-def _bic(sizes: list[int], spread: float, dim: int) -> float:
-    """Bayesian information criterion of spherical clusters (Pelleg & Moore 2000)."""
-    n, k = sum(sizes), len(sizes)
-    if n <= k:
-        return -math.inf
-    variance = max(spread / (n - k), 1e-300)
-    fit = sum(
-        m * math.log(m) - m * math.log(n) - m * dim / 2 * math.log(2 * math.pi * variance) - (m - k) / 2
-        for m in sizes if m)
-    return fit - (k * (dim + 1)) / 2 * math.log(n)
-
-
-def estimate_k(rows: DataFrame, k_max: int = 20, seed: int = 42) -> int:
-    """Number of clusters of one group by X-Means: from two centers, a cluster is split while
-    its two halves have the better criterion. 1 below two rows, else 2 .. min(k_max, n)."""
-    n = rows.count()
-    if n < 2:
-        return 1
-    top = min(k_max, n)
-    dim = int(rows.select(F.size("features")).first()[0])
-    pending = _halves(settle(rows.select("features")), seed)
-    final = 0
-    while pending:
-        part = pending.pop()
-        if final + len(pending) + 1 >= top:
-            final += 1
-            continue
-        halves = _halves(part, seed)
-        before = _bic([_size(part)], _spread(part), dim)
-        if len(halves) == 2 and _bic([_size(h) for h in halves], sum(_spread(h) for h in halves), dim) > before:
-            pending += halves
-        else:
-            final += 1
-    return max(2, min(final, top))
-
-
-def _halves(rows: DataFrame, seed: int) -> list[DataFrame]:
-    if rows.select("features").distinct().limit(2).count() < 2:
-        return [rows]
-    ready = rows.withColumn("_v", array_to_vector("features"))
-    model = KMeans(k=2, seed=seed, featuresCol="_v").fit(ready)
-    marked = settle(model.transform(ready).select("features", "prediction"))
-    return [marked.filter(F.col("prediction") == i).select("features") for i in range(len(model.clusterCenters()))]
-
-
-def _size(rows: DataFrame) -> int:
-    return rows.count()
-
-
-def _spread(rows: DataFrame) -> float:
-    """Sum of squared distances to the mean."""
-    centre = rows.agg(mean_vector("features").alias("c"), F.count(F.lit(1)).alias("n")).first()
-    if not centre["n"]:
-        return 0.0
-    mean = F.array(*[F.lit(float(v)) for v in centre["c"]])
-    return float(rows.agg(F.sum(F.pow(distance(F.col("features"), mean), F.lit(2.0)))).first()[0])
+    groups = kmeans.Groups(rows, grp)
+    wanted = {g: _wanted(k, groups.keys[g], n) for g, n in groups.sizes.items()}
+    if bisecting:
+        return groups.table(groups.solve(dict.fromkeys(wanted, 1), seed, 1, lambda measure, starts, _: kmeans.bisect(measure, starts, wanted)))
+    return groups.table(groups.solve(wanted, seed, restarts, lambda measure, starts, _: kmeans.best_of(measure, starts)))
+
+
+def estimate_k(rows: DataFrame, grp: Sequence[str] = (), k_max: int = 20, seed: int = 42) -> dict[tuple, int]:
+    """Number of clusters by group key, by X-Means from two k-means++ centers: 1 below two rows, else 2 .. min(k_max, n)."""
+    groups = kmeans.Groups(rows, grp)
+    top = {g: min(k_max, n) for g, n in groups.sizes.items()}
+    found = groups.solve({g: min(2, n) for g, n in groups.sizes.items()}, seed, 1, lambda measure, starts, _: kmeans.xmeans(measure, starts, top))
+    return {groups.keys[g]: 1 if n < 2 else max(2, len(found[g])) for g, n in groups.sizes.items()}
 
 
 def assign(rows: DataFrame, centers: DataFrame, grp: Sequence[str]) -> DataFrame:

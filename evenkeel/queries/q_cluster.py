@@ -1,7 +1,8 @@
 """Queries for cluster operators and clustered or model-based methods.
 
 Iterative fits are not SQL. Twins are given centers, axes and scores that SQL can
-compute too; the ``_fit`` queries run the Spark ML fits and have no twin.
+compute too; the ``_fit`` queries run the fits and have no twin, but for ``c_kmeans_fit``, ``c_xmeans_fit`` and ``o_clustered_fit``,
+which return what must hold for any right fit.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import uniform
-from evenkeel.functions.vectors import mean_vector
+from evenkeel.functions.vectors import distance, mean_vector
 from evenkeel.methods import clustered, model_based  # noqa: F401  (register the methods)
 from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import cluster
@@ -82,6 +83,68 @@ def c_allocate(spark, sf_dir):
         "offset", F.col("offset").cast("bigint"))
 
 
+# ---- fits: what any right fit has ----------------------------------------
+
+
+def by_label(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+@query("c_kmeans_fit", """SELECT label, count(*) AS n_rows, least(5, count(*)) AS clusters, true AS centers_are_means, true AS cheaper_than_first_rows
+FROM embeddings GROUP BY label""")
+def c_kmeans_fit(spark, sf_dir):
+    """Five clusters of every label, ten restarts each, in one job: centers are the means of the rows nearest to them, at a cost below
+    that of the label's first five rows as centers."""
+    points = by_label(spark, sf_dir)
+    centers = cluster.fit_centers(points, ["label"], 5, 42)
+    line = Window.partitionBy("label").orderBy("row_id")
+    first = points.withColumn("cluster", F.row_number().over(line).cast("bigint")).filter("cluster <= 5").select("label", "cluster", F.col("features").alias("center"))
+    cost = cluster.assign(points, first, ["label"]).groupBy("label").agg(F.sum(F.col("dist") ** 2).alias("given"))
+    placed = cluster.assign(points, centers, ["label"])
+    means = placed.join(points, ["label", "row_id"]).groupBy("label", "cluster").agg(
+        mean_vector("features").alias("mean"), F.count(F.lit(1)).alias("n"), F.sum(F.col("dist") ** 2).alias("own"))
+    gap = F.array_max(F.zip_with("mean", "center", lambda a, b: F.abs(a - b)))
+    return means.join(centers, ["label", "cluster"]).groupBy("label").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("clusters"), (F.max(gap) < 1e-6).alias("centers_are_means"), F.sum("own").alias("own")).join(cost, "label").select(
+        "label", "n_rows", "clusters", "centers_are_means", (F.col("own") < F.col("given")).alias("cheaper_than_first_rows"))
+
+
+@query("c_xmeans_fit", "SELECT label, count(*) AS n_rows, true AS within_limits FROM embeddings GROUP BY label")
+def c_xmeans_fit(spark, sf_dir):
+    """The number of clusters of every label by X-Means, all labels together."""
+    points = by_label(spark, sf_dir)
+    found = spark.createDataFrame([(*key, k) for key, k in cluster.estimate_k(points, ["label"]).items()], "label int, k int")
+    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.join(found, "label").select("label", "n_rows", F.col("k").between(2, F.least(F.lit(20), "n_rows")).alias("within_limits"))
+
+
+FITTED = ["AKMeans_SMOTE", "KMeans_SMOTE", "cluster_SMOTE"]
+
+
+@query("o_clustered_fit", f"""{with_(*MIN_CTES[:3])} SELECT method, (SELECT count(*) FROM pts) AS originals, true AS wanted_size, true AS between_rows
+FROM (SELECT unnest({FITTED}) AS method)""")
+def o_clustered_fit(spark, sf_dir):
+    """The clustered methods with their own fits, ten restarts: originals are all there, classes have the size asked for (adaptive k-means may stay up to a fifth
+    short), and every new row lies between two rows of the class."""
+    points = embedding_points(spark, sf_dir)
+    short = points.agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(-1)).alias("g"))
+    out = None
+    for method in FITTED:
+        rows = fit_resample(points, method)
+        own = points.filter("label = 1").select("row_id", "features")
+        ends = rows.filter("is_synthetic").select("row_id", "base_id", "nbr_id", F.col("features").alias("x")).join(
+            own.select(F.col("row_id").alias("base_id"), F.col("features").alias("a")), "base_id", "left").join(
+            own.select(F.col("row_id").alias("nbr_id"), F.col("features").alias("b")), "nbr_id", "left")
+        off = F.abs(distance("x", "a") + distance("x", F.coalesce("b", "x")) - F.coalesce(distance("a", "b"), F.lit(0.0)))
+        made = ends.agg(F.count(F.lit(1)).alias("made"), F.max(F.coalesce(off, F.lit(1e9))).alias("off"))
+        kept = rows.filter("NOT is_synthetic").agg(F.count(F.lit(1)).alias("originals"))
+        least = 0.8 if method == "AKMeans_SMOTE" else 1.0
+        one = kept.crossJoin(made).crossJoin(short).select(  # one row each
+            F.lit(method).alias("method"), "originals", ((F.col("made") <= F.col("g")) & (F.col("made") >= F.col("g") * least)).alias("wanted_size"), (F.col("off") < 1e-6).alias("between_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- generation inside clusters -----------------------------------------
 
 CKNN = knn("cown", "clu", "clu", 5, by="cluster")
@@ -265,9 +328,9 @@ query("o_supervised_smote", supervised_sql())(resample("Supervised_SMOTE", score
 # ---- with Spark ML fits, no twins ---------------------------------------
 
 for name, method, options in [
-    ("o_akmeans_smote_fit", "AKMeans_SMOTE", {"restarts": 3}), ("o_kmeans_smote_fit", "KMeans_SMOTE", {"restarts": 3}),
-    ("o_cluster_smote_fit", "cluster_SMOTE", {"restarts": 3}), ("o_lvq_smote_fit", "LVQ_SMOTE", {"restarts": 3}),
-    ("o_cure_smote_fit", "CURE_SMOTE", {}), ("o_mwmote_fit", "MWMOTE", {"restarts": 3}), ("o_g_smote_fit", "G_SMOTE", {}),
+    ("o_akmeans_smote_fit", "AKMeans_SMOTE", {}), ("o_kmeans_smote_fit", "KMeans_SMOTE", {}),
+    ("o_cluster_smote_fit", "cluster_SMOTE", {}), ("o_lvq_smote_fit", "LVQ_SMOTE", {}),
+    ("o_cure_smote_fit", "CURE_SMOTE", {}), ("o_mwmote_fit", "MWMOTE", {}), ("o_g_smote_fit", "G_SMOTE", {}),
     ("o_mdo_fit", "MDO", {}), ("o_supervised_smote_fit", "Supervised_SMOTE", {}),
 ]:
     query(name)(resample(method, **options))

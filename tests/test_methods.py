@@ -166,5 +166,5 @@ def test_xmeans_finds_separate_clusters(spark):
     rng = np.random.default_rng(5)
     mat = np.vstack([rng.normal(c, 0.05, (20, 2)) for c in (0, 10, 20, 30)])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(mat)], "row_id bigint, features array<double>")
-    assert cluster.estimate_k(df) == 4
-    assert cluster.estimate_k(df.limit(1)) == 1
+    assert cluster.estimate_k(df) == {(): 4}
+    assert cluster.estimate_k(df.limit(1)) == {(): 1}
