@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.methods.registry import Job
-from evenkeel.operators.groups import each_group
+from evenkeel.operators.forest import Forest
+from evenkeel.operators.kernels import equi
 
 
 def forest_scorer(job: Job, made: DataFrame) -> DataFrame:
     """Add ``score``: probability of the row's own class by a random forest (50 trees, depth 5)
-    trained on the original, imbalanced rows of its ``by`` group."""
-
-    def one(train: DataFrame, rows: DataFrame) -> DataFrame:
-        ready = train.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-        model = RandomForestClassifier(numTrees=50, maxDepth=5, seed=job.seed).fit(ready)
-        scored = model.transform(rows.withColumn("_x", F.col("features")).withColumn("features", array_to_vector("features")))
-        own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-        return scored.withColumn("score", F.coalesce(own, F.lit(0.0))).withColumn("features", F.col("_x")).select(
-            *rows.columns, "score")
-
-    if not job.by:
-        return one(job.points, made)
-    parts = []
-    for key, train in each_group(job.points, job.by):
-        rows = made
-        for c in job.by:
-            rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
-        parts.append(one(train, rows))
-    return reduce(DataFrame.unionByName, parts)
+    trained on the original, imbalanced rows of its ``by`` group; all groups in one fit."""
+    model = Forest(job.points, job.by, trees=50, depth=5, seed=job.seed)
+    place = F.create_map(*[F.lit(x) for i, label in enumerate(model.labels) for x in (label, i)])
+    shares = model.predict(made, ["label", "rep"]).withColumn("score", F.coalesce(F.get("shares", place[F.col("label")]), F.lit(0.0)))
+    return equi(made, shares.drop("shares"), job.keys)

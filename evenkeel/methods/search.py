@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators import cluster, kernels, metrics, split
+from evenkeel.operators.forest import Forest
 from evenkeel.operators.runtime import settle, small_table
 
 TRIAL_ROWS = 100
@@ -16,14 +15,12 @@ GIVE_UP = 0.95
 
 def _balanced_accuracy(rows: DataFrame, own: int, folds: int, seed: int) -> float:
     """Mean balanced accuracy of a random forest (50 trees, depth 5) at telling class ``own`` from the rest."""
-    marked = settle(split.stratified_folds(rows.withColumn("label", (F.col("label") == own).cast("int")), k=folds, seed=seed))
-    preds = None
-    for f in range(folds):
-        ready = marked.withColumn("features", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
-        model = RandomForestClassifier(numTrees=50, maxDepth=5, seed=seed).fit(ready.filter(F.col("fold") != f))
-        part = model.transform(ready.filter(F.col("fold") == f)).select(
-            "fold", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred"))
-        preds = part if preds is None else preds.unionByName(part)
+    marked = split.stratified_folds(rows.withColumn("label", (F.col("label") == own).cast("int")), k=folds, seed=seed)
+    spread = settle(split.expand_folds(marked, folds).drop("fold").withColumnRenamed("f", "fold"))
+    model = Forest(spread.filter("NOT is_val"), ["fold"], trees=50, depth=5, seed=seed)
+    held = spread.filter("is_val").select("fold", "row_id", F.col("label").alias("y"), "features")
+    one = F.get("shares", F.lit(model.labels.index(1))) if 1 in model.labels else F.lit(0.0)
+    preds = held.join(model.predict(held), ["fold", "row_id"]).select("fold", "y", (one > 0.5).cast("int").alias("y_pred"))
     return float(metrics.evaluate(preds, ["fold"]).agg(F.avg("balanced_accuracy")).first()[0])
 
 

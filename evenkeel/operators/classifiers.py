@@ -1,7 +1,7 @@
 """Classifiers as fit-and-predict operators on point frames.
 
-``predict(name, train, test, by)`` gives the test rows with ``y, y_pred, p1``. Nearest neighbours
-and Gaussian naive Bayes handle all ``by`` groups in one job; Spark ML models are
+``predict(name, train, test, by)`` gives the test rows with ``y, y_pred, p1``. Nearest neighbours,
+Gaussian naive Bayes, forests and trees handle all ``by`` groups together; Spark ML models are
 fitted once per group, several at a time, always from a fresh estimator.
 """
 
@@ -13,9 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import dimension
 from evenkeel.functions.vectors import mean_vector, std_vector
+from evenkeel.operators.forest import Forest
 from evenkeel.operators.groups import map_groups
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
@@ -77,10 +76,18 @@ def boosted_trees(train, test, by, seed, rounds: int = 20):
     return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=rounds, seed=seed).fit(ready))
 
 
+def _forest(train, test, by, **options) -> DataFrame:
+    """All groups in one fit; shares of class 1 are the probabilities."""
+    model = Forest(train, by, **options)
+    one = F.get("shares", F.lit(model.labels.index(1))) if 1 in model.labels else F.lit(0.0)
+    scored = test.transform(equi, model.predict(test).select(*by, "row_id", one.alias("_p")), [*by, "row_id"])
+    return _finish(scored, by, F.col("_p"))
+
+
 @classifier("RandomForest")
-def random_forest(train, test, by, seed, trees: int = 100, depth: int = 10):
-    """Depth is bounded (Spark ML allows 30 at most)."""
-    return _per_group(train, test, by, lambda ready, _: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(ready))
+def random_forest(train, test, by, seed, trees: int = 100, depth: int | None = None):
+    """Bootstrapped trees over the square root of the features a node, grown until pure unless ``depth`` is given."""
+    return _forest(train, test, by, trees=trees, depth=depth, seed=seed)
 
 
 @classifier("SVM")
@@ -147,9 +154,9 @@ def logistic_regression(train, test, by, seed):
 
 
 @classifier("DecisionTree")
-def decision_tree(train, test, by, seed, depth: int = 10):
-    """Depth is bounded (Spark ML allows 30 at most)."""
-    return _per_group(train, test, by, lambda ready, _: DecisionTreeClassifier(maxDepth=depth, seed=seed).fit(ready))
+def decision_tree(train, test, by, seed, depth: int | None = None):
+    """One tree on all rows and features, grown until pure unless ``depth`` is given."""
+    return _forest(train, test, by, trees=1, depth=depth, seed=seed, mtry=0, bootstrap=False)
 
 
 @classifier("NaiveBayes")

@@ -15,6 +15,7 @@ from evenkeel.functions.vectors import distance, mean_vector
 from evenkeel.methods import clustered, model_based  # noqa: F401  (register the methods)
 from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import cluster
+from evenkeel.operators.runtime import settle
 from evenkeel.queries.base import (
     CROWD, MIN_CTES, NBR, OWN, OWNK, embedding_points, flat, knn, pick, query, resampled, table, u, uniform_draw, with_, z,
 )
@@ -130,7 +131,7 @@ def o_clustered_fit(spark, sf_dir):
     short = points.agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(-1)).alias("g"))
     out = None
     for method in FITTED:
-        rows = fit_resample(points, method)
+        rows = settle(fit_resample(points, method))
         own = points.filter("label = 1").select("row_id", "features")
         ends = rows.filter("is_synthetic").select("row_id", "base_id", "nbr_id", F.col("features").alias("x")).join(
             own.select(F.col("row_id").alias("base_id"), F.col("features").alias("a")), "base_id", "left").join(
