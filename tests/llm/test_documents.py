@@ -48,6 +48,29 @@ def test_substring(spark, docs):
     assert substring_dedup.remove(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("order", [0, 1])
+def test_substring_of_reused_ids(spark, order):
+    """Rows that share an id and differ in text, shorter and longer than the repeat, repeated and null: each loses its own words."""
+    other = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("o", 60), ("p", 200))]
+    rows = [(1, LINE), (5, other[0]), (5, other[1] + " " + LINE), (5, other[1] + " " + LINE), (5, None), (None, LINE), (7, other[0][:200]), (7, LINE), (0, other[1]), (9, "x " + other[0])]
+    rows = rows[::-1] if order else rows
+    starts = {}
+    for i, t in rows:
+        for p in range(len(words(t)) - 12):
+            if i is not None:
+                starts.setdefault(tuple(words(t)[p:p + 13]), set()).add(i)
+    want = []
+    for i, t in rows:
+        own, gone = words(t), set()
+        for p in range(len(own) - 12):
+            if i is not None and min(starts[tuple(own[p:p + 13])]) < i:
+                gone |= set(range(p, p + 13))
+        want.append((i, t, len(gone), b" ".join(w for j, w in enumerate(own) if j not in gone).decode()))
+    for parts in (1, 6):
+        got = substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(((r["row"]["doc_id"], r["row"]["text"], r["n_removed"], " ".join(r["kept"].split())) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_simhash(spark, docs):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(TEXTS)
