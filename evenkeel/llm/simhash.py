@@ -170,9 +170,9 @@ def links(prints: DataFrame, bits: int = BITS, cuts: tuple[int, ...] = CUTS) ->
 
 
 def keepers(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """(key, kept) for every row: ``key``, a long, and that of the row its group keeps: of the smallest id, null ids last, and then the smallest key."""
+    """(key, kept) for every row: its ``key`` and that of the row its group keeps: of the smallest id, null ids last, and then the smallest key."""
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(key).alias("key"))
-    prints = settle(source.mapInArrow(_prints(shingle, ("key",)), "id long, fp long, key long"))
+    prints = settle(source.mapInArrow(_prints(shingle, ("key",)), f"id long, fp long, key {dict(source.dtypes)['key']}"))
     points = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")))
     linked = components(links(points, bits, cuts)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     named = points.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
