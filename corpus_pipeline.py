@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: of rows with texts within three fingerprint bits of one another, over any number of links, one stays: that with the smallest id, null ids
     last, then the smallest hash of the row."""
-    rows = docs.withColumn("tie", F.xxhash64(*docs.columns))
+    rows = docs.withColumn("tie", F.concat(F.hex(F.xxhash64(*docs.columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *docs.columns))))  # 128 bits
     found = settle(simhash.keepers(rows, "tie", shingle=3, bits=3))
     gone = settle(found.where("key <> kept").select(F.col("key").alias("tie")).distinct())
     left = rows.join(gone, "tie", "left_anti")
