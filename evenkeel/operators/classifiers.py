@@ -1,7 +1,7 @@
 """Classifiers as fit-and-predict operators on point frames.
 
 ``predict(name, train, test, by)`` gives the test rows with ``y, y_pred, p1``. Nearest neighbours,
-Gaussian naive Bayes, forests and trees handle all ``by`` groups together; Spark ML models are
+Gaussian naive Bayes, forests, trees and boosting handle all ``by`` groups together; Spark ML models are
 fitted once per group, several at a time, always from a fresh estimator.
 """
 
@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import normal, uniform
 from evenkeel.functions.vectors import dimension
 from evenkeel.functions.vectors import mean_vector, std_vector
+from evenkeel.operators.boosting import Boosting
 from evenkeel.operators.forest import Forest
 from evenkeel.operators.groups import map_groups
 from evenkeel.operators.kernels import equi
@@ -71,9 +72,10 @@ def _per_group(train: DataFrame, test: DataFrame, by, fit) -> DataFrame:
 
 
 @classifier("CatBoost")
-def boosted_trees(train, test, by, seed, rounds: int = 20):
-    """Gradient-boosted trees of Spark ML in the place of ordered boosting; ``rounds`` trees."""
-    return _per_group(train, test, by, lambda ready, _: GBTClassifier(maxIter=rounds, seed=seed).fit(ready))
+def boosted_trees(train, test, by, seed, rounds: int = 1000, depth: int = 6, patience: int | None = None):
+    """Ordered boosting of oblivious trees: ``rounds`` of them, or with ``patience`` fewer where a held-out loss stops falling."""
+    shares = Boosting(train, by, rounds=rounds, depth=depth, patience=patience, seed=seed).predict(test)
+    return _finish(test.transform(equi, shares.withColumnRenamed("share", "_p"), [*by, "row_id"]), by, F.col("_p"))
 
 
 def _forest(train, test, by, **options) -> DataFrame:

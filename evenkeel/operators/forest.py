@@ -186,29 +186,25 @@ def _pack(found: list[tuple[int, int, int, Tree]], cuts: list[np.ndarray]) -> pa
         "value": pa.array([np.concatenate([v / max(v.sum(), 1e-300) for v in t.value]) for *_, t in found], doubles)})
 
 
-class Forest:
-    """A trained forest for every group: ``predict`` gives class shares."""
+class Coded:
+    """Labelled rows by group with features as codes: what forests and boosting share."""
 
-    def __init__(self, train: DataFrame, by: Sequence[str] = (), trees: int = 100, depth: int | None = None, seed: int = 42, mtry: int | None = None, bootstrap: bool = True, bins: int = BINS):
-        """``train`` has by..., row_id, label, features. ``mtry`` defaults to the square root of the features; 0 stands for all."""
-        self.by, self.trees, self.depth, self.seed, self.bootstrap, self.bins = list(by), trees, depth, seed, bootstrap, min(bins, BINS)
+    def __init__(self, train: DataFrame, by: Sequence[str], seed: int, bins: int):
+        """``train`` has by..., row_id, label, features."""
+        self.by, self.seed, self.bins = list(by), seed, min(bins, BINS)
         self.spark, self.schema = train.sparkSession, [train.schema[c] for c in by]
         counts = train.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).collect()  # a row a class and group
         self.labels = sorted({r["label"] for r in counts})
         self.dim = max([1, *(r["d"] or 1 for r in counts)])
-        self.mtry = self.dim if mtry == 0 else min(self.dim, mtry or max(1, int(self.dim ** 0.5)))
         self.sizes: dict[int, int] = {}
         self.keys: dict[tuple, int] = {}
         for r in sorted(counts, key=lambda r: [(r[c] is not None, r[c]) for c in by]):
             gid = self.keys.setdefault(tuple(r[c] for c in by), len(self.keys))
             self.sizes[gid] = self.sizes.get(gid, 0) + r["n"]
-        self.local = max(1, min(LOCAL, LOCAL_BYTES // (self.dim + 16)))
         codes = F.create_map(*[F.lit(x) for i, label in enumerate(self.labels) for x in (label, i)]) if self.labels else None
-        rows = self._numbered(train).select("gid", F.col("row_id").cast("long").alias("row_id"), (codes[F.col("label")] if self.labels else F.lit(0)).alias("y"), "features")
-        rows = settle(rows)
-        self.cuts = self._cuts(rows)
-        self.tops: dict[tuple[int, int], Top] = {}
-        self.subtrees = settle(self._grow(rows)) if self.sizes else None
+        self.rows = settle(self._numbered(train).select(
+            "gid", F.col("row_id").cast("long").alias("row_id"), (codes[F.col("label")] if self.labels else F.lit(0)).alias("y"), "features"))
+        self.cuts = self._cuts(self.rows)
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """Rows of trained groups with their number."""
@@ -263,6 +259,19 @@ class Forest:
             out = part if out is None else out.unionAll(part)
         return settle(out)
 
+
+class Forest(Coded):
+    """A trained forest for every group: ``predict`` gives class shares."""
+
+    def __init__(self, train: DataFrame, by: Sequence[str] = (), trees: int = 100, depth: int | None = None, seed: int = 42, mtry: int | None = None, bootstrap: bool = True, bins: int = BINS):
+        """``train`` has by..., row_id, label, features. ``mtry`` defaults to the square root of the features; 0 stands for all."""
+        super().__init__(train, by, seed, bins)
+        self.trees, self.depth, self.bootstrap = trees, depth, bootstrap
+        self.mtry = self.dim if mtry == 0 else min(self.dim, mtry or max(1, int(self.dim ** 0.5)))
+        self.local = max(1, min(LOCAL, LOCAL_BYTES // (self.dim + 16)))
+        self.tops: dict[tuple[int, int], Top] = {}
+        self.subtrees = settle(self._grow(self.rows)) if self.sizes else None
+
     def _grow(self, rows: DataFrame) -> DataFrame:
         coded = self._encoded(rows)
         trees, depth, seed, mtry, bootstrap, classes, dim = self.trees, self.depth, self.seed, self.mtry, self.bootstrap, len(self.labels), self.dim

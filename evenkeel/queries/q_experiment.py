@@ -86,7 +86,8 @@ def sane(name: str, spark, sf_dir, least: float):
     return seen.crossJoin(fit).crossJoin(rank.select((F.col("accuracy") > 0.5).alias("better_than_coin")))  # one row each
 
 
-for key, name, least in [("f_random_forest_fit", "RandomForest", 0.99), ("f_decision_tree_fit", "DecisionTree", 1.0)]:
+for key, name, least in [("f_random_forest_fit", "RandomForest", 0.99), ("f_decision_tree_fit", "DecisionTree", 1.0),
+                          ("f_boosted_trees_fit", "CatBoost", 0.95)]:
     query(key, f"{with_(*HOLDOUT)} SELECT count(*) AS n, sum(label)::BIGINT AS positives, true AS agrees, true AS learns, true AS better_than_coin FROM val")(
         lambda spark, sf_dir, name=name, least=least: sane(name, spark, sf_dir, least))
 for key, name in [("f_random_forest", "RandomForest"), ("f_logistic_regression", "LogisticRegression"),
