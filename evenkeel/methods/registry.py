@@ -64,7 +64,11 @@ class Job:
     def minority(self) -> DataFrame:
         """Rows of the classes that are short, taken out of the source once."""
         short = self.points.transform(kernels.equi, self.needs.select(*self.grp), self.grp, "left_semi")
-        return settle(short.select(*self.by, "row_id", "label", "features"))
+        rows = settle(short.select(*self.by, "row_id", "label", "features"))
+        twice = rows.groupBy(*self.by, "row_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect()
+        if twice:  # joins by id would multiply rows
+            raise ValueError(f"ids must be unique within {self.by or 'the table'}: {twice[0]['row_id']} occurs {twice[0]['_n']} times in the classes to fill")
+        return rows
 
     @cached_property
     def dim(self) -> int:

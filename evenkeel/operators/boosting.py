@@ -70,21 +70,25 @@ def _share(score: np.ndarray) -> np.ndarray:
 
 
 def histogram(codes: np.ndarray, y: np.ndarray, bucket: np.ndarray, score: np.ndarray, tree: Sequence[Cut], bins: int) -> np.ndarray:
-    """(leaf, feature, code, gradient and curvature) of rows under the models that have not seen them."""
+    """(gradient and curvature, leaf, feature, code) of rows under the models that have not seen them."""
     if bucket.min(initial=0) < 0:
         codes, y, bucket, score = (v[bucket >= 0] for v in (codes, y, bucket, score))
     p = _share(score[np.arange(len(y)), bucket])
     dim = codes.shape[1]
     place = ((leaves_of(codes, tree)[:, None] * dim + np.arange(dim)) * bins + codes).ravel()
     size = (1 << len(tree)) * dim * bins
-    return np.stack([np.bincount(place, weights=np.repeat(v, dim), minlength=size) for v in (y - p, p * (1 - p))], axis=1).reshape(-1, dim, bins, 2)
+    return np.stack([np.bincount(place, weights=np.repeat(v, dim), minlength=size) for v in (y - p, p * (1 - p))]).reshape(2, -1, dim, bins)
 
 
 def gains(hist: np.ndarray, l2: float) -> np.ndarray:
     """Summed gain of every (feature, code) over the leaves of a histogram."""
-    left = np.cumsum(hist, axis=2)[:, :, :-1]
-    right = left[:, :, -1:] + hist[:, :, -1:] - left
-    return sum((side[..., 0] ** 2 / (side[..., 1] + l2)).sum(axis=0) for side in (left, right))
+    gradient, curvature = np.cumsum(hist, axis=3)
+    out = 0.0
+    for g, h in ((gradient[..., -1:] - gradient, curvature[..., -1:] - curvature), (gradient, curvature)):
+        h = h + l2
+        np.multiply(g, g, out=g)
+        out = out + np.divide(g, h, out=g)[..., :-1].sum(axis=0)
+    return out
 
 
 def leaf_sums(codes: np.ndarray, y: np.ndarray, bucket: np.ndarray, score: np.ndarray, tree: Sequence[Cut]) -> np.ndarray:
@@ -179,11 +183,11 @@ class Spread:
         dim, bins, l2 = self.dim, self.bins, self.l2
         for low in range(0, len(todo), most):
             some = {g: grown[g] for g in todo[low:low + most]}
-            sums = self._each(some, lambda codes, y, bucket, score, tree: histogram(codes, y, bucket, score, tree, bins), ["gid", "part", "sums"], "gid int, part int, sums array<double>")
+            sums = self._each(some, lambda *rows: np.moveaxis(histogram(*rows, bins), 1, 0), ["gid", "part", "sums"], "gid int, part int, sums array<double>")
 
             def judged(batches):
                 for batch in batches:
-                    found = [gains(np.array(h).reshape(1, dim, bins, 2), l2).ravel() for h in batch.column("sums").to_pylist()]
+                    found = [gains(np.array(h).reshape(2, 1, dim, bins), l2).ravel() for h in batch.column("sums").to_pylist()]
                     yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array(found, pa.list_(pa.float64()))], names=["gid", "gain"])
 
             for r in sums.mapInArrow(judged, "gid int, gain array<double>").groupBy("gid").agg(sum_vector("gain").alias("gain")).collect():  # a row a group
@@ -233,7 +237,7 @@ def _scored(batch: pa.RecordBatch, gids: np.ndarray, dim: int, pending: Mapping[
 class Boosting(Coded):
     """Trained trees of every group: ``predict`` gives the share of class 1."""
 
-    def __init__(self, train: DataFrame, by: Sequence[str] = (), rounds: int = 1000, depth: int = 6, rate: float = 0.03, l2: float = 3.0, patience: int | None = None, seed: int = 42, bins: int = 128):
+    def __init__(self, train: DataFrame, by: Sequence[str] = (), rounds: int = 1000, depth: int = 6, rate: float = 0.03, l2: float = 3.0, patience: int | None = None, seed: int = 42, bins: int = 64):
         """``train`` has by..., row_id, label (1 or another), features."""
         super().__init__(train, by, seed, bins)
         self.trees: dict[int, list[tuple[list[tuple[int, float]], np.ndarray]]] = {}

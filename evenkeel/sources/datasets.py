@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,28 +111,50 @@ VERSIONS = "version int, parent int, total_samples bigint, features int, classes
 def _versions(spark: SparkSession, path: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.schema(VERSIONS).parquet(f"{path}/versions") if files.exists(folder) else spark.createDataFrame([], VERSIONS)
+    # every version has a folder of its own, so writers at the same time share no committer
+    return spark.read.schema(VERSIONS).option("recursiveFileLookup", True).parquet(f"{path}/versions") if files.exists(folder) else spark.createDataFrame([], VERSIONS)
+
+
+def _claim(spark: SparkSession, path: str, version: int) -> bool:
+    """Create the version's marker if nobody has: the store lets one writer do that."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    marker = jvm.Path(f"{path}/claims/{version}")
+    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(marker.getParent())
+    try:
+        if files.getUri().getScheme() == "file":  # Hadoop's local create looks first and then opens
+            none = spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
+            spark._jvm.java.nio.file.Files.createFile(files.pathToFile(marker).toPath(), none)
+        else:
+            files.create(marker, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def publish(df: DataFrame, path: str, label: str, parent: int | None = None, test_size: float = 0.2) -> int:
     """Write a new version of a dataset under ``path`` with its metadata row; gives the version number.
 
-    The metadata row is written last, so a version that failed half-way is not listed.
+    Of writers at the same time, one gets a number and the others take the next: a number is claimed by creating its marker, which
+    only the first can. Data is never overwritten. The metadata row is written last, so a version that failed half-way is not listed and its number not used again.
     """
     spark = df.sparkSession
     known = _versions(spark, path)
-    last = known.agg(F.max("version")).first()[0] or 0
     if parent is not None and known.filter(F.col("version") == parent).isEmpty():
         raise ValueError(f"no version {parent} under {path}")
-    version = last + 1
-    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
+    version = (known.agg(F.max("version")).first()[0] or 0) + 1
+    while not _claim(spark, path, version):
+        version += 1
+    df.write.mode("errorifexists").parquet(f"{path}/data/version={version}")
     written = spark.read.schema(df.schema).parquet(f"{path}/data/version={version}")
     stats = profile(written, label)
     test = F.ceil(F.col("total_samples") * F.lit(test_size))
     row = stats.select(
         F.lit(version).alias("version"), F.lit(parent).cast("int").alias("parent"), "total_samples", "features", "classes",
         (F.col("total_samples") - test).alias("train_samples"), test.alias("test_samples"))
-    row.write.mode("append").parquet(f"{path}/versions")
+    row.write.mode("errorifexists").parquet(f"{path}/versions/of={version}")
     return version
 
 

@@ -61,3 +61,30 @@ def test_dropped_columns_count_until_the_encoding(spark):
     out = prepare(df, Recipe("label", drop=["country"], label_encode=["kind"]), "id")
     assert out.columns == ["id", "kind", "amount", "label"]
     assert sorted(r["id"] for r in out.collect()) == [1, 2, 3]  # rows 1 and 2 differ only in the dropped column
+
+
+def test_repeated_ids_raise(spark):
+    rows = [(1, 1, [0.0]), (1, 1, [0.5]), (2, 1, [1.0])] + [(10 + i, 0, [float(i)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "row_id bigint, label int, features array<double>")
+    with pytest.raises(ValueError, match="unique"):
+        fit_resample(df, "SMOTE").count()
+    apart = df.withColumn("ds", F.when(F.col("features")[0] == 0.5, "b").otherwise("a"))
+    assert fit_resample(apart, "SMOTE", by=["ds"]).filter("is_synthetic AND ds = 'a'").count() == 8
+
+
+def test_versions_of_writers_at_the_same_time(spark, tmp_path):
+    """Every writer has a number and all of its rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from evenkeel.sources import datasets
+
+    path = f"{tmp_path}/set"
+
+    def write(n):
+        return n, datasets.publish(spark.createDataFrame([(i % 2, float(i)) for i in range(n)], "y int, x double"), path, "y")
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(write, [6, 8, 10, 12]))
+    assert sorted(v for _, v in got) == [1, 2, 3, 4]
+    assert {r["version"]: r["total_samples"] for r in datasets.versions(spark, path).collect()} == {v: n for n, v in got}
+    assert all(datasets.load_version(spark, path, v).count() == n for n, v in got)
