@@ -1,7 +1,7 @@
 """Classifiers as fit-and-predict operators on point frames.
 
 ``predict(name, train, test, by)`` gives the test rows with ``y, y_pred, p1``. Nearest neighbours,
-Gaussian naive Bayes, forests, trees and boosting handle all ``by`` groups together; Spark ML models are
+Gaussian naive Bayes, forests, trees, boosting and kernel machines handle all ``by`` groups together; Spark ML models are
 fitted once per group, several at a time, always from a fresh estimator.
 """
 
@@ -11,21 +11,18 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.rng import normal, uniform
-from evenkeel.functions.vectors import dimension
 from evenkeel.functions.vectors import mean_vector, std_vector
 from evenkeel.operators.boosting import Boosting
 from evenkeel.operators.forest import Forest
 from evenkeel.operators.groups import map_groups
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.neighbours import Neighbours
+from evenkeel.operators.svm import KernelSVM
 
 CLASSIFIERS: dict[str, Callable] = {}
 
@@ -93,47 +90,12 @@ def random_forest(train, test, by, seed, trees: int = 100, depth: int | None = N
 
 
 @classifier("SVM")
-def rbf_svm(train, test, by, seed, width: int = 128, steps: int = 50):
-    """RBF-kernel SVM re-aimed: seeded random Fourier features (gamma = 1 / (d * variance)), a
-    linear SVC, and a logistic regression of the label on its margin for probabilities."""
-    dim = dimension(train)
-
-    # w_j ~ N(0, 2 gamma I) and a uniform phase per feature j: ``width`` rows of d numbers
-    draws = train.sparkSession.range(width).select(
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: normal(seed, "rff", F.col("id"), i)).alias("w"),
-        (uniform(seed, "phase", "id") * 2 * math.pi).alias("b")).orderBy("id").collect()
-    weights, phases = np.array([r["w"] for r in draws]).T, np.array([r["b"] for r in draws])
-
-    def lift(df, gamma):
-        @F.pandas_udf("array<double>")
-        def waves(vecs: pd.Series) -> pd.Series:
-            x = np.stack(vecs.to_numpy())
-            return pd.Series(list(np.cos(math.sqrt(2 * gamma) * (x @ weights) + phases) * math.sqrt(2 / width)))
-
-        return df.withColumn("features", waves("features"))
-
-    def one(key, part):
-        rows = test
-        for c in by:
-            rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
-        values = part.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        gamma = 1.0 / (dim * values)
-        ready = lift(part, gamma).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")).persist()
-        margin = LinearSVC(regParam=0.01, maxIter=steps, tol=1e-4).fit(ready)
-        held = lift(rows, gamma).withColumn("features", array_to_vector("features"))
-
-        def as_margin(df):
-            raw = vector_to_array("rawPrediction")[1]
-            return margin.transform(df).withColumn("features", array_to_vector(F.array(raw))).drop("rawPrediction", "prediction")
-
-        platt = LogisticRegression().fit(as_margin(ready))
-        ready.unpersist()
-        scored = platt.transform(as_margin(held))
-        return scored.select(
-            *by, "row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("y_pred"),
-            vector_to_array("probability")[1].alias("p1"))
-
-    return reduce(DataFrame.unionByName, map_groups(train, by, one))
+def rbf_svm(train, test, by, seed, landmarks: int = 512, cost: float = 1.0, tol: float = 1e-3):
+    """RBF-kernel SVM of all groups in one fit (``operators/svm.py``): classes by the sign of the margin, probabilities by a logistic curve on
+    cross-validated margins, so that the two may differ near the border."""
+    scored = KernelSVM(train, by, landmarks=landmarks, cost=cost, tol=tol, seed=seed).predict(test)
+    full = test.transform(equi, scored, [*by, "row_id"])
+    return full.select(*by, "row_id", F.col("label").alias("y"), (F.col("margin") > 0).cast("int").alias("y_pred"), F.col("share").alias("p1"))
 
 
 @classifier("kNN")
