@@ -5,10 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +17,7 @@ from evenkeel.functions.vectors import dot, lerp
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
-from evenkeel.operators import kernels
+from evenkeel.operators import kernels, moments
 from evenkeel.operators.cluster import fit_centers
 from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import group_rows
@@ -27,20 +25,6 @@ from evenkeel.operators.runtime import settle, small_table
 from evenkeel.operators.scan import range_buckets, running_sums
 
 
-def principal_axes(rows: DataFrame, grp, k: int) -> list[tuple]:
-    """(key values, mean, axes as columns, variances along them) per group, by Spark ML PCA."""
-    found = []
-    for key, part in each_group(rows, grp):
-        vectors = part.select(array_to_vector("features").alias("v")).persist()
-        stats = vectors.select(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
-        model = PCA(k=k, inputCol="v", outputCol="o").fit(vectors)
-        vectors.unpersist()
-        total = float(sum(stats["variance"]))
-        found.append((tuple(key[c] for c in grp), stats["mean"].toArray(), model.pc.toArray(),
-                      model.explainedVariance.toArray() * total))
-    return found
-
-
 @register("G_SMOTE")
 def g_smote(job: Job):
     """Sandhan & Choi 2014 (guided; not Geometric SMOTE): the step towards the neighbour is projected
@@ -48,9 +32,7 @@ def g_smote(job: Job):
     (by..., label, axis) replaces the fit."""
     axis = job.options.get("axis")
     if axis is None:
-        rows = [(*key, [float(v) for v in pc[:, 0]]) for key, _, pc, _ in principal_axes(job.minority, job.grp, 1)]
-        schema = T.StructType([job.minority.schema[c] for c in job.grp] + [T.StructField("axis", T.ArrayType(T.DoubleType()))])
-        axis = job.points.sparkSession.createDataFrame(rows, schema)
+        axis = small_table(moments.axes(job.minority, job.grp, 1).select(*job.grp, F.col("axes")[0].alias("axis")))
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
     full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed))).transform(kernels.equi, axis, job.grp)
     full = full.withColumn("along", F.coalesce(
@@ -65,7 +47,8 @@ def mdo(job: Job):
     among the k nearest of all, weighted by that number; where no row of a class has so many, all its rows
     are bases alike (ours). ``frame=`` [(key, mean, axes, variances)] replaces the fit.
     The d x d axes go to the executors; d is the number of features."""
-    frame = job.options.get("frame") or principal_axes(job.minority, job.grp, job.dim)
+    frame = job.options.get("frame") or [
+        (tuple(r[c] for c in job.grp), r["mean"], np.array(r["axes"]).T, r["variances"]) for r in moments.axes(job.minority, job.grp).collect()]  # a row a class
     held = job.points.sparkSession.sparkContext.broadcast({
         key: (np.asarray(mean), np.asarray(axes), np.asarray(var)) for key, mean, axes, var in frame})
     crowd = job.crowd().withColumn("weight", (F.col("kk") - F.col("m")).cast("double"))
@@ -88,12 +71,12 @@ def mdo(job: Job):
             out = np.array(x)
             for key, at in group_rows(batch, grp).items():
                 mean, axes, var = held.value[key]
-                real = var > 1e-12
+                real = var > 1e-12 * var.max(initial=0.0)
                 z = (x[at] - mean) @ axes
                 shell = (z[:, real] ** 2 / var[real]).sum(axis=1)
                 way = np.where(real[None, :], g[at], 0.0)
                 length = np.sqrt((way**2).sum(axis=1))
-                r = way * np.sqrt(shell[:, None] * np.where(real, var, 0.0)[None, :]) / length[:, None]
+                r = way * np.sqrt(shell[:, None] * np.where(real, var, 0.0)[None, :]) / np.maximum(length, 1e-300)[:, None]  # without spread: the mean, which is the base
                 out[at] = r @ axes.T + mean
             cols = [batch.column(n) for n in names[:-1]] + [pa.array(list(out), type=pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=names)

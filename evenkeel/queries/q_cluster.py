@@ -1,20 +1,23 @@
 """Queries for cluster operators and clustered or model-based methods.
 
 Iterative fits are not SQL. Twins are given centers, axes and scores that SQL can
-compute too; the ``_fit`` queries run the fits and have no twin, but for ``c_kmeans_fit``, ``c_xmeans_fit`` and ``o_clustered_fit``,
+compute too; the ``_fit`` queries run the fits and have no twin, but for ``c_kmeans_fit``, ``c_xmeans_fit``, ``o_clustered_fit`` and ``g_principal_axes``,
 which return what must hold for any right fit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import uniform
-from evenkeel.functions.vectors import distance, mean_vector
+from evenkeel.functions.vectors import distance, dot, mean_vector
 from evenkeel.methods import clustered, model_based  # noqa: F401  (register the methods)
 from evenkeel.methods.registry import fit_resample
-from evenkeel.operators import cluster
+from evenkeel.operators import cluster, moments
+from evenkeel.operators.kernels import equi
 from evenkeel.operators.runtime import settle
 from evenkeel.queries.base import (
     CROWD, MIN_CTES, NBR, OWN, OWNK, embedding_points, flat, knn, pick, query, resampled, table, u, uniform_draw, with_, z,
@@ -335,3 +338,27 @@ for name, method, options in [
     ("o_mdo_fit", "MDO", {}), ("o_supervised_smote_fit", "Supervised_SMOTE", {}),
 ]:
     query(name)(resample(method, **options))
+
+
+def uncorrelated(scores, variances, few: int):
+    """Whether the first ``few`` scores have the given variances and no correlation, by Spark's own aggregates."""
+    at = [scores[i] for i in range(few)]
+    tests = [F.abs(F.var_samp(at[i]) - F.first(variances)[i]) <= 1e-9 for i in range(few)]
+    tests += [F.abs(F.covar_samp(at[i], at[j])) <= 1e-9 for i in range(few) for j in range(i)]
+    return reduce(lambda a, b: a & b, tests)
+
+
+@query("g_principal_axes", """SELECT label, any_value(n) AS n, round(sum(v), 6) AS total_variance, true AS orthonormal, true AS falling, true AS uncorrelated FROM (
+  SELECT label, pos, count(*) AS n, var_samp(embedding[pos + 1]::DOUBLE) AS v FROM embeddings CROSS JOIN range(0, 64) t(pos) GROUP BY ALL) GROUP BY label""")
+def g_principal_axes(spark, sf_dir):
+    """Axes of every class of the embeddings by one job, and what must hold for any right ones."""
+    points = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("features"))
+    found = settle(moments.axes(points, ["label"]))
+    scores = points.transform(equi, found.select("label", "axes", "variances"), ["label"]).select(
+        "label", "variances", F.transform(F.slice("axes", 1, 4), lambda a: dot(a, F.col("features"))).alias("s"))
+    judged = scores.groupBy("label").agg(uncorrelated(F.col("s"), F.col("variances"), 4).alias("uncorrelated"))
+    places = F.sequence(F.lit(0), F.lit(63))
+    gram = F.forall(places, lambda i: F.forall(places, lambda j: F.abs(dot(F.get("axes", i), F.get("axes", j)) - (i == j).cast("double")) <= 1e-9))
+    total = F.aggregate("variances", F.lit(0.0), lambda a, v: a + v)
+    falling = F.forall(F.sequence(F.lit(1), F.lit(63)), lambda i: F.get("variances", i) <= F.get("variances", i - 1))
+    return found.select("label", "n", F.round(total, 6).alias("total_variance"), gram.alias("orthonormal"), falling.alias("falling")).transform(equi, judged, ["label"])
