@@ -15,7 +15,7 @@ from evenkeel.functions.vectors import distance, lerp, sum_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate, smote
-from evenkeel.operators import cluster, kernels
+from evenkeel.operators import cluster, kernels, lvq
 from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle, small_table
@@ -140,9 +140,14 @@ def quality_filter(job: Job, made: DataFrame, scorer) -> DataFrame:
 
 @register("LVQ_SMOTE")
 def lvq_smote(job: Job):
-    """Nakamura et al. 2013, re-aimed: min(``clusters``, n) k-means centers (16) of the class are the codebook; each
-    feature of a new row comes from one of the k codebook vectors nearest to the base (ours)."""
-    centers = _centers(job, job.options.get("clusters", 16)).withColumn("center", F.col("center").cast("array<double>"))
+    """Nakamura et al. 2013: a codebook of min(``clusters``, n) vectors (16) of every class, trained by learning vector quantisation over all rows
+    (``operators/lvq.py``, ``rounds`` rounds, 50) from k-means centers; each feature of a new row comes from one of the k vectors of its class nearest to the base (ours)."""
+    centers = job.options.get("centers")
+    if centers is None:
+        starts = cluster.fit_centers(job.points, job.grp, job.options.get("clusters", 16), job.seed, job.options.get("restarts", 10))
+        book, _ = lvq.train(job.points, job.by, starts.select(*job.grp, "cluster", "center"), int(job.options.get("rounds", 50)))
+        centers = book.transform(kernels.equi, job.needs.select(*job.grp), job.grp, "left_semi")
+    centers = centers.withColumn("center", F.col("center").cast("array<double>"))
     index = Neighbours(centers, by=job.grp, id="cluster", vec="center")
     near = index.knn(job.minority, job.k, skip_self=False).withColumnRenamed("nbr_id", "cluster")
     codes = near.transform(kernels.equi, centers, [*job.grp, "cluster"]).groupBy(*job.grp, F.col("q_id").alias("base_id")).agg(

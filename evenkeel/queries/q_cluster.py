@@ -16,7 +16,7 @@ from evenkeel.functions.rng import uniform
 from evenkeel.functions.vectors import distance, dot, mean_vector
 from evenkeel.methods import clustered, model_based  # noqa: F401  (register the methods)
 from evenkeel.methods.registry import fit_resample
-from evenkeel.operators import cluster, moments
+from evenkeel.operators import cluster, lvq, moments
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.runtime import settle
 from evenkeel.queries.base import (
@@ -362,3 +362,23 @@ def g_principal_axes(spark, sf_dir):
     total = F.aggregate("variances", F.lit(0.0), lambda a, v: a + v)
     falling = F.forall(F.sequence(F.lit(1), F.lit(63)), lambda i: F.get("variances", i) <= F.get("variances", i - 1))
     return found.select("label", "n", F.round(total, 6).alias("total_variance"), gram.alias("orthonormal"), falling.alias("falling")).transform(equi, judged, ["label"])
+
+
+@query("c_lvq_round", f"""{with_(MIN_CTES[0])},
+book AS (SELECT label AS lab, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS cluster, x AS w FROM pts QUALIFY cluster < 2),
+near AS (SELECT row_id, label, lab, cluster, round(list_distance(x, w), 9) ^ 2 AS g, x, w FROM pts CROSS JOIN book
+  QUALIFY row_number() OVER (PARTITION BY row_id, lab = label ORDER BY g, lab, cluster) = 1),
+gaps AS (SELECT row_id, max(g) FILTER (lab = label) AS p, max(g) FILTER (lab <> label) AS m FROM near GROUP BY row_id),
+pulls AS (SELECT *, CASE WHEN lab = label THEN m ELSE p END / (p + m) ^ 2 AS wt, CASE WHEN lab = label THEN 1 ELSE -1 END AS sign FROM near JOIN gaps USING (row_id)),
+moves AS (SELECT lab, cluster, pos, sum(wt * sign * (x[pos + 1] - w[pos + 1])) / sum(wt) AS move FROM pulls CROSS JOIN range(0, 64) t(pos) GROUP BY ALL)
+SELECT lab::INT AS label, cluster, pos::INT AS pos, round(w[pos + 1] + 0.5 * move, 6) + 0.0 AS val, true AS falls FROM book JOIN moves USING (lab, cluster)""")
+def c_lvq_round(spark, sf_dir):
+    """One round from the two rows of smallest id of each class, and whether it lowered the error."""
+    points = embedding_points(spark, sf_dir)
+    line = Window.partitionBy("label").orderBy("row_id")
+    # the two smallest ids of each class by a rank that is cut before the shuffle
+    first = points.select("label", "row_id", (F.row_number().over(line) - 1).cast("bigint").alias("cluster"), F.col("features").alias("center")).filter("cluster < 2")
+    book, errors = lvq.train(points, [], first.select("label", "cluster", "center"), rounds=1)
+    falls = errors.agg((F.max_by("error", "round") < F.min_by("error", "round")).alias("falls"))
+    flat_ = book.select("label", "cluster", F.posexplode("center").alias("pos", "val"))
+    return flat_.withColumn("val", F.round("val", 6) + 0.0).crossJoin(falls)  # one row
