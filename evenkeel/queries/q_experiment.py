@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evenkeel.functions.vectors import dot, sum_vector
 from evenkeel.methods import clustered, density, model_based, noise, smote  # noqa: F401  (register the methods)
 from evenkeel.operators import classifiers as clf
 from evenkeel.operators import split
@@ -106,6 +107,23 @@ def svm_fit(spark, sf_dir):
     return seen.crossJoin(every.filter(~held).agg((right >= 0.9).alias("learns"))).crossJoin(fit)  # one row each
 
 
+@query("f_logistic_regression_fit", f"{with_(*HOLDOUT)} SELECT count(*) AS n, sum(label)::BIGINT AS positives, true AS balanced, true AS stationary, true AS agrees FROM val")
+def logistic_fit(spark, sf_dir):
+    """Rows, classes, and the conditions that only the optimum meets. With the ridge of C = 1 the weights are the sum of (y - p) x over the training rows, so the log odds
+    of any row less that product are the offset, the same for all; and the training residuals sum to zero, as the offset has no ridge."""
+    marked = settle(split.stratified_holdout(embedding_points(spark, sf_dir)))
+    preds = clf.predict("LogisticRegression", marked.filter("NOT is_test").drop("is_test"), marked.drop("is_test"))
+    every = settle(preds.join(marked.select("row_id", "features", "is_test"), "row_id"))
+    left = F.col("y") - F.col("p1")
+    weights = every.filter("NOT is_test").agg(
+        sum_vector(F.transform("features", lambda x: x * left)).alias("w"), (F.abs(F.sum(left)) <= 1e-4 * F.count(F.lit(1))).alias("balanced"))
+    odds = F.log(F.col("p1") / (1 - F.col("p1"))) - dot(F.col("w"), F.col("features"))
+    held = F.col("is_test")
+    return every.crossJoin(F.broadcast(weights)).groupBy("balanced").agg(  # one row of weights
+        F.count_if(held).alias("n"), F.sum(F.when(held, F.col("y"))).alias("positives"), (F.stddev_pop(odds) <= 1e-3).alias("stationary"),
+        F.min((F.col("p1") > 0.5).cast("int") == F.col("y_pred")).alias("agrees"))
+
+
 for key, name in [("f_random_forest", "RandomForest"), ("f_logistic_regression", "LogisticRegression"),
                   ("f_decision_tree", "DecisionTree"), ("f_boosted_trees", "CatBoost"), ("f_svm", "SVM")]:
     query(key)(holdout_predictions(name))

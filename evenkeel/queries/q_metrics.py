@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.rng import uniform
 from evenkeel.methods.registry import fit_resample
 from evenkeel.operators import metrics
-from evenkeel.operators.runtime import spread
+from evenkeel.operators.runtime import settle, spread
 from evenkeel.plans import report
 from evenkeel.queries.base import embedding_points, query, table, u, with_
 from evenkeel.queries.q_split import LINE_ID, line_id
@@ -122,6 +122,25 @@ def v_projection(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("pc1", "pc2")})
 
 
+@query("v_projection_fit", """WITH c AS (SELECT (label = 0)::INT AS one, count(*) AS n FROM embeddings GROUP BY 1),
+s AS (SELECT 'class_' || one AS series, n FROM c UNION ALL SELECT 'synthetic', max(n) * 2 - sum(n)::BIGINT FROM c)
+SELECT series, n::BIGINT AS n, true AS centered, true AS uncorrelated, true AS falling, true AS explained FROM s WHERE n > 0""")
+def v_projection_fit(spark, sf_dir):
+    """Rows of each series, and what holds for right axes: on the original rows both scores have mean zero, no correlation, falling variance, and the shares reported."""
+    points = embedding_points(spark, sf_dir)
+    out, shares = report.project_2d(fit_resample(points, "SMOTE"))
+    out = settle(out)
+    a, b = F.col("pc1"), F.col("pc2")
+    features = points.select(F.posexplode("features").alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("v")).agg(F.count_if(F.col("v") > 0).alias("d"))
+    original = out.filter("series <> 'synthetic'").agg(
+        ((F.abs(F.avg(a)) <= 1e-9) & (F.abs(F.avg(b)) <= 1e-9)).alias("centered"), (F.abs(F.covar_pop(a, b)) <= 1e-9).alias("uncorrelated"),
+        (F.var_pop(a) >= F.var_pop(b)).alias("falling"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
+    judged = original.crossJoin(features).select(  # one row each
+        "centered", "uncorrelated", "falling",
+        ((F.abs(F.col("va") / F.col("d") - shares[0]) <= 1e-6) & (F.abs(F.col("vb") / F.col("d") - shares[1]) <= 1e-6)).alias("explained"))
+    return out.groupBy("series").agg(F.count(F.lit(1)).alias("n")).crossJoin(judged)
+
+
 # ---- reports -------------------------------------------------------------
 
 KEYS = "dataset, method, classifier"
