@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +16,6 @@ from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels, moments
 from evenkeel.operators.cluster import fit_centers
-from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import group_rows
 from evenkeel.operators.runtime import settle, small_table
 from evenkeel.operators.scan import range_buckets, running_sums
@@ -114,44 +110,76 @@ def supervised_smote(job: Job):
 
 @register("SSO")
 def sso(job: Job):
-    """Rong et al. 2014, re-aimed: a radial basis network on min(``clusters``, n) k-means centers (20) with a ridge output
-    layer scores the class; a row's sensitivity is the mean squared change of its score over ``h``
-    (10) seeded shifts in +-``q`` (0.1, for scaled features). Bases follow sensitivity; a new row is
-    the base plus one more such shift. The network is as small as its centers, so it travels with the task."""
-    h, q = int(job.options.get("h", 10)), float(job.options.get("q", 0.1))
-    parts = [_sensitivity(job, key, part, h, q) for key, part in each_group(job.minority, job.grp)]
-    weights = parts[0]
-    for more in parts[1:]:
-        weights = weights.unionByName(more)
+    """Rong et al. 2014: a radial basis network on min(``clusters``, n) k-means centers (20) of a group with a ridge output
+    layer (0.01 of each response's variance, ours) scores the class; a row's sensitivity is the expected squared change of its score over uniform shifts in
+    +-``q`` (0.1, for scaled features) of every feature, which has a closed form (``sensitivity``). Bases follow sensitivity; a new row is
+    the base plus one such shift. Networks of all groups are fitted by the same jobs; they are as small as their centers and travel to the rows."""
+    q, by = float(job.options.get("q", 0.1)), job.by
+    nodes: dict[tuple, list] = {}
+    for r in fit_centers(job.points, by, int(job.options.get("clusters", 20)), job.seed, job.options.get("restarts", 3)).collect():  # a few rows a group
+        nodes.setdefault(tuple(r[c] for c in by), []).append((r["cluster"], r["center"]))
+    nets = {}
+    for key, found in nodes.items():
+        centers = np.array([c for _, c in sorted(found)])
+        gaps = blocks.all_distances(centers, centers)
+        nets[key] = centers, float(gaps[gaps > 0].mean()) if (gaps > 0).any() else 1.0
+    labels = sorted({r["label"] for r in job.needs.select("label").distinct().collect()})
+    held = job.points.sparkSession.sparkContext.broadcast(nets)
+    schema = T.StructType([*[job.points.schema[c] for c in by], T.StructField("_vec", T.ArrayType(T.DoubleType()))])
+
+    def respond(batches):
+        for batch in batches:
+            x, own, out = blocks.matrix(batch.column("features")), batch.column("label").to_numpy(), [None] * batch.num_rows
+            for key, at in group_rows(batch, by).items():
+                wanted = own[at][:, None] == np.array(labels)
+                for i, row in zip(at.tolist(), np.column_stack([responses(x[at], *held.value[key]), wanted]).tolist()):
+                    out[i] = row
+            yield pa.RecordBatch.from_arrays([*map(batch.column, by), pa.array(out, pa.list_(pa.float64()))], names=schema.names)
+
+    outputs = {}
+    for r in moments.gather(job.points.select(*by, "label", "features").mapInArrow(respond, schema), by, "_vec").collect():  # a row a group
+        key = tuple(r[c] for c in by)
+        many = len(nets[key][0])
+        squares = moments.unpacked(r["mean"], r["squares"])[1]
+        ridge = 0.01 * np.diag(squares)[:many]
+        outputs[key] = np.linalg.lstsq(squares[:many, :many] + np.diag(ridge), squares[:many, many:], rcond=None)[0]
+    layer = job.points.sparkSession.sparkContext.broadcast({k: {label: w[:, i] for i, label in enumerate(labels)} for k, w in outputs.items()})
+    grp, marks = job.grp, T.StructType([*[job.minority.schema[c] for c in job.grp], T.StructField("row_id", T.LongType()), T.StructField("weight", T.DoubleType())])
+
+    def judge(batches):
+        for batch in batches:
+            x, weight = blocks.matrix(batch.column("features")), np.zeros(batch.num_rows)
+            for key, at in group_rows(batch, grp).items():
+                net = key[:len(by)]
+                for some in blocks.steps(len(at), x.shape[1] * 64):
+                    weight[at[some]] = sensitivity(x[at[some]], *held.value[net], layer.value[net][key[-1]], q)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, [*grp, "row_id"]), pa.array(weight)], names=marks.names)
+
+    weights = job.minority.select(*grp, "row_id", "features").mapInArrow(judge, marks)
     made = job.base_vec(kernels.draw_weighted(settle(weights), job.needs, job.grp, job.seed))
     shift = F.transform("x", lambda x, i: x + (uniform(job.seed, "shift", *job.keys, i) * 2 - 1) * q)
     return kernels.as_synthetic(made, job.by, shift)
 
 
-def _sensitivity(job: Job, key, part: DataFrame, h: int, q: float) -> DataFrame:
-    rows = job.points
-    for c in job.by:
-        rows = rows.filter(F.col(c).eqNullSafe(F.lit(key[c])))
-    table = fit_centers(rows, [], int(job.options.get("clusters", 20)), job.seed, job.options.get("restarts", 3)).collect()  # one row per center
-    nodes = np.array([r["center"] for r in table])
-    gaps = blocks.all_distances(nodes, nodes)
-    width = gaps[gaps > 0].mean() if (gaps > 0).any() else 1.0
-
-    @F.pandas_udf("array<double>")
-    def responses(vecs: pd.Series) -> pd.Series:
-        d = blocks.all_distances(np.stack(vecs.to_numpy()), nodes)
-        return pd.Series(list(np.exp(-(d**2) / (2 * width**2))))
-
-    ready = rows.select(
-        (F.col("label") == key["label"]).cast("double").alias("label"), array_to_vector(responses("features")).alias("features"))
-    net = LinearRegression(regParam=0.01, elasticNetParam=0.0).fit(ready)
-    out = F.array(*[F.lit(float(v)) for v in net.coefficients])
-
-    def score(vec):
-        return dot(responses(vec), out)
-
-    tries = part.withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(h))))
-    tries = tries.withColumn("_moved", F.transform(
-        "features", lambda x, i: x + (uniform(job.seed, "probe", "row_id", F.col("_h"), i) * 2 - 1) * q))
-    change = tries.withColumn("_a", score("features")).withColumn("_b", score("_moved"))
-    return change.groupBy(*job.grp, "row_id").agg(F.avg((F.col("_a") - F.col("_b")) ** 2).alias("weight"))
+def responses(x: np.ndarray, nodes: np.ndarray, width: float) -> np.ndarray:
+    return np.exp(-(blocks.all_distances(x, nodes) ** 2) / (2 * width**2))
+
+
+def smeared(x: np.ndarray, center: np.ndarray, scale: float, q: float) -> np.ndarray:
+    """Mean of exp(-|x + u - center|^2 / scale) over u uniform in +-q: a product of one integral a feature, by Gauss-Legendre nodes, more of them the wider q is."""
+    at, share = np.polynomial.legendre.leggauss(min(64, 6 + int(8 * q / np.sqrt(scale))))
+    gaps = (x - center)[:, :, None] + q * at
+    return np.exp(np.log(np.maximum(np.exp(-(gaps**2) / scale) @ (share / 2), 1e-300)).sum(axis=1))
+
+
+def sensitivity(x: np.ndarray, nodes: np.ndarray, width: float, out: np.ndarray, q: float) -> np.ndarray:
+    """Mean of (f(x + u) - f(x))^2 over u uniform in +-q, f being the network: products of two responses are Gaussians about the middle of their centers."""
+    scale = 2 * width**2
+    here = responses(x, nodes, width) @ out
+    mean = sum(w * smeared(x, c, scale, q) for w, c in zip(out, nodes))
+    square = np.zeros(len(x))
+    for j, a in enumerate(nodes):
+        for k, b in enumerate(nodes[:j + 1]):
+            share = (1 if k == j else 2) * out[j] * out[k] * np.exp(-((a - b) ** 2).sum() / (2 * scale))
+            square += share * smeared(x, (a + b) / 2, scale / 2, q)
+    return np.maximum(square - 2 * here * mean + here**2, 0.0)

@@ -48,20 +48,23 @@ def principal(found: Moments) -> tuple[np.ndarray, np.ndarray]:
 
 def _fold(table: pa.Table) -> Moments:
     total = None
-    for n, mean, squares in zip(table.column("n").to_pylist(), table.column("mean").to_pylist(), table.column("squares").to_pylist()):
-        mean = np.frombuffer(mean)
-        one = n, mean, np.frombuffer(squares).reshape(len(mean), -1)
+    for n, *packed in zip(*(table.column(c).to_pylist() for c in ("n", "mean", "squares"))):
+        one = n, *unpacked(*packed)
         total = one if total is None else merged(total, one)
     return total
 
 
-def axes(rows: DataFrame, grp: Sequence[str], k: int | None = None, vec: str = "features") -> DataFrame:
-    """(grp..., n, mean, axes, variances): the first ``k`` principal axes (all) of every group."""
+def unpacked(mean: bytes, squares: bytes) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.frombuffer(mean)
+    return mean, np.frombuffer(squares).reshape(len(mean), -1)
+
+
+def gather(rows: DataFrame, grp: Sequence[str], vec: str = "features") -> DataFrame:
+    """(grp..., n, mean, squares) of every group, arrays as bytes (``unpacked``)."""
     grp = list(grp)
     keys = [rows.schema[c] for c in grp]
     own = rows.select(*grp, rows[vec].cast("array<double>").alias("_vec"))
     part = T.StructType([*keys, *T.StructType.fromDDL("place int, n long, mean binary, squares binary").fields])
-    out = T.StructType([*keys, *T.StructType.fromDDL("n long, mean array<double>, axes array<array<double>>, variances array<double>").fields])
 
     def packed(key: dict[str, pa.Array], place: int, found: Moments) -> dict:
         n, mean, squares = found
@@ -89,10 +92,27 @@ def axes(rows: DataFrame, grp: Sequence[str], k: int | None = None, vec: str = "
     def meet(table: pa.Table) -> pa.Table:
         return pa.table(packed(first(table), table.column("place")[0].as_py(), _fold(table)))
 
-    def finish(table: pa.Table) -> pa.Table:
-        n, mean, squares = _fold(table)
-        ways, values = principal((n, mean, squares))
-        return pa.table({**first(table), "n": pa.array([n], pa.int64()), "mean": pa.array([mean.tolist()], pa.list_(pa.float64())),
-                         "axes": pa.array([ways[:k].tolist()], pa.list_(pa.list_(pa.float64()))), "variances": pa.array([values[:k].tolist()], pa.list_(pa.float64()))})
+    def all_met(table: pa.Table) -> pa.Table:
+        return pa.table(packed(first(table), 0, _fold(table)))
+
+    return own.mapInArrow(tally, part).groupBy(*grp, "place").applyInArrow(meet, part).groupBy(*grp).applyInArrow(all_met, part).drop("place")
 
-    return own.mapInArrow(tally, part).groupBy(*grp, "place").applyInArrow(meet, part).groupBy(*grp).applyInArrow(finish, out)
+
+def axes(rows: DataFrame, grp: Sequence[str], k: int | None = None, vec: str = "features") -> DataFrame:
+    """(grp..., n, mean, axes, variances): the first ``k`` principal axes (all) of every group."""
+    found = gather(rows, grp, vec)
+    out = T.StructType([*[found.schema[c] for c in grp], *T.StructType.fromDDL("n long, mean array<double>, axes array<array<double>>, variances array<double>").fields])
+
+    def finish(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means, ways, values = [], [], []
+            for n, *packed in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "squares"))):
+                mean, squares = unpacked(*packed)
+                way, value = principal((n, mean, squares))
+                means.append(mean.tolist())
+                ways.append(way[:k].tolist())
+                values.append(value[:k].tolist())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, [*grp, "n"]), pa.array(means, pa.list_(pa.float64())), pa.array(ways, pa.list_(pa.list_(pa.float64()))), pa.array(values, pa.list_(pa.float64()))],
+                                             names=[*grp, "n", "mean", "axes", "variances"])
+
+    return found.mapInArrow(finish, out)

@@ -76,3 +76,27 @@ def test_methods_take_all_groups(spark, method):
             assert np.allclose((new - old) @ vectors[:, :2], 0, atol=1e-9)
         else:
             assert np.isclose((((new - mean) @ vectors) ** 2 / values).sum(), (((old - mean) @ vectors) ** 2 / values).sum())
+
+
+@pytest.mark.parametrize("q", [0.1, 2.0])
+def test_sensitivity_as_sampled(q):
+    """The closed form against many shifts of each row."""
+    rng = np.random.default_rng(3)
+    x, nodes, out = rng.normal(size=(4, 3)), rng.normal(size=(5, 3)), rng.normal(size=5)
+    shifts = rng.uniform(-q, q, size=(200_000, 3))
+    for row, got in zip(x, model_based.sensitivity(x, nodes, 0.9, out, q)):
+        here = model_based.responses(row[None], nodes, 0.9) @ out
+        want = np.mean((model_based.responses(row + shifts, nodes, 0.9) @ out - here) ** 2)
+        assert np.isclose(got, want, rtol=0.02)
+
+
+def test_sso_of_all_groups(spark):
+    """Every group reaches its size; new rows lie within the shift of a base; the weights are those of a network fitted on the group alone."""
+    rng = np.random.default_rng(4)
+    rows = [(ds, int(i >= 30), i, rng.normal(size=2).tolist()) for ds in ("a", None) for i in range(40)]
+    both = fit_resample(spark.createDataFrame(rows, DDL), "SSO", by=["ds"], clusters=4, restarts=1).collect()
+    alone = fit_resample(spark.createDataFrame([r for r in rows if r[0] == "a"], DDL), "SSO", by=["ds"], clusters=4, restarts=1).collect()
+    base = {(r[0], r[2]): np.array(r[3]) for r in rows}
+    made = [r for r in both if r["is_synthetic"]]
+    assert len(made) == 40 and all(np.abs(np.array(r["features"]) - base[r["ds"], r["base_id"]]).max() <= 0.1 for r in made)
+    assert sorted(r["base_id"] for r in made if r["ds"] == "a") == sorted(r["base_id"] for r in alone if r["is_synthetic"])
