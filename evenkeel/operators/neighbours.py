@@ -105,6 +105,8 @@ class Neighbours:
             table = self.refs.toArrow()
             held = {}
             for key, rows in group_rows(table, self.by).items():
+                if not len(rows):
+                    continue
                 part = table.take(pa.array(rows))
                 ids, mat, side = _unpack(part, "_rid", "_rvec", self.carry)
                 held[key] = (ids, mat, side)

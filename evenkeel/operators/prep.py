@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions import blocks
-from evenkeel.operators.neighbours import Neighbours
+from evenkeel.operators.donors import nearest_donors
 from evenkeel.operators.quantiles import exact_quantiles
 from evenkeel.operators.runtime import settle
 from evenkeel.operators.scan import range_buckets, running_sums
@@ -151,7 +150,7 @@ def knn_impute(df: DataFrame, id: str, cols: Sequence[str], k: int | None = None
     Distance is over the features both rows have, scaled up by features / shared ones.
     ``uniform`` averages; ``distance`` weighs by 1/distance, zero distances taking all.
     Without ``k``: min(5, rows // 10), an error below 10 rows. A value without any donor gets
-    the column mean. Every row with a null is compared with every donor.
+    the column mean. Rows meet donors pattern by pattern of present features (``operators/donors.py``).
     """
     cols = list(cols)
     pool = df if donors is None else donors
@@ -163,10 +162,7 @@ def knn_impute(df: DataFrame, id: str, cols: Sequence[str], k: int | None = None
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in cols]).alias("features")
     key = F.col(id).cast("bigint").alias("row_id")
     gaps = F.array_max(F.array(*[F.col(c).isNull().cast("int") for c in cols])) == 1
-    index = Neighbours(pool.select(key, vec), metric=False)
-    parts = index.meet(df.filter(gaps).select(key, vec), blocks.donors(k), "pos int, nbr_id bigint, dist double, value double")
-    order = Window.partitionBy("q_id", "pos").orderBy("dist", "nbr_id")
-    best = parts.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= k)
+    best = nearest_donors(pool.select(key, vec), df.filter(gaps).select(key, vec), len(cols), k)
     if weights == "distance":
         exact = F.max((F.col("dist") == 0).cast("int"))
         zero = F.sum(F.when(F.col("dist") == 0, F.col("value"))) / F.sum((F.col("dist") == 0).cast("int"))

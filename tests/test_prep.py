@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.operators import prep, split
+from evenkeel.operators import donors, neighbours, prep, split
 from evenkeel.plans.recipes import RECIPES, prepare
 from evenkeel.sources import datasets
 
@@ -76,18 +76,43 @@ def test_knn_impute_matches_brute_force(spark, weights, monkeypatch):
     rows = [tuple(None if rng.random() < 0.2 else float(rng.integers(0, 6)) for _ in range(3)) for _ in range(60)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, a double, b double, c double")
     want = nan_brute(rows, 5, weights)
-    for block in (False, True):
-        if block:
-            from evenkeel.operators import neighbours
-
-            real = neighbours.Neighbours
-            monkeypatch.setattr(prep, "Neighbours", lambda refs, **kw: real(refs, local_bytes=0, block_rows=16, **kw))
+    real = donors.nearest_donors
+    for limits in ({}, {"direct_cells": 0, "rare": 3}, {"direct_cells": 0, "rare": 0, "local_bytes": 0}, {"direct_cells": 0, "rare": 0, "common": 2}):
+        monkeypatch.setattr(prep, "nearest_donors", lambda *args: real(*args, **limits))
         got = prep.knn_impute(df, "id", ["a", "b", "c"], 5, weights).orderBy("id").toPandas()[["a", "b", "c"]].to_numpy()
         assert np.allclose(got, want)
     with pytest.raises(ValueError):
         prep.knn_impute(df.limit(9), "id", ["a", "b"])
 
 
+def test_donors_meet_by_pattern(spark, monkeypatch):
+    """Common patterns never meet all pairs, ties, copies and values that cannot be squared included."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 400, (6000, 3)).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:900] = x[900]  # copies
+    x[:900, 2] = np.nan
+    x[5990:, 0] = [1e200, -1e200, np.inf, 5, 5, 5, 5, 5, np.nan, 7]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>").repartition(4)
+    lacking = df.where("exists(features, v -> isnan(v))")
+    met, real = [], neighbours.Neighbours
+
+    def counted(refs, **kw):
+        if not kw.get("metric", True):
+            met.append(refs.count())
+            return real(refs, **kw)
+        return real(refs, block_rows=64, stream_queries=0, **kw)
+
+    monkeypatch.setattr(donors, "Neighbours", counted)
+    want = donors.nearest_donors(df, lacking, 3, 4)
+    got = donors.nearest_donors(df, lacking, 3, 4, direct_cells=0, rare=20, local_bytes=0)
+    assert met[0] == 6000 and met[2] < 60  # donors that the rows of common patterns meet one by one
+    cols = ["q_id", "pos", "nbr_id", "dist", "value"]
+    a, b = (f.select(cols).toPandas().sort_values(cols[:3]).reset_index(drop=True) for f in (got, want))
+    assert len(a) > 5000 and np.allclose(a.to_numpy(), b.to_numpy())
+
+
 def test_pipeline_never_learns_from_new_rows_nor_drops_them(spark):
     train = spark.createDataFrame([(i, float(i), "x" if i % 2 else "y") for i in range(30)] + [(99, 1000.0, "z")], "row_id long, a double, s string")
     model = prep.Prep(["a"], ["s"], "simple", "zscore", "onehot", "minmax").fit(train)
