@@ -10,8 +10,9 @@ Scale: equal vectors are one point with a weight. A crowded cell is dealt to sev
 homes, streams visitors past them, and sends on link counts per vector and a forest of the links, never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with nothing
-(a component of their own); rows that repeat an id and its vector are one vector and each get its result; vectors of different lengths never link;
-an empty table gives no rows.
+(a component of their own); rows that repeat an id and its vector are one vector and each get its result; an id with several vectors has a result for
+each of them, in rows of their own; vectors of different lengths never link; labels may be of any type that can be compared, those other than whole numbers are told
+apart by 64 bits; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.components import Forest, components
 from evenkeel.llm.text import mix
@@ -178,16 +180,26 @@ def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[list, list]:
     return own.tolist(), np.bincount(at, values, len(own)).astype(np.int64).tolist()
 
 
+def _label(rows: DataFrame, label: str) -> Column:
+    """The label as a whole number: itself, or a hash in which 0.0 and -0.0 are equal; null for a null."""
+    kind = rows.schema[label].dataType
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return F.col(label).cast("long")
+    own = F.col(label) + F.lit(0.0).cast(kind) if isinstance(kind, T.FractionalType) else F.col(label)
+    return F.when(F.col(label).isNotNull(), F.xxhash64(own))
+
+
 def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component) for every row."""
     parts = width(rows.sparkSession)
-    source = rows.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("vec"))
+    source = rows.select(F.col(id).cast("long").alias("id"), _label(rows, label).alias("label"), F.col(vector).alias("vec"))
     kind = source.schema["vec"].dataType.simpleString()
     keyed = settle(source.mapInArrow(_keys, f"id long, label long, key binary, vec {kind}"))
     able = keyed.where("key IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
     members = able.select("label", "key", "id").distinct()
     copies = members.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    points = settle(able.join(copies, ["label", "key"]).where("id = rep").dropDuplicates(["label", "key"]).select("label", "key", "id", "n", "vec"))
+    points = able.join(copies, ["label", "key"]).where("id = rep").dropDuplicates(["label", "key"])
+    points = settle(points.select("label", "key", "rep", "n", "vec", F.monotonically_increasing_id().alias("id")))  # a point is a vector: an id may have several
     cells = points.select("label", "id", "n", "vec").repartition(parts, "id").mapInArrow(
         _grid(cosine), f"cell long, home boolean, part int, id long, n long, vec {kind}, turned array<float>")
     crowded = settle(cells.where("home").groupBy("cell").count().where(F.col("count") > BLOCK).select(
@@ -200,10 +212,12 @@ def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
         *cols, F.explode(F.sequence(F.lit(0), "last")).alias("block"), F.lit(False).alias("home"))
     met = stay.unionByName(go).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", F.desc("home"))
     found = settle(met.mapInArrow(_meet(cosine), "a long, b long, links long"))
-    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
+    joined = settle(components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id"))
+    least = joined.join(points.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("first"))
+    joined = joined.join(least, "component").select("id", "first")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    about = settle(points.select("label", "key", "id", "n").join(counts, "id", "left").join(joined, "id", "left").select(
-        "label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    about = settle(points.select("label", "key", "id", "rep", "n").join(counts, "id", "left").join(joined, "id", "left").select(
+        "label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("first", "rep").alias("component")))
     return keyed.select("id", "label", "key").join(about, ["label", "key"], "left").select(
         "id", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

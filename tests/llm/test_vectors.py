@@ -1,6 +1,8 @@
 """Vector operators against brute force, with odd vectors, copies and ties."""
 
 import math
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,6 +40,39 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_wide_and_reused(spark):
+    """Scores beyond every machine type, ids with several vectors, ties between them; against Python integers."""
+    rng = np.random.default_rng(8)
+    data = [(50, [1e6, 0.0]), (1, [1e6, 1.0]), (2, [3e5, 2.0]), (3, [2e6, 0.0]), (4, [1e300, -1e300]), (5, [1e300, 1.0]), (6, [-1.7e308, 1.7e308]), (100, [1e200, 3.0]),
+            (100, [0.5, 0.25]), (7, [0.25, 1.0]), (7, [4.0, 2.0]), (150, [2.0, 2.0]), (150, [-3.0, 1.0]), (8, [1e6, 1.0]), (8, [1e6, 1.0]), (9, [1.0, 2.0, 3.0])]
+    data += [(200 + i, (rng.standard_normal(2) * 10.0 ** rng.integers(-2, 12)).tolist()) for i in range(120)]
+    rows = sorted({(i, tuple(x)) for i, x in data})
+    whole = {r: [math.floor(Fraction(v) * 256) for v in r[1]] for r in rows}
+    want = []
+    for q in rows:
+        if q[0] % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[v])), v[0]) for v in rows if v != q and len(v[1]) == len(q[1]))[:5]
+            want += [(q[0], r + 1, v, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, v) in enumerate(best)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+    some = df.where("vec_id < 4 OR vec_id IN (50, 150)")  # none of these is wide
+    assert [r["vec_id"] for r in topk.search(some, F.col("vec_id") == 50).orderBy("rank").collect()] == [3, 1, 2, 150, 150]
+
+
+def test_embedding_dedup_labels_and_reused_ids(spark):
+    """Labels of any type are compared as they are; an id with two vectors has a result for each."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    for kind, x, y in (("double", 0.2, 0.7), ("string", "x", "y"), ("boolean", True, False), ("decimal(3,1)", Decimal("0.2"), Decimal("0.7"))):
+        df = spark.createDataFrame([(1, a, x), (2, a, y), (3, a, x), (4, a, None)], f"vec_id long, embedding array<double>, label {kind}")
+        assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 0, 4)]
+    df = spark.createDataFrame([(1, a, 0.0), (2, a, -0.0)], "vec_id long, embedding array<double>, label double")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+    close = [1.0, 0.05, 0.0]
+    rows = [(7, a, 1), (7, b, 1), (5, close, 1), (6, [0.0, 1.0, 0.05], 1), (4, [0.0, 1.0, 0.1], 1), (9, c, 1), (9, [0.0, 0.01, 1.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(4, 2, 4), (5, 1, 5), (6, 2, 4), (7, 1, 5), (7, 2, 4), (9, 1, 9), (9, 1, 9)]
+
+
 def test_embedding_dedup(spark):
     good, odd = rows()
     df = spark.createDataFrame(good + odd, SCHEMA)
