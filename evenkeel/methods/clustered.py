@@ -15,7 +15,7 @@ from evenkeel.functions.vectors import distance, lerp, sum_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate, smote
-from evenkeel.operators import cluster, kernels, lvq
+from evenkeel.operators import cluster, kernels, linkage, lvq
 from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle, small_table
@@ -201,8 +201,8 @@ def mwmote(job: Job):
     """Barua et al. 2014. Class rows with no own row among their 5 nearest are noise; the 3 nearest
     other rows of the rest are the border B; each y in B lends weight to its nearest half of
     the class: closeness C = min(d / distance, 5) / 5 * 2 times C / (sum of C over those rows).
-    Bases follow the weights, the partner is a random row of the base's k-means cluster
-    (ours; average linkage in the paper; max(2, min(``clusters``, n // 10)) clusters, 10 by default). Rows tied at the half-way distance all count (ours)."""
+    Bases follow the weights, the partner is a random row of the base's cluster: average linkage over the class, cut at ``spread`` (3) times the mean distance of
+    a row that is not noise to its nearest one (``operators/linkage.py``). Rows tied at the half-way distance all count (ours)."""
     sure = job.crowd(5).filter(F.col("m") < F.col("kk"))
     filtered = job.minority.transform(kernels.equi, sure.select(*job.grp, "row_id"), [*job.grp, "row_id"], "left_semi")
     rest = settle(job.others.select(*job.grp, "row_id", "features"))
@@ -222,7 +222,12 @@ def mwmote(job: Job):
                          "total double", reach="widest")
     weights = parts.groupBy(*job.grp, F.col("q_id").alias("row_id")).agg(F.sum("total").alias("weight"))
     made = kernels.draw_weighted(weights, job.needs, job.grp, job.seed)
-    members = _members(job, _centers(job, _tenth(job)))
+    if job.options.get("centers") is not None:
+        members = _members(job, job.options["centers"])
+    else:
+        alone = Neighbours(filtered, by=job.grp, copies=2).knn(filtered, 1)
+        cuts = settle(alone.groupBy(*job.grp).agg((F.avg("dist") * float(job.options.get("spread", 3.0))).alias("cut")))
+        members = settle(linkage.average_linkage(job.minority, job.grp, cuts))
     grp = [*job.grp, "cluster"]
     made = kernels.attach(made, members, job.by, "base_id", cluster="cluster")
     made = kernels.draw_uniform(made, members, grp, job.keys, job.seed, "partner", "nbr_id")

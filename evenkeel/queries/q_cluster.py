@@ -16,7 +16,7 @@ from evenkeel.functions.rng import uniform
 from evenkeel.functions.vectors import distance, dot, mean_vector
 from evenkeel.methods import clustered, model_based  # noqa: F401  (register the methods)
 from evenkeel.methods.registry import fit_resample
-from evenkeel.operators import cluster, lvq, moments
+from evenkeel.operators import cluster, linkage, lvq, moments
 from evenkeel.operators.kernels import equi
 from evenkeel.operators.runtime import settle
 from evenkeel.queries.base import (
@@ -382,3 +382,21 @@ def c_lvq_round(spark, sf_dir):
     falls = errors.agg((F.max_by("error", "round") < F.min_by("error", "round")).alias("falls"))
     flat_ = book.select("label", "cluster", F.posexplode("center").alias("pos", "val"))
     return flat_.withColumn("val", F.round("val", 6) + 0.0).crossJoin(falls)  # one row
+
+
+LINK_CUT = 400.0
+
+
+@query("c_average_linkage", f"""WITH RECURSIVE p AS (SELECT c_nationkey AS g, c_custkey AS id, c_acctbal::DOUBLE AS x FROM customer),
+d AS (SELECT a.g, a.id AS i, b.id AS j, round(abs(a.x - b.x), 9) AS d FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id),
+s(step, g, id, c) AS (SELECT 0, g, id, id FROM p UNION ALL SELECT * FROM (
+  WITH m AS (SELECT d.g, a.c AS ca, b.c AS cb, avg(d.d) AS m FROM d JOIN s a ON a.g = d.g AND a.id = d.i JOIN s b ON b.g = d.g AND b.id = d.j WHERE a.c < b.c GROUP BY ALL),
+  best AS (SELECT * FROM m WHERE m <= {LINK_CUT} QUALIFY row_number() OVER (PARTITION BY g ORDER BY m, ca, cb) = 1)
+  SELECT s.step + 1, s.g, s.id, CASE WHEN s.c = best.cb THEN best.ca ELSE s.c END FROM s JOIN best ON best.g = s.g))
+SELECT g AS c_nationkey, id AS c_custkey, arg_max(c, step) AS cluster FROM s GROUP BY g, id""")
+def c_average_linkage(spark, sf_dir):
+    """Customers of every nation by balance: clusters join while their mean distance is at most LINK_CUT."""
+    points = table(spark, sf_dir, "customer").select(
+        "c_nationkey", F.col("c_custkey").cast("bigint").alias("row_id"), F.array(F.col("c_acctbal").cast("double")).alias("features"))
+    cuts = points.select("c_nationkey").distinct().withColumn("cut", F.lit(LINK_CUT))
+    return linkage.average_linkage(points, ["c_nationkey"], cuts).select("c_nationkey", F.col("row_id").alias("c_custkey"), "cluster")
