@@ -11,27 +11,21 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import blocks
 from evenkeel.functions.rng import pick, uniform
-from evenkeel.functions.vectors import distance, lerp, sum_vector
+from evenkeel.functions.vectors import distance, lerp, mean_vector, sum_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate, smote
-from evenkeel.operators import cluster, kernels, linkage, lvq
+from evenkeel.operators import cluster, cure, kernels, linkage, lvq
 from evenkeel.operators.groups import each_group
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle, small_table
 
 
-def _centers(job: Job, k, bisecting: bool = False) -> DataFrame:
+def _centers(job: Job, k) -> DataFrame:
     given = job.options.get("centers")
     if given is not None:
         return given
-    return cluster.fit_centers(job.minority, job.grp, k, job.seed, job.options.get("restarts", 10), bisecting)
-
-
-def _tenth(job: Job):
-    """One cluster per ten rows, from 2 to ``clusters`` (10)."""
-    top = int(job.options.get("clusters", 10))
-    return lambda n: max(2, min(top, n // 10))
+    return cluster.fit_centers(job.minority, job.grp, k, job.seed, job.options.get("restarts", 10))
 
 
 def _members(job: Job, centers: DataFrame) -> DataFrame:
@@ -164,13 +158,16 @@ def lvq_smote(job: Job):
 
 @register("CURE_SMOTE")
 def cure_smote(job: Job):
-    """Ma & Fan 2017, re-aimed: bisecting k-means clusters of the class, those below 3 rows are noise;
+    """Ma & Fan 2017: CURE clusters of the class, one per ten rows (``operators/cure.py``); those below 3 rows are noise;
     up to 5 representatives per cluster by farthest-point choice, shrunk by half towards the center;
-    a new row lies between a random row and a random representative of its cluster.
-    max(2, min(``clusters``, n // 10)) clusters (10, ours)."""
-    centers = _centers(job, _tenth(job), bisecting=True)
+    a new row lies between a random row and a random representative of its cluster."""
     grp = [*job.grp, "cluster"]
-    members = _members(job, centers)
+    if (centers := job.options.get("centers")) is not None:
+        members = _members(job, centers)
+    else:
+        own = settle(cure.cure(job.minority, job.grp).transform(kernels.equi, job.minority.select(*job.grp, "row_id", "features"), [*job.grp, "row_id"]))
+        centers = settle(own.groupBy(*grp).agg(mean_vector("features").alias("center")))
+        members = settle(own.transform(kernels.equi, centers, grp).withColumn("dist", F.round(distance(F.col("features"), F.col("center")), blocks.DIGITS)).drop("center"))
     sizes = members.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 3)
     members = settle(members.transform(kernels.equi, sizes.select(*grp), grp, "left_semi").withColumn("_near", F.col("dist")))
     reps = None

@@ -116,11 +116,11 @@ def connected(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("part")) if named is None else named
 
 
-def _halved(points: DataFrame, at: Sequence[str], local_rows: int) -> DataFrame:
+def halved(points: DataFrame, at: Sequence[str], local_rows: int) -> DataFrame:
     """Points (at..., features) with ``piece``: parts above ``local_rows`` are halved until none is. Distinct points always part on their widest feature."""
     dim = int(points.agg(F.max(F.size("features"))).first()[0] or 0)
     points, keys = points.withColumn("piece", F.lit("")), [*at, "piece"]
-    while True:
+    while dim:
         ends = [f(F.get("features", F.lit(i))).alias(f"{n}{i}") for i in range(dim) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends).where(F.col("n") > local_rows)
         spans = F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dim)])
@@ -134,6 +134,7 @@ def _halved(points: DataFrame, at: Sequence[str], local_rows: int) -> DataFrame:
         joined = points.transform(kernels.equi, middle, keys, "left")
         points = settle(joined.withColumn("piece", F.when(F.col("axis").isNull(), F.col("piece")).otherwise(
             F.concat("piece", F.when(below, F.lit("0")).otherwise(F.lit("1"))))).drop("middle", "axis", "tops"))
+    return points
 
 
 def average_linkage(points: DataFrame, grp: Sequence[str], cuts: DataFrame, local_rows: int = LOCAL_ROWS, **limits) -> DataFrame:
@@ -152,7 +153,7 @@ def average_linkage(points: DataFrame, grp: Sequence[str], cuts: DataFrame, loca
         pairs = index.meet(large, links("cut"), "nbr_id bigint", id="node", extra=["cut"], reach="cut")
         parts = connected(pairs.select(F.col("q_id").alias("a"), F.col("nbr_id").alias("b")))
         placed = settle(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        whole = whole.unionByName(_halved(placed, [*grp, "part"], local_rows).select(whole.columns))
+        whole = whole.unionByName(halved(placed, [*grp, "part"], local_rows).select(whole.columns))
     keys = [*grp, "part", "piece"]
     schema = whole.select("node", F.col("rep").alias("cluster")).schema
 
