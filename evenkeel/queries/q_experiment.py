@@ -31,8 +31,8 @@ HOLDOUT = [PTS, rank_in_class("split"),
            "val AS (SELECT 0 AS f, row_id, label, x FROM r WHERE rk <= ceil(0.2::DOUBLE * n))"]
 
 
-def smote_by(keys: str) -> list[str]:
-    """CTEs from train to ``made``: SMOTE of label 1 within f."""
+def smote_by(keys: str, *first: str) -> list[str]:
+    """CTEs from train to ``made``: SMOTE of label 1 within f; ``first`` are literals of group columns before f."""
     k = keys.split()
     return [
         "p AS (SELECT * FROM train WHERE label = 1)",
@@ -40,11 +40,11 @@ def smote_by(keys: str) -> list[str]:
         "slots AS (SELECT f, unnest(range(1, g + 1)) AS rep FROM need)", knn("own", "p", "p", 5, by="f"),
         "ownk AS (SELECT f, q_id, count(*) AS kk FROM own GROUP BY f, q_id)",
         f"idx AS (SELECT f, row_id, row_number() OVER (PARTITION BY f ORDER BY {u('idx', 'row_id')}, row_id) AS idx, count(*) OVER (PARTITION BY f) AS n FROM p)",
-        f"draw AS (SELECT s.f, s.rep, i.row_id AS base_id FROM slots s JOIN idx i ON i.f = s.f AND i.idx = {pick('base', 'i.n', *[f's.{c}' for c in k], 1, 's.rep')} + 1)",
+        f"draw AS (SELECT s.f, s.rep, i.row_id AS base_id FROM slots s JOIN idx i ON i.f = s.f AND i.idx = {pick('base', 'i.n', *first, *[f's.{c}' for c in k], 1, 's.rep')} + 1)",
         f"""paired AS (SELECT d.*, o.nbr_id FROM draw d JOIN ownk k ON k.f = d.f AND k.q_id = d.base_id
-  JOIN own o ON o.f = d.f AND o.q_id = d.base_id AND o.rk = {pick('nbr', 'k.kk', *[f'd.{c}' for c in k], 1, 'd.rep')} + 1)""",
+  JOIN own o ON o.f = d.f AND o.q_id = d.base_id AND o.rk = {pick('nbr', 'k.kk', *first, *[f'd.{c}' for c in k], 1, 'd.rep')} + 1)""",
         f"""made AS (SELECT f, -(rep * 1000 + 1) AS row_id, 1 AS label, list(b + lam * (n - b) ORDER BY pos) AS x FROM (
-  SELECT d.f, d.rep, {u('lam', *[f'd.{c}' for c in k], 1, 'd.rep')} AS lam, pos, a.x[pos + 1] AS b, c.x[pos + 1] AS n FROM paired d
+  SELECT d.f, d.rep, {u('lam', *first, *[f'd.{c}' for c in k], 1, 'd.rep')} AS lam, pos, a.x[pos + 1] AS b, c.x[pos + 1] AS n FROM paired d
   JOIN p a ON a.f = d.f AND a.row_id = d.base_id JOIN p c ON c.f = d.f AND c.row_id = d.nbr_id CROSS JOIN range(0, 64) t(pos)) GROUP BY f, rep)""",
     ]
 
@@ -192,3 +192,24 @@ def x_search_k(spark, sf_dir):
     from evenkeel.methods.registry import fit_resample
 
     return flat(fit_resample(embedding_points(spark, sf_dir), "AKMeans_SMOTE", search_k=True, k_max=3, restarts=1))
+
+
+def grid_sql() -> str:
+    parts = []
+    for name, cut in (("left", "[1:32]"), ("right", "[33:64]")):
+        fits = {"Original": ["fit AS (SELECT 'x' AS v, * FROM train)"], "SMOTE": [
+            *smote_by("f", f"'{name}'"), "fit AS (SELECT 'x' AS v, f, row_id, label, x FROM train UNION ALL SELECT 'x', f, row_id, label, x FROM made)"]}
+        for method, fit in fits.items():
+            ctes = with_(PTS.replace("embedding::DOUBLE[]", f"(embedding::DOUBLE[]){cut}"), *FOLDS[1:], *fit, KNN_SQL, NB_SQL, PRED_SQL, evaluated("classifier, fold"),
+                         long_sql("classifier, fold", report.PRIORITY_METRICS)).replace("range(0, 64)", "range(0, 32)")
+            parts.append(f"""SELECT * FROM ({ctes} SELECT '{name}' AS dataset, '{method}' AS method, classifier, metric, round(avg(value), 6) AS mean,
+  round(stddev_pop(value), 6) AS std FROM long GROUP BY classifier, metric)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("x_grid", grid_sql())
+def x_grid(spark, sf_dir):
+    """Both halves of the embeddings as datasets of one plan a method."""
+    points = embedding_points(spark, sf_dir)
+    halves = {name: points.withColumn("features", F.slice("features", start, 32)) for name, start in (("left", 1), ("right", 33))}
+    return r(experiment.grid(halves, ["SMOTE"], PAIR))
