@@ -9,6 +9,8 @@ blocks instead, so that the result is exact whatever the patterns are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +84,10 @@ def nearest_donors(pool: DataFrame, lacking: DataFrame, dim: int, k: int, direct
                     pairs.append((len(pairs), a, g, shared, fills))
         asked = F.coalesce(F.col("pattern").isin(asks), F.lit(False))
         given = F.coalesce(F.col("pattern").isin(gives), F.lit(False))
-        found = _meet(pool, lacking.where(~asked), k).unionByName(_meet(pool.where(~given), lacking.where(asked), k))
+        ways = [(pool, lacking.where(~asked)), (pool.where(~given), lacking.where(asked))]
+        parts = [_meet(p, q, k) for p, q in ways if not (p.isEmpty() or q.isEmpty())]
         if pairs:
-            found = found.unionByName(_grouped(pool, lacking, pairs, dim, k, local_bytes))
+            parts.append(_grouped(pool, lacking, pairs, dim, k, local_bytes))
+        found = reduce(DataFrame.unionByName, parts) if parts else _meet(pool, lacking.limit(0), k)
     order = Window.partitionBy("q_id", "pos").orderBy("dist", "nbr_id")
     return found.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= k).drop("_rk")
