@@ -95,3 +95,31 @@ def test_pivots_keep_their_bound(spark, monkeypatch):
         assert got(index.knn(df, 5)) == brute(mat, mat, 5, same=groups)
         if counts:
             assert {key[0]: len(p) for key, p in index.pivots.value.items()} == counts
+
+
+@pytest.mark.parametrize("name", ["smooth", "lattice", "hot"])
+@pytest.mark.parametrize("shelf", [16, 40, 1 << 16])
+def test_shelves_lose_no_block(spark, monkeypatch, name, shelf):
+    monkeypatch.setattr(neighbours, "SHELF_ROWS", shelf)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 16)
+    mat = cases()[name]
+    groups = [None if i % 3 == 2 else i % 3 for i in range(len(mat))]
+    df = spark.createDataFrame([(g, i, [float(v) for v in row]) for i, (g, row) in enumerate(zip(groups, mat))], "g int, row_id bigint, features array<double>")
+    index = Neighbours(df, by=["g"], copies=6, local_bytes=0, block_rows=8, stream_queries=0)
+    assert got(index.knn(df, 5)) == brute(mat, mat, 5, same=groups)
+    plain = Neighbours(df, by=["g"], local_bytes=0, block_rows=8, metric=False)  # no pivots: all shelves are open
+    parts = plain.meet(df.withColumn("radius", F.lit(1.0)), blocks.ball_stats(True, True), "count bigint, total double", extra=["radius"])
+    found = {r["q_id"]: r["n"] for r in parts.groupBy("q_id").agg(F.sum("count").alias("n")).collect()}
+    d = np.sqrt(((mat[:, None] - mat[None]) ** 2).sum(-1)).round(9)
+    want = {i: sum(groups[j] == groups[i] and j != i and d[i, j] <= 1.0 for j in range(len(mat))) for i in range(len(mat))}
+    assert found == {i: n for i, n in want.items() if n}
+
+
+def test_a_query_travels_once_to_a_shelf(spark):
+    mat = np.random.default_rng(5).normal(size=(2000, 24))  # little is ruled out
+    df = frame(spark, mat)
+    index = Neighbours(df, copies=6, local_bytes=0, block_rows=50, stream_queries=0)
+    index._cut()
+    assert index.stats.count() >= 40
+    routed = index._route(index._queries(df, "row_id", "features", ()).withColumn("_theta", F.lit(float("inf"))))
+    assert routed.count() == 2000  # one row a block before
