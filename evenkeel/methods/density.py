@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import blocks
 from evenkeel.functions.rng import normal, raw32, uniform
-from evenkeel.functions.vectors import mean_vector, std_vector, sum_vector
+from evenkeel.functions.vectors import let, lerp, mean_vector, std_vector, sum_vector
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.smote import interpolate
 from evenkeel.operators import kernels
@@ -83,7 +83,7 @@ def ans(job: Job):
     paired = made.transform(kernels.equi, best, [*job.grp, "rep"]).withColumn("nbr_id", F.col("best.nbr_id")).drop("best")
     full = job.nbr_vec(job.base_vec(paired), "inner")
     share = uniform(job.seed, "lam", *job.keys)
-    return kernels.as_synthetic(full, job.by, F.zip_with("x", "nbr", lambda x, y: x + share * (y - x)))
+    return kernels.as_synthetic(full, job.by, lerp(F.col("x"), F.col("nbr"), share))
 
 
 @register("SYMPROD")
@@ -189,7 +189,11 @@ def ccr(job: Job):
     made = kernels.draw_counted(counted, job.grp, ["base_id"], job.seed).select(*job.grp, "rep", "base_id")
     full = job.base_vec(made)
     full = kernels.attach(full, spheres, job.by, "base_id", radius="radius")
-    full = full.withColumn("way", F.transform("x", lambda x, i: normal(job.seed, "z", *job.keys, i)))
-    length = F.sqrt(F.aggregate("way", F.lit(0.0), lambda acc, v: acc + v * v))
-    full = full.withColumn("step", F.col("radius") * F.pow(uniform(job.seed, "r", *job.keys), F.lit(1.0 / job.dim)) / length)
-    return moved, kernels.as_synthetic(full, job.by, F.zip_with("x", "way", lambda x, w: x + F.col("step") * w))
+    way = F.transform("x", lambda x, i: normal(job.seed, "z", *job.keys, i))
+
+    def stepped(way):
+        length = F.sqrt(F.aggregate(way, F.lit(0.0), lambda acc, v: acc + v * v))
+        step = F.col("radius") * F.pow(uniform(job.seed, "r", *job.keys), F.lit(1.0 / job.dim)) / length
+        return let(step, lambda s: F.zip_with("x", way, lambda x, w: x + s * w))
+
+    return moved, kernels.as_synthetic(full, job.by, let(way, stepped))

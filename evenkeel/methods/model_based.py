@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions import blocks
 from evenkeel.functions.rng import normal, uniform
-from evenkeel.functions.vectors import dot, lerp
+from evenkeel.functions.vectors import dot, lerp, let
 from evenkeel.methods.registry import Job, register
 from evenkeel.methods.scorers import forest_scorer
 from evenkeel.methods.smote import interpolate
@@ -33,7 +33,7 @@ def g_smote(job: Job):
     full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed))).transform(kernels.equi, axis, job.grp)
     full = full.withColumn("along", F.coalesce(
         dot(F.zip_with("nbr", "x", lambda y, x: y - x), F.col("axis")), F.lit(0.0)) * uniform(job.seed, "lam", *job.keys))
-    return kernels.as_synthetic(full, job.by, F.zip_with("x", "axis", lambda x, v: x + F.col("along") * v))
+    return kernels.as_synthetic(full, job.by, let(F.col("along"), lambda a: F.zip_with("x", "axis", lambda x, v: x + a * v)))
 
 
 @register("MDO")

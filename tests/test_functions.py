@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions.rng import normal, pick, raw32, uniform
+from evenkeel.functions import blocks
 from evenkeel.functions.vectors import distance, lerp
 from evenkeel.operators import scan
 from evenkeel.operators.quantiles import exact_quantiles
@@ -71,3 +72,35 @@ def test_median_of_an_even_count_is_the_middle(spark):
     assert exact_quantiles(df, ["x"], [0.5, 0.25]) == {"x": [3.0, 1.75]}
     assert exact_quantiles(df.filter("x > 99"), ["x"], [0.5]) == {"x": [None]}
     assert math.isclose(exact_quantiles(df, ["x"], [0.75], direct_rows=0)["x"][0], 5.25)
+
+
+def test_distances_by_products_are_those_of_pairs():
+    rng = np.random.default_rng(7)
+    for dim, scale, digits in ((64, 1.0, 12), (24, 1e5, 12), (17, 1.0, 1)):
+        q = (rng.normal(size=(60, dim)) * scale).round(digits)
+        r = np.vstack([q[:30], (rng.normal(size=(150, dim)) * scale).round(digits)])
+        want = np.stack([blocks.pair_distance(np.repeat(q[i : i + 1], len(r), axis=0), r) for i in range(len(q))])
+        assert (blocks.all_distances(q, r) == want).all()
+        radius = want[:, 40].copy()  # a reference lies on the border
+        for closed in (True, False):
+            rows, out = blocks.ball_stats(closed, False)(np.arange(60), q, {"radius": radius}, np.arange(180), r, {})
+            hit = want <= radius[:, None] if closed else want < radius[:, None]
+            assert (out["count"] == hit.sum(axis=1)[rows]).all() and hit.sum() == out["count"].sum()
+            assert np.allclose(out["total"], (want * hit).sum(axis=1)[rows])
+
+
+def test_few_pairs_are_measured_one_by_one(monkeypatch):
+    q = np.random.default_rng(8).normal(size=(400, 32))
+    asked = []
+    whole = blocks.all_distances
+    monkeypatch.setattr(blocks, "all_distances", lambda a, b: asked.append(len(a)) or whole(a, b))
+    rows, out = blocks.ball_stats(True, False)(np.arange(400), q, {"radius": np.full(400, 0.5)}, np.arange(400), q, {})
+    assert len(rows) == 400 and (out["count"] == 1).all() and not asked  # every distance was measured before
+
+
+def test_a_share_is_computed_once_a_row(spark):
+    df = spark.range(20).select(F.array(*[F.lit(0.0)] * 8).alias("a"), F.array(*[F.lit(1.0)] * 8).alias("b"))
+    rows = df.select(lerp(F.col("a"), F.col("b"), F.rand(3)).alias("x")).collect()
+    assert all(len(set(r["x"])) == 1 for r in rows) and len({r["x"][0] for r in rows}) > 1
+    odd = spark.createDataFrame([([1.0, None], None, 0.5), ([1.0], [3.0], None)], "a array<double>, b array<double>, s double")
+    assert [r[0] for r in odd.select(lerp(F.col("a"), F.col("b"), F.col("s"))).collect()] == [None, [None]]
