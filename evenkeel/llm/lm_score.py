@@ -137,34 +137,45 @@ class Model:
     def log_class(self, kind: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of every token's class."""
         out = np.empty(len(kind))
-        for low in range(0, len(kind), BATCH):
-            cut = slice(low, low + BATCH)
-            z = self.logits([r[cut] for r in rows])
+        first, same, _ = histories(rows)
+        order = np.argsort(same, kind="stable")
+        ends = np.searchsorted(same[order], np.arange(0, len(first) + BATCH, BATCH))
+        for turn, low in enumerate(range(0, len(first), BATCH)):
+            z = self.logits([r[first[low:low + BATCH]] for r in rows])
             z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), kind[cut]]
-            out[cut] = own - np.log(np.exp(z).sum(axis=1))
+            total = np.log(np.exp(z).sum(axis=1))
+            at = order[ends[turn]:ends[turn + 1]]
+            out[at] = z[same[at] - low, kind[at]] - total[same[at] - low]
         return out
 
     def learn(self, kind: np.ndarray, rows: list[np.ndarray], seen: np.ndarray) -> None:
         """One pass of gradient steps; a row's step falls with the tokens that it has seen."""
         for low in range(0, len(kind), BATCH):
             cut = slice(low, low + BATCH)
-            own = [r[cut] for r in rows]
+            first, same, times = histories([r[cut] for r in rows])
+            own = [r[cut][first] for r in rows]
             z = self.logits(own)
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(z)), kind[cut]] -= 1
-            for r in own:
-                order = np.argsort(r.astype(np.uint16), kind="stable")  # FEATURES < 2^16: a radix sort
+            z *= (times / z.sum(axis=1))[:, None].astype(np.float32)
+            np.subtract.at(z, (same, kind[cut]), np.float32(1))
+            for i, r in enumerate(own):
+                # histories come in the order of their last word; FEATURES < 2^16: a radix sort
+                order = np.argsort(r.astype(np.uint16), kind="stable") if i else slice(None)
                 sorted_rows = r[order]
                 new = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-                which, count = sorted_rows[new], np.diff(np.append(new, len(r)))
+                which, count = sorted_rows[new], np.add.reduceat(times[order], new)
                 seen[which] += count
                 step = RATE * CLASSES ** 0.5 / np.sqrt(seen[which] * np.maximum(count, 1))
                 self.weights[which] -= np.add.reduceat(z[order], new, axis=0) * step[:, None].astype(np.float32)
 
 
+def histories(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct histories (the last two words): a token with each, the number of every token's, how many tokens have each."""
+    _, first, same, times = np.unique(rows[0] * FEATURES + rows[1], return_index=True, return_inverse=True, return_counts=True)
+    return first, same, times
+
+
 def _taught(model):
     """The task's change of the weights in messages of ROWS rows."""
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evenkeel.llm import importance, token_counts
+from evenkeel.llm import importance, lm_score, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a b", "  two  spaces\n\n new", "<|endoftext|> x <|endoftext|>", "Été naïve 12.5, it's odd, we'll", "漢字かな。交じり、文！" * 3000, "x" * 40_000, "word " * 30_000,
@@ -120,3 +120,29 @@ def test_resample_empty(spark):
     assert importance.resample(none, none).count() == 0
     alone = importance.resample(spark.createDataFrame(DOCS, "doc_id long, text string"), none)
     assert alone.count() == len(DOCS) and alone.where(F.col("rank") == 1).count() == 1
+
+
+def test_equal_histories_are_worked_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [b"w%d" % i for i in rng.integers(0, 30, 4000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    read = lm_score.tokens(data, np.array([0, len(data)]))
+    frequent = np.unique(read[0])[:20].view(np.int64).tolist()
+    model = lm_score.Model(frequent, np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    kind, rows = model.read(*read)
+    seen, asked, plain = np.zeros(lm_score.FEATURES), [], lm_score.Model.logits
+    monkeypatch.setattr(lm_score.Model, "logits", lambda self, rows: asked.append(len(rows[0])) or plain(self, rows))
+    model.learn(kind, rows, seen)
+    got = model.log_class(kind, rows)
+    assert len(asked) == 2 and max(asked) < 1000 < len(kind)  # every token was worked before
+    z = plain(model, rows).astype(float)
+    want = z[np.arange(len(kind)), kind] - np.log(np.exp(z).sum(axis=1))
+    assert np.allclose(got, want, atol=1e-4) and seen.sum() == 3 * len(kind)
+    # one step by hand: shares less the classes that came, summed over the tokens of a feature row
+    share = np.full((len(kind), lm_score.CLASSES), 1 / lm_score.CLASSES)
+    share[np.arange(len(kind)), kind] -= 1
+    for r in rows:
+        for row in np.unique(r)[:5]:
+            times = (r == row).sum()
+            step = lm_score.RATE * lm_score.CLASSES ** 0.5 / times
+            assert np.allclose(model.weights[row], -share[r == row].sum(axis=0) * step, atol=1e-3)
