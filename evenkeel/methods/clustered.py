@@ -186,7 +186,7 @@ def cure_smote(job: Job):
     many = reps.groupBy(*grp).agg(F.count(F.lit(1)).alias("_of"))
     made = kernels.draw_uniform(job.slots, members, job.grp, job.keys, job.seed)
     full = job.base_vec(made)
-    full = kernels.attach(full, members, job.by, "base_id", cluster="cluster").transform(kernels.equi, many, grp)
+    full = kernels.attach(full, members, job.by, "base_id", large=job.large, cluster="cluster").transform(kernels.equi, many, grp)
     full = full.withColumn("turn", pick(job.seed, "rep", "_of", *job.keys).cast("int")).transform(kernels.equi, shrunk, [*grp, "turn"])
     full = full.withColumn("nbr_id", F.col("rep_id"))
     share = uniform(job.seed, "lam", *job.keys)
@@ -226,7 +226,7 @@ def mwmote(job: Job):
         cuts = settle(alone.groupBy(*job.grp).agg((F.avg("dist") * float(job.options.get("spread", 3.0))).alias("cut")))
         members = settle(linkage.average_linkage(job.minority, job.grp, cuts))
     grp = [*job.grp, "cluster"]
-    made = kernels.attach(made, members, job.by, "base_id", cluster="cluster")
+    made = kernels.attach(made, members, job.by, "base_id", large=job.large, cluster="cluster")
     made = kernels.draw_uniform(made, members, grp, job.keys, job.seed, "partner", "nbr_id")
     full = job.nbr_vec(job.base_vec(made), "inner")
     return kernels.as_synthetic(full, job.by, lerp(F.col("x"), F.col("nbr"), uniform(job.seed, "lam", *job.keys)))

@@ -118,7 +118,7 @@ def symprod(job: Job):
     parts = long.select(*job.by, F.col("q_id").alias("base_id"), "rank", F.col("nbr_id").alias("part_id"))
     own_part = kept.select(*job.by, F.col("row_id").alias("base_id"), F.lit(0).cast("bigint").alias("rank"), F.col("row_id").alias("part_id"))
     mixed = made.transform(kernels.equi, parts.unionByName(own_part), [*job.by, "base_id"])
-    mixed = kernels.attach(mixed, kept, job.by, "part_id", part="features")
+    mixed = kernels.attach(mixed, kept, job.by, "part_id", large=job.large, part="features")
     mixed = mixed.withColumn("w", uniform(job.seed, "w", *job.keys, "rank"))
     full = mixed.groupBy(*job.grp, "rep", "base_id").agg(mean_vector("part", F.col("w")).alias("made"))
     return kernels.as_synthetic(full, job.by, F.col("made"))
@@ -188,7 +188,7 @@ def ccr(job: Job):
         F.floor(1 / F.col("radius") / F.col("_inv") * F.col("n_needed")).cast("bigint").alias("g"))
     made = kernels.draw_counted(counted, job.grp, ["base_id"], job.seed).select(*job.grp, "rep", "base_id")
     full = job.base_vec(made)
-    full = kernels.attach(full, spheres, job.by, "base_id", radius="radius")
+    full = kernels.attach(full, spheres, job.by, "base_id", large=job.large, radius="radius")
     way = F.transform("x", lambda x, i: normal(job.seed, "z", *job.keys, i))
 
     def stepped(way):

@@ -30,7 +30,7 @@ def g_smote(job: Job):
     if axis is None:
         axis = small_table(moments.axes(job.minority, job.grp, 1).select(*job.grp, F.col("axes")[0].alias("axis")))
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed))).transform(kernels.equi, axis, job.grp)
+    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed, large=job.large))).transform(kernels.equi, axis, job.grp)
     full = full.withColumn("along", F.coalesce(
         dot(F.zip_with("nbr", "x", lambda y, x: y - x), F.col("axis")), F.lit(0.0)) * uniform(job.seed, "lam", *job.keys))
     return kernels.as_synthetic(full, job.by, let(F.col("along"), lambda a: F.zip_with("x", "axis", lambda x, v: x + a * v)))

@@ -46,7 +46,7 @@ def gaussian_smote(job: Job):
     """Lee et al. 2017: a uniform gap towards the neighbour per feature, then normal noise
     of 0.05 times the segment (0.05 is ours)."""
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed)))
+    full = job.nbr_vec(job.base_vec(kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed, large=job.large)))
 
     def move(x, i):
         gap = F.coalesce(F.get("nbr", i) - x, F.lit(0.0))

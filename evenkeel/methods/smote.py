@@ -24,7 +24,7 @@ def original(job: Job):
 def interpolate(job: Job, made, bases_lists=None):
     """Slots with base_id -> neighbour draw -> one share per row -> synthetic rows."""
     lists = job.lists if bases_lists is None else bases_lists
-    paired = kernels.draw_neighbour(made, lists, job.by, job.keys, job.seed)
+    paired = kernels.draw_neighbour(made, lists, job.by, job.keys, job.seed, large=job.large)
     full = job.nbr_vec(job.base_vec(paired))
     share = uniform(job.seed, "lam", *job.keys)
     # a base without neighbours (a class of one row) is duplicated
@@ -79,9 +79,9 @@ def safe_level(job: Job):
     have level 0 are skipped."""
     levels = job.crowd().withColumn("sl", F.col("kk") - F.col("m")).select(*job.by, "row_id", "sl")
     made = kernels.draw_uniform(job.slots, job.minority, job.grp, job.keys, job.seed)
-    paired = kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed).filter(F.col("nbr_id").isNotNull())
-    paired = kernels.attach(paired, levels, job.by, "base_id", sl_x="sl")
-    paired = kernels.attach(paired, levels, job.by, "nbr_id", sl_n="sl")
+    paired = kernels.draw_neighbour(made, job.lists, job.by, job.keys, job.seed, large=job.large).filter(F.col("nbr_id").isNotNull())
+    paired = kernels.attach(paired, levels, job.by, "base_id", large=job.large, sl_x="sl")
+    paired = kernels.attach(paired, levels, job.by, "nbr_id", large=job.large, sl_n="sl")
     paired = paired.filter((F.col("sl_x") > 0) | (F.col("sl_n") > 0))
     full = job.nbr_vec(job.base_vec(paired), "inner")
     ratio = F.col("sl_x") / F.nullif(F.col("sl_n"), F.lit(0))
@@ -102,7 +102,7 @@ def msmote(job: Job):
     random neighbour), border (nearest neighbour) or noise (none its own: never a base)."""
     kind = job.crowd().filter(F.col("m") < F.col("kk"))
     made = kernels.draw_uniform(job.slots, kind, job.grp, job.keys, job.seed)
-    made = kernels.attach(made, kind, job.by, "base_id", m="m")
+    made = kernels.attach(made, kind, job.by, "base_id", large=job.large, m="m")
     side = job.lists.select(*job.by, F.col("row_id").alias("base_id"), F.transform("nbrs", lambda s: s["nbr_id"]).alias("_ids"))
     joined = made.transform(kernels.equi, side, [*job.by, "base_id"], "left")
     place = F.when(F.col("m") == 0, pick(job.seed, "nbr", F.size("_ids"), *job.keys)).otherwise(F.lit(0)).cast("int")
@@ -130,7 +130,7 @@ def random_smote(job: Job):
     made = kernels.draw_uniform(made, job.minority, job.grp, job.keys, job.seed, "y1", "nbr_id")
     made = kernels.draw_uniform(made, job.minority, job.grp, job.keys, job.seed, "y2", "other_id")
     full = job.nbr_vec(job.base_vec(made), "inner")
-    full = kernels.attach(full, job.minority, job.by, "other_id", other="features")
+    full = kernels.attach(full, job.minority, job.by, "other_id", large=job.large, other="features")
     full = full.withColumn("t", lerp(F.col("nbr"), F.col("other"), uniform(job.seed, "lam1", *job.keys)))
     return kernels.as_synthetic(full, job.by, lerp(F.col("x"), F.col("t"), uniform(job.seed, "lam2", *job.keys)))
 

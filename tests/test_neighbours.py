@@ -123,3 +123,40 @@ def test_a_query_travels_once_to_a_shelf(spark):
     assert index.stats.count() >= 40
     routed = index._route(index._queries(df, "row_id", "features", ()).withColumn("_theta", F.lit(float("inf"))))
     assert routed.count() == 2000  # one row a block before
+
+
+def test_queries_of_one_split_meet_many_references_in_all_tasks(spark):
+    from evenkeel.operators import neighbours
+
+    refs = spark.range(neighbours.SPREAD_ROWS).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("features"))
+    index = neighbours.Neighbours(refs.limit(neighbours.SPREAD_ROWS))
+    assert index.knn(refs.coalesce(1), 1).rdd.getNumPartitions() > 1
+
+
+def test_nearest_of_many_points_in_boxes():
+    from evenkeel.functions import blocks
+
+    rng = np.random.default_rng(3)
+    points, rows = np.round(rng.normal(size=(2000, 3)) * [1, 100, 0.1], 1), np.round(rng.normal(size=(3000, 3)) * [1, 100, 0.1], 1)
+    index = blocks.Closest(points)
+    at, near = index.of(rows)
+    d = blocks.all_distances(rows, points)
+    assert len(index.boxes) > 8 and (at == d.argmin(axis=1)).all() and (near == d.min(axis=1)).all()
+
+
+def test_slots_and_large_bases_do_not_travel_through_the_driver(spark, monkeypatch):
+    from evenkeel.methods import smote  # noqa: F401
+    from evenkeel.methods.registry import fit_resample
+    from evenkeel.operators import kernels
+
+    points = spark.createDataFrame([(i, int(i % 10 == 0), [float(i % 17), float(i)]) for i in range(400)], "row_id long, label int, features array<double>")
+
+    def sides(df):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        return plan.count("strategy=shuffle_hash"), plan.count("strategy=broadcast")
+
+    usual = fit_resample(points, "SMOTE")
+    monkeypatch.setattr(kernels, "HELD_BYTES", 0)
+    large = fit_resample(points, "SMOTE")
+    assert sides(usual) == (0, 5) and sides(large) == (4, 1)
+    assert sorted(usual.collect(), key=str) == sorted(large.collect(), key=str)
