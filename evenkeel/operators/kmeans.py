@@ -6,9 +6,11 @@ squared distances and feature sums of every center. Two ways to measure give the
 * groups of at most SMALL rows go to one task each, which has all their rows and runs the whole fit there: one job for all such groups;
 * larger groups are measured by one job a round, whatever their number, their restarts and their open clusters: tasks read the written rows, keep one
   accumulator per (group, set, center), and send that; Spark adds them up. Centers travel by broadcast, TABLE_BYTES at most; more of them are measured in turns.
+  Tasks also send the rows in doubt, those least nearer to their center than to the next one (DOUBT_BYTES a job, a quarter of the rows at most). Until two centers
+  have moved by the smallest lead among the other rows, only rows in doubt can change their center, so these steps are taken without a job, with exact sums.
 
 Seeds are k-means++ (with greedy trials) over a group's rows, or over its SMALL rows with the smallest hashes of their ids if it has more: that sample only places the
-seeds, all steps and costs see every row. The driver holds the groups' keys and their centers.
+seeds, all steps and costs see every row. The driver holds the groups' keys, their centers, and the rows in doubt of one job.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +33,22 @@ from evenkeel.operators.runtime import settle
 SMALL = 8192  # rows of a group that one task fits, and of the sample that seeds a larger one
 TASK_BYTES = 32 << 20  # of such rows
 TABLE_BYTES = 32 << 20  # of centers that travel with one job
+DOUBT_BYTES = 16 << 20  # of rows in doubt that one job sends
 ROUNDS = 300  # Lloyd steps, at most
 MOVED = 1e-9  # a center that moves less, relative to its size, stands
 CELLS = 1 << 21  # distances held at a time
+FUZZ = 1e-12  # what rounding may do to the difference of two squared distances, relative to the squares they are made of
 
 Stats = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each set: rows, squared distances, and sums (or sums and sums of squares) by center
 
 
 class Spec:
     """Center sets of one group. With ``parents``, a row first goes to its nearest parent, then to the nearest center that this parent owns; rows of parents
-    without centers do not count."""
+    without centers do not count. ``doubts`` asks for rows in doubt: of each set the least lead among the rows left out, and the other rows."""
 
-    def __init__(self, sets: list[np.ndarray], parents: np.ndarray | None = None, owner: np.ndarray | None = None):
+    def __init__(self, sets: list[np.ndarray], parents: np.ndarray | None = None, owner: np.ndarray | None = None, doubts: bool = False):
         self.sets, self.parents, self.owner = sets, parents, owner
+        self.doubts: list[Doubts] | None = [Doubts(s.shape[1]) for s in sets] if doubts else None
 
     @property
     def size(self) -> int:
@@ -51,7 +57,7 @@ class Spec:
     def blank(self, squares: bool) -> Stats:
         return [(np.zeros(len(s), np.int64), np.zeros(len(s)), np.zeros((len(s), s.shape[1] * (1 + squares)))) for s in self.sets]
 
-    def tally(self, x: np.ndarray, into: Stats, squares: bool) -> None:
+    def tally(self, x: np.ndarray, into: Stats, squares: bool, doubts: list[Doubts] | None = None, most: int = 0) -> None:
         origin = self.sets[0][0]
         every = np.vstack(self.sets) - origin
         every2 = (every * every).sum(axis=1)
@@ -64,10 +70,18 @@ class Spec:
             if self.parents is not None:
                 p = self.parents - origin
                 gaps = np.where(self.owner[None, :] == ((p * p).sum(axis=1) - 2.0 * (y @ p.T)).argmin(axis=1)[:, None], gaps, np.inf)
-            for (n, cost, sums), low, high in zip(into, cuts[:-1], cuts[1:]):
+            for s, ((n, cost, sums), low, high) in enumerate(zip(into, cuts[:-1], cuts[1:])):
                 near = gaps[:, low:high].argmin(axis=1)
                 gap = gaps[np.arange(len(rows)), low + near] + y2
                 own = np.flatnonzero(np.isfinite(gap))
+                if doubts:
+                    gaps[np.arange(len(rows)), low + near] = np.inf
+                    next_ = gaps[:, low:high].min(axis=1)[own] + y2[own]
+                    fuzz = FUZZ * (y2[own] + every2[low:high].max())
+                    lead = np.full(len(own), np.inf)
+                    some = np.flatnonzero(np.isfinite(next_))
+                    lead[some] = (next_ - gap[own] - fuzz)[some] / (np.sqrt(np.maximum(next_, 0.0)) + np.sqrt(np.maximum(gap[own], 0.0)) + 1e-300)[some]
+                    doubts[s].add(lead, rows[own], most)
                 near, gap = near[own], np.maximum(gap[own], 0.0)
                 n += np.bincount(near, minlength=high - low)
                 cost += np.bincount(near, weights=gap, minlength=high - low)
@@ -80,6 +94,30 @@ class Spec:
                         sums[met, x.shape[1]:] += np.add.reduceat((sorted_rows - origin) ** 2, first)
 
 
+class Doubts:
+    """Rows with the smallest leads of their nearest center over the next one, and ``least``, a lead that no other row is below."""
+
+    def __init__(self, dim: int):
+        self.least, self.lead, self.rows, self.seen = math.inf, np.zeros(0), np.zeros((0, dim)), 0
+
+    def add(self, lead: np.ndarray, rows: np.ndarray, most: int) -> None:
+        self.seen += len(lead)
+        close = np.flatnonzero(lead < self.least)
+        if len(close) < len(lead):
+            self.least = min(self.least, lead[lead >= self.least].min())
+        self.lead, self.rows = np.concatenate([self.lead, lead[close]]), np.concatenate([self.rows, rows[close]])
+        self.cut(most)
+
+    def cut(self, most: int) -> None:
+        if len(self.lead) > most:
+            order = np.argpartition(self.lead, most)
+            self.least, kept = min(self.least, self.lead[order[most]]), order[:most]
+            self.lead, self.rows = self.lead[kept], self.rows[kept]
+
+    def join(self, least: float, rows: np.ndarray) -> None:
+        self.least, self.rows = min(self.least, least), np.concatenate([self.rows, rows])
+
+
 Measure = Callable[[Mapping[int, Spec], bool], dict[int, Stats]]
 
 
@@ -90,6 +128,7 @@ def inside(rows: Mapping[int, np.ndarray]) -> Measure:
         out = {}
         for gid, spec in specs.items():
             out[gid] = spec.blank(squares)
+            spec.doubts = None  # every step is at hand
             spec.tally(rows[gid], out[gid], squares)
         return out
 
@@ -99,28 +138,48 @@ def inside(rows: Mapping[int, np.ndarray]) -> Measure:
 def spread(frame: DataFrame) -> Measure:
     """Measure groups of a written frame (gid, features) by one job, or one for each TABLE_BYTES of centers."""
 
+    parts_of: list[int] = []
+
     def turn(specs: dict[int, Spec], squares: bool) -> dict[int, Stats]:
+        if not parts_of:
+            parts_of.append(max(1, frame.rdd.getNumPartitions()))
+        wide = sum(s.shape[1] for spec in specs.values() if spec.doubts for s in spec.sets)
+        most = DOUBT_BYTES // (8 * max(1, wide) * parts_of[0])  # rows in doubt of a set that a task sends
         held = frame.sparkSession.sparkContext.broadcast(specs)
+        names = ["gid", "set", "center", "n", "cost", "sums", "rows"]
 
         def task(batches):
             found: dict[int, Stats] = {}
+            close: dict[int, list[Doubts]] = {}
             for batch in batches:
                 gids, x = batch.column("gid").to_numpy(), blocks.matrix(batch.column("features"))
                 for gid in np.unique(gids).tolist():
                     if spec := held.value.get(gid):
-                        spec.tally(x[gids == gid], found.setdefault(gid, spec.blank(squares)), squares)
+                        if spec.doubts and gid not in close:
+                            close[gid] = [Doubts(x.shape[1]) for _ in spec.sets]
+                        spec.tally(x[gids == gid], found.setdefault(gid, spec.blank(squares)), squares, close.get(gid), most)
+            for gid, sets in close.items():
+                for s, own in enumerate(sets):
+                    own.cut(own.seen // 4)
+                    width = held.value[gid].sets[s].shape[1] * (1 + squares)
+                    yield pa.RecordBatch.from_arrays([  # a place below 0, this task's own
+                        pa.array([gid], pa.int32()), pa.array([s], pa.int32()), pa.array([-1 - TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int64()),
+                        pa.array([own.least], pa.float64()), pa.array([[0.0] * width], pa.list_(pa.float64())), pa.array([own.rows.tobytes()], pa.binary())], names=names)
             for gid, stats in found.items():
                 for s, (n, cost, sums) in enumerate(stats):
                     at = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(at), gid), pa.int32()), pa.array(np.full(len(at), s), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64()),
-                        pa.array(cost[at], pa.float64()), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["gid", "set", "center", "n", "cost", "sums"])
+                        pa.array(cost[at], pa.float64()), pa.array(list(sums[at]), pa.list_(pa.float64())), pa.nulls(len(at), pa.binary())], names=names)
 
         own = frame.where(F.col("gid").isin(list(specs)))
-        parts = own.mapInArrow(task, "gid int, set int, center int, n long, cost double, sums array<double>").groupBy("gid", "set", "center").agg(
-            F.sum("n").alias("n"), F.sum("cost").alias("cost"), sum_vector("sums").alias("sums"))
+        parts = own.mapInArrow(task, "gid int, set int, center int, n long, cost double, sums array<double>, rows binary").groupBy("gid", "set", "center").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), sum_vector("sums").alias("sums"), F.max("rows").alias("rows"))
         out = {gid: spec.blank(squares) for gid, spec in specs.items()}
-        for r in parts.collect():  # a row a center at most
+        for r in parts.collect():  # a row a center at most, and DOUBT_BYTES of rows
+            if r["center"] < 0:
+                specs[r["gid"]].doubts[r["set"]].join(r["cost"], np.frombuffer(r["rows"]).reshape(-1, specs[r["gid"]].sets[r["set"]].shape[1]))
+                continue
             n, cost, sums = out[r["gid"]][r["set"]]
             n[r["center"]], cost[r["center"]], sums[r["center"]] = r["n"], r["cost"], r["sums"]
         held.destroy()
@@ -138,25 +197,60 @@ def spread(frame: DataFrame) -> Measure:
     return measure
 
 
+def means(now: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Centers of the rows; one without rows stays where it is."""
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], now)
+
+
+def stands(old: np.ndarray, new: np.ndarray) -> bool:
+    return np.abs(new - old).max() <= MOVED * (1.0 + np.abs(old).max())
+
+
+def walk(old: np.ndarray, new: np.ndarray, n: np.ndarray, sums: np.ndarray, close: Doubts, limit: int, parents, owner) -> tuple[np.ndarray, int]:
+    """Up to ``limit`` further steps of a set that was measured at ``old`` and moved to ``new``, as long as only rows in doubt can change their center: (centers, steps)."""
+
+    def share(centers):
+        spec = Spec([centers], parents, owner)
+        stats = spec.blank(False)
+        spec.tally(close.rows, stats, False)
+        return stats[0][0], stats[0][2]
+
+    steps, sure_n, sure = 0, None, None
+    while steps < limit and np.sort(np.sqrt(((new - old) ** 2).sum(axis=1)))[-2:].sum() < close.least:
+        if sure is None:
+            at_n, at = share(old)
+            sure_n, sure = n - at_n, sums - at
+        at_n, at = share(new)
+        last, new = new, means(new, sure_n + at_n, sure + at)
+        steps += 1
+        if stands(last, new):
+            break
+    return new, steps
+
+
 def lloyd(measure: Measure, starts: Mapping[int, list[np.ndarray]], parents=None, owners=None, rounds: int = ROUNDS) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Lloyd steps for every set of every group until its centers stand: (centers, rows, squared distances) by set. A center without rows stays where it is."""
+    """Lloyd steps for every set of every group until its centers stand: (centers, rows, squared distances) by set. A center without rows stays where it is.
+    The last step of a set is always measured on all rows."""
     now = {(g, s): c for g, sets in starts.items() for s, c in enumerate(sets)}
-    last, going = {}, list(now)
-    for _ in range(rounds):
+    last, going, done = {}, list(now), dict.fromkeys(now, 0)
+    while going:
         by_group: dict[int, list[int]] = {}
         for g, s in going:
             by_group.setdefault(g, []).append(s)
-        found = measure({g: Spec([now[g, s] for s in sets], parents and parents[g], owners and owners[g]) for g, sets in by_group.items()})
+        specs = {g: Spec([now[g, s] for s in sets], parents and parents[g], owners and owners[g], rounds > 2) for g, sets in by_group.items()}
+        found = measure(specs)
         going = []
         for g, sets in by_group.items():
-            for s, (n, cost, sums) in zip(sets, found[g]):
+            for i, (s, (n, cost, sums)) in enumerate(zip(sets, found[g])):
                 old = now[g, s]
-                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], old)
+                new = means(old, n, sums)
                 now[g, s], last[g, s] = new, (n, cost)
-                if np.abs(new - old).max() > MOVED * (1.0 + np.abs(old).max()):
+                done[g, s] += 1
+                if done[g, s] < rounds and not stands(old, new):
+                    if specs[g].doubts:
+                        now[g, s], steps = walk(old, new, n, sums, specs[g].doubts[i], rounds - 1 - done[g, s], specs[g].parents, specs[g].owner)
+                        done[g, s] += steps
                     going.append((g, s))
-        if not going:
-            break
     return {g: [(now[g, s], *last[g, s]) for s in range(len(sets))] for g, sets in starts.items()}
 
 

@@ -96,3 +96,26 @@ def test_not_worse_than_random_starts(spark):
 
     own = cost(np.array([r["center"] for r in cluster.fit_centers(df, [], 6, 42).collect()]))
     assert own <= np.median([plain(x[rng.choice(400, 6, replace=False)]) for _ in range(15)])
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 13, 1 << 20])
+def test_steps_without_a_job_are_lloyd_steps(spark, monkeypatch, kept):
+    """However many rows in doubt travel, centers, rows and costs are those of plain steps; with them, far fewer jobs are needed."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 6)), np.repeat(rng.normal(size=(5, 6)), 30, axis=0)])
+    df = spark.createDataFrame([(0, i, r.tolist()) for i, r in enumerate(x)], "gid int, row_id long, features array<double>").repartition(3)
+    starts = {0: [x[:7], x[40:44], np.vstack([x[:3], np.full((1, 6), 50.0)])]}
+    monkeypatch.setattr(kmeans, "DOUBT_BYTES", kept)
+    inner, jobs = kmeans.spread(df), []
+    got = kmeans.lloyd(lambda specs, squares=False: jobs.append(1) or inner(specs, squares), starts)[0]
+    steps = []
+    plain = kmeans.inside({0: x})
+    want = kmeans.lloyd(lambda specs, squares=False: steps.append(1) or plain(specs, squares), starts)[0]
+    for (c, n, cost), (c0, n0, cost0) in zip(got, want):
+        assert np.allclose(c, c0, atol=1e-7) and n.tolist() == n0.tolist() and np.allclose(cost, cost0)
+    assert len(jobs) <= len(steps) + 2 and (kept < 1 << 20 or len(jobs) < len(steps) / 2)
+    halves = [kmeans.halves(m, {0: x[:6]})[0] for m in (inner, plain)]
+    for a, b in zip(*halves):
+        assert (a is None) == (b is None) and (a is None or np.allclose(a[1][0], b[1][0], atol=1e-7) and a[1][1].tolist() == b[1][1].tolist())
+    few = [kmeans.lloyd(m, starts, rounds=9)[0] for m in (inner, plain)]  # a limit of steps holds for both
+    assert all(np.allclose(a[0], b[0], atol=1e-7) and np.allclose(a[2], b[2]) for a, b in zip(*few))
