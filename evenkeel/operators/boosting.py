@@ -10,7 +10,8 @@ Oblivious: a level has one split for all its nodes, the one with the best sum of
 There are ``rounds`` rounds. With ``patience``, a tenth of the rows by hash is held out of splits and leaves, and a group whose log loss on them has not fallen for that many rounds ends at its best round. (The
 ordered loss is no rule for that: as splits are chosen with every row, it goes on falling on pure noise.) A group without held-out rows has all rounds.
 
-A group of at most LOCAL rows is boosted whole in one task. All larger groups take each step in the same job: a job a level, tasks sending gradient histograms HIST_BYTES at a time, and one for the leaves;
+A group of at most LOCAL rows and LOCAL_CELLS codes is boosted whole in one task, which keeps only the scores that are read: of a row, those of the model that has not seen it and of the models trained on it, three on average.
+All larger groups take each step in the same job: a job a level, tasks sending gradient histograms HIST_BYTES at a time, and one for the leaves;
 rows keep their models' scores in a written table, renewed every RENEW rounds. The driver holds the trees.
 
 Defined results: a group without rows for training predicts nothing; a group of one class has no gradient to speak of and moves towards it; repeated rows count each.
@@ -31,7 +32,8 @@ from evenkeel.functions.vectors import sum_vector
 from evenkeel.operators.forest import Coded, _mix, _root, _rows
 from evenkeel.operators.runtime import settle
 
-LOCAL = 1 << 14  # rows of a group that one task boosts
+LOCAL = 1 << 17  # rows of a group that one task boosts
+LOCAL_CELLS = 1 << 23  # of its codes
 HIST_BYTES = 64 << 20  # of histograms that a task holds
 MODEL_BYTES = 32 << 20  # of trees that travel with one job
 RENEW = 8  # rounds from one written table of scores to the next
@@ -69,15 +71,24 @@ def _share(score: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score, -500, 500)))
 
 
+def binned(codes: np.ndarray, leaf: np.ndarray, leaves: int, bins: int, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """(gradient and curvature, leaf, feature, code) of rows in leaves."""
+    dim = codes.shape[1]
+    out = np.empty((2, leaves, dim, bins))
+    base = leaf * bins
+    for feature in range(dim):  # one at a time, so that what is added to stays in the cache
+        place = base + codes[:, feature]
+        for i, v in enumerate((gradient, curvature)):
+            out[i, :, feature] = np.bincount(place, weights=v, minlength=leaves * bins).reshape(leaves, bins)
+    return out
+
+
 def histogram(codes: np.ndarray, y: np.ndarray, bucket: np.ndarray, score: np.ndarray, tree: Sequence[Cut], bins: int) -> np.ndarray:
     """(gradient and curvature, leaf, feature, code) of rows under the models that have not seen them."""
     if bucket.min(initial=0) < 0:
         codes, y, bucket, score = (v[bucket >= 0] for v in (codes, y, bucket, score))
     p = _share(score[np.arange(len(y)), bucket])
-    dim = codes.shape[1]
-    place = ((leaves_of(codes, tree)[:, None] * dim + np.arange(dim)) * bins + codes).ravel()
-    size = (1 << len(tree)) * dim * bins
-    return np.stack([np.bincount(place, weights=np.repeat(v, dim), minlength=size) for v in (y - p, p * (1 - p))]).reshape(2, -1, dim, bins)
+    return binned(codes, leaves_of(codes, tree), 1 << len(tree), bins, y - p, p * (1 - p))
 
 
 def gains(hist: np.ndarray, l2: float) -> np.ndarray:
@@ -99,9 +110,13 @@ def leaf_sums(codes: np.ndarray, y: np.ndarray, bucket: np.ndarray, score: np.nd
     place = (leaf[:, None] * many + np.arange(many)).ravel()
     both = [np.bincount(place, weights=(v * seen).ravel(), minlength=many << len(tree)) for v in (y[:, None] - p, p * (1 - p))]
     out = bucket < 0
-    own = np.clip(p[out, -1], 1e-15, 1 - 1e-15)
-    loss = -np.where(y[out] > 0, np.log(own), np.log(1 - own)).sum()
-    return np.concatenate([*both, [loss, out.sum()]])
+    return np.concatenate([*both, held_loss(y[out], p[out, -1])])
+
+
+def held_loss(y: np.ndarray, p: np.ndarray) -> list[float]:
+    """Log loss of held-out rows and their number."""
+    own = np.clip(p, 1e-15, 1 - 1e-15)
+    return [-np.where(y > 0, np.log(own), np.log(1 - own)).sum(), len(y)]
 
 
 def boost(measure, tops: Mapping[int, int], rounds: int, depth: int, rate: float, l2: float, patience: int | None) -> dict[int, list[tuple[list[Cut], np.ndarray]]]:
@@ -134,23 +149,35 @@ def boost(measure, tops: Mapping[int, int], rounds: int, depth: int, rate: float
 
 
 class Inside:
-    """One group whose rows are at hand."""
+    """One group whose rows are at hand. Scores are held by (row, model), for the models that are read."""
 
     def __init__(self, gid: int, codes: np.ndarray, y: np.ndarray, bucket: np.ndarray, top: int, l2: float):
-        self.gid, self.codes, self.y, self.bucket, self.l2 = gid, codes, y, bucket, l2
-        self.score, self.bins = np.zeros((len(y), top + 2)), max(2, int(codes.max(initial=0)) + 1)
+        self.gid, self.l2, self.many, self.bins = gid, l2, top + 2, max(2, int(codes.max(initial=0)) + 1)
+        self.codes, self.y = np.asfortranarray(codes), y
+        models = np.arange(self.many)
+        self.row, self.model = np.nonzero(np.where(bucket[:, None] < 0, models == top + 1, models >= bucket[:, None]))
+        self.score, own = np.zeros(len(self.row)), bucket[self.row]
+        self.unseen, self.seen, self.out = np.flatnonzero(self.model == own), np.flatnonzero((own >= 0) & (self.model > own)), np.flatnonzero(own < 0)
+        self.kept = np.flatnonzero(bucket >= 0)  # the rows of ``unseen``
+        self.kept_codes = self.codes if len(self.kept) == len(y) else np.asfortranarray(codes[self.kept])
 
     def cuts(self, grown):
-        gain = gains(histogram(self.codes, self.y, self.bucket, self.score, grown[self.gid], self.bins), self.l2)
+        p, tree = _share(self.score[self.unseen]), grown[self.gid]
+        hist = binned(self.kept_codes, leaves_of(self.kept_codes, tree), 1 << len(tree), self.bins, self.y[self.kept] - p, p * (1 - p))
+        gain = gains(hist, self.l2)
         best = int(np.round(gain, 9).argmax())
         return {self.gid: (best // gain.shape[1], best % gain.shape[1])}
 
     def leaves(self, grown):
-        return {self.gid: leaf_sums(self.codes, self.y, self.bucket, self.score, grown[self.gid])}
+        tree = grown[self.gid]
+        row, p = self.row[self.seen], _share(self.score[self.seen])
+        place = leaves_of(self.codes, tree)[row] * self.many + self.model[self.seen]
+        both = [np.bincount(place, weights=v, minlength=self.many << len(tree)) for v in (self.y[row] - p, p * (1 - p))]
+        return {self.gid: np.concatenate([*both, held_loss(self.y[self.row[self.out]], _share(self.score[self.out]))])}
 
     def step(self, steps):
         for tree, values in steps.values():
-            self.score += values[leaves_of(self.codes, tree)]
+            self.score += values[leaves_of(self.codes, tree)[self.row], self.model]
 
 
 class Spread:
@@ -246,7 +273,7 @@ class Boosting(Coded):
         one = self.labels.index(1) if 1 in self.labels else -1
         coded, dim, seed = self._encoded(self.rows), self.dim, self.seed
         tops = {g: top_of(n) for g, n in self.sizes.items()}
-        large = [g for g, n in self.sizes.items() if n > LOCAL]
+        large = [g for g, n in self.sizes.items() if n > min(LOCAL, LOCAL_CELLS // max(1, dim))]
         found = {}
         if len(large) < len(self.sizes):
 

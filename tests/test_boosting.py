@@ -73,3 +73,33 @@ def test_odd_groups(spark):
     assert len(got) == len(rows) and all(0 < p < 1 for p in got.values())
     assert got[None, 0] < 0.5 < got[None, 29]
     assert boosting.Boosting(df.limit(0), ["ds"]).predict(df).count() == 0
+
+
+@pytest.mark.parametrize("held", [False, True])
+def test_scores_that_are_read_give_the_same_trees(held):
+    """A task that keeps three scores a row finds the cuts and leaf sums of the full table of scores."""
+    rng = np.random.default_rng(5)
+    codes, y, ids = rng.integers(0, 9, (300, 4)).astype(np.uint8), rng.integers(0, 2, 300).astype(float), np.arange(300)
+    top = boosting.top_of(300)
+    bucket, score = boosting.buckets(ids, 1, top, held), np.zeros((300, top + 2))
+    inside = boosting.Inside(0, codes, y, bucket, top, 3.0)
+    assert len(inside.score) < 4 * 300
+    for _ in range(3):
+        tree = []
+        for _ in range(3):
+            gain = boosting.gains(boosting.histogram(codes, y, bucket, score, tree, inside.bins), 3.0)
+            best = int(np.round(gain, 9).argmax())
+            assert inside.cuts({0: tree})[0] == (best // gain.shape[1], best % gain.shape[1])
+            tree.append((best // gain.shape[1], best % gain.shape[1]))
+        sums = boosting.leaf_sums(codes, y, bucket, score, tree)
+        assert np.array_equal(inside.leaves({0: tree})[0], sums)
+        values = 0.3 * np.divide(*(sums[:-2].reshape(2, -1, top + 2) + np.array([0.0, 3.0])[:, None, None]))
+        inside.step({0: (tree, values)})
+        score += values[boosting.leaves_of(codes, tree)]
+
+
+def test_a_middling_group_takes_no_job_a_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "Spread", None)
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 7 > 3).cast("int").alias("label"), F.array((F.col("id") % 7).cast("double")).alias("features"))
+    got = boosting.Boosting(df, rounds=3, rate=1.0).predict(df).join(df, "row_id")
+    assert got.where((F.col("share") > 0.5) != (F.col("label") == 1)).count() == 0
