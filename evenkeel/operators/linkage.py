@@ -2,7 +2,7 @@
 
 Clusters join while the mean distance of their rows is at most the cut. A mean within the cut needs a pair within the
 cut, so clusters never leave a connected part of the graph that links rows up to the cut: large groups fall into such parts by
-one pruned ball join, of which tasks hand on spanning forests, and every part is agglomerated on its own, exactly, by nearest-neighbour
+one pruned ball join, of which tasks hand on spanning forests (rows with one feature by their gaps in order instead), and every part is agglomerated on its own, exactly, by nearest-neighbour
 chains. Equal rows are one point with a weight. A connected part of more than ``local_rows`` distinct rows is cut
 at medians of its widest feature until the pieces fit; clusters do not cross such cuts (ours; its distances are too many to be held).
 """
@@ -13,11 +13,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import blocks
-from evenkeel.operators import kernels
+from evenkeel.operators import kernels, scan
 from evenkeel.operators.neighbours import Neighbours
 from evenkeel.operators.runtime import settle
 
@@ -116,6 +116,19 @@ def connected(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("part")) if named is None else named
 
 
+def runs(points: DataFrame, grp: Sequence[str]) -> DataFrame:
+    """Distinct points of one feature (grp..., node, features, cut) with ``part``: in order, a gap above the cut begins a new one. A gap that rounding of distances may
+    bring down to the cut begins none."""
+    ranged = scan.range_buckets(points.withColumn("_x", F.get("features", F.lit(0))), ["_x"])
+    ends = ranged.groupBy(*grp, "_range").agg(F.max("_x").alias("_top"))  # a row a range
+    below = ends.withColumn("_below", F.lag("_top").over(Window.partitionBy(*grp).orderBy("_range"))).drop("_top")
+    line = Window.partitionBy(*grp, "_range").orderBy("_x")
+    gap = F.col("_x") - F.coalesce(F.lag("_x").over(line), "_below")
+    near = F.coalesce(gap <= F.col("cut") * (1 + 1e-12) + 10.0 * 10.0**-blocks.DIGITS, F.lit(False))
+    marked = ranged.transform(kernels.equi, below, [*grp, "_range"]).withColumn("_new", F.when(near, 0).otherwise(1).cast("bigint"))
+    return scan.running_sums(marked, grp, ["_x"], F.col("_range"), {"part": F.col("_new")}).select(*points.columns, "part")
+
+
 def halved(points: DataFrame, at: Sequence[str], local_rows: int) -> DataFrame:
     """Points (at..., features) with ``piece``: parts above ``local_rows`` are halved until none is. Distinct points always part on their widest feature."""
     dim = int(points.agg(F.max(F.size("features"))).first()[0] or 0)
@@ -149,10 +162,13 @@ def average_linkage(points: DataFrame, grp: Sequence[str], cuts: DataFrame, loca
     whole = same.transform(kernels.equi, sizes.where(F.col("_n") <= local_rows).select(*grp), grp, "left_semi").withColumns(
         {"part": F.lit(-1).cast("bigint"), "piece": F.lit("")})
     if not large.isEmpty():
-        index = Neighbours(large, by=grp, id="node", **limits)
-        pairs = index.meet(large, links("cut"), "nbr_id bigint", id="node", extra=["cut"], reach="cut")
-        parts = connected(pairs.select(F.col("q_id").alias("a"), F.col("nbr_id").alias("b")))
-        placed = settle(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        if large.where(~F.size("features").eqNullSafe(1)).isEmpty():
+            placed = settle(runs(large, grp))
+        else:
+            index = Neighbours(large, by=grp, id="node", **limits)
+            pairs = index.meet(large, links("cut"), "nbr_id bigint", id="node", extra=["cut"], reach="cut")
+            parts = connected(pairs.select(F.col("q_id").alias("a"), F.col("nbr_id").alias("b")))
+            placed = settle(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
         whole = whole.unionByName(halved(placed, [*grp, "part"], local_rows).select(whole.columns))
     keys = [*grp, "part", "piece"]
     schema = whole.select("node", F.col("rep").alias("cluster")).schema

@@ -56,3 +56,18 @@ def test_degenerate(spark):
     assert linkage.average_linkage(df.limit(0), ["g"], cuts).count() == 0
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)], "a long, b long")
     assert {r["node"]: r["part"] for r in linkage.connected(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_one_feature_meets_no_pairs(spark, monkeypatch):
+    """Large groups of one feature fall into parts by their gaps, without a ball join; copies, a null group and a cut of 0 among them."""
+    rng = np.random.default_rng(9)
+    rows, cuts = [], [("a", 0.3), (None, 0.5), ("zero", 0.0), ("wide", 1.0)]
+    for g, _ in cuts:
+        x = np.round(rng.uniform(-20, 20, 60), 2)
+        x[10:15] = x[9]
+        rows += [(g, int(i), [float(v)]) for i, v in zip(rng.permutation(60), x if g != "wide" else np.arange(60) * 2.0 + (np.arange(60) % 3 == 0))]
+    df = spark.createDataFrame(rows, "g string, row_id long, features array<double>").repartition(4)
+    cut = spark.createDataFrame(cuts, "g string, cut double")
+    monkeypatch.setattr(linkage, "Neighbours", None)
+    got = {(r["g"], r["row_id"]): r["cluster"] for r in linkage.average_linkage(df, ["g"], cut, local_rows=30).collect()}
+    assert got == {(g, i): c for g, c in cuts for i, c in brute([(r[1], r[2]) for r in rows if r[0] == g], c).items()} and len(got) == 240
