@@ -44,11 +44,11 @@ Stats = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each set: rows, sq
 
 class Spec:
     """Center sets of one group. With ``parents``, a row first goes to its nearest parent, then to the nearest center that this parent owns; rows of parents
-    without centers do not count. ``doubts`` asks for rows in doubt: of each set the least lead among the rows left out, and the other rows."""
+    without centers do not count. ``doubts`` tells of which sets rows in doubt are wanted: the least lead among the rows left out, and the other rows."""
 
-    def __init__(self, sets: list[np.ndarray], parents: np.ndarray | None = None, owner: np.ndarray | None = None, doubts: bool = False):
+    def __init__(self, sets: list[np.ndarray], parents: np.ndarray | None = None, owner: np.ndarray | None = None, doubts: Sequence[bool] = ()):
         self.sets, self.parents, self.owner = sets, parents, owner
-        self.doubts: list[Doubts] | None = [Doubts(s.shape[1]) for s in sets] if doubts else None
+        self.doubts: dict[int, Doubts] = {i: Doubts(s.shape[1]) for i, (s, d) in enumerate(zip(sets, doubts)) if d}
 
     @property
     def size(self) -> int:
@@ -57,7 +57,7 @@ class Spec:
     def blank(self, squares: bool) -> Stats:
         return [(np.zeros(len(s), np.int64), np.zeros(len(s)), np.zeros((len(s), s.shape[1] * (1 + squares)))) for s in self.sets]
 
-    def tally(self, x: np.ndarray, into: Stats, squares: bool, doubts: list[Doubts] | None = None, most: int = 0) -> None:
+    def tally(self, x: np.ndarray, into: Stats, squares: bool, doubts: Mapping[int, Doubts] | None = None, most: int = 0) -> None:
         origin = self.sets[0][0]
         every = np.vstack(self.sets) - origin
         every2 = (every * every).sum(axis=1)
@@ -74,7 +74,7 @@ class Spec:
                 near = gaps[:, low:high].argmin(axis=1)
                 gap = gaps[np.arange(len(rows)), low + near] + y2
                 own = np.flatnonzero(np.isfinite(gap))
-                if doubts:
+                if doubts and s in doubts:
                     gaps[np.arange(len(rows)), low + near] = np.inf
                     next_ = gaps[:, low:high].min(axis=1)[own] + y2[own]
                     fuzz = FUZZ * (y2[own] + every2[low:high].max())
@@ -128,7 +128,7 @@ def inside(rows: Mapping[int, np.ndarray]) -> Measure:
         out = {}
         for gid, spec in specs.items():
             out[gid] = spec.blank(squares)
-            spec.doubts = None  # every step is at hand
+            spec.doubts = {}  # every step is at hand
             spec.tally(rows[gid], out[gid], squares)
         return out
 
@@ -143,23 +143,23 @@ def spread(frame: DataFrame) -> Measure:
     def turn(specs: dict[int, Spec], squares: bool) -> dict[int, Stats]:
         if not parts_of:
             parts_of.append(max(1, frame.rdd.getNumPartitions()))
-        wide = sum(s.shape[1] for spec in specs.values() if spec.doubts for s in spec.sets)
+        wide = sum(spec.sets[s].shape[1] for spec in specs.values() for s in spec.doubts)
         most = DOUBT_BYTES // (8 * max(1, wide) * parts_of[0])  # rows in doubt of a set that a task sends
         held = frame.sparkSession.sparkContext.broadcast(specs)
         names = ["gid", "set", "center", "n", "cost", "sums", "rows"]
 
         def task(batches):
             found: dict[int, Stats] = {}
-            close: dict[int, list[Doubts]] = {}
+            close: dict[int, dict[int, Doubts]] = {}
             for batch in batches:
                 gids, x = batch.column("gid").to_numpy(), blocks.matrix(batch.column("features"))
                 for gid in np.unique(gids).tolist():
                     if spec := held.value.get(gid):
                         if spec.doubts and gid not in close:
-                            close[gid] = [Doubts(x.shape[1]) for _ in spec.sets]
+                            close[gid] = {s: Doubts(x.shape[1]) for s in spec.doubts}
                         spec.tally(x[gids == gid], found.setdefault(gid, spec.blank(squares)), squares, close.get(gid), most)
             for gid, sets in close.items():
-                for s, own in enumerate(sets):
+                for s, own in sets.items():
                     own.cut(own.seen // 4)
                     width = held.value[gid].sets[s].shape[1] * (1 + squares)
                     yield pa.RecordBatch.from_arrays([  # a place below 0, this task's own
@@ -206,6 +206,11 @@ def stands(old: np.ndarray, new: np.ndarray) -> bool:
     return np.abs(new - old).max() <= MOVED * (1.0 + np.abs(old).max())
 
 
+def drift(old: np.ndarray, new: np.ndarray) -> float:
+    """How far two centers moved together, at most."""
+    return float(np.sort(np.sqrt(((new - old) ** 2).sum(axis=1)))[-2:].sum())
+
+
 def walk(old: np.ndarray, new: np.ndarray, n: np.ndarray, sums: np.ndarray, close: Doubts, limit: int, parents, owner) -> tuple[np.ndarray, int]:
     """Up to ``limit`` further steps of a set that was measured at ``old`` and moved to ``new``, as long as only rows in doubt can change their center: (centers, steps)."""
 
@@ -216,7 +221,7 @@ def walk(old: np.ndarray, new: np.ndarray, n: np.ndarray, sums: np.ndarray, clos
         return stats[0][0], stats[0][2]
 
     steps, sure_n, sure = 0, None, None
-    while steps < limit and np.sort(np.sqrt(((new - old) ** 2).sum(axis=1)))[-2:].sum() < close.least:
+    while steps < limit and drift(old, new) < close.least:
         if sure is None:
             at_n, at = share(old)
             sure_n, sure = n - at_n, sums - at
@@ -230,14 +235,15 @@ def walk(old: np.ndarray, new: np.ndarray, n: np.ndarray, sums: np.ndarray, clos
 
 def lloyd(measure: Measure, starts: Mapping[int, list[np.ndarray]], parents=None, owners=None, rounds: int = ROUNDS) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Lloyd steps for every set of every group until its centers stand: (centers, rows, squared distances) by set. A center without rows stays where it is.
-    The last step of a set is always measured on all rows."""
+    The last step of a set is always measured on all rows. Rows in doubt are asked for at first, and then whenever a step is below twice the lead last known."""
     now = {(g, s): c for g, sets in starts.items() for s, c in enumerate(sets)}
     last, going, done = {}, list(now), dict.fromkeys(now, 0)
+    lead, pace = dict.fromkeys(now, math.inf), dict.fromkeys(now, 0.0)
     while going:
         by_group: dict[int, list[int]] = {}
         for g, s in going:
             by_group.setdefault(g, []).append(s)
-        specs = {g: Spec([now[g, s] for s in sets], parents and parents[g], owners and owners[g], rounds > 2) for g, sets in by_group.items()}
+        specs = {g: Spec([now[g, s] for s in sets], parents and parents[g], owners and owners[g], [rounds > 2 and pace[g, s] < 2 * lead[g, s] for s in sets]) for g, sets in by_group.items()}
         found = measure(specs)
         going = []
         for g, sets in by_group.items():
@@ -247,9 +253,12 @@ def lloyd(measure: Measure, starts: Mapping[int, list[np.ndarray]], parents=None
                 now[g, s], last[g, s] = new, (n, cost)
                 done[g, s] += 1
                 if done[g, s] < rounds and not stands(old, new):
-                    if specs[g].doubts:
+                    steps, pace[g, s] = 0, drift(old, new)
+                    if i in specs[g].doubts:
                         now[g, s], steps = walk(old, new, n, sums, specs[g].doubts[i], rounds - 1 - done[g, s], specs[g].parents, specs[g].owner)
-                        done[g, s] += steps
+                        done[g, s], lead[g, s] = done[g, s] + steps, specs[g].doubts[i].least
+                    if steps:
+                        pace[g, s] = 0.0
                     going.append((g, s))
     return {g: [(now[g, s], *last[g, s]) for s in range(len(sets))] for g, sets in starts.items()}
 
