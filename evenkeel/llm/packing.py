@@ -5,8 +5,9 @@ a rest. Every partition packs its rests by best-fit decreasing and emits the nea
 written, dealt to fewer partitions and packed again, up a tree, until one round has all that is left, or, where that would be more
 than ROUND_ITEMS a task, until a round no longer merges anything. A bin holds at most ``size`` pieces, so a row is bounded.
 
-Ids are looked up by word: no token of the file crosses white space, so a text's ids are those of its words in turn;
-words not seen by the Python worker yet are encoded in batches by the tokenizers library.
+Ids are looked up by piece: no token of the file crosses white space, nor the edge of a run of letters and a run of marks, so a text's
+ids are those of its pieces in turn. Texts are cut and their different pieces found a chunk at a time by NumPy and Arrow; pieces
+not seen by the Python worker yet are encoded in batches by the tokenizers library.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives
 no rows; other columns play no part.
@@ -26,26 +27,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.text import CHUNK, texts
+from evenkeel.llm.text import chunks
 from evenkeel.operators.runtime import settle, width
 
 SLACK = 16  # tokens: a bin with no more room than this is emitted
 FAN_IN = 4  # partitions that merge into one of the next round
 ROUND_ITEMS = 400_000  # underfull bins that one task packs, at most
-CACHE_WORDS = 300_000  # words a generation of the cache holds, but for those of the texts at hand; a Python worker has two
-
-# one match a line: letters, then marks other than the apostrophe (contractions) and those of special tokens
-_RUN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]*)|.*)$", re.M)
-
-_COMPOSES = re.compile(rb"[A-Z][\xcc-\xff]")  # an upper-case letter before what may be a combining mark
-
-
-def split(raw: bytes) -> list[bytes]:
-    """A text's words with A-Z in lower case, as the tokenizer has them in the end; it matches special tokens and composes marks before
-    that, so words with either are left as they are."""
-    if b"<|" not in raw and (raw.isascii() or not _COMPOSES.search(raw)):
-        return raw.lower().split()
-    return [w if b"<|" in w or _COMPOSES.search(w) else w.lower() for w in raw.split()]
+CACHE_WORDS = 300_000  # pieces a generation of the cache holds, but for those of the texts at hand; a Python worker has two
+
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # in lower case: a-z and the letters of Latin-1 from U+00DF on
+_SPACE, _LETTER, _MARK = 1, 2, 3  # kinds of bytes; 0: others
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[list(range(ord("a"), ord("z") + 1)) + list(range(ord("A"), ord("Z") + 1))] = _LETTER
+_KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = _MARK  # without the apostrophe (contractions) and < | > of special tokens
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of some texts in order, and where each text's begin. A word of Latin letters and marks alone is put into lower case and cut
+    wherever one follows the other, as the tokenizer does; any other word is one piece, left as it is, for the tokenizer
+    matches special tokens and composes marks before it makes letters small."""
+    kind, text = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # two bytes, U+00C0 to U+00FF
+    tail = data[lead + 1]
+    letter = (tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)  # without the signs of times and division
+    lead, tail = lead[letter], tail[letter]
+    kind[lead] = kind[lead + 1] = _LETTER
+    text[lead + 1] = np.where(tail <= 0x9E, tail + 32, tail)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    odd = np.flatnonzero(kind == 0)
+    if len(odd):
+        inside = kind != _SPACE
+        first = np.flatnonzero(inside & np.append(True, ~inside[:-1] | edge[1:-1]))
+        ends = np.flatnonzero(inside & np.append(~inside[1:] | edge[1:-1], True)) + 1
+        words = np.unique(np.searchsorted(first, odd, "right") - 1)
+        step = np.zeros(len(data) + 1, np.int8)
+        step[first[words]] += 1
+        step[ends[words]] -= 1
+        whole = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        kind[whole] = 0
+        np.copyto(text, data, where=whole)
+    inside = kind != _SPACE
+    edge[0] = edge[-1] = True
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    starts, ends = np.flatnonzero(inside & edge[:-1]), np.flatnonzero(inside & edge[1:]) + 1
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(text[inside])])
+    return found, np.searchsorted(starts, offsets)
 
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("offset", pa.int32())])
@@ -54,11 +87,10 @@ _BIN_DDL = "bin long, fill int, members array<struct<doc_id: long, piece: int, s
 
 
 class WordIds:
-    """Little-endian 32-bit ids of texts by their words.
+    """Little-endian 32-bit ids of texts by their pieces.
 
-    A run of Latin letters is one piece for the tokenizer's rules, and so is a run of marks behind it; in lower case the letters need no
-    normalisation, so many are given to the library in one call and told apart by the ids that end a word. Other words, and each
-    run of marks, are encoded apart.
+    Runs of Latin letters in lower case need no normalisation, so many are given to the library in one call and told apart by the ids
+    that end a word. Runs of marks and other words are encoded apart.
     """
 
     def __init__(self, path: str):
@@ -74,50 +106,50 @@ class WordIds:
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[bytes, bytes] = {}  # this generation
-        self.older: dict[bytes, bytes] = {}  # the one before: its words are taken over when they are met again
-        self.stops: dict[str, bytes] = {"": b""}
+        self.older: dict[bytes, bytes] = {}  # the one before: its pieces are taken over when they are met again
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _runs(self, words: list[str], tokenizer) -> dict[str, bytes]:
-        """Ids of lower-case runs of Latin letters."""
-        out = {}
+    def _runs(self, words: list[bytes], tokenizer) -> None:
+        """Learn lower-case runs of Latin letters."""
         for low in range(0, len(words), 1024):
             run = words[low:low + 1024]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(run).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(run):
                 raw, cuts = ids.tobytes(), (4 * ends).tolist()
-                out.update(zip(run, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+                self.known.update(zip(run, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
             else:
-                out.update(zip(run, self._each(run)))
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            self.older, self.known, self.stops = known, {}, {"": b""}
-            known = self.known
-        new = words - known.keys()
-        met = new & self.older.keys()
-        known.update(zip(met, map(self.older.__getitem__, met)))
-        new = list(new - met)
-        cut = _RUN.findall(b"\n".join(new).decode().lower())
-        if len(cut) != len(new):  # a letter whose lower case is a line end: there is none, but nothing else would tell
-            cut = [("", "")] * len(new)
-        runs = {run for run, _ in cut if run}
-        plain = set(filter(str.isascii, runs))
-        found = {**self._runs(list(plain), self.letters), **self._runs(list(runs - plain), self.accents)}
-        stops = self.stops
-        marks = list({stop for _, stop in cut} - stops.keys())
-        stops.update(zip(marks, self._each(marks)))
-        known.update({w: found[run] + stops[stop] for w, (run, stop) in zip(new, cut) if run})
-        other = [w for w, (run, _) in zip(new, cut) if not run]
-        known.update(zip(other, self._each([w.decode() for w in other])))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+                self.known.update(zip(run, self._each(run)))
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different pieces."""
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = [w for w in words if w not in known]
+        if older:
+            met = [w for w in new if w in older]
+            known.update(zip(met, map(older.__getitem__, met)))
+            new = [w for w in new if w not in known]
+        self._runs([w for w in new if w.isalpha()], self.letters)  # of bytes: a-z alone, as other words have other bytes
+        rest = [w for w in new if not w.isalpha()]
+        self._runs([w for w in rest if _LETTERS.fullmatch(w)], self.accents)
+        other = [w for w in rest if not _LETTERS.fullmatch(w)]
+        known.update(zip(other, self._each(other)))
+        return list(map(known.__getitem__, words))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[memoryview]:
+        """The ids of every text of a chunk."""
+        found, first = pieces(data, offsets)
+        found = found.dictionary_encode()
+        taken = pa.array(self.of(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        _, at, raw = taken.buffers()
+        cuts = np.frombuffer(at, np.int64)[first].tolist()
+        view = memoryview(raw if raw is not None else b"")
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            yield view[low:high]
 
 
 @lru_cache(maxsize=1)
@@ -171,19 +203,14 @@ def _first_round(path: str, size: int, end: int):
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            waiting, held = [], 0
-            for row, raw in enumerate(texts(batch, "text")):
-                waiting.append((ids[row], split(raw)))
-                held += len(raw)
-                if held < CHUNK and row + 1 < len(ids):
-                    continue
-                words.learn(set().union(*(w for _, w in waiting)))
-                for doc, own in waiting:
-                    tokens = words.ids(own) + last
-                    for piece, at in enumerate(range(0, len(tokens), 4 * size)):
-                        cut = tokens[at:at + 4 * size]
-                        (full if len(cut) == 4 * size else rests).append([(doc, piece, at // 4, len(cut) // 4, zlib.crc32(cut))])
-                waiting, held = [], 0
+            for rows, data, offsets in chunks(batch, "text"):
+                for doc, tokens in zip(ids[rows], words.ids(data, offsets)):
+                    count = len(tokens) // 4 + 1
+                    for piece, at in enumerate(range(0, count, size)):
+                        crc, length = zlib.crc32(tokens[4 * at:4 * (at + size)]), min(size, count - at)
+                        if at + length == count:
+                            crc = zlib.crc32(last, crc)
+                        (full if length == size else rests).append([(doc, piece, at, length, crc)])
         bins = [[i] for i in range(len(full))]
         bins += [[i + len(full) for i in b] for b in best_fit(np.array([r[0][3] for r in rests], np.int64), size)]
         yield from _emit(bins, full + rests, 0)

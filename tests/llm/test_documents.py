@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evenkeel.llm import lm_score, packing, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity, warc
+from evenkeel.llm.text import chunks
 
 LINE = " ".join(f"w{i}" for i in range(40))
 TEXTS = [
@@ -132,6 +134,26 @@ def test_packing_of_upper_case(spark):
         assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes()), text
 
 
+def test_packing_pieces():
+    """Any text has the tokenizer's ids, whatever its chunk; of copies in a chunk, each different piece is looked up once."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    parts = ["a", "B", "Foo", "\u00c9", "\u00e9t\u00e9", "\u00df", "\u00de", "\u00d7", "\u00f7", "\u0301", "\u0308", ".", ",,", "'s", "'", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|",
+             "12", "\u00a0", "\x85", "\x00", "\u6f22", "\u1112", "\u1161", "\u0130", "\u03a3", "\u2026", "_", "~", " ", "\n", "\x0b"]
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", *("".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for size in (300, 1 << 20):
+        got = [bytes(ids) for _, data, offsets in chunks(batch, "text", size) for ids in words.ids(data, offsets)]
+        assert got == [np.array(words.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked, of = [], words.of
+    words.of = lambda new: asked.extend(new) or of(new)
+    batch = pa.RecordBatch.from_arrays([pa.array(["Alpha, beta. Alpha; gamma\u00c9,"] * 50)], names=["text"])
+    for _, data, offsets in chunks(batch, "text"):
+        assert len(list(words.ids(data, offsets))) == 50
+    assert sorted(asked) == sorted(w.encode() for w in ["alpha", ",", "beta", ".", ";", "gamma\u00e9"])
+
+
 def test_sharding(spark, docs):
     got = sharding.shard(docs, 4).collect()
     assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in TEXTS)
