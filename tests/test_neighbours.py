@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,24 @@ def test_slots_and_large_bases_do_not_travel_through_the_driver(spark, monkeypat
     large = fit_resample(points, "SMOTE")
     assert sides(usual) == (0, 5) and sides(large) == (4, 1)
     assert sorted(usual.collect(), key=str) == sorted(large.collect(), key=str)
+
+
+def test_a_shelf_is_met_in_parts(monkeypatch):
+    """A nearest join holds a bounded part of a shelf as a matrix, whatever the shelf; the nearest of all parts are kept."""
+    rng = np.random.default_rng(5)
+    refs, mat = rng.integers(0, 9, size=(500, 3)).astype(float), rng.normal(size=(40, 3))
+    left = pa.table({"q_id": np.arange(40), "_qvec": list(mat), "_mask": np.full(40, 7)})
+    right = pa.table({"_rid": 1000 + np.arange(500), "_rvec": list(refs), "_book": np.arange(500) % 3, "mark": np.arange(500)})
+    seen, kernel = [], blocks.nearest(5, True, ("mark",))
+
+    def watched(qid, q, extra, rid, r, carry):
+        seen.append(r.nbytes)
+        return kernel(qid, q, extra, rid, r, carry)
+
+    want = kernel(np.arange(40), mat, {}, 1000 + np.arange(500), refs, {"mark": np.arange(500)})
+    monkeypatch.setattr(neighbours, "MEET_BYTES", 1500)
+    ids, positions, out = neighbours.meet_shelf(left, right, watched, (), ["mark"], best=5)
+    assert max(seen) <= 1500 and sum(seen) == refs.nbytes
+    assert ids.tolist() == list(range(40)) and positions.tolist() == want[0].tolist()
+    for name, values in want[1].items():
+        assert out[name].tolist() == values.tolist(), name
