@@ -29,3 +29,16 @@ def test_every_twin_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_search_of_k_is_not_narrowed(spark, monkeypatch, tmp_path):
+    """The query leaves the limit on clusters and the restarts at their defaults."""
+    from evenkeel.methods import registry, smote
+    from evenkeel.queries import load
+
+    seen = []
+    monkeypatch.setitem(registry.METHODS, "AKMeans_SMOTE", lambda job: seen.append(job.options) or smote.original(job))
+    rows = spark.createDataFrame([(i, int(i > 3), [float(i), 1.0]) for i in range(12)], "vec_id long, label int, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    load().QUERIES["x_search_k"](spark, str(tmp_path))
+    assert seen == [{"search_k": True}]
