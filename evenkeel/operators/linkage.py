@@ -2,13 +2,18 @@
 
 Clusters join while the mean distance of their rows is at most the cut. A mean within the cut needs a pair within the
 cut, so clusters never leave a connected part of the graph that links rows up to the cut: large groups fall into such parts by
-one pruned ball join, of which tasks hand on spanning forests (rows with one feature by their gaps in order instead), and every part is agglomerated on its own, exactly, by nearest-neighbour
-chains. Equal rows are one point with a weight. A connected part of more than ``local_rows`` distinct rows is cut
-at medians of its widest feature until the pieces fit; clusters do not cross such cuts (ours; its distances are too many to be held).
+one pruned ball join, of which tasks hand on spanning forests (rows with one feature by their gaps in order instead), and every part is agglomerated on its own, exactly and however large it is,
+in one task. Equal rows are one point with a weight, and means are compared at ``blocks.DIGITS`` decimals.
+
+Rows of one feature join in order: clusters are then runs of rows, the mean distance of two is that of their means, and no pairs are held. Rows of several features join by
+nearest-neighbour chains over sums of distances; above ``local_rows`` distinct rows these lie in a file of the task (8 bytes a pair), of which a step reads or writes one row.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,43 +29,102 @@ from evenkeel.operators.runtime import settle
 LOCAL_ROWS = 4096  # distinct rows whose distances one task holds, 128 MiB
 
 
-def chains(x: np.ndarray, weight: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster of every row, named by the position of its first row."""
+def in_order(x: np.ndarray, weight: np.ndarray, cut: float) -> np.ndarray:
+    """``chains`` for one feature: neighbours in order join by the smallest distance of their means, ties by the clusters' first rows. Rows without a value stay alone."""
+    order = np.argsort(x, kind="stable")
+    mean, size, name, start = x[order].astype(float), weight[order].astype(float), order.copy(), np.arange(len(x))
+
+    def gaps() -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            gap = np.round(np.diff(mean), blocks.DIGITS)
+        return np.where(gap <= cut, gap, np.inf)
+
+    while len(mean) > 1:  # pairs nearer to each other than to any other join whatever the order, all at a time
+        gap = gaps()
+        go = (gap < np.append(np.inf, gap[:-1])) & (gap < np.append(gap[1:], np.inf))
+        if go.sum() * 16 < len(gap):
+            break
+        first = np.flatnonzero(~np.append(False, go))
+        total = np.add.reduceat(size, first)
+        mean = np.where(np.append(go, False)[first], np.add.reduceat(mean * size, first) / total, mean[first])
+        size, name, start = total, np.minimum.reduceat(name, first), start[first]
+    gap, many = gaps().tolist(), len(mean)
+    mean, size, name = mean.tolist(), size.tolist(), name.tolist()
+    left, right, turn = list(range(-1, many - 1)), list(range(1, many + 1)), [0] * many
+    into = list(range(many))
+
+    def pair(i: int, j: int, gap: float) -> tuple:
+        return gap, min(name[i], name[j]), max(name[i], name[j]), i, turn[i], j, turn[j]
+
+    heap = [pair(i, i + 1, g) for i, g in enumerate(gap) if g <= cut]
+    heapq.heapify(heap)
+    while heap:
+        _, _, _, i, own, j, other = heapq.heappop(heap)
+        if turn[i] != own or turn[j] != other:
+            continue
+        mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
+        size[i], name[i], right[i], into[j] = size[i] + size[j], min(name[i], name[j]), right[j], i
+        turn[i], turn[j] = turn[i] + 1, -1
+        if right[i] < many:
+            left[right[i]] = i
+        for a, b in ((left[i], i), (i, right[i])):
+            if a >= 0 and b < many and (g := round(mean[b] - mean[a], blocks.DIGITS)) <= cut:
+                heapq.heappush(heap, pair(a, b, g))
+    for i in range(many):  # a cluster joins an earlier one
+        into[i] = into[into[i]]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(np.array(name, np.int64)[into], np.diff(np.append(start, len(x)))) if len(x) else 0
+    return out
+
+
+def _pair_sums(x: np.ndarray, weight: np.ndarray, local_rows: int) -> np.ndarray:
+    """Weighted distances of all rows, in a file that goes with the array if there are more than ``local_rows``."""
     n = len(x)
-    d = blocks.all_distances(x, x)
-    np.fill_diagonal(d, np.inf)
-    size, into, left = weight.astype(float), np.arange(n), np.ones(n, bool)
+    if n <= local_rows:
+        sums = np.empty((n, n))
+    else:
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) as file:
+            sums = np.memmap(file, np.float64, "w+", shape=(n, n))
+    for part in blocks.steps(n, n):
+        sums[part] = blocks.all_distances(x[part], x) * weight[part, None] * weight
+    return sums
+
+
+def chains(x: np.ndarray, weight: np.ndarray, cut: float, local_rows: int = LOCAL_ROWS) -> np.ndarray:
+    """Cluster of every row, named by the position of its first row."""
+    if x.shape[1] == 1:
+        return in_order(x[:, 0], weight, cut)
+    n, weight = len(x), weight.astype(float)
+    sums = _pair_sums(x, weight, local_rows)  # of a cluster, in the row of its first row, to every row
+    size, into, left = weight.copy(), np.arange(n), np.ones(n, bool)
     stack: list[int] = []
+    links: list[float] = []  # from each cluster of the stack to the next; they fall, so chains end
     first = 0
     while True:
         if not stack:
             while first < n and not left[first]:
                 first += 1
             if first == n:
-                break
+                return into
             stack.append(first)
         top = stack[-1]
-        near = int(d[top].argmin())
-        if len(stack) > 1 and d[top, stack[-2]] == d[top, near]:
-            near = stack[-2]
-        if not d[top, near] <= cut:  # and no later merge brings anything closer: this cluster is done
+        mean = np.round(np.bincount(into, weights=sums[top], minlength=n) / (size[top] * size), blocks.DIGITS)
+        mean[~left | np.isnan(mean)] = np.inf
+        mean[top] = np.inf
+        near = int(mean.argmin())
+        if links and not mean[near] < links[-1]:
+            a, b = sorted(stack[-2:])
+            del stack[-2:], links[-2:]
+            sums[a] += sums[b]
+            size[a] += size[b]
+            into[into == b], left[b] = a, False
+        elif not mean[near] <= cut:  # and no later merge brings anything closer: this cluster is done
             stack.pop()
             left[top] = False
-            d[top], d[:, top] = np.inf, np.inf
-        elif len(stack) > 1 and near == stack[-2]:
-            del stack[-2:]
-            a, b = min(top, near), max(top, near)
-            mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            mean[a] = np.inf
-            d[a], d[:, a] = mean, mean
-            d[b], d[:, b] = np.inf, np.inf
-            size[a] += size[b]
-            into[b], left[b] = a, False
         else:
             stack.append(near)
-    for i in range(n):  # a row joins an earlier one
-        into[i] = into[into[i]]
-    return into
+            links.append(float(mean[near]))
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +216,15 @@ def halved(points: DataFrame, at: Sequence[str], local_rows: int) -> DataFrame:
 
 def average_linkage(points: DataFrame, grp: Sequence[str], cuts: DataFrame, local_rows: int = LOCAL_ROWS, **limits) -> DataFrame:
     """(grp..., row_id, cluster): the cluster of every row, named by its smallest row_id. ``cuts`` holds (grp..., cut); in groups without a cut, or
-    with a null one, only equal rows share a cluster. Ties between distances go to rows with smaller ids, but for mutual nearest ones, which join first."""
+    with a null one, only equal rows share a cluster. Ties between distances go to rows with smaller ids, but with several features mutual nearest ones join first.
+    ``local_rows`` steers cost only."""
     grp = list(grp)
     same = points.groupBy(*grp, "features").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     same = same.transform(kernels.equi, cuts.select(*grp, F.col("cut").cast("double").alias("cut")), grp, "left")
     same = settle(same.withColumns({"cut": F.coalesce("cut", F.lit(0.0)), "node": F.monotonically_increasing_id()}))
     sizes = same.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
     large = settle(same.transform(kernels.equi, sizes.where(F.col("_n") > local_rows).select(*grp), grp, "left_semi"))
-    whole = same.transform(kernels.equi, sizes.where(F.col("_n") <= local_rows).select(*grp), grp, "left_semi").withColumns(
-        {"part": F.lit(-1).cast("bigint"), "piece": F.lit("")})
+    whole = same.transform(kernels.equi, sizes.where(F.col("_n") <= local_rows).select(*grp), grp, "left_semi").withColumn("part", F.lit(-1).cast("bigint"))
     if not large.isEmpty():
         if large.where(~F.size("features").eqNullSafe(1)).isEmpty():
             placed = settle(runs(large, grp))
@@ -169,17 +233,16 @@ def average_linkage(points: DataFrame, grp: Sequence[str], cuts: DataFrame, loca
             pairs = index.meet(large, links("cut"), "nbr_id bigint", id="node", extra=["cut"], reach="cut")
             parts = connected(pairs.select(F.col("q_id").alias("a"), F.col("nbr_id").alias("b")))
             placed = settle(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        whole = whole.unionByName(halved(placed, [*grp, "part"], local_rows).select(whole.columns))
-    keys = [*grp, "part", "piece"]
+        whole = whole.unionByName(placed.select(whole.columns))
     schema = whole.select("node", F.col("rep").alias("cluster")).schema
 
     def agglomerate(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("rep").to_numpy(), kind="stable")
         rep = table.column("rep").to_numpy()[order]
         x = blocks.matrix(table.column("features"))[order]
-        into = chains(x, table.column("weight").to_numpy()[order], float(table.column("cut")[0].as_py()))
+        into = chains(x, table.column("weight").to_numpy()[order], float(table.column("cut")[0].as_py()), local_rows)
         return pa.table({"node": table.column("node").take(pa.array(order)), "cluster": pa.array(rep[into])})
 
-    found = whole.groupBy(*keys).applyInArrow(agglomerate, schema)
+    found = whole.groupBy(*grp, "part").applyInArrow(agglomerate, schema)
     named = settle(same.select(*grp, "features", "node").join(found, "node").drop("node"))
     return points.select(*grp, "row_id", "features").transform(kernels.equi, named, [*grp, "features"]).select(*grp, "row_id", "cluster")

@@ -71,3 +71,26 @@ def test_one_feature_meets_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(linkage, "Neighbours", None)
     got = {(r["g"], r["row_id"]): r["cluster"] for r in linkage.average_linkage(df, ["g"], cut, local_rows=30).collect()}
     assert got == {(g, i): c for g, c in cuts for i, c in brute([(r[1], r[2]) for r in rows if r[0] == g], c).items()} and len(got) == 240
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_connected_part_above_the_limit_is_whole(spark, dim):
+    """One connected part of many times the limit: clusters are those of brute force, wherever a median would lie."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 40 if dim == 1 else 6, (90, dim)).round(3)
+    x[20:26] = x[19]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(90), x)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>").repartition(4)
+    want = brute(rows, 2.5)
+    got = {r["row_id"]: r["cluster"] for r in linkage.average_linkage(df, [], spark.createDataFrame([(2.5,)], "cut double"), local_rows=30).collect()}
+    assert got == want and 1 < len(set(want.values())) < 20
+
+
+def test_order_of_joins_in_one_feature():
+    """Ties go to the clusters of smaller first rows; long runs of equal gaps, rows without a value and weights."""
+    x, one = np.arange(6.0), np.ones(6)
+    assert linkage.in_order(x, one, 1.0).tolist() == [0, 0, 2, 2, 4, 4]
+    assert linkage.in_order(x[::-1].copy(), one, 1.0).tolist() == [0, 0, 2, 2, 4, 4]
+    assert linkage.in_order(np.array([5.0, np.nan, 5.5, 0.0, np.nan]), np.ones(5), 1.0).tolist() == [0, 1, 0, 3, 4]
+    assert linkage.in_order(np.array([0.0, 1.0, 2.2]), np.array([9, 1, 1]), 2.0).tolist() == [0, 0, 2]
+    assert linkage.in_order(np.zeros(0), np.zeros(0), 1.0).tolist() == []
