@@ -30,17 +30,19 @@ from pyspark.sql import types as T
 from evenkeel.functions import blocks
 from evenkeel.functions.vectors import sum_vector
 from evenkeel.operators.kernels import equi
-from evenkeel.operators.runtime import settle
+from evenkeel.operators.runtime import settle, width
 
 LOCAL = 1 << 16  # rows of a node that one task grows
 LOCAL_BYTES = 32 << 20  # of their codes
 CUT_ROWS = 1 << 14  # rows of a group that its cuts are taken from
 TREES = 10  # trees of a small group that one task grows
+TASKS = 1 << 10  # that lots of trees are dealt to, at most, or the session's width
 HIST_BYTES = 64 << 20  # of histograms that a task holds
 TABLE_BYTES = 32 << 20  # of cuts that travel with one job
 MODEL_BYTES = 64 << 20  # of subtrees that travel to the rows
 SCORED = 1 << 17  # rows that one subtree scores in one task, about, when rows travel
 BINS = 256
+COUNTED = 64  # rows a node from which on a task counts the codes of its nodes instead of sorting them
 
 _POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 _U = np.uint64
@@ -112,31 +114,106 @@ class Tree:
         return len(self.feature) - 1
 
 
+def _ordered(node: np.ndarray, code: np.ndarray, nodes: int) -> np.ndarray:
+    """Positions by node and code, both small numbers, which sort by counting."""
+    first = np.argsort(code, kind="stable")
+    return first[np.argsort(node[first].astype(np.uint16 if nodes <= 1 << 16 else np.int64), kind="stable")]
+
+
+def _cuts(codes: np.ndarray, y: np.ndarray, w: np.ndarray, node: np.ndarray, some: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_cut`` of many nodes: (score, feature, code) of each over its features ``some``. A row is in ``node``, ``totals`` are the nodes' class counts.
+    Nodes with many rows are counted by code, those with few are sorted."""
+    nodes, classes = totals.shape
+    best, feature, cut = np.full(nodes, -np.inf), np.full(nodes, -1), np.zeros(nodes, np.int64)
+    lines, every = np.arange(len(node)), np.arange(nodes)
+    parts = [np.where(y == c, w, 0.0) for c in range(classes)]
+    counted = len(node) >= COUNTED * nodes
+    base = node * (BINS * classes) + y if counted else None
+    for j in range(some.shape[1]):
+        own = codes[lines, some[node, j]]
+        if counted:
+            hist = np.bincount(base + own.astype(np.int64) * classes, weights=w, minlength=nodes * BINS * classes).reshape(nodes, BINS, classes)
+            left = np.cumsum(hist, axis=1)[:, :-1]
+            gain, lows, highs = [0.0, 0.0], 0.0, 0.0
+            for c in range(classes):
+                low, high = left[:, :, c], totals[:, c, None] - left[:, :, c]
+                lows, highs = lows + low, highs + high
+                gain = [gain[0] + low * low, gain[1] + high * high]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where((lows > 0) & (highs > 0), gain[0] / lows + gain[1] / highs, -np.inf)
+            code = score.argmax(axis=1)
+            top = score[every, code]
+            better = top > best
+            best[better], feature[better], cut[better] = top[better], some[better, j], code[better]
+            continue
+        order = _ordered(node, own, nodes)
+        at, own = node[order], own[order]
+        # the last row of every code of a node; the last code of a node parts nothing
+        last = np.flatnonzero((at[1:] == at[:-1]) & (own[1:] != own[:-1]))
+        if not len(last):
+            continue
+        ends, owner = np.append(last, len(at) - 1), at[last]
+        begin = np.searchsorted(at, owner)
+        gain, lows, highs = [0.0, 0.0], 0.0, 0.0
+        for c in range(classes):
+            upto = np.append(0.0, np.cumsum(parts[c][order]))
+            left = upto[last + 1] - upto[begin]
+            right = totals[owner, c] - left
+            lows, highs = lows + left, highs + right
+            gain = [gain[0] + left * left, gain[1] + right * right]
+        score = gain[0] / lows + gain[1] / highs
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        top = np.maximum.reduceat(score, starts)
+        hits = np.flatnonzero(score == np.repeat(top, np.diff(np.append(starts, len(score)))))
+        hits = hits[np.append(True, owner[hits][1:] != owner[hits][:-1])]  # the first of equal ones
+        better = hits[score[hits] > best[owner[hits]]]
+        mine = owner[better]
+        best[mine], feature[mine], cut[mine] = score[better], some[mine, j], own[ends[better]]
+    return best, feature, cut
+
+
 def grow(codes: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, level: int, depth: int | None, mtry: int, classes: int) -> Tree:
-    """The subtree below a node of given rows."""
+    """The subtree below a node of given rows, all nodes of a level at a time."""
     tree, dim = Tree(), codes.shape[1]
-    stack = [(np.flatnonzero(w), key, level, -1, 0)]
-    while stack:
-        rows, key, level, parent, side = stack.pop()
-        own_y, own_w = y[rows], w[rows]
-        counts = np.bincount(own_y, weights=own_w, minlength=classes)
-        me = tree.add(counts)
-        if parent >= 0:
-            (tree.right if side else tree.left)[parent] = me
-        if (counts > 0).sum() < 2 or level == depth:
-            continue
-        order = np.random.default_rng(key).permutation(dim)
-        own = codes[rows]
+    rows = np.flatnonzero(w)
+    codes, y, w = codes[rows], y[rows], w[rows]
+    node, keys, ids = np.zeros(len(rows), np.int64), np.array([key], _U), np.array([tree.add(np.bincount(y, weights=w, minlength=classes))])
+    while len(ids):
+        counts = np.bincount(node * classes + y, weights=w, minlength=len(ids) * classes).reshape(-1, classes)
+        alive = (counts > 0).sum(axis=1) >= 2
+        if level == depth or not alive.any():
+            break
+        place = np.cumsum(alive) - 1
+        stay = alive[node]
+        codes, y, w, node = codes[stay], y[stay], w[stay], place[node[stay]]
+        counts, keys, ids = counts[alive], keys[alive], ids[alive]
+        order = np.array([np.random.default_rng(int(k)).permutation(dim) for k in keys])
+        feature, cut, todo = np.full(len(ids), -1), np.zeros(len(ids), np.int64), np.arange(len(ids))
         for at in range(0, dim, mtry):
-            some = order[at:at + mtry]
-            place = (np.arange(len(some)) * BINS + own[:, some]) * classes + own_y[:, None]
-            hist = np.bincount(place.ravel(), weights=np.repeat(own_w, len(some)), minlength=len(some) * BINS * classes).reshape(len(some), BINS, classes)
-            score, j, code = best_cut(hist)
-            if score > -np.inf:
-                tree.feature[me], tree.cut[me] = int(some[j]), code
-                low = own[:, some[j]] <= code
-                stack += [(rows[~low], _child(key, 1), level + 1, me, 1), (rows[low], _child(key, 0), level + 1, me, 0)]
+            again = np.full(len(ids), -1)
+            again[todo] = np.arange(len(todo))
+            own = np.flatnonzero(again[node] >= 0) if len(todo) < len(ids) else slice(None)
+            score, f, c = _cuts(codes[own], y[own], w[own], again[node[own]], order[todo, at:at + mtry], counts[todo])
+            found = score > -np.inf
+            feature[todo[found]], cut[todo[found]] = f[found], c[found]
+            todo = todo[~found]
+            if not len(todo):
                 break
+        # children are numbered in pairs, the left one first
+        split = np.flatnonzero(feature >= 0)
+        stay = feature[node] >= 0
+        codes, y, w, node = codes[stay], y[stay], w[stay], node[stay]
+        side = codes[np.arange(len(node)), feature[node]] > cut[node]
+        place = np.full(len(ids), -1)
+        place[split] = 2 * np.arange(len(split))
+        node = place[node] + side
+        sums = np.bincount(node * classes + y, weights=w, minlength=2 * len(split) * classes).reshape(-1, classes)
+        made = np.array([tree.add(v) for v in sums], np.int64)
+        for me, f, c, low, high in zip(ids[split].tolist(), feature[split].tolist(), cut[split].tolist(), made[::2].tolist(), made[1::2].tolist()):
+            tree.feature[me], tree.cut[me], tree.left[me], tree.right[me] = f, c, low, high
+        with np.errstate(over="ignore"):
+            keys = _mix(_U(2) * np.repeat(keys[split], 2) + _U(1) + np.tile(np.array([0, 1], _U), len(split)))
+        ids, level = made, level + 1
     return tree
 
 
@@ -293,7 +370,9 @@ class Forest(Coded):
                     found.append((gid, tree, 0, grow(codes, y, w, _root(seed, tree), 0, depth, mtry, classes)))
                 return _pack(found, cuts)
 
-            out = self._with_cuts(chunks, ["gid", "chunk"], whole, held, cuts_table)
+            # a task for every lot of trees: their rows are few bytes, which would be gathered in few tasks
+            lots = max(width(self.spark), min(TASKS, (len(self.sizes) - len(large)) * ((trees - 1) // TREES + 1)))
+            out = self._with_cuts(chunks.repartition(lots, "gid", "chunk"), ["gid", "chunk"], whole, held, cuts_table)
         if large:
             self._levels(coded.where(F.col("gid").isin(large)), large)
             tops = self.spark.sparkContext.broadcast({k: (top.arrays(), {n: (top.key[n], top.level[n]) for n in top.tried}) for k, top in self.tops.items()})

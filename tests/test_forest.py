@@ -112,3 +112,32 @@ def test_classifiers(spark):
     for name, least in (("RandomForest", 0.8), ("DecisionTree", 0.7)):
         got = classifiers.predict(name, train, test, ["ds"]).groupBy("ds").agg(F.avg((F.col("y") == F.col("y_pred")).cast("int")).alias("a"), F.count("*").alias("n")).collect()
         assert len(got) == 2 and all(r["a"] > least and r["n"] == 300 for r in got), (name, got)
+
+
+@pytest.mark.parametrize("classes, depth", [(2, None), (3, 4)])
+def test_levels_of_a_task_make_the_cuts_of_single_nodes(monkeypatch, classes, depth):
+    """Nodes counted or sorted, all of a level at a time: every one has the best cut of its own histogram, with the node's own order of features."""
+    rng = np.random.default_rng(8)
+    codes, y, w = rng.integers(0, 9, (400, 5)).astype(np.uint8), rng.integers(0, classes, 400), rng.integers(0, 3, 400).astype(float)
+    for counted in (0, 64, 1 << 30):
+        monkeypatch.setattr(forest, "COUNTED", counted)
+        tree = forest.grow(codes, y, w, 77, 0, depth, 2, classes)
+        todo, leaves = [(0, np.flatnonzero(w), 77)], 0
+        while todo:
+            me, rows, key = todo.pop()
+            assert tree.value[me].tolist() == np.bincount(y[rows], weights=w[rows], minlength=classes).tolist()
+            if tree.feature[me] < 0:
+                leaves += 1
+                continue
+            order = np.random.default_rng(key).permutation(5)
+            for at in range(0, 5, 2):
+                hist = np.zeros((len(order[at:at + 2]), forest.BINS, classes))
+                for j, f in enumerate(order[at:at + 2]):
+                    np.add.at(hist[j], (codes[rows, f], y[rows]), w[rows])
+                score, j, code = forest.best_cut(hist)
+                if score > -np.inf:
+                    break
+            assert (tree.feature[me], tree.cut[me]) == (order[at + j], code)
+            low = codes[rows, tree.feature[me]] <= code
+            todo += [(tree.left[me], rows[low], forest._child(key, 0)), (tree.right[me], rows[~low], forest._child(key, 1))]
+        assert leaves > 10
