@@ -182,3 +182,69 @@ def test_a_shelf_is_met_in_parts(monkeypatch):
     assert ids.tolist() == list(range(40)) and positions.tolist() == want[0].tolist()
     for name, values in want[1].items():
         assert out[name].tolist() == values.tolist(), name
+
+
+def shelf(seed=3, n=300, m=200, dim=20):
+    """Queries with masks of all kinds, and a shelf of ten books."""
+    rng = np.random.default_rng(seed)
+    vec = pa.list_(pa.float64())
+    q, r, book = rng.normal(size=(n, dim)), rng.normal(size=(m, dim)), np.sort(rng.integers(0, 10, m))
+    mask = rng.integers(1, 1 << 10, n)
+    left = pa.table({"q_id": np.arange(n), "_qvec": pa.array(list(q), vec), "_mask": mask, "radius": np.full(n, 5.5), "lo": np.full(n, -1e-9), "hi": np.full(n, 9.0), "_theta": np.full(n, np.inf)})
+    right = pa.table({"_rid": np.arange(m), "_rvec": pa.array(list(r), vec), "_book": book.astype(np.int32), "radius": rng.uniform(4, 6, m)})
+    return left, right, q, r, (mask[:, None] >> book & 1).astype(bool)
+
+
+@pytest.mark.parametrize("name", ["ball_stats", "inverse_sum", "push_out", "band_counts"])
+def test_sums_of_a_shelf_are_one_row_a_query(name):
+    """However many books a query meets, its sums leave the task once, and the task holds them once."""
+    left, right, q, r, open_ = shelf()
+    kernel = {"ball_stats": lambda: blocks.ball_stats(True, False), "inverse_sum": lambda: blocks.inverse_sum(False), "push_out": blocks.push_out, "band_counts": lambda: blocks.band_counts(8)}[name]()
+    ids, at, out = neighbours.meet_shelf(left, right, kernel, ["radius", "lo", "hi"], ["radius"])
+    assert len(set(at.tolist())) == len(at) > 250 and len(ids) == 300
+    d = np.round(np.sqrt(((q[:, None] - r) ** 2).sum(axis=2)), 9)
+    radius = right.column("radius").to_numpy()
+    for i, line in enumerate(at):
+        near = open_[line]
+        if name == "ball_stats":
+            assert out["count"][i] == (d[line][near] <= 5.5).sum()
+        elif name == "inverse_sum":
+            assert np.isclose(out["total"][i], (1 / d[line][near]).sum())
+        elif name == "band_counts":
+            assert out["counts"][i].sum() == (d[line][near] <= 9.0).sum()
+        else:
+            hit = near & (d[line] < radius)
+            assert np.allclose(out["shift"][i], (((radius - d[line]) / d[line])[hit, None] * (q[line] - r[hit])).sum(axis=0))
+
+
+def test_what_was_found_bounds_the_rest_of_a_shelf(monkeypatch):
+    left, right, q, r, open_ = shelf()
+    monkeypatch.setattr(neighbours, "MEET_BYTES", 8 * 20 * 50)
+    seen, real = [], blocks.nearest(3, False)
+
+    def watched(qid, q, extra, *rest):
+        seen.append(np.isfinite(extra["bound"]).mean())
+        return real(qid, q, extra, *rest)
+
+    ids, at, out = neighbours.meet_shelf(left, right, watched, (), (), best=3)
+    assert seen[0] == 0 and seen[-1] > 0.9
+    d = np.round(np.sqrt(((q[:, None] - r) ** 2).sum(axis=2)), 9)
+    want = [(i, j) for i in range(300) for j in sorted(np.flatnonzero(open_[i]), key=lambda j: (d[i, j], j))[:3]]
+    assert list(zip(at.tolist(), out["nbr_id"].tolist())) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e20])
+def test_pairs_ruled_out_in_single_precision(scale):
+    """Crowds of near copies, ties and values too large for single precision: the nearest are those of plain distances."""
+    rng = np.random.default_rng(2)
+    r = rng.normal(size=(1500, 24))
+    r[:400] = r[0] + rng.normal(size=(400, 24)) * 1e-6
+    r[400:600] = np.round(r[400:600])
+    r[600:620] = r[599]
+    r = r * scale
+    q, rid = r[::3].copy(), rng.permutation(5000)[:1500]
+    i, out = blocks.nearest(4, True)(rid[::3], q, {}, rid, r, {})
+    for line in range(0, 500, 7):
+        d = blocks.pair_distance(np.repeat(q[line:line + 1], 1500, axis=0), r)
+        want = [j for j in np.lexsort((rid, d)) if rid[j] != rid[3 * line]][:4]
+        assert out["nbr_id"][i == line].tolist() == rid[want].tolist()
