@@ -11,6 +11,7 @@ There are ``rounds`` rounds. With ``patience``, a tenth of the rows by hash is h
 ordered loss is no rule for that: as splits are chosen with every row, it goes on falling on pure noise.) A group without held-out rows has all rounds.
 
 A group of at most LOCAL rows and LOCAL_CELLS codes is boosted whole in one task, which keeps only the scores that are read: of a row, those of the model that has not seen it and of the models trained on it, three on average.
+Above PARTED rows it counts at each level only the rows on the smaller side of the last cut and takes the other side as what remains of the level before, which may turn ties of gains.
 All larger groups take each step in the same job: a job a level, tasks sending gradient histograms HIST_BYTES at a time, and one for the leaves;
 rows keep their models' scores in a written table, renewed every RENEW rounds. The driver holds the trees.
 
@@ -32,8 +33,10 @@ from evenkeel.functions.vectors import sum_vector
 from evenkeel.operators.forest import Coded, _mix, _root, _rows
 from evenkeel.operators.runtime import settle
 
-LOCAL = 1 << 17  # rows of a group that one task boosts
-LOCAL_CELLS = 1 << 23  # of its codes
+LOCAL = 1 << 19  # rows of a group that one task boosts
+LOCAL_CELLS = 1 << 25  # of its codes
+PARTED = 1 << 17  # of them, above which a level counts the smaller side of its last cut only
+SURE = 1e-3  # of ``l2``, from which on the rounding of a difference of histograms is nothing beside it
 HIST_BYTES = 64 << 20  # of histograms that a task holds
 MODEL_BYTES = 32 << 20  # of trees that travel with one job
 RENEW = 8  # rounds from one written table of scores to the next
@@ -71,13 +74,16 @@ def _share(score: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score, -500, 500)))
 
 
-def binned(codes: np.ndarray, leaf: np.ndarray, leaves: int, bins: int, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
-    """(gradient and curvature, leaf, feature, code) of rows in leaves."""
+def binned(codes: np.ndarray, leaf: np.ndarray, leaves: int, bins: int, gradient: np.ndarray, curvature: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """(gradient and curvature, leaf, feature, code) of rows in leaves; of some ``rows`` only if they are given."""
     dim = codes.shape[1]
     out = np.empty((2, leaves, dim, bins))
+    if rows is not None:
+        leaf, gradient, curvature = leaf[rows], gradient[rows], curvature[rows]
     base = leaf * bins
     for feature in range(dim):  # one at a time, so that what is added to stays in the cache
-        place = base + codes[:, feature]
+        own = codes[:, feature]
+        place = base + (own if rows is None else own[rows])
         for i, v in enumerate((gradient, curvature)):
             out[i, :, feature] = np.bincount(place, weights=v, minlength=leaves * bins).reshape(leaves, bins)
     return out
@@ -160,10 +166,23 @@ class Inside:
         self.unseen, self.seen, self.out = np.flatnonzero(self.model == own), np.flatnonzero((own >= 0) & (self.model > own)), np.flatnonzero(own < 0)
         self.kept = np.flatnonzero(bucket >= 0)  # the rows of ``unseen``
         self.kept_codes = self.codes if len(self.kept) == len(y) else np.asfortranarray(codes[self.kept])
+        self.trail = None  # the level before: tree, leaf of each row, histogram, gradient, curvature
 
     def cuts(self, grown):
-        p, tree = _share(self.score[self.unseen]), grown[self.gid]
-        hist = binned(self.kept_codes, leaves_of(self.kept_codes, tree), 1 << len(tree), self.bins, self.y[self.kept] - p, p * (1 - p))
+        tree = list(grown[self.gid])
+        if tree and self.trail and self.trail[0] == tree[:-1] and len(self.kept) > PARTED and self.l2 >= SURE:
+            # the last cut parts every leaf: its smaller side is counted, the other is what remains
+            _, leaf, hist, gradient, curvature = self.trail
+            high = self.kept_codes[:, tree[-1][0]] > tree[-1][1]
+            few = 2 * np.count_nonzero(high) <= len(high)
+            side = binned(self.kept_codes, leaf, hist.shape[1], self.bins, gradient, curvature, np.flatnonzero(high if few else ~high))
+            hist = np.concatenate([hist - side, side] if few else [side, hist - side], axis=1)
+            leaf = leaf | high.astype(np.int64) << (len(tree) - 1)
+        else:
+            p, leaf = _share(self.score[self.unseen]), leaves_of(self.kept_codes, tree)
+            gradient, curvature = self.y[self.kept] - p, p * (1 - p)
+            hist = binned(self.kept_codes, leaf, 1 << len(tree), self.bins, gradient, curvature)
+        self.trail = tree, leaf, hist, gradient, curvature
         gain = gains(hist, self.l2)
         best = int(np.round(gain, 9).argmax())
         return {self.gid: (best // gain.shape[1], best % gain.shape[1])}

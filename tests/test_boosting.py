@@ -103,3 +103,26 @@ def test_a_middling_group_takes_no_job_a_level(spark, monkeypatch):
     df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 7 > 3).cast("int").alias("label"), F.array((F.col("id") % 7).cast("double")).alias("features"))
     got = boosting.Boosting(df, rounds=3, rate=1.0).predict(df).join(df, "row_id")
     assert got.where((F.col("share") > 0.5) != (F.col("label") == 1)).count() == 0
+
+
+def test_a_level_may_count_the_smaller_side_only(monkeypatch):
+    """Histograms of the other side by difference: the trees are the same, and fewer rows are counted."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 8, (3000, 6)).astype(np.uint8)
+    y = ((codes[:, 0] > 3) ^ (codes[:, 1] > 2) ^ (rng.random(3000) < 0.2)).astype(float)
+    ids, top = np.arange(3000), boosting.top_of(3000)
+    counted, real = [], boosting.binned
+    monkeypatch.setattr(boosting, "binned", lambda codes, leaf, leaves, bins, g, h, rows=None: counted.append(len(leaf) if rows is None else len(rows)) or real(codes, leaf, leaves, bins, g, h, rows))
+
+    def trees():
+        counted.clear()
+        inside = boosting.Inside(0, codes, y, boosting.buckets(ids, 42, top), top, 3.0)
+        return boosting.boost(inside, {0: top}, 20, 4, 0.1, 3.0, None)[0]
+
+    want, every = trees(), sum(counted)
+    monkeypatch.setattr(boosting, "PARTED", 0)
+    got = trees()
+    assert sum(counted) < 0.7 * every
+    assert [t for t, _ in got] == [t for t, _ in want] and all(np.allclose(a, b) for (_, a), (_, b) in zip(got, want))
+    monkeypatch.setattr(boosting, "SURE", 10.0)
+    assert [t for t, _ in trees()] == [t for t, _ in want] and sum(counted) == every  # a small ``l2`` takes no differences
